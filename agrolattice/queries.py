@@ -16,7 +16,11 @@ from pyspark.sql.types import DoubleType, FloatType
 from .operators.gapfill import gap_fill_linear
 from .operators.impute import group_mean_impute
 from .operators.rollup import yearly_climate, yearly_prices
+from .operators.dedup import dedup_keep_first, duplicate_report
+from .operators.profile import column_profile
+from .plans import catalog as catalog_plan
 from .plans import master as master_plan
+from .schemas import ENT
 from .sources import standins as si
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +33,7 @@ def register(name: str):
     return deco
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every floating column (keeps names and order)."""
     return df.select(*[F.round(F.col(f.name), places).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
@@ -48,7 +52,7 @@ def q_gap_fill(spark, sf_dir):
 @register("yearly_rollup")
 def q_yearly_rollup(spark, sf_dir):
     """W1 + A1 on the daily climate."""
-    return rounded(master_plan.filled_yearly_climate(si.climate_daily(spark, sf_dir), ["fecha", "seq"]))
+    return rounded(master_plan.filled_yearly_climate(si.climate_daily(spark, sf_dir), ["fecha", "seq"]), 6)
 
 
 @register("yearly_prices")
@@ -76,4 +80,43 @@ def q_master_join(spark, sf_dir):
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
         si.livestock(spark, sf_dir), climate_order=["fecha", "seq"],
         key_cols=("anio", "l_orderkey", "l_linenumber"))
-    return rounded(m, 4)
+    return rounded(m, 6)
+
+
+# ------------------------------------------------------------------ E2: dataset catalog
+@register("union_by_name")
+def q_union_by_name(spark, sf_dir):
+    """Two catalog files with different columns, unioned by name."""
+    return si.catalog_raw(spark, sf_dir)
+
+
+@register("dedup_keep_first")
+def q_dedup_keep_first(spark, sf_dir):
+    """One row per UID, first on all columns with nulls last."""
+    return dedup_keep_first(si.catalog_raw(spark, sf_dir), "UID")
+
+
+@register("coerce_clean")
+def q_coerce_clean(spark, sf_dir):
+    """P1 + C1-C5 on the de-duplicated catalog."""
+    raw = si.catalog_raw(spark, sf_dir)
+    return catalog_plan.type_catalog(catalog_plan.keep_columns(dedup_keep_first(raw, "UID")))
+
+
+@register("geocode")
+def q_geocode(spark, sf_dir):
+    """E2 end to end; J7 exact municipality + J8 ordered department substring."""
+    cat = catalog_plan.clean_catalog(si.catalog_raw(spark, sf_dir))
+    return cat.select("UID", ENT + "Departamento", ENT + "Municipio", "latitud", "longitud")
+
+
+@register("column_profile")
+def q_column_profile(spark, sf_dir):
+    """A3: nulls per column of the raw catalog."""
+    return column_profile(si.catalog_raw(spark, sf_dir), "catalog_raw")
+
+
+@register("duplicate_rows")
+def q_duplicate_rows(spark, sf_dir):
+    """Whole-row duplicates over the catalog's identifying columns."""
+    return duplicate_report(si.catalog_raw(spark, sf_dir), ["UID", "Titulo", "Descripción", "Categoría"])

@@ -267,7 +267,6 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat((1 + n % 5).cast("string"), F.lit("."), (i % 10).cast("string")))
         .alias("ds_score_relevancia"),
         pick(INTEGRATION_RAW, i % 6).alias("ds_potencial_integracion"),
-        F.col("doc_id").alias("_doc_id"),
     ]
     local = d.filter(F.col("lang").isin("es", "en")).select(
         *common,

@@ -118,7 +118,7 @@ YEARLY_PRICES = """price_y AS (SELECT CAST(year(fecha) AS INTEGER) AS anio, cult
   avg(precio_kg_promedio_cop) AS precio_kg_anual_promedio_cop FROM prices WHERE cultivo IS NOT NULL GROUP BY ALL)"""
 
 
-def r(expr: str, places: int = 4, alias: str | None = None) -> str:
+def r(expr: str, places: int = 6, alias: str | None = None) -> str:
     return f"round({expr}, {places}) AS {alias or expr}"
 
 
@@ -128,12 +128,12 @@ SQL["gap_fill"] = with_(STATIONS, gap_fill_ctes("stations", "filled")) + (
     "SELECT departamento, municipio, seq, " + ", ".join(r(m, 6) for m in MEASURES) + " FROM filled")
 
 SQL["yearly_rollup"] = with_(GEO, CLIMATE, gap_fill_ctes("climate", "filled_clim"), YEARLY_CLIMATE) + """
-SELECT anio, departamento, municipio, round(temp_media_c, 4) AS temp_media_c,
-  round(precipitacion_anual_mm, 4) AS precipitacion_anual_mm, round(humedad_media_pct, 4) AS humedad_media_pct,
-  round(brillo_solar_anual_horas, 4) AS brillo_solar_anual_horas FROM clim_y"""
+SELECT anio, departamento, municipio, round(temp_media_c, 6) AS temp_media_c,
+  round(precipitacion_anual_mm, 6) AS precipitacion_anual_mm, round(humedad_media_pct, 6) AS humedad_media_pct,
+  round(brillo_solar_anual_horas, 6) AS brillo_solar_anual_horas FROM clim_y"""
 
 SQL["yearly_prices"] = with_(PRICES, YEARLY_PRICES) + """
-SELECT anio, cultivo, round(precio_kg_anual_promedio_cop, 4) AS precio_kg_anual_promedio_cop FROM price_y"""
+SELECT anio, cultivo, round(precio_kg_anual_promedio_cop, 6) AS precio_kg_anual_promedio_cop FROM price_y"""
 
 SQL["group_mean_impute"] = with_(GEO, PRODUCTION, SUPPLIER_LINES, CREDIT) + """,
 j AS (SELECT p.l_orderkey, p.l_linenumber, p.anio, p.departamento, p.municipio, p.cultivo,
@@ -170,4 +170,122 @@ m AS (SELECT p.*, s.aptitud, s.ph_suelo, s.altitud_m, s.materia_organica_pct, s.
       LEFT JOIN livestock lv USING (anio, departamento, municipio))
 SELECT anio, departamento, municipio, cultivo, l_orderkey, l_linenumber,
   coalesce(textura, 'Franco') AS textura, coalesce(aptitud, 'Media') AS aptitud, """ + ",\n  ".join(
-    f"round(coalesce({c}, avg({c}) OVER (PARTITION BY cultivo)), 4) AS {c}" for c in _MASTER_NUM) + "\nFROM m"
+    f"round(coalesce({c}, avg({c}) OVER (PARTITION BY cultivo)), 6) AS {c}" for c in _MASTER_NUM) + "\nFROM m"
+
+
+# ------------------------------------------------------------------ E2: dataset catalog
+ENT = "Información de la Entidad: "
+SECTORS = ["Agricultura y Desarrollo Rural", "Ambiente y Desarrollo Sostenible", "Salud y Protección Social",
+           "Educación", "Transporte", "Hacienda y Crédito Público"]
+CAT_DEPTS = ["Valle del Cauca", "Norte de Santander", "Bogotá D.C.", "Caquetá", "Antioquia", None, "Amazonas", "Cauca"]
+CAT_MUNS = ["Bogotá", None, "Cali", "No disponible", "Medellín"]
+INTEG = ["Sí", "no", "TRUE", None, "1", "quizás"]
+
+
+def q(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+_CAT_COMMON = f"""substring(md5(text), 1, 9) AS "UID", substring(text, 1, 80) AS "Titulo", text AS "Descripción",
+  CASE WHEN doc_id % 3 = 0 THEN replace(format('{{:,}}', n_chars), ',', '.')
+       WHEN doc_id % 3 = 1 THEN CAST(n_chars AS VARCHAR) ELSE CAST(n_chars AS VARCHAR) || '.0' END AS "Número de Filas",
+  CAST(length(source) + doc_id % 20 AS VARCHAR) AS "Número de Columnas",
+  CASE WHEN lang = 'es' THEN 'local' WHEN lang = 'en' THEN 'nacional' ELSE 'regional' END AS alcance_geografico,
+  CASE WHEN quality = 1 THEN 'True' WHEN quality = 0 THEN 'False' END AS es_viable,
+  CASE WHEN toxic = 0 THEN 'True' ELSE 'False' END AS ds_encabezados_utiles,
+  'Entidad ' || source AS {q(ENT + "Nombre de la Entidad")},
+  {case_pick(SECTORS, "doc_id % 6")} AS {q(ENT + "Sector")},
+  CASE WHEN doc_id % 2 = 0 THEN 'Nacional' ELSE 'Territorial' END AS {q(ENT + "Orden")},
+  {case_pick(CAT_DEPTS, "doc_id % 8")} AS {q(ENT + "Departamento")},
+  {case_pick(CAT_MUNS, "doc_id % 5")} AS {q(ENT + "Municipio")},
+  lang AS "Categoría", concat_ws(',', source, lang) AS "Etiqueta",
+  'https://datos.example/d/' || CAST(doc_id AS VARCHAR) AS url,
+  CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(1 + n_chars % 5 AS VARCHAR) || '.' || CAST(doc_id % 10 AS VARCHAR) END AS ds_score_relevancia,
+  {case_pick(INTEG, "doc_id % 6")} AS ds_potencial_integracion"""
+
+CATALOG_RAW = f"""docs AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+raw AS (
+  SELECT {_CAT_COMMON}, substring(text, 81, 120) AS ds_justificacion,
+    CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 7 = 1 THEN NULL
+         ELSE CAST(n_chars % 5 AS VARCHAR) || '.5' END AS ds_calidad_datos, CAST(NULL AS VARCHAR) AS "Fuente"
+  FROM docs WHERE lang IN ('es', 'en')
+  UNION ALL
+  SELECT {_CAT_COMMON}, NULL, NULL, source FROM docs WHERE lang NOT IN ('es', 'en'))"""
+
+RAW_COLS = ["UID", "Titulo", "Descripción", "Número de Filas", "Número de Columnas", "alcance_geografico",
+            "es_viable", "ds_encabezados_utiles", ENT + "Nombre de la Entidad", ENT + "Sector", ENT + "Orden",
+            ENT + "Departamento", ENT + "Municipio", "Categoría", "Etiqueta", "url", "ds_score_relevancia",
+            "ds_potencial_integracion", "ds_justificacion", "ds_calidad_datos", "Fuente"]
+
+DEDUP = """dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY "UID" ORDER BY """ + \
+    ", ".join(f"{q(c)} ASC NULLS LAST" for c in RAW_COLS) + """) AS rn FROM raw) WHERE rn = 1)"""
+
+KEEP = [c for c in ["UID", "Titulo", "Descripción", "Número de Filas", "Número de Columnas", "alcance_geografico",
+                    "es_viable", "ds_encabezados_utiles", ENT + "Nombre de la Entidad", ENT + "Sector",
+                    ENT + "Orden", ENT + "Departamento", ENT + "Municipio", "Categoría", "Etiqueta",
+                    "Fecha de última actualización de datos (UTC)", "API", "url", "ds_justificacion",
+                    "ds_score_relevancia", "ds_calidad_datos", "ds_reto_principal", "ds_retos_secundarios",
+                    "ds_potencial_integracion", "ds_reto_sugerido", "ds_justificacion_sugerida"] if c in RAW_COLS]
+
+
+def _count_sql(c: str) -> str:
+    s = f"trim({q(c)})"
+    num = f"CASE WHEN regexp_matches({s}, '^\\d{{1,3}}(\\.\\d{{3}})+$') THEN replace({s}, '.', '') ELSE {s} END"
+    return f"CAST(coalesce(CAST(trunc(TRY_CAST({num} AS DOUBLE)) AS BIGINT), 0) AS INTEGER)"
+
+
+def _typed_expr(c: str) -> str:
+    if c == "es_viable":
+        return "coalesce(TRY_CAST(es_viable AS BOOLEAN), true)"
+    if c in ("Número de Filas", "Número de Columnas"):
+        return _count_sql(c)
+    if c == "ds_score_relevancia":
+        return "coalesce(TRY_CAST(ds_score_relevancia AS DOUBLE), 3.0::DOUBLE)"
+    if c == "ds_calidad_datos":
+        return "coalesce(TRY_CAST(ds_calidad_datos AS DOUBLE), 2.0::DOUBLE)"
+    if c == "ds_potencial_integracion":
+        return "coalesce(lower(trim(ds_potencial_integracion)) IN ('true', '1', 'yes', 'si', 'sí'), false)"
+    return f"coalesce({q(c)}, 'No disponible')"
+
+
+TYPED = "typed AS (SELECT " + ", ".join(f"{_typed_expr(c)} AS {q(c)}" for c in KEEP) + " FROM dedup)"
+
+PLACES = [("boyaca", 5.53, -73.36), ("boyacá", 5.53, -73.36), ("casanare", 5.35, -72.40), ("caldas", 5.07, -75.52),
+          ("cauca", 2.44, -76.61), ("guaviare", 2.56, -72.64), ("huila", 2.92, -75.28),
+          ("valle del cauca", 3.45, -76.53), ("valle", 3.45, -76.53), ("norte de santander", 7.89, -72.50),
+          ("risaralda", 4.81, -75.69), ("santander", 7.12, -73.12), ("sucre", 9.30, -75.39), ("meta", 4.14, -73.63),
+          ("cordoba", 8.75, -75.88), ("córdoba", 8.75, -75.88), ("cundinamarca", 4.71, -74.19),
+          ("tolima", 4.44, -75.24), ("antioquia", 6.25, -75.56), ("atlantico", 10.96, -74.79),
+          ("atlántico", 10.96, -74.79), ("quindio", 4.53, -75.67), ("quindío", 4.53, -75.67),
+          ("san andres", 12.58, -81.70), ("san andrés", 12.58, -81.70), ("bogota", 4.61, -74.08),
+          ("bogotá", 4.61, -74.08), ("bogota d.c.", 4.61, -74.08), ("bogotá d.c.", 4.61, -74.08),
+          ("nacional", 4.61, -74.08)]
+COORDS = "coords(ord, k, lat, lon) AS (VALUES " + ", ".join(
+    f"({i}, '{k}', {la}::DOUBLE, {lo}::DOUBLE)" for i, (k, la, lo) in enumerate(PLACES)) + ")"
+
+GEOCODED = f"""geocoded AS (SELECT t.*,
+  coalesce(
+    (SELECT lat FROM coords WHERE t.{q(ENT + "Municipio")} <> 'No disponible' AND k = lower(trim(t.{q(ENT + "Municipio")}))),
+    (SELECT lat FROM coords WHERE contains(lower(trim(t.{q(ENT + "Departamento")})), k) OR contains(k, lower(trim(t.{q(ENT + "Departamento")})))
+       ORDER BY CASE WHEN k = lower(trim(t.{q(ENT + "Departamento")})) THEN 0 ELSE ord + 1 END LIMIT 1),
+    4.61) AS latitud,
+  coalesce(
+    (SELECT lon FROM coords WHERE t.{q(ENT + "Municipio")} <> 'No disponible' AND k = lower(trim(t.{q(ENT + "Municipio")}))),
+    (SELECT lon FROM coords WHERE contains(lower(trim(t.{q(ENT + "Departamento")})), k) OR contains(k, lower(trim(t.{q(ENT + "Departamento")})))
+       ORDER BY CASE WHEN k = lower(trim(t.{q(ENT + "Departamento")})) THEN 0 ELSE ord + 1 END LIMIT 1),
+    -74.08) AS longitud
+  FROM typed t)"""
+
+SQL["union_by_name"] = with_(CATALOG_RAW) + "SELECT * FROM raw"
+SQL["dedup_keep_first"] = with_(CATALOG_RAW, DEDUP) + "SELECT * FROM dedup"
+SQL["coerce_clean"] = with_(CATALOG_RAW, DEDUP, TYPED) + "SELECT * FROM typed"
+SQL["geocode"] = with_(CATALOG_RAW, DEDUP, TYPED, COORDS, GEOCODED) + \
+    f'SELECT "UID", {q(ENT + "Departamento")}, {q(ENT + "Municipio")}, latitud, longitud FROM geocoded'
+SQL["column_profile"] = with_(CATALOG_RAW) + " UNION ALL ".join(
+    f"""SELECT 'catalog_raw' AS dataset, '{c.replace("'", "''")}' AS column_name, {i} AS column_pos,
+    count(*) AS n_rows, CAST(count(*) - count({q(c)}) AS BIGINT) AS n_nulls,
+    CASE WHEN count(*) > 0 THEN round(100.0 * (count(*) - count({q(c)})) / count(*), 2) ELSE 0.0 END AS null_pct FROM raw"""
+    for i, c in enumerate(RAW_COLS))
+SQL["duplicate_rows"] = with_(CATALOG_RAW) + """SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct,
+  CAST(sum(c - 1) AS BIGINT) AS n_duplicates
+  FROM (SELECT "UID", "Titulo", "Descripción", "Categoría", count(*) AS c FROM raw GROUP BY ALL) g"""
