@@ -18,6 +18,7 @@ from .operators.impute import group_mean_impute
 from .operators.rollup import yearly_climate, yearly_prices
 from .operators.dedup import dedup_keep_first, duplicate_report
 from .operators.profile import column_profile
+from .operators import summaries as S
 from .plans import catalog as catalog_plan
 from .plans import master as master_plan
 from .schemas import ENT
@@ -120,3 +121,136 @@ def q_column_profile(spark, sf_dir):
 def q_duplicate_rows(spark, sf_dir):
     """Whole-row duplicates over the catalog's identifying columns."""
     return duplicate_report(si.catalog_raw(spark, sf_dir), ["UID", "Titulo", "Descripción", "Categoría"])
+
+
+# ------------------------------------------------------------------ summaries (A4-A24, T, W6, P6)
+def _catalog(spark, sf_dir):
+    return catalog_plan.clean_catalog(si.catalog_raw(spark, sf_dir))
+
+
+@register("region_summary")
+def q_region_summary(spark, sf_dir):
+    """A5/A6 per department and per municipality (grouping sets)."""
+    return S.region_summary(_catalog(spark, sf_dir))
+
+
+@register("tier_counts")
+def q_tier_counts(spark, sf_dir):
+    """A4: datasets per map point with the tier."""
+    return S.tier_counts(_catalog(spark, sf_dir))
+
+
+@register("sample_titles")
+def q_sample_titles(spark, sf_dir):
+    """Five sample titles per department (salted two-stage top-N)."""
+    return S.sample_titles(_catalog(spark, sf_dir))
+
+
+@register("catalog_kpis")
+def q_catalog_kpis(spark, sf_dir):
+    """A20 + A24 + P7 headline numbers."""
+    return rounded(S.catalog_kpis(_catalog(spark, sf_dir)))
+
+
+@register("scope_counts")
+def q_scope_counts(spark, sf_dir):
+    """Datasets per geographic scope."""
+    return S.count_by(_catalog(spark, sf_dir), "alcance_geografico", "alcance_geografico")
+
+
+@register("top_sectors")
+def q_top_sectors(spark, sf_dir):
+    """Top-10 sectors."""
+    return S.top_sectors(_catalog(spark, sf_dir))
+
+
+@register("band_counts")
+def q_band_counts(spark, sf_dir):
+    """Quality bands."""
+    return S.quality_bands(_catalog(spark, sf_dir))
+
+
+@register("top_scored")
+def q_top_scored(spark, sf_dir):
+    """Top-15 by relevance + quality."""
+    return rounded(S.top_scored(_catalog(spark, sf_dir)))
+
+
+@register("selector_values")
+def q_selector_values(spark, sf_dir):
+    """Selectable departments."""
+    return S.selector_values(_catalog(spark, sf_dir))
+
+
+@register("suitability_hist")
+def q_suitability_hist(spark, sf_dir):
+    """Soils per (crop, suitability)."""
+    return S.suitability_hist(si.soils(spark, sf_dir))
+
+
+@register("climate_by_dept")
+def q_climate_by_dept(spark, sf_dir):
+    """Raw climate means per department."""
+    return rounded(S.climate_by_dept(si.climate_daily(spark, sf_dir)))
+
+
+@register("box_stats")
+def q_box_stats(spark, sf_dir):
+    """Yield box statistics per (crop, department)."""
+    return rounded(S.box_stats(si.production(spark, sf_dir)))
+
+
+@register("yield_kpis")
+def q_yield_kpis(spark, sf_dir):
+    """A10."""
+    return rounded(S.yield_kpis(si.production(spark, sf_dir)))
+
+
+@register("sown_vs_harvested")
+def q_sown_vs_harvested(spark, sf_dir):
+    """A11."""
+    return rounded(S.sown_vs_harvested(si.production(spark, sf_dir)))
+
+
+@register("share_of_total")
+def q_share_of_total(spark, sf_dir):
+    """Credit per crop and share of total."""
+    return rounded(S.credit_share(si.credit(spark, sf_dir)))
+
+
+@register("livestock_means")
+def q_livestock_means(spark, sf_dir):
+    """A13."""
+    return rounded(S.livestock_means(si.livestock(spark, sf_dir)))
+
+
+@register("ratio_kpis")
+def q_ratio_kpis(spark, sf_dir):
+    """Land-security KPIs."""
+    return rounded(S.land_kpis(si.land_security(spark, sf_dir)))
+
+
+@register("hectares_table")
+def q_hectares_table(spark, sf_dir):
+    """A15 (+T1 order: department asc, hectares desc)."""
+    t = S.hectares_table(si.production(spark, sf_dir))
+    return rounded(t.orderBy(F.col("departamento").asc(), F.col("hectareas_sembradas").desc(),
+                             "municipio", "cultivo"))
+
+
+@register("hectares_by_crop")
+def q_hectares_by_crop(spark, sf_dir):
+    """A16."""
+    return rounded(S.hectares_by_crop(S.hectares_table(si.production(spark, sf_dir))))
+
+
+@register("index_ranking")
+def q_index_ranking(spark, sf_dir):
+    """A17 (+T5 order)."""
+    return rounded(S.index_ranking(si.land_security(spark, sf_dir)).orderBy("isj_promedio", "departamento"))
+
+
+@register("funnel")
+def q_funnel(spark, sf_dir):
+    """A18."""
+    return rounded(S.formalisation_funnel(si.land_security(spark, sf_dir)))

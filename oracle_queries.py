@@ -289,3 +289,79 @@ SQL["column_profile"] = with_(CATALOG_RAW) + " UNION ALL ".join(
 SQL["duplicate_rows"] = with_(CATALOG_RAW) + """SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct,
   CAST(sum(c - 1) AS BIGINT) AS n_duplicates
   FROM (SELECT "UID", "Titulo", "Descripción", "Categoría", count(*) AS c FROM raw GROUP BY ALL) g"""
+
+
+# ------------------------------------------------------------------ summaries
+CLEAN = with_(CATALOG_RAW, DEDUP, TYPED, COORDS, GEOCODED)
+D, M, SEC = q(ENT + "Departamento"), q(ENT + "Municipio"), q(ENT + "Sector")
+
+SQL["region_summary"] = CLEAN + f"""SELECT CASE WHEN grouping({D}, {M}) = 0 THEN 'municipio' ELSE 'departamento' END AS level,
+  {D} AS departamento, CASE WHEN grouping({D}, {M}) = 0 THEN {M} END AS municipio,
+  count("UID") AS datasets, CAST(sum(CAST(es_viable AS INTEGER)) AS BIGINT) AS viables,
+  CAST(trunc(avg("Número de Filas")) AS BIGINT) AS mean_rows
+FROM geocoded GROUP BY GROUPING SETS (({D}), ({D}, {M}))"""
+
+SQL["tier_counts"] = CLEAN + f"""SELECT {D} AS departamento, latitud, longitud, count(*) AS total_datasets,
+  CASE WHEN count(*) > 20 THEN 'blue' WHEN count(*) > 5 THEN 'orange' ELSE 'green' END AS tier
+FROM geocoded GROUP BY ALL"""
+
+SQL["sample_titles"] = CLEAN + f"""SELECT departamento, rank, "UID", substring("Titulo", 1, 45) AS title_short FROM (
+  SELECT {D} AS departamento, "UID", "Titulo", row_number() OVER (PARTITION BY {D} ORDER BY "UID") AS rank FROM geocoded)
+WHERE rank <= 5"""
+
+SQL["catalog_kpis"] = CLEAN + f"""SELECT total_datasets, viable_datasets,
+  CASE WHEN total_datasets > 0 THEN round(100.0 * viable_datasets / total_datasets, 1) ELSE 0.0 END AS viable_pct,
+  total_rows,
+  CASE WHEN total_rows > 1e6 THEN CAST(round(total_rows / 1e6, 2) AS VARCHAR) || 'M' ELSE format('{{:,}}', total_rows) END AS rows_label,
+  coalesce(top_sector, 'No disponible') AS top_sector, round(avg_quality, 6) AS avg_quality,
+  round(avg_relevance, 6) AS avg_relevance, round(coalesce(integ * 100, 0.0), 6) AS pct_integration, scatter_points
+FROM (SELECT count(*) AS total_datasets, CAST(sum(CAST(es_viable AS INTEGER)) AS BIGINT) AS viable_datasets,
+        CAST(sum("Número de Filas") AS BIGINT) AS total_rows,
+        (SELECT s FROM (SELECT {SEC} AS s, count(*) AS c FROM geocoded WHERE {SEC} IS NOT NULL GROUP BY 1)
+         ORDER BY c DESC, s ASC LIMIT 1) AS top_sector,
+        avg(ds_calidad_datos) AS avg_quality, avg(ds_score_relevancia) AS avg_relevance,
+        avg(CAST(ds_potencial_integracion AS DOUBLE)) AS integ,
+        CAST(sum(CAST(ds_calidad_datos > 0 AND ds_score_relevancia > 0 AS INTEGER)) AS BIGINT) AS scatter_points
+      FROM geocoded) k"""
+
+SQL["scope_counts"] = CLEAN + "SELECT alcance_geografico, count(*) AS count FROM geocoded GROUP BY 1"
+SQL["top_sectors"] = CLEAN + f"SELECT {SEC} AS sector, count(*) AS count FROM geocoded GROUP BY 1 ORDER BY count DESC, sector ASC LIMIT 10"
+SQL["band_counts"] = CLEAN + """SELECT CASE WHEN ds_calidad_datos >= 4 THEN 'Alta (4-5)' WHEN ds_calidad_datos >= 2 THEN 'Media (2-3)'
+  ELSE 'Baja (1)' END AS quality_band, count(*) AS count FROM geocoded GROUP BY 1"""
+SQL["top_scored"] = CLEAN + f"""SELECT "UID", "Titulo", {q(ENT + "Nombre de la Entidad")} AS entidad, ds_score_relevancia, ds_calidad_datos,
+  round(ds_score_relevancia + ds_calidad_datos, 6) AS score_total FROM geocoded
+ORDER BY ds_score_relevancia + ds_calidad_datos DESC, "UID" LIMIT 15"""
+SQL["selector_values"] = CLEAN + f"""SELECT DISTINCT {D} AS value FROM geocoded
+WHERE {D} IS NOT NULL AND {D} NOT IN ('No disponible', 'Nacional')"""
+
+SQL["suitability_hist"] = with_(GEO, SUPPLIER_LINES, SOILS) + "SELECT cultivo, aptitud, count(*) AS count FROM soils GROUP BY ALL"
+SQL["climate_by_dept"] = with_(GEO, CLIMATE) + """SELECT departamento, round(avg(temperatura_promedio_c), 6) AS temperatura_promedio_c,
+  round(avg(precipitacion_diaria_mm), 6) AS precipitacion_diaria_mm FROM climate GROUP BY 1"""
+SQL["box_stats"] = with_(GEO, PRODUCTION) + """SELECT cultivo, departamento, n, round(mn, 6) AS min, round(q1, 6) AS q1,
+  round(q2, 6) AS median, round(q3, 6) AS q3, round(mx, 6) AS max,
+  round(greatest(mn, q1 - 1.5 * (q3 - q1)), 6) AS lower_fence, round(least(mx, q3 + 1.5 * (q3 - q1)), 6) AS upper_fence
+FROM (SELECT cultivo, departamento, count(rendimiento_ton_ha) AS n, min(rendimiento_ton_ha) AS mn, max(rendimiento_ton_ha) AS mx,
+  quantile_cont(rendimiento_ton_ha, 0.25) AS q1, quantile_cont(rendimiento_ton_ha, 0.5) AS q2,
+  quantile_cont(rendimiento_ton_ha, 0.75) AS q3 FROM production GROUP BY ALL) b"""
+SQL["yield_kpis"] = with_(GEO, PRODUCTION) + """SELECT round(avg(rendimiento_ton_ha), 6) AS yield_mean, round(max(rendimiento_ton_ha), 6) AS yield_max,
+  round(min(rendimiento_ton_ha), 6) AS yield_min, round(sum(hectareas_cosechadas), 6) AS harvested_total FROM production"""
+SQL["sown_vs_harvested"] = with_(GEO, PRODUCTION) + """SELECT cultivo, round(sum(hectareas_sembradas), 6) AS hectareas_sembradas,
+  round(sum(hectareas_cosechadas), 6) AS hectareas_cosechadas FROM production GROUP BY 1"""
+SQL["share_of_total"] = with_(GEO, SUPPLIER_LINES, CREDIT) + """SELECT cultivo, monto_creditos_cop,
+  round(CASE WHEN total <> 0 THEN 100.0 * monto_creditos_cop / total END, 6) AS share_pct
+FROM (SELECT cultivo, CAST(sum(monto_creditos_cop) AS BIGINT) AS monto_creditos_cop,
+  CAST(sum(sum(monto_creditos_cop)) OVER () AS DOUBLE) AS total FROM credit GROUP BY 1) x"""
+SQL["livestock_means"] = with_(GEO, LIVESTOCK) + """SELECT departamento, round(avg(poblacion_bovina), 6) AS poblacion_bovina,
+  round(avg(poblacion_porcina), 6) AS poblacion_porcina FROM livestock GROUP BY 1"""
+SQL["ratio_kpis"] = with_(GEO, LAND) + """SELECT round(tc, 6) AS total_catastradas, round(tf, 6) AS total_formalizadas, tp AS total_predios,
+  round(isj, 6) AS isj_promedio, round(CASE WHEN tc > 0 THEN 100.0 * tf / tc END, 6) AS pct_formalizado
+FROM (SELECT coalesce(sum(hectareas_catastradas), 0.0) AS tc, coalesce(sum(hectareas_formalizadas), 0.0) AS tf,
+  CAST(coalesce(sum(predios_formalizados), 0) AS BIGINT) AS tp, avg(indice_seguridad_juridica) AS isj FROM land) x"""
+HECT = """hect AS (SELECT departamento, municipio, cultivo, round(sum(hectareas_sembradas), 1) AS hectareas_sembradas,
+  round(sum(produccion_obtenida_ton), 1) AS produccion_total_ton, round(avg(rendimiento_ton_ha), 2) AS rendimiento_promedio
+  FROM production GROUP BY ALL)"""
+SQL["hectares_table"] = with_(GEO, PRODUCTION, HECT) + "SELECT * FROM hect"
+SQL["hectares_by_crop"] = with_(GEO, PRODUCTION, HECT) + "SELECT cultivo, round(sum(hectareas_sembradas), 6) AS hectareas_sembradas FROM hect GROUP BY 1"
+SQL["index_ranking"] = with_(GEO, LAND) + "SELECT departamento, round(avg(indice_seguridad_juridica), 6) AS isj_promedio FROM land GROUP BY 1"
+SQL["funnel"] = with_(GEO, LAND) + """SELECT departamento, round(sum(hectareas_catastradas), 6) AS catastradas,
+  round(sum(hectareas_formalizadas), 6) AS formalizadas FROM land GROUP BY 1"""
