@@ -35,6 +35,11 @@ def pick(values: list, idx: Column) -> Column:
     return expr
 
 
+def _crop() -> Column:
+    """Crop of a line: one of the five modelled crops by part key."""
+    return pick(CROPS, F.col("p_partkey") % 5)
+
+
 def _null_every(key: Column, k: int, value: Column) -> Column:
     return F.when(key % k == 0, F.lit(None).cast("double")).otherwise(value)
 
@@ -84,7 +89,7 @@ def prices_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _lineitem_part(spark, sf_dir)
     return df.select(
         F.col("l_shipdate").alias("fecha"),
-        F.col("p_brand").alias("cultivo"),
+        _crop().alias("cultivo"),
         F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity"))
         .alias("precio_kg_promedio_cop"),
         F.col("l_returnflag").alias("central_abasto"),
@@ -113,7 +118,7 @@ def production(spark: SparkSession, sf_dir: str) -> DataFrame:
     yld = F.col("l_extendedprice") / 10000
     return df.select(
         F.year("o_orderdate").alias("anio"), "departamento", "municipio",
-        F.col("p_brand").alias("cultivo"),
+        _crop().alias("cultivo"),
         F.col("l_quantity").alias("hectareas_sembradas"),
         (F.col("l_quantity") * yld).alias("produccion_obtenida_ton"),
         yld.alias("rendimiento_ton_ha"),
@@ -135,7 +140,7 @@ def _supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def soils(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soil suitability per (department, municipality, crop) from supplier-side lines."""
     g = (_supplier_lines(spark, sf_dir)
-         .groupBy("departamento", "municipio", "n_nationkey", "n_regionkey", F.col("p_brand").alias("cultivo"))
+         .groupBy("departamento", "municipio", "n_nationkey", "n_regionkey", _crop().alias("cultivo"))
          .agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("sl"), F.sum("l_partkey").alias("sp"),
               F.sum("l_suppkey").alias("ss"), F.sum("l_orderkey").alias("so")))
     return g.select(
@@ -156,7 +161,7 @@ def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved credit per (year, department, municipality, crop)."""
     return (_supplier_lines(spark, sf_dir)
             .groupBy(F.year("l_shipdate").alias("anio"), "departamento", "municipio",
-                     F.col("p_brand").alias("cultivo"))
+                     _crop().alias("cultivo"))
             .agg((F.sum(F.floor("l_extendedprice")) * 1000).cast("bigint").alias("monto_creditos_cop"),
                  F.count(F.lit(1)).cast("int").alias("numero_creditos_aprobados"),
                  (8 + F.avg("l_tax") * 100).alias("tasa_interes_promedio")))

@@ -19,6 +19,9 @@ def case_pick(values, idx):
     return "CASE " + " ".join(parts) + " END"
 
 
+CROPS = ["Cafe", "Cacao", "Arroz", "Maiz", "Platano"]
+CROP_OF_PART = case_pick(CROPS, "p_partkey % 5")
+
 GEO = """geo AS (SELECT n_nationkey, n_regionkey, r_name AS departamento, n_name AS municipio
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -37,20 +40,20 @@ CLIMATE = """climate AS (SELECT g.departamento, g.municipio, o.o_orderdate AS fe
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 40000 END AS brillo_solar_horas
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.n_nationkey)"""
 
-PRICES = """prices AS (SELECT l_shipdate AS fecha, p_brand AS cultivo,
+PRICES = f"""prices AS (SELECT l_shipdate AS fecha, {CROP_OF_PART} AS cultivo,
   CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END AS precio_kg_promedio_cop,
   l_returnflag AS central_abasto, l_orderkey, l_linenumber
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-PRODUCTION = """production AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS anio, g.departamento, g.municipio,
-  p_brand AS cultivo, l_quantity AS hectareas_sembradas,
+PRODUCTION = f"""production AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS anio, g.departamento, g.municipio,
+  {CROP_OF_PART} AS cultivo, l_quantity AS hectareas_sembradas,
   l_quantity * (l_extendedprice / 10000) AS produccion_obtenida_ton,
   l_extendedprice / 10000 AS rendimiento_ton_ha,
   l_quantity * (1 - l_discount) AS hectareas_cosechadas, l_orderkey, l_linenumber
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN geo g ON c_nationkey = g.n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
-SUPPLIER_LINES = """slines AS (SELECT l.*, g.*, p_brand FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey
+SUPPLIER_LINES = f"""slines AS (SELECT l.*, g.*, {CROP_OF_PART} AS crop FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey
   JOIN geo g ON s_nationkey = g.n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
 SOILS = f"""soils AS (SELECT departamento, municipio, cultivo,
@@ -59,11 +62,11 @@ SOILS = f"""soils AS (SELECT departamento, municipio, cultivo,
   4.5 + (sl % 25) / 10 AS ph_suelo, CAST(sp % 3000 AS DOUBLE) AS altitud_m,
   1.5 + (n % 36) / 10 AS materia_organica_pct, (ss % 350) / 10 AS pendiente_pct,
   CASE WHEN n % 5 = 0 THEN NULL ELSE {case_pick(["Franco", "Franco-Arenoso", "Franco-Arcilloso", "Arcilloso"], "so % 4")} END AS textura
-  FROM (SELECT departamento, municipio, n_nationkey, n_regionkey, p_brand AS cultivo, count(*) AS n,
+  FROM (SELECT departamento, municipio, n_nationkey, n_regionkey, crop AS cultivo, count(*) AS n,
         sum(l_linenumber) AS sl, sum(l_partkey) AS sp, sum(l_suppkey) AS ss, sum(l_orderkey) AS so
         FROM slines GROUP BY ALL) s)"""
 
-CREDIT = """credit AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS anio, departamento, municipio, p_brand AS cultivo,
+CREDIT = """credit AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS anio, departamento, municipio, crop AS cultivo,
   CAST(sum(floor(l_extendedprice)) * 1000 AS BIGINT) AS monto_creditos_cop,
   CAST(count(*) AS INTEGER) AS numero_creditos_aprobados, 8 + avg(l_tax) * 100 AS tasa_interes_promedio
   FROM slines GROUP BY ALL)"""
