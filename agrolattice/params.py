@@ -203,3 +203,83 @@ def gender_stats_df(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(
         rows, "ord int, dept_key string, ipg_educacion double, mujeres_beneficiarias_pct double, "
               "relevo_joven_pct double"))
+
+
+# ---------------------------------------------------------------- FIXED VALUES: rule and report texts
+CROP_RULES = {
+    "cafe_ph_low": "⚠️ Suelo muy ácido para Café (pH < 5.0). Requiere encalado.",
+    "cafe_ph_high": "⚠️ Suelo ligeramente alcalino para Café (pH > 6.5).",
+    "cafe_alt_low": "⚠️ Altitud baja para Café (< 1000 m). Riesgo de plagas y baja calidad.",
+    "cafe_alt_high": "⚠️ Altitud muy alta para Café (> 2000 m). Riesgo de heladas.",
+    "cacao_ph_low": "⚠️ Suelo ácido para Cacao (pH < 5.5). Enmiendas recomendadas.",
+    "cacao_alt_high": "⚠️ Altitud limitante para Cacao (> 1200 m). Fuera de aptitud UPRA.",
+    "arroz_ph": "⚠️ pH fuera de rango para Arroz (5.5–6.5).",
+    "arroz_alt_high": "⚠️ Altitud restrictiva para Arroz comercial (> 1000 m).",
+    "maiz_alt_high": "📌 UPRA: Use variedades de maíz frío para altitudes > 2000 m.",
+    "slope_15": "⚠️ Pendiente alta (> 15%). Requiere siembra en curvas de nivel.",
+    "slope_30": "❌ Pendiente crítica (> 30%). Incumple aptitud UPRA para transitorios.",
+    "dry_month": "⚠️ Siembra en época seca. Requiere sistema de riego (Decreto 1076 CAR).",
+    "rain_month": "✅ Fecha ideal al inicio de lluvias. Cumple circular MADR 2026.",
+    "zone_low": "📌 Esta zona produce {pct}% menos que el promedio nacional.",
+    "zone_high": "✅ Zona de alta productividad: {pct}% sobre el promedio nacional.",
+    "registry": "📌 Registre su predio en el ICA antes de vender la cosecha.",
+}
+STATUS_OK, STATUS_COND, STATUS_CRIT = "Conforme", "Condicionado", "Crítico"
+SUITABILITY_SCORE = {STATUS_OK: 100, STATUS_COND: 60, STATUS_CRIT: 20}
+
+LIVESTOCK_ALERTS = {
+    "overgrazing": "❌ SOBREPASTOREO: {herd} bovinos excede capacidad ({max} máx.).",
+    "near_limit": "⚠️ CARGA LÍMITE: {density} cab/Ha cerca del máximo ecológico.",
+    "sustainable": "✅ CARGA ANIMAL SOSTENIBLE: Hato óptimamente dimensionado.",
+    "slope": "⚠️ PENDIENTE (CAR): Implemente silvopastoril para evitar erosión (Decreto 1076).",
+    "pig_density": "❌ DENSIDAD PORCINA CRÍTICA: Supera directrices ICA. Riesgo sanitario.",
+    "vaccination_low": "❌ ALERTA ICA: Vacunación aftosa {rate}% < 95% requerido.",
+    "vaccination_ok": "✅ CONTROL ICA: Vacunación aftosa {rate}% — Óptima.",
+}
+
+EXPLANATION = {
+    "cafe_intro": ("El modelo de IA predice un rendimiento óptimo de {y} Ton/Ha en el mes de {m}. "
+                   "Esto se debe a que la altitud del predio ({alt} m.s.n.m.) es ideal para el café de alta calidad, "
+                   "ya que las temperaturas frescas en este rango altitudinal permiten un llenado de grano lento y aromático. "),
+    "cafe_ph_low": (" Sin embargo, el pH del suelo de {ph} es demasiado ácido, lo que limita la absorción de fósforo. "
+                    "El modelo ajusta la predicción a la baja y la IA sugiere corregirlo mediante encalado."),
+    "cafe_ph_high": (" Sin embargo, el pH del suelo de {ph} es un poco alto, lo que podría inducir deficiencias de "
+                     "microelementos (hierro, zinc)."),
+    "cafe_ph_ok": " El pH del suelo de {ph} es óptimo, facilitando una excelente nutrición de las plantas.",
+    "cacao_intro": ("El modelo estima un rendimiento de {y} Ton/Ha sembrando en {m}. "
+                    "El cacao prospera mejor bajo los 1200 m.s.n.m. Tu altitud actual de {alt} m.s.n.m. ha sido procesada por el modelo "
+                    "de ensamble. "),
+    "cacao_alt_high": (" Como tu predio supera la altitud recomendada, la IA ha castigado el rendimiento esperado debido "
+                       "al riesgo de bajas temperaturas."),
+    "cacao_alt_ok": " Esta altitud es adecuada para mantener las temperaturas cálidas requeridas para el cacao.",
+    "arroz_intro": ("El modelo predice {y} Ton/Ha de arroz sembrando en {m}. "
+                    "El arroz es altamente sensible a la temperatura y radiación solar. "),
+    "arroz_alt_high": " Tu altitud de {alt} m.s.n.m. limita el potencial de este cultivo transitorio térmico.",
+    "arroz_alt_ok": " La temperatura promedio en esta altitud baja favorece el metabolismo rápido de la espiga.",
+    "other_intro": ("El modelo de IA estima un rendimiento de {y} Ton/Ha para {crop} en {m}. "
+                    "Esta proyección se basa en las correlaciones históricas de clima del IDEAM y aptitud de suelos de la UPRA en tu zona. "),
+    "dry": (" Ojo: {m} es un mes con baja pluviosidad histórica según el IDEAM. "
+            "Por ello, aunque el rendimiento potencial es alto, la predicción asume que cuentas con un sistema de riego "
+            "artificial para suplir el déficit de agua (estrés hídrico)."),
+    "rainy": (" La recomendación de siembra en {m} aprovecha el pico del régimen bimodal de lluvias del IDEAM. "
+              "Esto garantiza una germinación vigorosa y reduce la necesidad de riego externo, mitigando riesgos de sequía."),
+    "slope": (" Ten en cuenta que la pendiente del terreno ({s}%) representa un riesgo erosivo moderado-alto. "
+              "La IA castiga levemente el rendimiento si no se aplican prácticas de conservación de suelos como barreras "
+              "vivas y siembra en curvas de nivel."),
+}
+EXPLANATION_FACTORS = {
+    "cafe_alt": "Altitud ideal para café de alta calidad",
+    "cafe_ph_low": "pH muy ácido (limita absorción de fósforo)",
+    "cafe_ph_high": "pH ligeramente alto (riesgo de deficiencia de microelementos)",
+    "cafe_ph_ok": "pH de suelo óptimo",
+    "cacao_alt_high": "Altitud elevada para cacao (>1200m)",
+    "cacao_alt_ok": "Altitud adecuada para cacao",
+    "arroz_alt_high": "Altitud restrictiva para arroz",
+    "arroz_alt_ok": "Altitud baja (favorable para arroz)",
+    "other": "Condiciones generales evaluadas",
+    "dry": "Época seca en {m} (riesgo de estrés hídrico)",
+    "rainy": "Mes de siembra en época de lluvias ({m})",
+    "slope_high": "Pendiente del terreno elevada ({s}%)",
+    "slope_ok": "Pendiente de terreno baja/segura ({s}%)",
+}
+DEFAULT_DATA_SOURCE = "UPRA Aptitud de Suelos + IDEAM Clima"

@@ -254,3 +254,153 @@ def q_index_ranking(spark, sf_dir):
 def q_funnel(spark, sf_dir):
     """A18."""
     return rounded(S.formalisation_funnel(si.land_security(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ planner, economics, livestock
+from .functions.agronomy import py_round, rule_route, slope_factor, stress_factor, suitability_score  # noqa: E402
+from .operators.calibration import climate_calibration, hierarchical_defaults  # noqa: E402
+from .plans import economics as econ_plan  # noqa: E402
+from .plans import livestock as livestock_plan  # noqa: E402
+from .plans import planner as planner_plan  # noqa: E402
+
+
+def _plan(spark, sf_dir):
+    return planner_plan.sowing_plan(si.parcels(spark, sf_dir), si.climate_daily(spark, sf_dir),
+                                    si.production(spark, sf_dir))
+
+
+@register("stress_yield")
+def q_stress_yield(spark, sf_dir):
+    """Stress factors and the stressed base yield of each parcel."""
+    df = planner_plan.with_crop_params(si.parcels(spark, sf_dir))
+    p = {k: F.col("cp_" + k) for k in planner_plan.PARAM_COLS}
+    pred = planner_plan.base_stress_predictor()(F.col("temp_media_c"), F.col("precipitacion_anual_mm"))
+    return rounded(df.select(
+        "parcel_id", "cultivo",
+        stress_factor(F.col("ph_suelo"), p["ph_min"], p["ph_max"], p["ph_sigma"]).alias("s_ph"),
+        stress_factor(F.col("altitud_m"), p["alt_min"], p["alt_max"], p["alt_sigma"]).alias("s_alt"),
+        stress_factor(F.col("temp_media_c"), p["temp_min"], p["temp_max"], p["temp_sigma"]).alias("s_temp"),
+        slope_factor(F.col("pendiente_pct")).alias("s_slope"), pred.alias("stressed_yield")))
+
+
+@register("month_calibration")
+def q_month_calibration(spark, sf_dir):
+    """Per place (municipality level) the 12 rain fractions and temperature offsets."""
+    cal = climate_calibration(si.climate_daily(spark, sf_dir)).where(F.col("_lvl") == 0)
+    return rounded(cal.select(F.col("_d").alias("departamento"), F.col("_m").alias("municipio"),
+                              F.posexplode(F.arrays_zip("rain_fraction", "temp_diff")).alias("i", "v"),
+                              "temp_base_calibrated")
+                   .select("departamento", "municipio", (F.col("i") + 1).alias("mes"),
+                           F.col("v.rain_fraction").alias("rain_fraction"), F.col("v.temp_diff").alias("temp_diff"),
+                           "temp_base_calibrated"))
+
+
+@register("cycle_months")
+def q_cycle_months(spark, sf_dir):
+    """J12 + W7: the 12 simulated sowing months of every parcel (long form)."""
+    plan = _plan(spark, sf_dir)
+    return rounded(plan.select("parcel_id", F.explode("months").alias("m")).select(
+        "parcel_id", "m.mes", "m.month_name", "m.sim_rain", "m.sim_temp", "m.yield"))
+
+
+@register("best_month")
+def q_best_month(spark, sf_dir):
+    """Best month, zone factor, compliance (F16) and the explanation (F17) per parcel."""
+    plan = _plan(spark, sf_dir)
+    return rounded(plan.select(
+        "parcel_id", "cultivo", "best_month", "best_yield",
+        py_round(F.col("zone_yield_factor"), 2).alias("zone_yield_factor"), "madr_compliance",
+        F.array_join("madr_rules", " | ").alias("madr_rules"), "data_source",
+        F.col("xai_explanation.resumen").alias("resumen"),
+        F.array_join("xai_explanation.factores_positivos", " | ").alias("factores_positivos"),
+        F.array_join("xai_explanation.factores_limitantes", " | ").alias("factores_limitantes")))
+
+
+@register("compliance_rules")
+def q_compliance_rules(spark, sf_dir):
+    """F16 + F18 + F19: one row per rule with its area and severity, and the plan score."""
+    plan = _plan(spark, sf_dir)
+    ex = plan.select("parcel_id", "madr_compliance", F.posexplode("madr_rules").alias("rule_pos", "rule"))
+    area, severity = rule_route(F.col("rule"))
+    return ex.select("parcel_id", "rule_pos", "rule", area.alias("area"), severity.alias("severity"),
+                     suitability_score(F.col("madr_compliance")).alias("suitability_score"))
+
+
+def _economics(spark, sf_dir):
+    return econ_plan.crop_economics(si.parcels(spark, sf_dir), si.production(spark, sf_dir),
+                                    si.prices_weekly(spark, sf_dir), si.credit(spark, sf_dir))
+
+
+ECON_OUT = ["yield_ton_ha", "total_production_ton", "precio_kg_cop", "gross_revenue", "total_cost", "net_profit",
+            "net_profit_after_interest", "margin_pct", "roi_pct", "recommended_credit", "annual_interest",
+            "interest_rate", "canasta_pct", "demanda_trend", "zone_factor", "lec_finagro_activo"]
+
+
+@register("crop_economics")
+def q_crop_economics(spark, sf_dir):
+    """Economics of each parcel's crop (A25 econ, W4/J14, A26, F13, F14)."""
+    return rounded(_economics(spark, sf_dir).select("parcel_id", "cultivo", *ECON_OUT))
+
+
+@register("cash_flow")
+def q_cash_flow(spark, sf_dir):
+    """12-month cash flow of each parcel's crop (long form)."""
+    eco = _economics(spark, sf_dir)
+    return eco.select("parcel_id", F.posexplode("monthly_cash_flow").alias("i", "m")).select(
+        "parcel_id", (F.col("i") + 1).alias("month_num"), "m.mes", "m.ingresos", "m.costos", "m.intereses", "m.neto")
+
+
+@register("crop_rank")
+def q_crop_rank(spark, sf_dir):
+    """E5 + T6: all five crops per parcel ranked by net profit."""
+    eco = econ_plan.compare_all_crops(si.parcels(spark, sf_dir), si.production(spark, sf_dir),
+                                      si.prices_weekly(spark, sf_dir), si.credit(spark, sf_dir))
+    return rounded(eco.select("parcel_id", "cultivo", "profit_rank", "yield_ton_ha", "gross_revenue",
+                              "total_cost", "net_profit", "margin_pct", "roi_pct"))
+
+
+def _livestock(spark, sf_dir):
+    return livestock_plan.livestock_economics(si.herds(spark, sf_dir), si.soils(spark, sf_dir),
+                                              si.livestock(spark, sf_dir), si.credit(spark, sf_dir))
+
+
+LIVE_OUT = ["carrying_capacity_ha", "max_animals_allowed", "milk_prod_liters_day", "meat_sold_kg_year",
+            "gross_revenue", "total_operating_costs", "capital_investment", "recommended_credit",
+            "annual_interest_payment", "net_profit", "margin_pct", "roi_pct", "interest_rate", "lec_finagro_activo"]
+
+
+@register("livestock_economics")
+def q_livestock_economics(spark, sf_dir):
+    """Herd economics with region calibration."""
+    return rounded(_livestock(spark, sf_dir).select("herd_id", "species", "purpose", *LIVE_OUT))
+
+
+@register("livestock_alerts")
+def q_livestock_alerts(spark, sf_dir):
+    """alerts and status per herd."""
+    return _livestock(spark, sf_dir).select("herd_id", "compliance", F.array_join("alerts", " | ").alias("alerts"))
+
+
+@register("livestock_cash_flow")
+def q_livestock_cash_flow(spark, sf_dir):
+    """12-month herd cash flow (long form)."""
+    lv = _livestock(spark, sf_dir)
+    return lv.select("herd_id", F.posexplode("monthly_cash_flow").alias("i", "m")).select(
+        "herd_id", (F.col("i") + 1).alias("month_num"), "m.mes", "m.ingresos", "m.costos", "m.intereses", "m.neto")
+
+
+@register("hierarchical_defaults")
+def q_hierarchical_defaults(spark, sf_dir):
+    """A19 + P4: planner defaults for (dept, mun, crop) requests from the master table,
+    falling back region+crop -> region -> constants; some requests widen to "Todos"."""
+    master = master_plan.consolidate(
+        si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
+        si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+    k = F.col("parcel_id")
+    req = si.parcels(spark, sf_dir).select(
+        "parcel_id",
+        F.when(k % 7 == 0, F.lit("Todos")).otherwise(F.col("departamento")).alias("departamento"),
+        F.when(k % 3 == 0, F.lit("Todos")).otherwise(F.col("municipio")).alias("municipio"),
+        F.when(k % 11 == 0, F.lit("Yuca")).otherwise(F.col("cultivo")).alias("cultivo"))
+    return rounded(hierarchical_defaults(master, req))

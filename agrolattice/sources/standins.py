@@ -229,7 +229,7 @@ def herds(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("herd_id"), "departamento", "municipio",
         F.when(k % 4 == 3, "Porcino").otherwise("Bovino").alias("species"),
         pick(["Leche", "Carne", "Doble Propósito", "Ceba"], k % 4).alias("purpose"),
-        (1 + k % 1000).cast("double").alias("herd_size"),
+        (1 + k % 1000).cast("int").alias("herd_size"),
         (1 + k % 500).cast("double").alias("farm_area"),
         pick(PRODUCER_TYPES, k % 3).alias("producer_type"),
     )
