@@ -156,8 +156,9 @@ _MASTER_NUM = ["hectareas_sembradas", "produccion_obtenida_ton", "rendimiento_to
                "indice_seguridad_juridica", "poblacion_bovina", "poblacion_porcina",
                "produccion_leche_litros_dia", "vacunacion_fiebre_aftosa_pct"]
 
-SQL["master_join"] = with_(GEO, CLIMATE, PRICES, PRODUCTION, SUPPLIER_LINES, SOILS, CREDIT, LAND, LIVESTOCK,
-                           gap_fill_ctes("climate", "filled_clim"), YEARLY_CLIMATE, YEARLY_PRICES) + """,
+MASTER_CTES = [GEO, CLIMATE, PRICES, PRODUCTION, SUPPLIER_LINES, SOILS, CREDIT, LAND, LIVESTOCK,
+               gap_fill_ctes("climate", "filled_clim"), YEARLY_CLIMATE, YEARLY_PRICES]
+SQL["master_join"] = with_(*MASTER_CTES) + """,
 m AS (SELECT p.*, s.aptitud, s.ph_suelo, s.altitud_m, s.materia_organica_pct, s.pendiente_pct, s.textura,
         s.latitud, s.longitud, cy.temp_media_c, cy.precipitacion_anual_mm, cy.humedad_media_pct,
         cy.brillo_solar_anual_horas, c.monto_creditos_cop, c.numero_creditos_aprobados, c.tasa_interes_promedio,
@@ -174,6 +175,11 @@ m AS (SELECT p.*, s.aptitud, s.ph_suelo, s.altitud_m, s.materia_organica_pct, s.
 SELECT anio, departamento, municipio, cultivo, l_orderkey, l_linenumber,
   coalesce(textura, 'Franco') AS textura, coalesce(aptitud, 'Media') AS aptitud, """ + ",\n  ".join(
     f"round(coalesce({c}, avg({c}) OVER (PARTITION BY cultivo)), 6) AS {c}" for c in _MASTER_NUM) + "\nFROM m"
+MASTER_FINAL = SQL["master_join"].split("\nm AS (", 1)[1].split("\nSELECT anio, departamento", 1)[0]
+MASTER_FINAL = "m AS (" + MASTER_FINAL + """,
+master_final AS (SELECT anio, departamento, municipio, cultivo, l_orderkey, l_linenumber,
+  coalesce(textura, 'Franco') AS textura, coalesce(aptitud, 'Media') AS aptitud, """ + ",\n  ".join(
+    f"coalesce({c}, avg({c}) OVER (PARTITION BY cultivo)) AS {c}" for c in _MASTER_NUM) + " FROM m)"
 
 
 # ------------------------------------------------------------------ E2: dataset catalog
@@ -368,3 +374,342 @@ SQL["hectares_by_crop"] = with_(GEO, PRODUCTION, HECT) + "SELECT cultivo, round(
 SQL["index_ranking"] = with_(GEO, LAND) + "SELECT departamento, round(avg(indice_seguridad_juridica), 6) AS isj_promedio FROM land GROUP BY 1"
 SQL["funnel"] = with_(GEO, LAND) + """SELECT departamento, round(sum(hectareas_catastradas), 6) AS catastradas,
   round(sum(hectareas_formalizadas), 6) AS formalizadas FROM land GROUP BY 1"""
+
+
+# ------------------------------------------------------------------ planner, economics, livestock
+from agrolattice.params import (CROP_ECONOMICS, CROP_RANGES, CROP_RULES, DEFAULT_RAIN_FRACTION,  # noqa: E402
+                                DEFAULT_TEMP_DIFF, DRY_SOWING_MONTHS, EXPLANATION, EXPLANATION_FACTORS,
+                                LIVESTOCK_ALERTS, MONTHS_LONG, MONTHS_SHORT, SUBSIDISED_PROFILES)
+
+
+def lit(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def sql_t(template: str, **slots: str) -> str:
+    """Fixed template with {slot} pieces -> SQL string concatenation."""
+    parts, rest = [], template
+    while "{" in rest:
+        pre, tail = rest.split("{", 1)
+        name, rest = tail.split("}", 1)
+        parts += [lit(pre), f"({slots[name]})"]
+    parts.append(lit(rest))
+    return "(" + " || ".join(parts) + ")"
+
+
+TEXTURES = ["Franco", "Franco-Arenoso", "Franco-Arcilloso", "Arcilloso"]
+PRODUCERS = ["General"] + SUBSIDISED_PROFILES
+SUBS = "(" + ", ".join(lit(x) for x in SUBSIDISED_PROFILES) + ")"
+
+PARCELS = f"""parcels AS (SELECT p_partkey AS parcel_id, {CROP_OF_PART} AS cultivo,
+  4 + (p_partkey % 41) / 10 AS ph_suelo, CAST((p_partkey * 37) % 3000 AS DOUBLE) AS altitud_m,
+  CAST((p_partkey * 7) % 45 AS DOUBLE) AS pendiente_pct, 1 + (p_partkey % 50) / 10 AS materia_organica_pct,
+  {case_pick(TEXTURES, "p_partkey % 4")} AS textura, CAST(10 + (p_partkey * 3) % 26 AS DOUBLE) AS temp_media_c,
+  CAST(500 + (p_partkey * 13) % 3500 AS DOUBLE) AS precipitacion_anual_mm, CAST(p_size AS DOUBLE) AS area_ha,
+  g.departamento, g.municipio, {case_pick(PRODUCERS, "p_partkey % 3")} AS producer_type
+  FROM part LEFT JOIN geo g ON p_partkey % 25 = g.n_nationkey)"""
+
+HERDS = f"""herds AS (SELECT c_custkey AS herd_id, g.departamento, g.municipio,
+  CASE WHEN c_custkey % 4 = 3 THEN 'Porcino' ELSE 'Bovino' END AS species,
+  {case_pick(["Leche", "Carne", "Doble Propósito", "Ceba"], "c_custkey % 4")} AS purpose,
+  CAST(1 + c_custkey % 1000 AS INTEGER) AS herd_size, CAST(1 + c_custkey % 500 AS DOUBLE) AS farm_area,
+  {case_pick(PRODUCERS, "c_custkey % 3")} AS producer_type
+  FROM customer LEFT JOIN geo g ON c_nationkey = g.n_nationkey)"""
+
+CP = "cp(crop, crop_ord, ph_min, ph_max, ph_sigma, temp_min, temp_max, temp_sigma, alt_min, alt_max, alt_sigma, " \
+     "price_kg, basket_pct, demand_trend, cost_ha, cycle_months, base_yield) AS (VALUES " + ", ".join(
+        f"({lit(c)}, {i}, " + ", ".join(f"{float(x)}::DOUBLE" for x in CROP_RANGES[c]) + ", "
+        + ", ".join([f"{float(CROP_ECONOMICS[c][k])}::DOUBLE" for k in range(4)]
+                    + [str(int(CROP_ECONOMICS[c][4])), f"{float(CROP_ECONOMICS[c][5])}::DOUBLE"]) + ")"
+        for i, c in enumerate(CROPS)) + ")"
+
+MONTHS = "months(mes, month_name, month_short, dfrac, ddiff, dry) AS (VALUES " + ", ".join(
+    f"({i + 1}, {lit(MONTHS_LONG[i])}, {lit(MONTHS_SHORT[i])}, {DEFAULT_RAIN_FRACTION[i]}::DOUBLE, "
+    f"{DEFAULT_TEMP_DIFF[i]}::DOUBLE, {str(MONTHS_LONG[i] in DRY_SOWING_MONTHS).lower()})" for i in range(12)) + ")"
+
+
+def stress(v: str, lo: str, hi: str, sg: str) -> str:
+    return (f"(CASE WHEN {v} < {lo} THEN exp(-(({v} - {lo}) * ({v} - {lo})) / (2 * ({sg} * {sg}))) "
+            f"WHEN {v} > {hi} THEN exp(-(({v} - {hi}) * ({v} - {hi})) / (2 * ({sg} * {sg}))) ELSE 1.0 END)")
+
+
+def slope_f(sv: str) -> str:
+    return (f"(CASE WHEN {sv} <= 15.0 THEN 1.0 WHEN {sv} <= 30.0 THEN 1.0 - 0.01 * ({sv} - 15.0) "
+            f"ELSE greatest(0.1, 1.0 - 0.15 - 0.02 * ({sv} - 30.0)) END)")
+
+
+def stressed(temp: str) -> str:
+    s = (f"{stress('ph_suelo', 'ph_min', 'ph_max', 'ph_sigma')} * {stress('altitud_m', 'alt_min', 'alt_max', 'alt_sigma')}"
+         f" * {stress(temp, 'temp_min', 'temp_max', 'temp_sigma')} * {slope_f('pendiente_pct')}")
+    return f"(CASE WHEN crop IS NOT NULL THEN greatest(0.1, base_yield * ({s})) ELSE 2.0 END)"
+
+
+CLIMATE_CAL = """cm AS (SELECT lower(departamento) AS d, lower(municipio) AS m, CAST(month(fecha) AS INTEGER) AS mes,
+    coalesce(sum(precipitacion_diaria_mm), 0.0) AS rain, avg(temperatura_promedio_c) AS tmean
+  FROM climate WHERE fecha IS NOT NULL GROUP BY ALL),
+ct AS (SELECT d, m, sum(rain) AS total_rain, avg(tmean) AS tglobal FROM cm GROUP BY ALL),
+cr AS (SELECT lower(departamento) AS d, lower(municipio) AS m, avg(temperatura_promedio_c) AS temp_real
+  FROM climate WHERE fecha IS NOT NULL GROUP BY ALL),
+zm AS (SELECT lower(cultivo) AS c, lower(departamento) AS d, lower(municipio) AS m, avg(rendimiento_ton_ha) AS ra
+  FROM production GROUP BY ALL),
+zd AS (SELECT lower(cultivo) AS c, lower(departamento) AS d, avg(rendimiento_ton_ha) AS ra FROM production GROUP BY ALL),
+zn AS (SELECT lower(cultivo) AS c, avg(rendimiento_ton_ha) AS ra FROM production GROUP BY ALL)"""
+
+PLAN = f"""pm AS (SELECT p.parcel_id, mo.mes,
+    CASE WHEN ct.total_rain > 0 AND cm.mes IS NOT NULL THEN cm.rain / ct.total_rain ELSE mo.dfrac END AS frac,
+    CASE WHEN ct.tglobal IS NOT NULL AND cm.mes IS NOT NULL THEN cm.tmean - ct.tglobal ELSE mo.ddiff END AS diff
+  FROM parcels p CROSS JOIN months mo
+  LEFT JOIN ct ON ct.d = lower(p.departamento) AND ct.m = lower(p.municipio)
+  LEFT JOIN cm ON cm.d = lower(p.departamento) AND cm.m = lower(p.municipio) AND cm.mes = mo.mes),
+pz AS (SELECT p.*, cp.*,
+    CASE WHEN zm.c IS NOT NULL OR zd.c IS NOT NULL
+         THEN least(greatest(coalesce(zm.ra, zd.ra) / coalesce(cp.base_yield, 2.0), 0.5), 2.5) ELSE 1.0 END AS zone,
+    (zm.c IS NOT NULL OR zd.c IS NOT NULL) AS has_eva, ct.d IS NOT NULL AS has_climate,
+    CASE WHEN cr.temp_real >= 10 AND cr.temp_real <= 35 THEN cr.temp_real ELSE p.temp_media_c END AS tb
+  FROM parcels p LEFT JOIN cp ON cp.crop = p.cultivo
+  LEFT JOIN zm ON zm.c = lower(p.cultivo) AND zm.d = lower(p.departamento) AND zm.m = lower(p.municipio)
+  LEFT JOIN zd ON zd.c = lower(p.cultivo) AND zd.d = lower(p.departamento)
+  LEFT JOIN ct ON ct.d = lower(p.departamento) AND ct.m = lower(p.municipio)
+  LEFT JOIN cr ON cr.d = lower(p.departamento) AND cr.m = lower(p.municipio)),
+sm0 AS (SELECT pz.*, mo.mes, mo.month_name, mo.dry,
+    pz.precipitacion_anual_mm * ((f0.frac + f1.frac + f2.frac + f3.frac) * 3.0) AS sim_rain,
+    pz.tb + (f0.diff + f1.diff + f2.diff + f3.diff) / 4 AS sim_temp
+  FROM pz CROSS JOIN months mo
+  JOIN pm f0 ON f0.parcel_id = pz.parcel_id AND f0.mes = mo.mes
+  JOIN pm f1 ON f1.parcel_id = pz.parcel_id AND f1.mes = (mo.mes % 12) + 1
+  JOIN pm f2 ON f2.parcel_id = pz.parcel_id AND f2.mes = ((mo.mes + 1) % 12) + 1
+  JOIN pm f3 ON f3.parcel_id = pz.parcel_id AND f3.mes = ((mo.mes + 2) % 12) + 1),
+sm AS (SELECT *, round_even({stressed("sim_temp")} * zone, 2) AS yield FROM sm0),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY yield DESC, mes ASC) AS rn FROM sm)
+  WHERE rn = 1)"""
+
+PLANNER_BASE = with_(GEO, CLIMATE, PRODUCTION, PARCELS, CP, MONTHS, CLIMATE_CAL, PLAN)
+
+SQL["stress_yield"] = with_(GEO, PARCELS, CP) + f"""SELECT parcel_id, cultivo,
+  round({stress('ph_suelo', 'ph_min', 'ph_max', 'ph_sigma')}, 6) AS s_ph,
+  round({stress('altitud_m', 'alt_min', 'alt_max', 'alt_sigma')}, 6) AS s_alt,
+  round({stress('temp_media_c', 'temp_min', 'temp_max', 'temp_sigma')}, 6) AS s_temp,
+  round({slope_f('pendiente_pct')}, 6) AS s_slope, round({stressed('temp_media_c')}, 6) AS stressed_yield
+FROM parcels LEFT JOIN cp ON cp.crop = parcels.cultivo"""
+
+SQL["month_calibration"] = with_(GEO, CLIMATE, MONTHS, CLIMATE_CAL) + """SELECT ct.d AS departamento, ct.m AS municipio, mo.mes,
+  round(CASE WHEN ct.total_rain > 0 AND cm.mes IS NOT NULL THEN cm.rain / ct.total_rain ELSE mo.dfrac END, 6) AS rain_fraction,
+  round(CASE WHEN ct.tglobal IS NOT NULL AND cm.mes IS NOT NULL THEN cm.tmean - ct.tglobal ELSE mo.ddiff END, 6) AS temp_diff,
+  round(CASE WHEN cr.temp_real >= 10 AND cr.temp_real <= 35 THEN cr.temp_real END, 6) AS temp_base_calibrated
+FROM ct CROSS JOIN months mo LEFT JOIN cm ON cm.d = ct.d AND cm.m = ct.m AND cm.mes = mo.mes
+LEFT JOIN cr ON cr.d = ct.d AND cr.m = ct.m"""
+
+SQL["cycle_months"] = PLANNER_BASE + """SELECT parcel_id, mes, month_name, round(sim_rain, 6) AS sim_rain,
+  round(sim_temp, 6) AS sim_temp, round(yield, 6) AS yield FROM sm"""
+
+R = CROP_RULES
+_LC = "lower(cultivo)"
+_CAFE, _CACAO = f"contains({_LC}, 'cafe')", f"(NOT contains({_LC}, 'cafe') AND contains({_LC}, 'cacao'))"
+_ARROZ = f"(NOT contains({_LC}, 'cafe') AND NOT contains({_LC}, 'cacao') AND contains({_LC}, 'arroz'))"
+_MAIZ = f"(NOT contains({_LC}, 'cafe') AND NOT contains({_LC}, 'cacao') AND NOT contains({_LC}, 'arroz') AND contains({_LC}, 'maiz'))"
+_PCT_LOW = "CAST(CAST(round_even((1 - zone) * 100, 0) AS BIGINT) AS VARCHAR)"
+_PCT_HIGH = "CAST(CAST(round_even((zone - 1) * 100, 0) AS BIGINT) AS VARCHAR)"
+RULES_SQL = "concat_ws(' | ', " + ", ".join([
+    f"CASE WHEN {_CAFE} AND ph_suelo < 5.0 THEN {lit(R['cafe_ph_low'])} WHEN {_CAFE} AND ph_suelo > 6.5 THEN {lit(R['cafe_ph_high'])} END",
+    f"CASE WHEN {_CAFE} AND altitud_m < 1000 THEN {lit(R['cafe_alt_low'])} WHEN {_CAFE} AND altitud_m > 2000 THEN {lit(R['cafe_alt_high'])} END",
+    f"CASE WHEN {_CACAO} AND ph_suelo < 5.5 THEN {lit(R['cacao_ph_low'])} END",
+    f"CASE WHEN {_CACAO} AND altitud_m > 1200 THEN {lit(R['cacao_alt_high'])} END",
+    f"CASE WHEN {_ARROZ} AND (ph_suelo < 5.0 OR ph_suelo > 7.0) THEN {lit(R['arroz_ph'])} END",
+    f"CASE WHEN {_ARROZ} AND altitud_m > 1000 THEN {lit(R['arroz_alt_high'])} END",
+    f"CASE WHEN {_MAIZ} AND altitud_m > 2000 THEN {lit(R['maiz_alt_high'])} END",
+    f"CASE WHEN pendiente_pct > 15 THEN {lit(R['slope_15'])} END",
+    f"CASE WHEN pendiente_pct > 30 THEN {lit(R['slope_30'])} END",
+    f"CASE WHEN dry THEN {lit(R['dry_month'])} ELSE {lit(R['rain_month'])} END",
+    f"CASE WHEN zone < 0.8 THEN {sql_t(R['zone_low'], pct=_PCT_LOW)} WHEN zone > 1.2 THEN {sql_t(R['zone_high'], pct=_PCT_HIGH)} END",
+    lit(R["registry"])]) + ")"
+STATUS_SQL = f"""CASE WHEN pendiente_pct > 30 THEN 'Crítico'
+  WHEN ({_CAFE} AND (ph_suelo < 5.0 OR ph_suelo > 6.5 OR altitud_m < 1000 OR altitud_m > 2000))
+    OR ({_CACAO} AND (ph_suelo < 5.5 OR altitud_m > 1200))
+    OR ({_ARROZ} AND (ph_suelo < 5.0 OR ph_suelo > 7.0 OR altitud_m > 1000))
+    OR pendiente_pct > 15 OR dry THEN 'Condicionado' ELSE 'Conforme' END"""
+
+E_, X_ = EXPLANATION, EXPLANATION_FACTORS
+_Y, _M = "CAST(best_yield AS VARCHAR)", "best_month"
+_ALT, _SL = "CAST(altitud_m AS VARCHAR)", "CAST(pendiente_pct AS VARCHAR)"
+_PH = "printf('%.1f', round_even(ph_suelo, 1))"
+_DRY = "best_month IN (" + ", ".join(lit(m) for m in DRY_SOWING_MONTHS) + ")"
+INTRO_SQL = f"""CASE WHEN {_CAFE} THEN {sql_t(E_['cafe_intro'], y=_Y, m=_M, alt=_ALT)} || CASE
+      WHEN ph_suelo < 5.0 THEN {sql_t(E_['cafe_ph_low'], ph=_PH)} WHEN ph_suelo > 6.5 THEN {sql_t(E_['cafe_ph_high'], ph=_PH)}
+      ELSE {sql_t(E_['cafe_ph_ok'], ph=_PH)} END
+  WHEN {_CACAO} THEN {sql_t(E_['cacao_intro'], y=_Y, m=_M, alt=_ALT)} || CASE WHEN altitud_m > 1200
+      THEN {lit(E_['cacao_alt_high'])} ELSE {lit(E_['cacao_alt_ok'])} END
+  WHEN {_ARROZ} THEN {sql_t(E_['arroz_intro'], y=_Y, m=_M)} || CASE WHEN altitud_m > 1000
+      THEN {sql_t(E_['arroz_alt_high'], alt=_ALT)} ELSE {lit(E_['arroz_alt_ok'])} END
+  ELSE {sql_t(E_['other_intro'], y=_Y, crop='cultivo', m=_M)} END"""
+SUMMARY_SQL = f"""({INTRO_SQL}) || CASE WHEN {_DRY} THEN {sql_t(E_['dry'], m=_M)} ELSE {sql_t(E_['rainy'], m=_M)} END
+  || CASE WHEN pendiente_pct > 15 THEN {sql_t(E_['slope'], s=_SL)} ELSE '' END"""
+POS_SQL = "concat_ws(' | ', " + ", ".join([
+    f"CASE WHEN {_CAFE} THEN {lit(X_['cafe_alt'])} END",
+    f"CASE WHEN {_CAFE} AND ph_suelo >= 5.0 AND ph_suelo <= 6.5 THEN {lit(X_['cafe_ph_ok'])} END",
+    f"CASE WHEN {_CACAO} AND altitud_m <= 1200 THEN {lit(X_['cacao_alt_ok'])} END",
+    f"CASE WHEN {_ARROZ} AND altitud_m <= 1000 THEN {lit(X_['arroz_alt_ok'])} END",
+    f"CASE WHEN NOT {_CAFE} AND NOT {_CACAO} AND NOT {_ARROZ} THEN {lit(X_['other'])} END",
+    f"CASE WHEN NOT ({_DRY}) THEN {sql_t(X_['rainy'], m=_M)} END",
+    f"CASE WHEN pendiente_pct <= 15 THEN {sql_t(X_['slope_ok'], s=_SL)} END"]) + ")"
+LIM_SQL = "concat_ws(' | ', " + ", ".join([
+    f"CASE WHEN {_CAFE} AND ph_suelo < 5.0 THEN {lit(X_['cafe_ph_low'])} WHEN {_CAFE} AND ph_suelo > 6.5 THEN {lit(X_['cafe_ph_high'])} END",
+    f"CASE WHEN {_CACAO} AND altitud_m > 1200 THEN {lit(X_['cacao_alt_high'])} END",
+    f"CASE WHEN {_ARROZ} AND altitud_m > 1000 THEN {lit(X_['arroz_alt_high'])} END",
+    f"CASE WHEN {_DRY} THEN {sql_t(X_['dry'], m=_M)} END",
+    f"CASE WHEN pendiente_pct > 15 THEN {sql_t(X_['slope_high'], s=_SL)} END"]) + ")"
+DATA_SOURCE_SQL = """(CASE WHEN has_climate THEN 'IDEAM calibrado para ' || CASE WHEN municipio <> 'Todos' THEN municipio ELSE departamento END ELSE '' END
+  || CASE WHEN has_eva THEN ' + EVA zona (' || printf('%.2f', round_even(zone, 2)) || 'x nacional)' ELSE '' END)"""
+
+BEST = f"""best AS (SELECT parcel_id, cultivo, month_name AS best_month, yield AS best_yield, zone, ph_suelo, altitud_m,
+  pendiente_pct, dry, has_climate, has_eva, departamento, municipio FROM bm)"""
+SQL["best_month"] = PLANNER_BASE + "," + BEST + f"""
+SELECT parcel_id, cultivo, best_month, round(best_yield, 6) AS best_yield, round(round_even(zone, 2), 6) AS zone_yield_factor,
+  {STATUS_SQL} AS madr_compliance, {RULES_SQL} AS madr_rules, {DATA_SOURCE_SQL} AS data_source,
+  {SUMMARY_SQL} AS resumen, {POS_SQL} AS factores_positivos, {LIM_SQL} AS factores_limitantes FROM best"""
+
+SQL["compliance_rules"] = PLANNER_BASE + "," + BEST + f""",
+rl AS (SELECT parcel_id, {STATUS_SQL} AS madr_compliance, string_split({RULES_SQL}, ' | ') AS rules FROM best),
+ex AS (SELECT parcel_id, madr_compliance, unnest(rules) AS rule, generate_subscripts(rules, 1) - 1 AS rule_pos FROM rl)
+SELECT parcel_id, rule_pos, rule,
+  CASE WHEN contains(lower(rule), 'ph') OR contains(lower(rule), 'suelo') OR contains(lower(rule), 'pendiente')
+         OR contains(lower(rule), 'altitud') THEN 'suelo'
+       WHEN contains(lower(rule), 'riego') OR contains(lower(rule), 'lluvia') OR contains(lower(rule), 'seca') THEN 'agua'
+       ELSE 'registro' END AS area,
+  CASE WHEN starts_with(rule, '❌') THEN 'alta' WHEN starts_with(rule, '⚠️') THEN 'media' ELSE 'informativa' END AS severity,
+  CASE WHEN madr_compliance = 'Conforme' THEN 100 WHEN madr_compliance = 'Condicionado' THEN 60 ELSE 20 END AS suitability_score
+FROM ex"""
+
+
+def econ_ctes(requests: str) -> str:
+    return f"""lp AS (SELECT cultivo, greatest(avg(precio_kg_promedio_cop), 100.0) AS live FROM (
+    SELECT *, row_number() OVER (PARTITION BY cultivo ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+    FROM prices WHERE fecha IS NOT NULL AND cultivo IS NOT NULL) WHERE rn <= 12 GROUP BY 1),
+pt AS (SELECT coalesce(cp.crop, lp.cultivo) AS pcrop, coalesce(lp.live, cp.price_kg) AS precio_kg,
+    coalesce(cp.basket_pct, 2.0) AS canasta, coalesce(cp.demand_trend, 0.5) AS demanda
+  FROM cp FULL JOIN lp ON cp.crop = lp.cultivo),
+rt AS (SELECT lower(departamento) AS d, avg(tasa_interes_promedio) AS r FROM credit GROUP BY 1),
+e0 AS (SELECT q.*, cp.*, pt.precio_kg, pt.canasta, pt.demanda,
+    {stressed('temp_media_c')} AS y0,
+    CASE WHEN zd.c IS NOT NULL OR zn.c IS NOT NULL
+         THEN least(greatest(coalesce(zd.ra, zn.ra) / coalesce(cp.base_yield, 2.0), 0.6), 2.0) ELSE 1.0 END AS zone,
+    CASE WHEN q.producer_type IN {SUBS} THEN greatest(1.0, coalesce(rt.r, 12.5) - 2.0) ELSE coalesce(rt.r, 12.5) END AS rate
+  FROM {requests} q LEFT JOIN cp ON cp.crop = q.cultivo LEFT JOIN pt ON pt.pcrop = q.cultivo
+  LEFT JOIN zd ON zd.c = lower(q.cultivo) AND zd.d = lower(q.departamento)
+  LEFT JOIN zn ON zn.c = lower(q.cultivo)
+  LEFT JOIN rt ON rt.d = lower(q.departamento)),
+e1 AS (SELECT *, y0 * zone AS yy, y0 * zone * area_ha AS prod, coalesce(precio_kg, 2000.0) AS price,
+    coalesce(cost_ha, 3000000.0) * area_ha AS cost, coalesce(cycle_months, 6) AS cyc FROM e0),
+e2 AS (SELECT *, prod * 1000 * price AS revenue, cost * 0.7 AS credit_amt FROM e1),
+e3 AS (SELECT *, revenue - cost AS net, credit_amt * (rate / 100) AS interest FROM e2),
+eco AS (SELECT *, round_even(yy, 2) AS yield_ton_ha, round_even(prod, 2) AS total_production_ton,
+    CAST(trunc(price) AS BIGINT) AS precio_kg_cop, CAST(trunc(revenue) AS BIGINT) AS gross_revenue,
+    CAST(trunc(cost) AS BIGINT) AS total_cost, CAST(trunc(net) AS BIGINT) AS net_profit,
+    CAST(trunc(net - interest) AS BIGINT) AS net_profit_after_interest,
+    round_even(CASE WHEN revenue > 0 THEN net / revenue * 100 ELSE 0.0 END, 1) AS margin_pct,
+    round_even(CASE WHEN cost > 0 THEN net / cost * 100 ELSE 0.0 END, 1) AS roi_pct,
+    CAST(trunc(credit_amt) AS BIGINT) AS recommended_credit, CAST(trunc(interest) AS BIGINT) AS annual_interest,
+    round_even(rate, 2) AS interest_rate, canasta AS canasta_pct, demanda AS demanda_trend,
+    round_even(zone, 2) AS zone_factor, coalesce(producer_type IN {SUBS}, false) AS lec_finagro_activo,
+    coalesce(crop_ord, 5) AS crop_ord2 FROM e3)"""
+
+
+ECON_BASE = with_(GEO, PRICES, PRODUCTION, SUPPLIER_LINES, CREDIT, PARCELS, CP, CLIMATE_CAL.split(",\nzm AS", 1)[0].replace(
+    "cm AS", "cm_unused AS", 1) if False else GEO) if False else None
+_ZONE = CLIMATE_CAL[CLIMATE_CAL.index("zm AS"):]
+ECON_CTES = [GEO, PRICES, PRODUCTION, SUPPLIER_LINES, CREDIT, PARCELS, CP, _ZONE]
+_ECON_COLS = ["yield_ton_ha", "total_production_ton", "precio_kg_cop", "gross_revenue", "total_cost", "net_profit",
+              "net_profit_after_interest", "margin_pct", "roi_pct", "recommended_credit", "annual_interest",
+              "interest_rate", "canasta_pct", "demanda_trend", "zone_factor", "lec_finagro_activo"]
+_DBL = {"yield_ton_ha", "total_production_ton", "margin_pct", "roi_pct", "interest_rate", "canasta_pct",
+        "demanda_trend", "zone_factor"}
+
+
+def _ecol(c):
+    return f"round({c}, 6) AS {c}" if c in _DBL else c
+
+
+SQL["crop_economics"] = with_(*ECON_CTES, econ_ctes("parcels")) + \
+    "SELECT parcel_id, cultivo, " + ", ".join(_ecol(c) for c in _ECON_COLS) + " FROM eco"
+
+SQL["cash_flow"] = with_(*ECON_CTES, econ_ctes("parcels")) + """,
+cf AS (SELECT eco.parcel_id, mo.mes AS month_num, mo.month_short AS mes,
+    CASE WHEN (cyc <= 6 AND mo.mes - 1 = cyc - 1) OR (cyc > 6 AND mo.mes - 1 IN (5, 11))
+         THEN revenue / (CASE WHEN cyc <= 6 THEN 1 ELSE 2 END) ELSE 0.0 END AS income,
+    cost / 12 AS cost_m, interest / 12 AS int_m FROM eco CROSS JOIN months mo)
+SELECT parcel_id, month_num, mes, CAST(round_even(income, 0) AS BIGINT) AS ingresos,
+  CAST(round_even(cost_m, 0) AS BIGINT) AS costos, CAST(round_even(int_m, 0) AS BIGINT) AS intereses,
+  CAST(round_even(income - cost_m - int_m, 0) AS BIGINT) AS neto FROM cf"""
+SQL["cash_flow"] = SQL["cash_flow"].replace("WITH " + GEO, "WITH " + MONTHS + ",\n" + GEO, 1)
+
+SQL["crop_rank"] = with_(*ECON_CTES, "allcrops(cultivo) AS (VALUES " + ", ".join(f"({lit(c)})" for c in CROPS) + ")",
+                         "req AS (SELECT p.* EXCLUDE (cultivo), a.cultivo FROM parcels p CROSS JOIN allcrops a)",
+                         econ_ctes("req")) + """SELECT parcel_id, cultivo,
+  row_number() OVER (PARTITION BY parcel_id ORDER BY net_profit DESC, crop_ord2 ASC) AS profit_rank,
+  round(yield_ton_ha, 6) AS yield_ton_ha, gross_revenue, total_cost, net_profit, round(margin_pct, 6) AS margin_pct,
+  round(roi_pct, 6) AS roi_pct FROM eco"""
+
+LA = LIVESTOCK_ALERTS
+LIVE = f"""ls AS (SELECT lower(departamento) AS d, lower(municipio) AS m, avg(pendiente_pct) AS slope,
+    avg(materia_organica_pct) AS om FROM soils GROUP BY ALL),
+li AS (SELECT lower(departamento) AS d, lower(municipio) AS m,
+    sum(produccion_leche_litros_dia) / sum(CASE WHEN produccion_leche_litros_dia IS NOT NULL THEN poblacion_bovina END) AS milk,
+    avg(vacunacion_fiebre_aftosa_pct) AS vac FROM livestock GROUP BY ALL),
+lc AS (SELECT lower(departamento) AS d, lower(municipio) AS m, avg(tasa_interes_promedio) AS rate FROM credit GROUP BY ALL),
+h0 AS (SELECT h.*, CAST(h.herd_size AS DOUBLE) AS hs, species = 'Bovino' AS cattle, purpose IN ('Leche', 'Doble Propósito') AS milk_p,
+    purpose IN ('Carne', 'Doble Propósito') AS meat_p, purpose = 'Doble Propósito' AS dual,
+    coalesce(ls.slope, 10.0) AS slope, coalesce(ls.om, 3.2) AS om, coalesce(li.milk, 4.2) AS milk,
+    coalesce(li.vac, 97.5) AS vac, coalesce(lc.rate, 12.8) AS rate0
+  FROM herds h LEFT JOIN ls ON ls.d = lower(h.departamento) AND ls.m = lower(h.municipio)
+  LEFT JOIN li ON li.d = lower(h.departamento) AND li.m = lower(h.municipio)
+  LEFT JOIN lc ON lc.d = lower(h.departamento) AND lc.m = lower(h.municipio)),
+h1 AS (SELECT *,
+    (CASE WHEN cattle THEN 1.8 ELSE 15.0 END) * (CASE WHEN slope > 30 THEN 0.25 WHEN slope > 15 THEN 0.65 ELSE 1.0 END)
+      * (CASE WHEN om < 2.0 THEN 0.8 WHEN om > 4.0 THEN 1.25 ELSE 1.0 END) AS cap,
+    CASE WHEN cattle AND milk_p THEN hs * 0.6 * milk * (CASE WHEN dual THEN 0.8 ELSE 1.0 END) ELSE 0.0 END AS milk_day,
+    CASE WHEN cattle AND meat_p THEN greatest(1, CAST(trunc(hs * 0.35 * (CASE WHEN dual THEN 0.75 ELSE 1.0 END)) AS BIGINT)) * 420.0
+         WHEN NOT cattle THEN CAST(trunc(hs * 1.6) AS BIGINT) * 95.0 ELSE 0.0 END AS meat_kg,
+    CASE WHEN producer_type IN {SUBS} THEN greatest(1.0, rate0 - 2.0) ELSE rate0 END AS rate,
+    hs * (CASE WHEN cattle THEN 920000.0 ELSE 620000.0 END) AS cost,
+    hs * (CASE WHEN cattle THEN 2800000.0 ELSE 750000.0 END) AS invest FROM h0),
+h2 AS (SELECT *, CASE WHEN cattle THEN (CASE WHEN milk_p THEN milk_day * 305 * 2150.0 ELSE 0.0 END)
+      + (CASE WHEN meat_p THEN meat_kg * 8300.0 ELSE 0.0 END) ELSE meat_kg * 9600.0 END AS revenue,
+    invest * 0.7 AS credit_amt, CASE WHEN farm_area > 0 THEN hs / farm_area ELSE 0.0 END AS density FROM h1),
+h3 AS (SELECT *, credit_amt * (rate / 100.0) AS interest FROM h2),
+h4 AS (SELECT *, revenue - cost - interest AS net, cattle AND density > cap AS over_,
+    cattle AND NOT (density > cap) AND density > cap * 0.8 AS near_, NOT cattle AND density > 25.0 AS pig_crit,
+    vac < 95.0 AS vac_low FROM h3)"""
+LIVE_CTES = [GEO, SUPPLIER_LINES, SOILS, LIVESTOCK, CREDIT, HERDS, LIVE]
+
+SQL["livestock_economics"] = with_(*LIVE_CTES) + """SELECT herd_id, species, purpose,
+  round(round_even(cap, 2), 6) AS carrying_capacity_ha, CAST(trunc(cap * farm_area) AS BIGINT) AS max_animals_allowed,
+  round(round_even(milk_day, 1), 6) AS milk_prod_liters_day, round(round_even(meat_kg, 1), 6) AS meat_sold_kg_year,
+  CAST(trunc(revenue) AS BIGINT) AS gross_revenue, CAST(trunc(cost) AS BIGINT) AS total_operating_costs,
+  CAST(trunc(invest) AS BIGINT) AS capital_investment, CAST(trunc(credit_amt) AS BIGINT) AS recommended_credit,
+  CAST(trunc(interest) AS BIGINT) AS annual_interest_payment, CAST(trunc(net) AS BIGINT) AS net_profit,
+  round(round_even(CASE WHEN revenue > 0 THEN net / revenue * 100.0 ELSE 0.0 END, 1), 6) AS margin_pct,
+  round(round_even(CASE WHEN invest > 0 THEN net / invest * 100.0 ELSE 0.0 END, 1), 6) AS roi_pct,
+  round(round_even(rate, 2), 6) AS interest_rate, coalesce(producer_type IN """ + SUBS + """, false) AS lec_finagro_activo
+FROM h4"""
+
+_VAC = "CAST(round_even(vac, 2) AS VARCHAR)"
+SQL["livestock_alerts"] = with_(*LIVE_CTES) + f"""SELECT herd_id,
+  CASE WHEN over_ OR pig_crit OR vac_low THEN 'Crítico' WHEN near_ OR (cattle AND slope > 15.0) THEN 'Condicionado'
+       ELSE 'Conforme' END AS compliance,
+  concat_ws(' | ',
+    CASE WHEN over_ THEN {sql_t(LA['overgrazing'], herd='CAST(herd_size AS VARCHAR)', max='CAST(CAST(trunc(cap * farm_area) AS BIGINT) AS VARCHAR)')}
+         WHEN near_ THEN {sql_t(LA['near_limit'], density='CAST(round_even(density, 2) AS VARCHAR)')}
+         WHEN cattle THEN {lit(LA['sustainable'])} END,
+    CASE WHEN cattle AND slope > 15.0 THEN {lit(LA['slope'])} END,
+    CASE WHEN pig_crit THEN {lit(LA['pig_density'])} END,
+    CASE WHEN vac_low THEN {sql_t(LA['vaccination_low'], rate=_VAC)} ELSE {sql_t(LA['vaccination_ok'], rate=_VAC)} END) AS alerts
+FROM h4"""
+
+SQL["livestock_cash_flow"] = with_(MONTHS, *LIVE_CTES) + """,
+lf AS (SELECT herd_id, mo.mes AS month_num, mo.month_short AS mes,
+    CASE WHEN cattle AND milk_p THEN milk_day * 30 * 2150.0
+           + CASE WHEN dual AND mo.mes - 1 IN (5, 11) THEN (revenue - milk_day * 305 * 2150.0) / 2 ELSE 0.0 END
+         WHEN mo.mes - 1 IN (5, 11) THEN revenue / 2 ELSE 0.0 END AS income,
+    cost / 12 AS cost_m, interest / 12 AS int_m FROM h4 CROSS JOIN months mo)
+SELECT herd_id, month_num, mes, CAST(round_even(income, 0) AS BIGINT) AS ingresos,
+  CAST(round_even(cost_m, 0) AS BIGINT) AS costos, CAST(round_even(int_m, 0) AS BIGINT) AS intereses,
+  CAST(round_even(income - cost_m - int_m, 0) AS BIGINT) AS neto FROM lf"""
