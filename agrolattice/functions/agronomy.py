@@ -115,14 +115,19 @@ def suitability_score(status: Column) -> Column:
 
 
 def rule_route(rule: Column) -> tuple:
-    """route a rule text to soil / water / registry and a severity by its symbol."""
-    lr = F.lower(rule)
-    area = (F.when(lr.contains("ph") | lr.contains("suelo") | lr.contains("pendiente") | lr.contains("altitud"), "suelo")
-            .when(lr.contains("riego") | lr.contains("lluvia") | lr.contains("seca"), "agua")
-            .otherwise("registro"))
-    severity = (F.when(rule.startswith("❌"), "alta").when(rule.startswith("⚠️"), "media")
-                .otherwise("informativa"))
-    return area, severity
+    """section flags (soil / water / registry, case-sensitive keywords; a rule may be in
+    several sections) and a severity from its leading symbol."""
+    def has(*words):
+        out = None
+        for w in words:
+            out = rule.contains(w) if out is None else out | rule.contains(w)
+        return out
+    soil = has("Suelo", "Altitud", "altitud", "Pendiente", "UPRA")
+    water = has("Siembra", "lluvias", "riego", "Decreto 1076")
+    registry = has("ICA", "Registro")
+    severity = (F.when(rule.contains("❌"), "error").when(rule.contains("⚠️"), "warning")
+                .otherwise("info"))
+    return soil, water, registry, severity
 
 
 # ---------------------------------------------------------------- livestock

@@ -321,8 +321,9 @@ def q_compliance_rules(spark, sf_dir):
     """F16 + F18 + F19: one row per rule with its area and severity, and the plan score."""
     plan = _plan(spark, sf_dir)
     ex = plan.select("parcel_id", "madr_compliance", F.posexplode("madr_rules").alias("rule_pos", "rule"))
-    area, severity = rule_route(F.col("rule"))
-    return ex.select("parcel_id", "rule_pos", "rule", area.alias("area"), severity.alias("severity"),
+    soil, water, registry, severity = rule_route(F.col("rule"))
+    return ex.select("parcel_id", "rule_pos", "rule", soil.alias("soil_section"), water.alias("water_section"),
+                     registry.alias("registry_section"), severity.alias("severity"),
                      suitability_score(F.col("madr_compliance")).alias("suitability_score"))
 
 

@@ -571,11 +571,11 @@ SQL["compliance_rules"] = PLANNER_BASE + "," + BEST + f""",
 rl AS (SELECT parcel_id, {STATUS_SQL} AS madr_compliance, string_split({RULES_SQL}, ' | ') AS rules FROM best),
 ex AS (SELECT parcel_id, madr_compliance, unnest(rules) AS rule, generate_subscripts(rules, 1) - 1 AS rule_pos FROM rl)
 SELECT parcel_id, rule_pos, rule,
-  CASE WHEN contains(lower(rule), 'ph') OR contains(lower(rule), 'suelo') OR contains(lower(rule), 'pendiente')
-         OR contains(lower(rule), 'altitud') THEN 'suelo'
-       WHEN contains(lower(rule), 'riego') OR contains(lower(rule), 'lluvia') OR contains(lower(rule), 'seca') THEN 'agua'
-       ELSE 'registro' END AS area,
-  CASE WHEN starts_with(rule, '❌') THEN 'alta' WHEN starts_with(rule, '⚠️') THEN 'media' ELSE 'informativa' END AS severity,
+  contains(rule, 'Suelo') OR contains(rule, 'Altitud') OR contains(rule, 'altitud') OR contains(rule, 'Pendiente')
+    OR contains(rule, 'UPRA') AS soil_section,
+  contains(rule, 'Siembra') OR contains(rule, 'lluvias') OR contains(rule, 'riego') OR contains(rule, 'Decreto 1076') AS water_section,
+  contains(rule, 'ICA') OR contains(rule, 'Registro') AS registry_section,
+  CASE WHEN contains(rule, '❌') THEN 'error' WHEN contains(rule, '⚠️') THEN 'warning' ELSE 'info' END AS severity,
   CASE WHEN madr_compliance = 'Conforme' THEN 100 WHEN madr_compliance = 'Condicionado' THEN 60 ELSE 20 END AS suitability_score
 FROM ex"""
 
