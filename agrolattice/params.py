@@ -283,3 +283,39 @@ EXPLANATION_FACTORS = {
     "slope_ok": "Pendiente de terreno baja/segura ({s}%)",
 }
 DEFAULT_DATA_SOURCE = "UPRA Aptitud de Suelos + IDEAM Clima"
+
+# GEL-XML asset record, {slot} placeholders filled per dataset
+GEL_XML_TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>
+<gel:RegistroActivosInformacion
+    xmlns:gel="http://www.mintic.gov.co/gel-xml/v2"
+    xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"
+    xsi:schemaLocation="http://www.mintic.gov.co/gel-xml/v2 gel-xml.xsd">
+    <gel:Cabecera>
+        <gel:EstandarVersion>2.0</gel:EstandarVersion>
+        <gel:FechaRegistro>{fecha}</gel:FechaRegistro>
+        <gel:PlataformaOrigen>C.A.M.P.O. Colombia</gel:PlataformaOrigen>
+    </gel:Cabecera>
+    <gel:ActivoId>{uid}</gel:ActivoId>
+    <gel:NombreActivo>{titulo}</gel:NombreActivo>
+    <gel:DescripcionActivo>{descripcion}</gel:DescripcionActivo>
+    <gel:EntidadPropietaria>
+        <gel:NombreEntidad>{entidad}</gel:NombreEntidad>
+        <gel:SectorEntidad>{sector}</gel:SectorEntidad>
+        <gel:OrdenAdministrativo>{orden}</gel:OrdenAdministrativo>
+        <gel:UbicacionGeografica>
+            <gel:Departamento>{departamento}</gel:Departamento>
+            <gel:Municipio>{municipio}</gel:Municipio>
+        </gel:UbicacionGeografica>
+    </gel:EntidadPropietaria>
+    <gel:MetadatosTecnicos>
+        <gel:TotalRegistros>{filas}</gel:TotalRegistros>
+        <gel:TotalVariables>{columnas}</gel:TotalVariables>
+        <gel:EnlaceDescarga>{url}</gel:EnlaceDescarga>
+    </gel:MetadatosTecnicos>
+    <gel:EvaluacionViabilidadIA>
+        <gel:ProbabilidadViabilidadPct>{prob_pct}</gel:ProbabilidadViabilidadPct>
+        <gel:ScoreRelevancia>{relevancia}</gel:ScoreRelevancia>
+        <gel:ScoreCalidadDatos>{calidad}</gel:ScoreCalidadDatos>
+        <gel:AptoParaProduccion>{apto}</gel:AptoParaProduccion>
+    </gel:EvaluacionViabilidadIA>
+</gel:RegistroActivosInformacion>"""

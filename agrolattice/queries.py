@@ -405,3 +405,47 @@ def q_hierarchical_defaults(spark, sf_dir):
         F.when(k % 3 == 0, F.lit("Todos")).otherwise(F.col("municipio")).alias("municipio"),
         F.when(k % 11 == 0, F.lit("Yuca")).otherwise(F.col("cultivo")).alias("cultivo"))
     return rounded(hierarchical_defaults(master, req))
+
+
+# ------------------------------------------------------------------ text
+from .functions import text as T  # noqa: E402
+from .plans import documents as docs_plan  # noqa: E402
+
+REGISTRATION_DATE = "2026-05-01"
+
+
+@register("text_features")
+def q_text_features(spark, sf_dir):
+    """The 32 viability features of every catalog dataset."""
+    cat = T.catalog_features(_catalog(spark, sf_dir))
+    return rounded(cat.select("UID", *T.FEATURE_NAMES))
+
+
+@register("keyword_hits")
+def q_keyword_hits(spark, sf_dir):
+    """F8: datasets whose title + justification contain each agrarian / low-quality keyword."""
+    from .params import AGRO_KEYWORDS, LOW_QUALITY_KEYWORDS
+    cat = _catalog(spark, sf_dir)
+    full = F.concat(F.lower(F.coalesce("Titulo", F.lit(""))), F.lit(" "),
+                    F.lower(F.coalesce("ds_justificacion", F.lit(""))))
+    kw = F.broadcast(spark.createDataFrame([(k, "agro") for k in AGRO_KEYWORDS] +
+                                           [(k, "low_quality") for k in LOW_QUALITY_KEYWORDS], "keyword string, kind string"))
+    texts = cat.select(full.alias("_t"))
+    hits = texts.join(kw, F.col("_t").contains(F.col("keyword")))
+    return hits.groupBy("kind", "keyword").agg(F.count(F.lit(1)).alias("datasets"))
+
+
+@register("project_type")
+def q_project_type(spark, sf_dir):
+    """project type of every dataset by the ordered sector/title rules."""
+    cat = _catalog(spark, sf_dir)
+    df = cat.select("UID", T.project_type(F.col(f"`{ENT}Sector`"), F.col("Titulo")).alias("project_id"))
+    return df.join(T.project_titles(spark), "project_id")
+
+
+@register("xml_record")
+def q_xml_record(spark, sf_dir):
+    """F27 + J10: GEL-XML record per catalog dataset, probability from the catalog lookup."""
+    cat = _catalog(spark, sf_dir)
+    withp = docs_plan.known_probability(cat, cat)
+    return withp.select("UID", docs_plan.gel_xml(withp, F.col("known_prob"), F.lit(REGISTRATION_DATE)).alias("xml"))

@@ -713,3 +713,85 @@ lf AS (SELECT herd_id, mo.mes AS month_num, mo.month_short AS mes,
 SELECT herd_id, month_num, mes, CAST(round_even(income, 0) AS BIGINT) AS ingresos,
   CAST(round_even(cost_m, 0) AS BIGINT) AS costos, CAST(round_even(int_m, 0) AS BIGINT) AS intereses,
   CAST(round_even(income - cost_m - int_m, 0) AS BIGINT) AS neto FROM lf"""
+
+
+# ------------------------------------------------------------------ text
+from agrolattice.params import (AGRO_KEYWORDS, GEL_XML_TEMPLATE, LOW_QUALITY_KEYWORDS,  # noqa: E402
+                                PROJECT_TYPES)
+
+
+def _kwcount(text: str, words) -> str:
+    return "(" + " + ".join(f"CAST(contains({text}, {lit(w)}) AS INTEGER)" for w in words) + ")"
+
+
+_TT = "coalesce(\"Titulo\", '')"
+_DD = "coalesce(\"Descripción\", '')"
+_JJ = "coalesce(ds_justificacion, '')"
+_FULL = f"(lower({_TT}) || ' ' || lower({_JJ}))"
+_ROWS = 'CAST("Número de Filas" AS DOUBLE)'
+_COLS = 'CAST("Número de Columnas" AS DOUBLE)'
+_SEC = f"lower(coalesce({q(ENT + 'Sector')}, ''))"
+_ORD = f"lower(coalesce({q(ENT + 'Orden')}, ''))"
+_SC = "lower(coalesce(alcance_geografico, ''))"
+FEATS_SQL = [
+    ("titulo_len", f"length({_TT})"), ("titulo_word_count", f"len(regexp_extract_all({_TT}, '\\S+'))"),
+    ("titulo_has_year", f"CAST(regexp_matches({_TT}, '\\b20\\d{{2}}\\b') AS INTEGER)"),
+    ("titulo_has_dept", f"CAST(regexp_matches(lower({_TT}), 'antioquia|cundinamarca|boyac|tolima|huila|meta|nari|cauca|cesar|cordoba') AS INTEGER)"),
+    ("desc_len", f"length({_DD})"), ("desc_word_count", f"len(regexp_extract_all({_DD}, '\\S+'))"),
+    ("just_len", f"length({_JJ})"),
+    ("agro_keyword_count", _kwcount(_FULL, AGRO_KEYWORDS)), ("low_quality_flags", _kwcount(_FULL, LOW_QUALITY_KEYWORDS)),
+    ("filas_raw", _ROWS), ("filas_log", f"round(ln(1 + {_ROWS}), 6)"), ("filas_gt1k", f"CAST({_ROWS} > 1000 AS INTEGER)"),
+    ("filas_gt10k", f"CAST({_ROWS} > 10000 AS INTEGER)"), ("cols_raw", _COLS), ("cols_log", f"round(ln(1 + {_COLS}), 6)"),
+    ("cols_gt10", f"CAST({_COLS} > 10 AS INTEGER)"), ("cols_gt20", f"CAST({_COLS} > 20 AS INTEGER)"),
+    ("ds_score_relevancia", "ds_score_relevancia"), ("ds_calidad_datos", "ds_calidad_datos"),
+    ("score_producto", "round(ds_score_relevancia * ds_calidad_datos, 6)"),
+    ("score_suma", "round(ds_score_relevancia + ds_calidad_datos, 6)"),
+    ("score_relevancia_gt4", "CAST(ds_score_relevancia >= 4 AS INTEGER)"),
+    ("score_calidad_gt3", "CAST(ds_calidad_datos >= 3 AS INTEGER)"),
+    ("ambos_scores_altos", "CAST(ds_score_relevancia >= 4 AND ds_calidad_datos >= 3 AS INTEGER)"),
+    ("has_encabezados", "CAST(coalesce(lower(trim(ds_encabezados_utiles)) IN ('true', '1', 'yes'), false) AS INTEGER)"),
+    ("potencial_integracion", "CAST(ds_potencial_integracion AS INTEGER)"),
+    ("es_nacional", f"CAST({_SC} = 'nacional' AS INTEGER)"), ("es_regional", f"CAST({_SC} = 'regional' AS INTEGER)"),
+    ("es_local", f"CAST({_SC} = 'local' AS INTEGER)"),
+    ("es_sector_agro", f"CAST(regexp_matches({_SEC}, 'agricultura|agropecuario|rural|desarrollo rural') AS INTEGER)"),
+    ("es_nacional_orden", f"CAST({_ORD} = 'nacional' AS INTEGER)"), ("es_territorial", f"CAST({_ORD} = 'territorial' AS INTEGER)"),
+]
+SQL["text_features"] = CLEAN + 'SELECT "UID", ' + ", ".join(f"{e} AS {n}" for n, e in FEATS_SQL) + " FROM geocoded"
+
+SQL["keyword_hits"] = CLEAN + ", kw(keyword, kind) AS (VALUES " + ", ".join(
+    [f"({lit(k)}, 'agro')" for k in AGRO_KEYWORDS] + [f"({lit(k)}, 'low_quality')" for k in LOW_QUALITY_KEYWORDS]) + \
+    f""")
+SELECT kind, keyword, count(*) AS datasets FROM geocoded JOIN kw ON contains({_FULL}, keyword) GROUP BY ALL"""
+
+
+def _ptype_sql() -> str:
+    s, t = f"lower(trim(coalesce({q(ENT + 'Sector')}, '')))", "lower(trim(coalesce(\"Titulo\", '')))"
+    parts = []
+    for pid, words, use_title, _ in PROJECT_TYPES:
+        if not words:
+            continue
+        cond = " OR ".join((f"contains({s}, {lit(w)}) OR contains({t}, {lit(w)})" if use_title else f"contains({s}, {lit(w)})")
+                           for w in words)
+        parts.append(f"WHEN {cond} THEN {pid}")
+    return "CASE " + " ".join(parts) + f" ELSE {PROJECT_TYPES[-1][0]} END"
+
+
+SQL["project_type"] = CLEAN + ", pt(project_id, proj_title) AS (VALUES " + ", ".join(
+    f"({p[0]}, {lit(p[3])})" for p in PROJECT_TYPES) + f""")
+SELECT "UID", x.project_id, pt.proj_title FROM (SELECT "UID", {_ptype_sql()} AS project_id FROM geocoded) x
+JOIN pt USING (project_id)"""
+
+
+def _esc(e: str) -> str:
+    return f"replace(replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+_PROB = "(CASE WHEN es_viable THEN 1.0 ELSE 0.0 END)"
+SQL["xml_record"] = CLEAN + 'SELECT "UID", ' + sql_t(
+    GEL_XML_TEMPLATE, fecha="'2026-05-01'", uid=_esc('"UID"'), titulo=_esc('"Titulo"'), descripcion=_esc('"Descripción"'),
+    entidad=_esc(q(ENT + "Nombre de la Entidad")), sector=_esc(q(ENT + "Sector")), orden=_esc(q(ENT + "Orden")),
+    departamento=_esc(q(ENT + "Departamento")), municipio=_esc(q(ENT + "Municipio")),
+    filas='CAST("Número de Filas" AS VARCHAR)', columnas='CAST("Número de Columnas" AS VARCHAR)', url=_esc("url"),
+    prob_pct=f"CAST(round_even({_PROB} * 100, 2)::DOUBLE AS VARCHAR)",
+    relevancia="CAST(ds_score_relevancia AS VARCHAR)", calidad="CAST(ds_calidad_datos AS VARCHAR)",
+    apto=f"CASE WHEN {_PROB} >= 0.5 THEN 'true' ELSE 'false' END") + " AS xml FROM geocoded"
