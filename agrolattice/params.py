@@ -319,3 +319,34 @@ GEL_XML_TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>
         <gel:AptoParaProduccion>{apto}</gel:AptoParaProduccion>
     </gel:EvaluacionViabilidadIA>
 </gel:RegistroActivosInformacion>"""
+
+# question-context block texts (headers and line templates)
+CONTEXT_TEXT = {
+    "price_header": "💰 **Últimos precios de mercado reportados (SIPSA):**",
+    "price_line": "- {crop}: Promedio de ${price} COP/kg en la central {central} (Fecha: {fecha})",
+    "prod_header": "🌾 **Datos de producción histórica (EVA) para {crop}:**",
+    "prod_yield": "- Rendimiento promedio en la zona: {y} Toneladas por Hectárea.",
+    "prod_area": "- Hectáreas sembradas históricamente registradas: {ha} Ha.",
+    "soil_header": "🌱 **Criterios de Suelo (UPRA) para {crop}:**",
+    "soil_apt": "- Aptitud promedio del suelo en la zona: {apt}",
+    "soil_ph": "- pH promedio registrado: {ph} | Altitud media: {alt} m.s.n.m.",
+    "credit_header": "🏦 **Información de financiamiento rural (FINAGRO):**",
+    "credit_amount": "- Monto total aprobado en registros: ${amount} COP.",
+    "credit_rate": "- Tasa de interés promedio ponderada de la zona: {rate}% E.A.",
+    "weather_header": "🌦️ **Monitoreo meteorológico e histórico (IDEAM):**",
+    "weather_temp": "- Temperatura promedio histórica anual: {t} °C.",
+    "weather_rain": "- Precipitación promedio acumulada anual estimada: {r} mm.",
+    "legal_header": "⚖️ **Estado catastral y formalización de tierras (ANT/UPRA):**",
+    "legal_index": "- Índice de Seguridad Jurídica de la Tierra: {isj}%",
+    "legal_area": "- Hectáreas catastradas: {cat} Ha | Hectáreas formalizadas: {form} Ha (Porcentaje formalización: {pct}%).",
+    "live_header": "🐄 **Cifras del inventario ganadero y sanidad (ICA):**",
+    "live_cattle": "- Población bovina promedio por municipio: {b} cabezas.",
+    "live_pigs": "- Población porcina promedio: {p} cabezas.",
+    "live_vac": "- Cobertura de vacunación aftosa: {v}% (Meta recomendada > 95%).",
+    "frontier": [
+        "🌳 **Prioridad de Sostenibilidad y Frontera Agrícola (Piloto Piedemonte/Amazonía):**",
+        "- Esta zona tiene un alto índice de riesgo de deforestación por expansión agropecuaria no planificada.",
+        "- C.A.M.P.O. en esta región prioriza la estabilización de la frontera agrícola, protegiendo los Resguardos Indígenas y fomentando la agroforestería (sistemas de cacao y café bajo sombra) y sistemas silvopastoriles para ganadería sostenible.",
+        "- Se aplican regulaciones ambientales CAR (Decreto 1076) e incentivos del Gobierno Nacional (PDET) para la sustitución de economías no sostenibles y prevención de la tala de bosques primarios.",
+    ],
+}

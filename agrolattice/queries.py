@@ -449,3 +449,23 @@ def q_xml_record(spark, sf_dir):
     cat = _catalog(spark, sf_dir)
     withp = docs_plan.known_probability(cat, cat)
     return withp.select("UID", docs_plan.gel_xml(withp, F.col("known_prob"), F.lit(REGISTRATION_DATE)).alias("xml"))
+
+
+# ------------------------------------------------------------------ E9: question context
+from .plans import context as context_plan  # noqa: E402
+
+
+@register("entity_topics")
+def q_entity_topics(spark, sf_dir):
+    """F30 + F31: detected department / municipality / crop and topic flags per question."""
+    return context_plan.entities_topics(si.questions(spark, sf_dir)).drop("question")
+
+
+@register("question_context")
+def q_question_context(spark, sf_dir):
+    """The retrieval context text of every user question."""
+    ctx = context_plan.question_context(
+        si.questions(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.production(spark, sf_dir),
+        si.soils(spark, sf_dir), si.credit(spark, sf_dir), si.climate_daily(spark, sf_dir),
+        si.land_security(spark, sf_dir), si.livestock(spark, sf_dir))
+    return ctx.select("conv_id", "turn", "crop_name", "detected_dept", "context")

@@ -795,3 +795,100 @@ SQL["xml_record"] = CLEAN + 'SELECT "UID", ' + sql_t(
     prob_pct=f"CAST(round_even({_PROB} * 100, 2)::DOUBLE AS VARCHAR)",
     relevancia="CAST(ds_score_relevancia AS VARCHAR)", calidad="CAST(ds_calidad_datos AS VARCHAR)",
     apto=f"CASE WHEN {_PROB} >= 0.5 THEN 'true' ELSE 'false' END") + " AS xml FROM geocoded"
+
+
+# ------------------------------------------------------------------ E9
+from agrolattice.params import CONTEXT_TEXT, QUESTION_CROPS, QUESTION_DEPTS, QUESTION_MUNS, TOPIC_WORDS  # noqa: E402
+
+QUESTIONS = "questions AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
+
+
+def _first(qv: str, toks) -> str:
+    return "CASE " + " ".join(f"WHEN contains({qv}, {lit(t)}) THEN {lit(t)}" for t in toks) + " END"
+
+
+def _any(qv: str, toks) -> str:
+    return "(" + " OR ".join(f"contains({qv}, {lit(t)})" for t in toks) + ")"
+
+
+_Q = "lower(question)"
+_CROPNAME = "CASE " + " ".join(f"WHEN contains({_Q}, {lit(t)}) THEN {lit(n)}" for t, n in QUESTION_CROPS) + " END"
+ET = f"""et AS (SELECT conv_id, turn, {_first(_Q, QUESTION_DEPTS)} AS detected_dept, {_first(_Q, QUESTION_MUNS)} AS detected_mun,
+  {_first(_Q, [t for t, _ in QUESTION_CROPS])} AS detected_crop, {_CROPNAME} AS crop_name, """ + ", ".join(
+    f"{_any(_Q, v)} AS ask_{k}" for k, v in TOPIC_WORDS.items()) + " FROM questions)"
+SQL["entity_topics"] = with_(QUESTIONS, ET) + "SELECT * FROM et"
+
+CT = CONTEXT_TEXT
+TOKS = "toks(tok) AS (VALUES " + ", ".join(f"({lit(t)})" for t in QUESTION_DEPTS) + ")"
+
+
+def _tok_agg(name: str, table: str, aggs: str, crop: bool) -> str:
+    """Aggregates per (token or NULL, crop or NULL) the plain way: one query per level."""
+    by = ", cultivo" if crop else ""
+    parts = [f"SELECT tok, {'cultivo' if crop else 'NULL'} AS crop, {aggs} FROM {table} JOIN toks ON contains(lower(departamento), tok) GROUP BY tok{by}"]
+    if crop:
+        parts.append(f"SELECT tok, NULL, {aggs} FROM {table} JOIN toks ON contains(lower(departamento), tok) GROUP BY tok")
+        parts.append(f"SELECT NULL, cultivo, {aggs} FROM {table} GROUP BY cultivo")
+    parts.append(f"SELECT NULL, NULL, {aggs} FROM {table}")
+    return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _j(alias: str, crop: bool) -> str:
+    c = f"{alias}.crop IS NOT DISTINCT FROM et.crop_name" if crop else f"{alias}.crop IS NULL"
+    return f"LEFT JOIN {alias} ON {alias}.tok IS NOT DISTINCT FROM et.detected_dept AND {c}"
+
+
+_PL = sql_t(CT["price_line"], crop="cultivo", price="format('{:,}', CAST(trunc(precio_kg_promedio_cop) AS BIGINT))",
+            central="central_abasto", fecha="strftime(fecha, '%Y-%m-%d')")
+CTX = [f"""lat AS (SELECT cultivo AS crop, fecha, l_orderkey, l_linenumber, {_PL} AS line FROM (
+    SELECT *, row_number() OVER (PARTITION BY cultivo ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+    FROM prices WHERE fecha IS NOT NULL) WHERE rn <= 5
+  UNION ALL SELECT NULL, fecha, l_orderkey, l_linenumber, {_PL} FROM (
+    SELECT *, row_number() OVER (ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+    FROM prices WHERE fecha IS NOT NULL) WHERE rn <= 5)""",
+       "ptxt AS (SELECT crop, string_agg(line, chr(10) ORDER BY fecha, l_orderkey, l_linenumber) AS txt FROM lat GROUP BY crop)",
+       TOKS,
+       _tok_agg("pd", "production", "avg(rendimiento_ton_ha) AS y, sum(hectareas_sembradas) AS ha", True),
+       _tok_agg("so", "soils", "(SELECT NULL) AS apt_unused, avg(ph_suelo) AS ph, avg(altitud_m) AS alt", True),
+       f"""soapt AS (SELECT tok, crop, aptitud AS apt FROM (
+    SELECT tok, crop, aptitud, row_number() OVER (PARTITION BY tok, crop ORDER BY c DESC, aptitud ASC) AS rn FROM (
+      SELECT tok, cultivo AS crop, aptitud, count(*) AS c FROM soils JOIN toks ON contains(lower(departamento), tok) WHERE aptitud IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT tok, NULL, aptitud, count(*) FROM soils JOIN toks ON contains(lower(departamento), tok) WHERE aptitud IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT NULL, cultivo, aptitud, count(*) FROM soils WHERE aptitud IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT NULL, NULL, aptitud, count(*) FROM soils WHERE aptitud IS NOT NULL GROUP BY ALL)) WHERE rn = 1)""",
+       _tok_agg("cr", "credit", "sum(monto_creditos_cop) AS amount, avg(tasa_interes_promedio) AS rate", True),
+       _tok_agg("we", "climate", "avg(temperatura_promedio_c) AS t, sum(precipitacion_diaria_mm) AS rsum, count(*) AS n", False),
+       _tok_agg("le", "land", "avg(indice_seguridad_juridica) AS isj, sum(hectareas_catastradas) AS cat, sum(hectareas_formalizadas) AS form", False),
+       _tok_agg("lv", "livestock", "avg(poblacion_bovina) AS b, avg(poblacion_porcina) AS p, avg(vacunacion_fiebre_aftosa_pct) AS v", False)]
+
+_F = lambda e, n: f"printf('%.{n}f', {e})"
+_BLOCKS = [
+    f"CASE WHEN et.ask_price AND ptxt.txt IS NOT NULL THEN {lit(CT['price_header'])} || chr(10) || ptxt.txt END",
+    f"""CASE WHEN et.crop_name IS NOT NULL AND (pd.y IS NOT NULL OR pd.ha IS NOT NULL) THEN concat_ws(chr(10),
+        {sql_t(CT['prod_header'], crop='et.crop_name')}, {sql_t(CT['prod_yield'], y=_F('pd.y', 2))},
+        {sql_t(CT['prod_area'], ha="format('{:,.1f}', pd.ha)")}) END""",
+    f"""CASE WHEN et.crop_name IS NOT NULL AND so.ph IS NOT NULL THEN concat_ws(chr(10),
+        {sql_t(CT['soil_header'], crop='et.crop_name')}, {sql_t(CT['soil_apt'], apt='soapt.apt')},
+        {sql_t(CT['soil_ph'], ph=_F('so.ph', 2), alt='CAST(CAST(trunc(so.alt) AS BIGINT) AS VARCHAR)')}) END""",
+    f"""CASE WHEN et.ask_credit AND cr.amount IS NOT NULL THEN concat_ws(chr(10), {lit(CT['credit_header'])},
+        {sql_t(CT['credit_amount'], amount="format('{:,}', CAST(trunc(cr.amount) AS BIGINT))")},
+        {sql_t(CT['credit_rate'], rate=_F('cr.rate', 2))}) END""",
+    f"""CASE WHEN et.ask_weather AND we.n > 0 THEN concat_ws(chr(10), {lit(CT['weather_header'])},
+        {sql_t(CT['weather_temp'], t=_F('we.t', 1))},
+        {sql_t(CT['weather_rain'], r='CAST(CAST(trunc(we.rsum / (we.n / 365)) AS BIGINT) AS VARCHAR)')}) END""",
+    f"""CASE WHEN et.ask_legal AND le.isj IS NOT NULL THEN concat_ws(chr(10), {lit(CT['legal_header'])},
+        {sql_t(CT['legal_index'], isj=_F('le.isj', 1))},
+        CASE WHEN le.cat > 0 THEN {sql_t(CT['legal_area'], cat="format('{:,.1f}', le.cat)", form="format('{:,.1f}', le.form)",
+                                         pct=_F('le.form / le.cat * 100', 1))} ELSE '' END) END""",
+    f"""CASE WHEN et.ask_livestock AND lv.b IS NOT NULL THEN concat_ws(chr(10), {lit(CT['live_header'])},
+        {sql_t(CT['live_cattle'], b="format('{:,}', CAST(trunc(lv.b) AS BIGINT))")},
+        {sql_t(CT['live_pigs'], p="format('{:,}', CAST(trunc(lv.p) AS BIGINT))")},
+        {sql_t(CT['live_vac'], v=_F('lv.v', 2))}) END""",
+    f"CASE WHEN et.ask_frontier THEN {lit(chr(10).join(CT['frontier']))} END",
+]
+SQL["question_context"] = with_(GEO, PRICES, PRODUCTION, SUPPLIER_LINES, SOILS, CREDIT, CLIMATE, LAND, LIVESTOCK,
+                                QUESTIONS, ET, *CTX) + f"""SELECT et.conv_id, et.turn, et.crop_name, et.detected_dept,
+  concat_ws(chr(10), {", ".join(_BLOCKS)}) AS context
+FROM et LEFT JOIN ptxt ON ptxt.crop IS NOT DISTINCT FROM et.crop_name
+{_j('pd', True)} {_j('so', True)} LEFT JOIN soapt ON soapt.tok IS NOT DISTINCT FROM et.detected_dept AND soapt.crop IS NOT DISTINCT FROM et.crop_name
+{_j('cr', True)} {_j('we', False)} {_j('le', False)} {_j('lv', False)}"""
