@@ -469,3 +469,19 @@ def q_question_context(spark, sf_dir):
         si.soils(spark, sf_dir), si.credit(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.land_security(spark, sf_dir), si.livestock(spark, sf_dir))
     return ctx.select("conv_id", "turn", "crop_name", "detected_dept", "context")
+
+
+# ------------------------------------------------------------------ M1: TF-IDF
+from .operators.tfidf import tfidf_long  # noqa: E402
+from .params import TFIDF_SIZES  # noqa: E402
+
+
+@register("tfidf_terms")
+def q_tfidf_terms(spark, sf_dir):
+    """M1: TF-IDF weights of title (50), description (50) and justification (25 terms)."""
+    cat = _catalog(spark, sf_dir)
+    parts = [tfidf_long(cat, "UID", col, k).withColumn("field", F.lit(col)) for col, k in TFIDF_SIZES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)

@@ -892,3 +892,21 @@ SQL["question_context"] = with_(GEO, PRICES, PRODUCTION, SUPPLIER_LINES, SOILS,
 FROM et LEFT JOIN ptxt ON ptxt.crop IS NOT DISTINCT FROM et.crop_name
 {_j('pd', True)} {_j('so', True)} LEFT JOIN soapt ON soapt.tok IS NOT DISTINCT FROM et.detected_dept AND soapt.crop IS NOT DISTINCT FROM et.crop_name
 {_j('cr', True)} {_j('we', False)} {_j('le', False)} {_j('lv', False)}"""
+
+
+# ------------------------------------------------------------------ M1
+def _tfidf_sql(col: str, k: int) -> str:
+    t = f"t_{abs(hash(col)) % 1000}"
+    return f"""SELECT '{col}' AS field, "UID", term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY "UID")), 6) AS weight FROM (
+  SELECT tf."UID", tf.term, tf.tf, tf.tf * (ln((1 + n) / (1 + v.df)) + 1) AS w
+  FROM (SELECT "UID", term, count(*) AS tf FROM (
+          SELECT "UID", unnest(regexp_extract_all(lower(coalesce({q(col)}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+          FROM geocoded) GROUP BY ALL) tf
+  JOIN (SELECT term, count(*) AS df FROM (SELECT "UID", term, count(*) AS c FROM (
+          SELECT "UID", unnest(regexp_extract_all(lower(coalesce({q(col)}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
+          FROM geocoded) GROUP BY ALL) GROUP BY term ORDER BY sum(c) DESC, term ASC LIMIT {k}) v USING (term)
+  CROSS JOIN (SELECT count(*) AS n FROM geocoded) nn) x"""
+
+
+SQL["tfidf_terms"] = CLEAN + " UNION ALL ".join(
+    f"({_tfidf_sql(c, k)})" for c, k in {"Titulo": 50, "Descripción": 50, "ds_justificacion": 25}.items())
