@@ -485,3 +485,66 @@ def q_tfidf_terms(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(out)
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+from .plans import models as model_plan  # noqa: E402
+
+SMALL = {"n_trees": 10, "gbt_iter": 5}
+
+
+@register("viability_metrics")
+def q_viability_metrics(spark, sf_dir):
+    """M1-M8: stacked viability classifier, hold-out metrics (small forests for the check)."""
+    _, _, _, metrics = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, **SMALL)
+    return rounded(metrics)
+
+
+@register("viability_scores")
+def q_viability_scores(spark, sf_dir):
+    """M9 + J10: score new dataset requests (benchmark items) and catalog datasets."""
+    cat = _catalog(spark, sf_dir)
+    feat, bases, meta, _ = model_plan.train_viability(cat, folds=2, **SMALL)
+    bench = si.read_table(spark, sf_dir, "benchmark")
+    new = bench.select(F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("UID"),
+                       F.substring("text", 1, 80).alias("Titulo"), F.col("text").alias("Descripción"))
+    for c in cat.columns:
+        if c not in new.columns:
+            new = new.withColumn(c, F.lit(None).cast(cat.schema[c].dataType))
+    reqs = new.select(*cat.columns).unionByName(cat)
+    return rounded(model_plan.score_viability(reqs, cat, feat, bases, meta))
+
+
+@register("importances")
+def q_importances(spark, sf_dir):
+    """Top-8 features by mean importance over the base models."""
+    feat, bases, _, _ = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, **SMALL)
+    return rounded(model_plan.feature_importances(spark, feat, bases))
+
+
+def _master_for_model(spark, sf_dir):
+    m = master_plan.consolidate(
+        si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
+        si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+    return m.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
+@register("yield_metrics")
+def q_yield_metrics(spark, sf_dir):
+    """RF + GBT yield ensemble on the master table, hold-out RMSE and R2."""
+    _, metrics = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    return rounded(metrics)
+
+
+@register("yield_scores")
+def q_yield_scores(spark, sf_dir):
+    """Parcels scored by the ensemble, then the physiological stress."""
+    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    parcels = planner_plan.with_crop_params(si.parcels(spark, sf_dir))
+    pred = model_plan.predict_yield(model, parcels.withColumn("label", F.lit(0.0)))
+    p = {k: F.col("cp_" + k) for k in planner_plan.PARAM_COLS}
+    from .functions.agronomy import stressed_yield
+    adj = stressed_yield(F.col("prediction"), F.col("cp_crop").isNotNull(), F.col("ph_suelo"), F.col("altitud_m"),
+                         F.col("temp_media_c"), F.col("pendiente_pct"), p)
+    return rounded(pred.select("parcel_id", "cultivo", F.col("prediction").alias("ml_yield"), adj.alias("yield_ton_ha")))
