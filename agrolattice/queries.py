@@ -548,3 +548,35 @@ def q_yield_scores(spark, sf_dir):
     adj = stressed_yield(F.col("prediction"), F.col("cp_crop").isNotNull(), F.col("ph_suelo"), F.col("altitud_m"),
                          F.col("temp_media_c"), F.col("pendiente_pct"), p)
     return rounded(pred.select("parcel_id", "cultivo", F.col("prediction").alias("ml_yield"), adj.alias("yield_ton_ha")))
+
+
+# ------------------------------------------------------------------ extensions X1-X3
+from .operators.quality import outlier_fence  # noqa: E402
+from .streaming import rollups as stream_rollups  # noqa: E402
+
+
+@register("stream_daily")
+def q_stream_daily(spark, sf_dir):
+    """Streaming 1-day station roll-up with a 2-day watermark (append: closed windows)."""
+    daily = stream_rollups.daily_rollup(stream_rollups.station_stream(spark, sf_dir))
+    out = stream_rollups.run_available_now(daily, "stream_daily")
+    return rounded(out.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "departamento",
+                              "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",
+                              "brillo_solar_horas"))
+
+
+@register("moving_average")
+def q_moving_average(spark, sf_dir):
+    """28-day moving average of prices per crop, sliding every 7 days."""
+    w = stream_rollups.price_windows(si.prices_weekly(spark, sf_dir))
+    return rounded(w.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "cultivo",
+                            "moving_avg_price", "n_prices"))
+
+
+@register("outlier_fence")
+def q_outlier_fence(spark, sf_dir):
+    """Per-crop IQR fence and production/area consistency flags (flagged rows)."""
+    flagged = outlier_fence(si.production(spark, sf_dir))
+    return rounded(flagged.where(F.col("is_outlier") | F.col("is_inconsistent")).select(
+        "l_orderkey", "l_linenumber", "cultivo", "rendimiento_ton_ha", "lower_fence", "upper_fence",
+        "is_outlier", "is_inconsistent"))

@@ -910,3 +910,30 @@ def _tfidf_sql(col: str, k: int) -> str:
 
 SQL["tfidf_terms"] = CLEAN + " UNION ALL ".join(
     f"({_tfidf_sql(c, k)})" for c, k in {"Titulo": 50, "Descripción": 50, "ds_justificacion": 25}.items())
+
+
+# ------------------------------------------------------------------ extensions
+SQL["stream_daily"] = with_(STATIONS) + """, mx AS (SELECT max(fecha) AS m FROM stations)
+SELECT strftime(date_trunc('day', fecha), '%Y-%m-%d') AS window_start, departamento, municipio,
+  round(avg(temperatura_promedio_c), 6) AS temp_media_c, round(coalesce(sum(precipitacion_diaria_mm), 0.0), 6) AS precipitacion_mm,
+  round(avg(humedad_relativa_pct), 6) AS humedad_media_pct, round(coalesce(sum(brillo_solar_horas), 0.0), 6) AS brillo_solar_horas
+FROM stations GROUP BY date_trunc('day', fecha), departamento, municipio
+HAVING date_trunc('day', fecha) + INTERVAL 1 DAY <= (SELECT m FROM mx) - INTERVAL 2 DAY"""
+
+SQL["moving_average"] = with_(PRICES) + """, w AS (
+  SELECT cultivo, precio_kg_promedio_cop AS p,
+    epoch(fecha)::BIGINT // 604800 * 604800 - k * 604800 AS ws
+  FROM prices, range(4) t(k) WHERE fecha IS NOT NULL)
+SELECT strftime(to_timestamp(ws), '%Y-%m-%d') AS window_start, cultivo, round(avg(p), 6) AS moving_avg_price,
+  count(*) AS n_prices FROM w GROUP BY ws, cultivo"""
+
+SQL["outlier_fence"] = with_(GEO, PRODUCTION) + """, f AS (SELECT cultivo,
+    quantile_cont(rendimiento_ton_ha, 0.25) - 1.5 * (quantile_cont(rendimiento_ton_ha, 0.75) - quantile_cont(rendimiento_ton_ha, 0.25)) AS lower_fence,
+    quantile_cont(rendimiento_ton_ha, 0.75) + 1.5 * (quantile_cont(rendimiento_ton_ha, 0.75) - quantile_cont(rendimiento_ton_ha, 0.25)) AS upper_fence
+  FROM production GROUP BY 1),
+j AS (SELECT p.*, f.lower_fence, f.upper_fence,
+    (rendimiento_ton_ha < lower_fence OR rendimiento_ton_ha > upper_fence) AS is_outlier,
+    coalesce(abs(CASE WHEN hectareas_sembradas > 0 THEN produccion_obtenida_ton / hectareas_sembradas END - rendimiento_ton_ha) > 0.5, false) AS is_inconsistent
+  FROM production p LEFT JOIN f USING (cultivo))
+SELECT l_orderkey, l_linenumber, cultivo, round(rendimiento_ton_ha, 6) AS rendimiento_ton_ha, round(lower_fence, 6) AS lower_fence,
+  round(upper_fence, 6) AS upper_fence, is_outlier, is_inconsistent FROM j WHERE is_outlier OR is_inconsistent"""
