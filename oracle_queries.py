@@ -937,3 +937,46 @@ j AS (SELECT p.*, f.lower_fence, f.upper_fence,
   FROM production p LEFT JOIN f USING (cultivo))
 SELECT l_orderkey, l_linenumber, cultivo, round(rendimiento_ton_ha, 6) AS rendimiento_ton_ha, round(lower_fence, 6) AS lower_fence,
   round(upper_fence, 6) AS upper_fence, is_outlier, is_inconsistent FROM j WHERE is_outlier OR is_inconsistent"""
+
+
+# ------------------------------------------------------------------ A19
+_HD_NUM = ["altitud_m", "ph_suelo", "pendiente_pct", "materia_organica_pct", "temp_media_c", "precipitacion_anual_mm"]
+_HD_DEF = {"altitud_m": 1200.0, "ph_suelo": 5.8, "pendiente_pct": 12.0, "materia_organica_pct": 3.5,
+           "temp_media_c": 21.0, "precipitacion_anual_mm": 1800.0}
+_HD_LIM = {"altitud_m": (0.0, 3000.0), "ph_suelo": (4.0, 8.0), "pendiente_pct": (0.0, 45.0),
+           "materia_organica_pct": (0.0, 10.0), "temp_media_c": (10.0, 35.0), "precipitacion_anual_mm": (500.0, 4000.0)}
+_REGION = ("(r.departamento = 'Todos' OR mf2.d = lower(r.departamento)) AND "
+           "(r.municipio = 'Todos' OR mf2.m = lower(r.municipio))")
+
+
+def _hd_level(name: str, with_crop: bool) -> str:
+    cond = _REGION + (" AND mf2.c = lower(r.cultivo)" if with_crop else "")
+    return f"""{name} AS (SELECT r.parcel_id, {", ".join(f"avg(mf2.{c}) AS {c}" for c in _HD_NUM)}, count(*) AS n
+  FROM req r JOIN mf2 ON {cond} GROUP BY r.parcel_id),
+{name}_tx AS (SELECT parcel_id, textura FROM (SELECT parcel_id, textura,
+    row_number() OVER (PARTITION BY parcel_id ORDER BY cnt DESC, textura ASC) AS rn FROM (
+    SELECT r.parcel_id, mf2.textura, count(*) AS cnt FROM req r JOIN mf2 ON {cond}
+    WHERE mf2.textura IS NOT NULL GROUP BY ALL)) WHERE rn = 1)"""
+
+
+def _hd_col(c: str) -> str:
+    v = f"CASE WHEN rc.n IS NOT NULL THEN rc.{c} WHEN rr.n IS NOT NULL THEN rr.{c} ELSE {_HD_DEF[c]}::DOUBLE END"
+    if c == "altitud_m":
+        v = f"CAST(trunc({v}) AS DOUBLE)"
+    lo, hi = _HD_LIM[c]
+    return f"round(least(greatest({v}, {lo}::DOUBLE), {hi}::DOUBLE), 6) AS default_{c}"
+
+
+SQL["hierarchical_defaults"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + ",\n" + PARCELS + f""",
+req AS (SELECT parcel_id, CASE WHEN parcel_id % 7 = 0 THEN 'Todos' ELSE departamento END AS departamento,
+  CASE WHEN parcel_id % 3 = 0 THEN 'Todos' ELSE municipio END AS municipio,
+  CASE WHEN parcel_id % 11 = 0 THEN 'Yuca' ELSE cultivo END AS cultivo FROM parcels),
+mf2 AS (SELECT lower(departamento) AS d, lower(municipio) AS m, lower(cultivo) AS c, {", ".join(_HD_NUM)}, textura
+  FROM master_final),
+{_hd_level("rc", True)},
+{_hd_level("rr", False)}
+SELECT r.parcel_id, r.departamento, r.municipio, r.cultivo, {", ".join(_hd_col(c) for c in _HD_NUM)},
+  CASE WHEN rc.n IS NOT NULL THEN rc_tx.textura WHEN rr.n IS NOT NULL THEN rr_tx.textura ELSE 'Franco' END AS default_textura,
+  CASE WHEN rc.n IS NOT NULL THEN 'region_crop' WHEN rr.n IS NOT NULL THEN 'region' ELSE 'constants' END AS default_source
+FROM req r LEFT JOIN rc USING (parcel_id) LEFT JOIN rc_tx USING (parcel_id) LEFT JOIN rr USING (parcel_id)
+LEFT JOIN rr_tx USING (parcel_id)"""
