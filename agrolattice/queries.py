@@ -580,3 +580,92 @@ def q_outlier_fence(spark, sf_dir):
     return rounded(flagged.where(F.col("is_outlier") | F.col("is_inconsistent")).select(
         "l_orderkey", "l_linenumber", "cultivo", "rendimiento_ton_ha", "lower_fence", "upper_fence",
         "is_outlier", "is_inconsistent"))
+
+
+# ------------------------------------------------------------------ calibration building blocks on their own
+from .operators import calibration as calib  # noqa: E402
+from .operators.geocode import gender_indicators  # noqa: E402
+
+
+@register("latest_n_mean")
+def q_latest_n_mean(spark, sf_dir):
+    """Mean of the latest 12 prices per crop, floor 100 COP."""
+    return rounded(calib.latest_price_table(si.prices_weekly(spark, sf_dir)))
+
+
+@register("complete_with_base")
+def q_complete_with_base(spark, sf_dir):
+    """Base crop price table completed with live prices (full join)."""
+    return rounded(calib.crop_price_table(si.prices_weekly(spark, sf_dir)))
+
+
+@register("latest_prices")
+def q_latest_prices(spark, sf_dir):
+    """Latest five prices per crop and overall (ties by line key)."""
+    from .operators.topk import top_n_per_group
+    p = si.prices_weekly(spark, sf_dir).where(F.col("fecha").isNotNull())
+    order = [F.col("fecha").desc(), F.col("l_orderkey").desc(), F.col("l_linenumber").desc()]
+    per = top_n_per_group(p, ["cultivo"], order, 5, ["l_orderkey", "l_linenumber"]).withColumn("scope", F.col("cultivo"))
+    allp = top_n_per_group(p.withColumn("_a", F.lit(1)), ["_a"], order, 5, ["l_orderkey", "l_linenumber"]) \
+        .drop("_a").withColumn("scope", F.lit("Todos"))
+    return rounded(per.unionByName(allp).select("scope", "rank", "cultivo", "l_orderkey", "l_linenumber",
+                                                "precio_kg_promedio_cop", "central_abasto"))
+
+
+@register("zone_factor")
+def q_zone_factor(spark, sf_dir):
+    """A25 + P4(c): planner (municipality -> department) and economics (department ->
+    national) zone factors per parcel."""
+    zones = calib.zone_yields(si.production(spark, sf_dir))
+    p = si.parcels(spark, sf_dir).select("parcel_id", "cultivo", "departamento", "municipio")
+    p = calib.with_zone_factor(p, zones, "planner", out="zone_planner")
+    p = calib.with_zone_factor(p, zones, "economics", out="zone_economics")
+    return rounded(p.select("parcel_id", "cultivo", "zone_planner", "zone_planner_found", "zone_economics",
+                            "zone_economics_found"))
+
+
+@register("interest_rate")
+def q_interest_rate(spark, sf_dir):
+    """A26 + F14: department credit rate per parcel and the subsidised rate."""
+    from .functions.agronomy import subsidised_rate
+    p = si.parcels(spark, sf_dir).select("parcel_id", "departamento", "producer_type")
+    p = calib.with_rate(p, calib.rate_table(si.credit(spark, sf_dir)), out="rate")
+    return rounded(p.select("parcel_id", "rate", subsidised_rate(F.col("rate"), F.col("producer_type")).alias("rate_final")))
+
+
+@register("livestock_calibration")
+def q_livestock_calibration(spark, sf_dir):
+    """Slope, organic matter, milk per head, vaccination and rate at each herd's place."""
+    from .operators.calibration import _join_level, request_level
+    s_, i_, c_ = livestock_plan.livestock_calibration(si.soils(spark, sf_dir), si.livestock(spark, sf_dir),
+                                                      si.credit(spark, sf_dir))
+    h = si.herds(spark, sf_dir).select("herd_id", "departamento", "municipio")
+    lvl, d, m = request_level(F.col("departamento"), F.col("municipio"))
+    h = _join_level(_join_level(_join_level(h, s_, lvl, d, m, [], "ls"), i_, lvl, d, m, [], "li"), c_, lvl, d, m, [], "lc")
+    return rounded(h.select("herd_id", F.col("lsslope").alias("slope"), F.col("lsom").alias("om"),
+                            F.col("limilk").alias("milk_per_head"), F.col("livac").alias("vaccination"),
+                            F.col("lcrate").alias("rate")))
+
+
+@register("gender_indicators")
+def q_gender_indicators(spark, sf_dir):
+    """J9 + F25: department indicators (ordered substring rule) and priority-territory flag."""
+    cat = _catalog(spark, sf_dir).select("UID", F.col(f"`{ENT}Departamento`").alias("dept"))
+    g = gender_indicators(cat, "dept")
+    return rounded(g.select("UID", "dept", "ipg_educacion", "mujeres_beneficiarias_pct", "relevo_joven_pct",
+                            T.priority_territory(F.col("dept")).alias("priority_territory")))
+
+
+@register("known_override")
+def q_known_override(spark, sf_dir):
+    """Catalog lookup for dataset requests - by UID, by title when the UID is blank."""
+    cat = _catalog(spark, sf_dir)
+    docs = si.read_table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    req = docs.select(
+        k.alias("request_id"),
+        F.when(k % 3 == 0, F.substring(F.md5("text"), 1, 9)).when(k % 3 == 1, F.lit(""))
+        .otherwise(F.lit(None).cast("string")).alias("UID"),
+        F.when(k % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("sin título")).alias("Titulo"))
+    out = docs_plan.known_probability(req, cat)
+    return out.select("request_id", "known_prob")

@@ -980,3 +980,65 @@ SELECT r.parcel_id, r.departamento, r.municipio, r.cultivo, {", ".join(_hd_col(c
   CASE WHEN rc.n IS NOT NULL THEN 'region_crop' WHEN rr.n IS NOT NULL THEN 'region' ELSE 'constants' END AS default_source
 FROM req r LEFT JOIN rc USING (parcel_id) LEFT JOIN rc_tx USING (parcel_id) LEFT JOIN rr USING (parcel_id)
 LEFT JOIN rr_tx USING (parcel_id)"""
+
+
+# ------------------------------------------------------------------ calibration building blocks
+_LP = """lp AS (SELECT cultivo, greatest(avg(precio_kg_promedio_cop), 100.0) AS live_price_kg FROM (
+    SELECT *, row_number() OVER (PARTITION BY cultivo ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+    FROM prices WHERE fecha IS NOT NULL AND cultivo IS NOT NULL) WHERE rn <= 12 GROUP BY 1)"""
+SQL["latest_n_mean"] = with_(PRICES, _LP) + "SELECT cultivo, round(live_price_kg, 6) AS live_price_kg FROM lp"
+SQL["complete_with_base"] = with_(PRICES, CP, _LP) + """SELECT coalesce(cp.crop, lp.cultivo) AS cultivo,
+  round(coalesce(lp.live_price_kg, cp.price_kg), 6) AS precio_kg, round(coalesce(cp.basket_pct, 2.0), 6) AS canasta_pct,
+  round(coalesce(cp.demand_trend, 0.5), 6) AS demanda_tendencia FROM cp FULL JOIN lp ON cp.crop = lp.cultivo"""
+SQL["latest_prices"] = with_(PRICES) + """SELECT scope, rank, cultivo, l_orderkey, l_linenumber,
+  round(precio_kg_promedio_cop, 6) AS precio_kg_promedio_cop, central_abasto FROM (
+  SELECT cultivo AS scope, row_number() OVER (PARTITION BY cultivo ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC) AS rank, *
+  FROM prices WHERE fecha IS NOT NULL
+  UNION ALL
+  SELECT 'Todos', row_number() OVER (ORDER BY fecha DESC, l_orderkey DESC, l_linenumber DESC), * FROM prices WHERE fecha IS NOT NULL)
+WHERE rank <= 5"""
+SQL["zone_factor"] = with_(GEO, PRODUCTION, PARCELS, CP, _ZONE) + """SELECT p.parcel_id, p.cultivo,
+  round(CASE WHEN zm.c IS NOT NULL OR zd.c IS NOT NULL THEN least(greatest(coalesce(zm.ra, zd.ra) / coalesce(cp.base_yield, 2.0), 0.5), 2.5) ELSE 1.0 END, 6) AS zone_planner,
+  (zm.c IS NOT NULL OR zd.c IS NOT NULL) AS zone_planner_found,
+  round(CASE WHEN zd.c IS NOT NULL OR zn.c IS NOT NULL THEN least(greatest(coalesce(zd.ra, zn.ra) / coalesce(cp.base_yield, 2.0), 0.6), 2.0) ELSE 1.0 END, 6) AS zone_economics,
+  (zd.c IS NOT NULL OR zn.c IS NOT NULL) AS zone_economics_found
+FROM parcels p LEFT JOIN cp ON lower(cp.crop) = lower(p.cultivo)
+LEFT JOIN zm ON zm.c = lower(p.cultivo) AND zm.d = lower(p.departamento) AND zm.m = lower(p.municipio)
+LEFT JOIN zd ON zd.c = lower(p.cultivo) AND zd.d = lower(p.departamento)
+LEFT JOIN zn ON zn.c = lower(p.cultivo)"""
+SQL["interest_rate"] = with_(GEO, SUPPLIER_LINES, CREDIT, PARCELS) + f"""SELECT parcel_id, round(coalesce(rt.r, 12.5), 6) AS rate,
+  round(CASE WHEN producer_type IN {SUBS} THEN greatest(1.0, coalesce(rt.r, 12.5) - 2.0) ELSE coalesce(rt.r, 12.5) END, 6) AS rate_final
+FROM parcels p LEFT JOIN (SELECT lower(departamento) AS d, avg(tasa_interes_promedio) AS r FROM credit GROUP BY 1) rt
+  ON rt.d = lower(p.departamento)"""
+SQL["livestock_calibration"] = with_(*LIVE_CTES) + """SELECT herd_id, round(ls.slope, 6) AS slope, round(ls.om, 6) AS om,
+  round(li.milk, 6) AS milk_per_head, round(li.vac, 6) AS vaccination, round(lc.rate, 6) AS rate
+FROM herds h LEFT JOIN ls ON ls.d = lower(h.departamento) AND ls.m = lower(h.municipio)
+LEFT JOIN li ON li.d = lower(h.departamento) AND li.m = lower(h.municipio)
+LEFT JOIN lc ON lc.d = lower(h.departamento) AND lc.m = lower(h.municipio)"""
+
+from agrolattice.params import GENDER_STATS, PRIORITY_TERRITORY_TOKENS  # noqa: E402
+GS = "gs(ord, k, ipg, muj, rel) AS (VALUES " + ", ".join(
+    f"({i}, {lit(k.lower())}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (k, a, b, c) in enumerate(GENDER_STATS)) + ")"
+
+
+def _gs(col: str) -> str:
+    dn = f"lower(trim(g.{q(ENT + 'Departamento')}))"
+    return (f"(SELECT {col} FROM gs WHERE contains({dn}, k) OR contains(k, {dn}) ORDER BY ord LIMIT 1)")
+
+
+SQL["gender_indicators"] = CLEAN + ", " + GS + f"""
+SELECT "UID", {q(ENT + 'Departamento')} AS dept, {_gs('ipg')} AS ipg_educacion, {_gs('muj')} AS mujeres_beneficiarias_pct,
+  {_gs('rel')} AS relevo_joven_pct,
+  ({" OR ".join(f"contains(lower(coalesce({q(ENT + 'Departamento')}, '')), {lit(t)})" for t in PRIORITY_TERRITORY_TOKENS)}) AS priority_territory
+FROM geocoded g"""
+
+SQL["known_override"] = CLEAN + """, req AS (SELECT doc_id AS request_id,
+    CASE WHEN doc_id % 3 = 0 THEN substring(md5(text), 1, 9) WHEN doc_id % 3 = 1 THEN '' END AS uid,
+    CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 80) ELSE 'sin título' END AS titulo FROM documents),
+r2 AS (SELECT *, CASE WHEN uid IS NOT NULL AND trim(uid) <> '' AND uid <> 'No disponible' THEN uid END AS ru,
+    CASE WHEN NOT (uid IS NOT NULL AND trim(uid) <> '' AND uid <> 'No disponible')
+          AND titulo IS NOT NULL AND trim(titulo) <> '' AND titulo <> 'No disponible' THEN titulo END AS rt FROM req),
+bu AS (SELECT "UID" AS k, arg_min(es_viable, "UID") AS v FROM geocoded GROUP BY 1),
+bt AS (SELECT "Titulo" AS k, arg_min(es_viable, "UID") AS v FROM geocoded GROUP BY 1)
+SELECT request_id, CASE WHEN coalesce(bu.v, bt.v) IS NULL THEN NULL WHEN coalesce(bu.v, bt.v) THEN 1.0 ELSE 0.0 END AS known_prob
+FROM r2 LEFT JOIN bu ON bu.k = r2.ru LEFT JOIN bt ON bt.k = r2.rt"""
