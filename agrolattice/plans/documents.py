@@ -46,3 +46,100 @@ def gel_xml(df: DataFrame, prob: Column, fecha: Column) -> Column:
               url=s("url", "https://www.datos.gov.co"), prob_pct=pct,
               relevancia=F.col("ds_score_relevancia").cast("string"), calidad=F.col("ds_calidad_datos").cast("string"),
               apto=F.when(prob >= APT_PROBABILITY, "true").otherwise("false"))
+
+
+# ---------------------------------------------------------------- F28 proposal, F29 reports, F26 barriers
+from .. import templates as TPL  # noqa: E402
+from ..functions.agronomy import suitability_score  # noqa: E402
+from ..functions.text import priority_territory, project_type  # noqa: E402
+from ..operators.geocode import gender_indicators  # noqa: E402
+from ..params import SUBSIDISED_PROFILES  # noqa: E402
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _pyfloat(c: Column) -> Column:
+    """``str(float)`` for the values the templates print (shortest round-trip form)."""
+    return c.cast("double").cast("string")
+
+
+def proposal_markdown(cat: DataFrame, prob: Column) -> DataFrame:
+    """the project proposal of every catalog row; adds ``proposal``."""
+    spark = cat.sparkSession
+    details = F.broadcast(spark.createDataFrame(
+        [(k, v[0], v[1]) for k, v in TPL.PROJECT_DETAILS.items()], "_pid int, _ods string, _arch string"))
+    titles = F.broadcast(spark.createDataFrame([(p[0], p[3]) for p in __import__(
+        "agrolattice.params", fromlist=["PROJECT_TYPES"]).PROJECT_TYPES], "_tid int, _ptitle string"))
+    dept_col = ENT + "Departamento"
+    df = cat.withColumn("_prob", prob).withColumn("_pid", project_type(F.col(f"`{ENT}Sector`"), F.col("Titulo")))
+    df = df.join(details, "_pid").join(titles, F.col("_pid") == F.col("_tid"))
+    df = gender_indicators(df.withColumn("_dept", F.col(f"`{dept_col}`").cast("string")), "_dept")
+    filas, cols, rel = F.col("`Número de Filas`"), F.col("`Número de Columnas`"), F.col("ds_score_relevancia")
+    pct = F.bround(F.col("_prob") * 100, 2).cast("string")
+    reasons = F.array_compact(F.array(
+        F.when(filas < 2000, _t(TPL.REASON_ROWS, filas=F.format_number(filas, 0))),
+        F.when(cols < 10, _t(TPL.REASON_COLS, columnas=cols.cast("string"))),
+        F.when(rel < 3.5, _t(TPL.REASON_REL, relevancia=_pyfloat(rel)))))
+    reasons_s = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise(F.lit(TPL.REASON_DEFAULT))
+    banner = F.when(F.col("_prob") < 0.5, _t(TPL.WARNING_BANNER, pct=pct, reasons=reasons_s)).otherwise(F.lit(""))
+    dept = F.col("_dept")
+    gender = F.when(F.col("ipg_educacion").isNotNull(), _t(
+        TPL.GENDER_TEXT, ipg=F.format_string("%.2f", F.bround("ipg_educacion", 2)),
+        mujeres=_pyfloat(F.col("mujeres_beneficiarias_pct")), relevo=_pyfloat(F.col("relevo_joven_pct")),
+        dept=dept)).otherwise(F.lit(TPL.GENDER_DEFAULT))
+    territorial = F.when(priority_territory(dept), _t(TPL.TERRITORIAL_TEXT, dept=dept)).otherwise(F.lit(""))
+    low = F.col("_prob") < 0.5
+    doc = _t(TPL.PROPOSAL, banner=banner, proj_title=F.col("_ptitle"),
+             entidad=F.col(f"`{ENT}Nombre de la Entidad`"), sector=F.col(f"`{ENT}Sector`"),
+             orden=F.col(f"`{ENT}Orden`"), cobertura=F.col("alcance_geografico"), titulo=F.col("Titulo"),
+             columnas=cols.cast("string"), filas=F.format_number(filas, 0), pct=pct,
+             justificacion=F.col("ds_justificacion"), encabezados=F.col("ds_encabezados_utiles"),
+             uid=F.col("UID"), url=F.col("url"), ods=F.col("_ods"), arch=F.col("_arch"),
+             madurez=F.when(low, F.lit(TPL.MATURITY_LOW)).otherwise(F.lit(TPL.MATURITY_HIGH)),
+             recomendacion=F.when(low, F.lit(TPL.RECOMMEND_LOW)).otherwise(_t(TPL.RECOMMEND_HIGH, dept=dept)),
+             gender=gender, territorial=territorial)
+    return df.withColumn("proposal", _strip(doc)).select(*cat.columns, "proposal")
+
+
+def crop_report(plan: DataFrame, fecha: Column) -> Column:
+    """compliance report of a sowing plan row (``planner.sowing_plan`` output)."""
+    status = F.col("madr_compliance")
+    head = _t(TPL.CROP_REPORT, fecha=fecha, crop=F.col("cultivo"), alt=_pyfloat(F.col("altitud_m")),
+              ph=_pyfloat(F.col("ph_suelo")), slope=_pyfloat(F.col("pendiente_pct")), texture=F.col("textura"),
+              best_month=F.col("best_month"), best_yield=_pyfloat(F.col("best_yield")),
+              score=suitability_score(status).cast("string"), status=F.upper(status))
+    rules = F.array_join(F.transform("madr_rules", lambda r: F.concat(F.lit("\n* "), r)), "")
+    return F.concat(head, rules, F.lit(TPL.CROP_REPORT_FOOTER))
+
+
+def livestock_report(eco: DataFrame, fecha: Column) -> Column:
+    """herd management plan of a ``livestock_economics`` output row."""
+    area, herd = F.col("farm_area"), F.col("herd_size")
+    money = lambda c: F.format_number(F.col(c), 0)
+    head = _t(TPL.LIVESTOCK_REPORT, fecha=fecha, mun=F.col("municipio"), dept=F.col("departamento"),
+              area=_pyfloat(area), species=F.col("species"),
+              purpose=F.when(F.col("species") == "Bovino", F.col("purpose")).otherwise(F.lit("Carne")),
+              herd=herd.cast("string"), revenue=money("gross_revenue"), costs=money("total_operating_costs"),
+              interest=money("annual_interest_payment"), net=money("net_profit"),
+              margin=_pyfloat(F.col("margin_pct")), roi=_pyfloat(F.col("roi_pct")),
+              capacity=_pyfloat(F.col("carrying_capacity_ha")), max_animals=F.col("max_animals_allowed").cast("string"),
+              load=F.when(area > 0, _pyfloat(F.bround(herd / area, 2))).otherwise(F.lit("0")),
+              credit=money("recommended_credit"))
+    alerts = F.array_join(F.transform("alerts", lambda r: F.concat(F.lit("\n* "), r)), "")
+    return F.concat(head, alerts, F.lit(TPL.LIVESTOCK_REPORT_FOOTER))
+
+
+def credit_barriers(requests: DataFrame, dept_col: str = "departamento",
+                    producer_col: str = "producer_type") -> DataFrame:
+    """barrier text and suggested credit line for preferential producers in a department
+    with indicators (ordered substring lookup, as J9); other rows are dropped."""
+    df = requests.where((F.col(dept_col) != "Todos") & (F.col(producer_col) != "General"))
+    df = gender_indicators(df, dept_col).where(F.col("ipg_educacion").isNotNull())
+    women = F.col(producer_col) == SUBSIDISED_PROFILES[0]
+    d = F.col(dept_col)
+    barrier = F.when(women, _t(TPL.BARRIER_WOMEN, dept=d, pct=_pyfloat(F.col("mujeres_beneficiarias_pct")))) \
+        .otherwise(_t(TPL.BARRIER_YOUTH, dept=d, pct=_pyfloat(F.col("relevo_joven_pct"))))
+    line = F.when(women, F.lit(TPL.LINE_WOMEN)).otherwise(F.lit(TPL.LINE_YOUTH))
+    return df.withColumn("barrier", barrier).withColumn("suggested_line", line)

@@ -669,3 +669,34 @@ def q_known_override(spark, sf_dir):
         F.when(k % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("sin título")).alias("Titulo"))
     out = docs_plan.known_probability(req, cat)
     return out.select("request_id", "known_prob")
+
+
+# ------------------------------------------------------------------ documents
+@register("proposal_doc")
+def q_proposal_doc(spark, sf_dir):
+    """F28 (+J9, F12, F25, P8): project proposal per catalog dataset, probability from J10."""
+    cat = _catalog(spark, sf_dir)
+    withp = docs_plan.known_probability(cat, cat)
+    return docs_plan.proposal_markdown(withp, F.col("known_prob")).select("UID", "proposal")
+
+
+@register("compliance_report")
+def q_compliance_report(spark, sf_dir):
+    """the compliance report of every parcel's sowing plan."""
+    plan = _plan(spark, sf_dir)
+    return plan.select("parcel_id", docs_plan.crop_report(plan, F.lit(REGISTRATION_DATE)).alias("report"))
+
+
+@register("livestock_plan")
+def q_livestock_plan(spark, sf_dir):
+    """the management plan of every herd."""
+    eco = _livestock(spark, sf_dir)
+    return eco.select("herd_id", docs_plan.livestock_report(eco, F.lit(REGISTRATION_DATE)).alias("report"))
+
+
+@register("credit_barrier")
+def q_credit_barrier(spark, sf_dir):
+    """credit barriers for preferential herd owners, herds placed in catalog departments."""
+    h = si.herds(spark, sf_dir)
+    h = h.withColumn("departamento", F.coalesce(si.pick(si.CATALOG_DEPTS, F.col("herd_id") % 8), F.lit("Todos")))
+    return docs_plan.credit_barriers(h).select("herd_id", "departamento", "producer_type", "barrier", "suggested_line")

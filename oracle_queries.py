@@ -1042,3 +1042,78 @@ bu AS (SELECT "UID" AS k, arg_min(es_viable, "UID") AS v FROM geocoded GROUP BY
 bt AS (SELECT "Titulo" AS k, arg_min(es_viable, "UID") AS v FROM geocoded GROUP BY 1)
 SELECT request_id, CASE WHEN coalesce(bu.v, bt.v) IS NULL THEN NULL WHEN coalesce(bu.v, bt.v) THEN 1.0 ELSE 0.0 END AS known_prob
 FROM r2 LEFT JOIN bu ON bu.k = r2.ru LEFT JOIN bt ON bt.k = r2.rt"""
+
+
+# ------------------------------------------------------------------ documents
+import agrolattice.templates as TPL  # noqa: E402
+
+_DEPT = q(ENT + "Departamento")
+_PTD = "ptd(pid, ods, arch, ptitle) AS (VALUES " + ", ".join(
+    f"({k}, {lit(v[0])}, {lit(v[1])}, {lit([p[3] for p in PROJECT_TYPES if p[0] == k][0])})"
+    for k, v in TPL.PROJECT_DETAILS.items()) + ")"
+
+
+def _gsx(col: str, dept: str) -> str:
+    dn = f"lower(trim({dept}))"
+    return f"(SELECT {col} FROM gs WHERE contains({dn}, k) OR contains(k, {dn}) ORDER BY ord LIMIT 1)"
+
+
+_PCT = "CAST(round_even(prob * 100, 2)::DOUBLE AS VARCHAR)"
+_REASONS = f"""concat_ws(', ',
+    CASE WHEN "Número de Filas" < 2000 THEN {sql_t(TPL.REASON_ROWS, filas="format('{:,}', \"Número de Filas\")")} END,
+    CASE WHEN "Número de Columnas" < 10 THEN {sql_t(TPL.REASON_COLS, columnas='CAST("Número de Columnas" AS VARCHAR)')} END,
+    CASE WHEN ds_score_relevancia < 3.5 THEN {sql_t(TPL.REASON_REL, relevancia='CAST(ds_score_relevancia AS VARCHAR)')} END)"""
+_TERR = "(" + " OR ".join(f"contains(lower(coalesce(dept, '')), {lit(t)})" for t in PRIORITY_TERRITORY_TOKENS) + ")"
+_DOC = sql_t(
+    TPL.PROPOSAL,
+    banner=f"CASE WHEN prob < 0.5 THEN {sql_t(TPL.WARNING_BANNER, pct=_PCT, reasons=f'CASE WHEN reasons <> {lit(chr(0))} AND reasons <> {lit(chr(39) * 0)} THEN reasons ELSE {lit(TPL.REASON_DEFAULT)} END')} ELSE '' END",
+    proj_title="ptitle", entidad=q(ENT + "Nombre de la Entidad"), sector=q(ENT + "Sector"), orden=q(ENT + "Orden"),
+    cobertura="alcance_geografico", titulo='"Titulo"', columnas='CAST("Número de Columnas" AS VARCHAR)',
+    filas="format('{:,}', \"Número de Filas\")", pct=_PCT, justificacion="ds_justificacion",
+    encabezados="ds_encabezados_utiles", uid='"UID"', url="url", ods="ods", arch="arch",
+    madurez=f"CASE WHEN prob < 0.5 THEN {lit(TPL.MATURITY_LOW)} ELSE {lit(TPL.MATURITY_HIGH)} END",
+    recomendacion=f"CASE WHEN prob < 0.5 THEN {lit(TPL.RECOMMEND_LOW)} ELSE {sql_t(TPL.RECOMMEND_HIGH, dept='dept')} END",
+    gender=f"""CASE WHEN ipg IS NOT NULL THEN {sql_t(TPL.GENDER_TEXT, ipg="printf('%.2f', round_even(ipg, 2))",
+        mujeres='CAST(muj AS VARCHAR)', relevo='CAST(rel AS VARCHAR)', dept='dept')} ELSE {lit(TPL.GENDER_DEFAULT)} END""",
+    territorial=f"CASE WHEN {_TERR} THEN {sql_t(TPL.TERRITORIAL_TEXT, dept='dept')} ELSE '' END")
+SQL["proposal_doc"] = CLEAN + ", " + GS + ", " + _PTD + f""",
+pp AS (SELECT g.*, {_DEPT} AS dept, CASE WHEN es_viable THEN 1.0 ELSE 0.0 END AS prob, ({_ptype_sql()}) AS pid,
+    {_gsx('ipg', _DEPT)} AS ipg, {_gsx('muj', _DEPT)} AS muj, {_gsx('rel', _DEPT)} AS rel FROM geocoded g),
+p2 AS (SELECT pp.*, ptd.ods, ptd.arch, ptd.ptitle, {_REASONS} AS reasons FROM pp JOIN ptd USING (pid))
+SELECT "UID", regexp_replace({_DOC}, '^\\s+|\\s+$', '', 'g') AS proposal FROM p2"""
+
+_RULE_LINES = "array_to_string(list_transform(string_split(rules_txt, ' | '), lambda r: chr(10) || '* ' || r), '')"
+SQL["compliance_report"] = PLANNER_BASE + "," + BEST + f""",
+rep0 AS (SELECT *, {STATUS_SQL} AS st, {RULES_SQL} AS rules_txt FROM best),
+rep AS (SELECT rep0.*, p.textura FROM rep0 JOIN parcels p USING (parcel_id))
+SELECT parcel_id, {sql_t(TPL.CROP_REPORT, fecha="'2026-05-01'", crop='cultivo', alt='CAST(altitud_m AS VARCHAR)',
+    ph='CAST(ph_suelo AS VARCHAR)', slope='CAST(pendiente_pct AS VARCHAR)', texture='textura', best_month='best_month',
+    best_yield='CAST(best_yield AS VARCHAR)',
+    score="CAST(CASE WHEN st = 'Conforme' THEN 100 WHEN st = 'Condicionado' THEN 60 ELSE 20 END AS VARCHAR)",
+    status='upper(st)')} || {_RULE_LINES} || {lit(TPL.CROP_REPORT_FOOTER)} AS report FROM rep"""
+
+_ALERTS_SQL = SQL["livestock_alerts"].split("concat_ws(' | ',", 1)[1].rsplit(") AS alerts", 1)[0]
+SQL["livestock_plan"] = with_(*LIVE_CTES) + f""", lp2 AS (SELECT *, concat_ws(' | ', {_ALERTS_SQL}) AS alerts_txt,
+    round_even(CASE WHEN revenue > 0 THEN net / revenue * 100.0 ELSE 0.0 END, 1) AS margin,
+    round_even(CASE WHEN invest > 0 THEN net / invest * 100.0 ELSE 0.0 END, 1) AS roi FROM h4)
+SELECT herd_id, {sql_t(TPL.LIVESTOCK_REPORT, fecha="'2026-05-01'", mun='municipio', dept='departamento',
+    area='CAST(farm_area AS VARCHAR)', species='species',
+    purpose="CASE WHEN species = 'Bovino' THEN purpose ELSE 'Carne' END", herd='CAST(herd_size AS VARCHAR)',
+    revenue="format('{:,}', CAST(trunc(revenue) AS BIGINT))", costs="format('{:,}', CAST(trunc(cost) AS BIGINT))",
+    interest="format('{:,}', CAST(trunc(interest) AS BIGINT))", net="format('{:,}', CAST(trunc(net) AS BIGINT))",
+    margin='CAST(margin::DOUBLE AS VARCHAR)', roi='CAST(roi::DOUBLE AS VARCHAR)',
+    capacity='CAST(round_even(cap, 2)::DOUBLE AS VARCHAR)', max_animals='CAST(CAST(trunc(cap * farm_area) AS BIGINT) AS VARCHAR)',
+    load="CASE WHEN farm_area > 0 THEN CAST(round_even(hs / farm_area, 2)::DOUBLE AS VARCHAR) ELSE '0' END",
+    credit="format('{:,}', CAST(trunc(credit_amt) AS BIGINT))")} || {_RULE_LINES.replace('rules_txt', 'alerts_txt')}
+  || {lit(TPL.LIVESTOCK_REPORT_FOOTER)} AS report FROM lp2"""
+
+_CAT_DEPTS = ["Valle del Cauca", "Norte de Santander", "Bogotá D.C.", "Caquetá", "Antioquia", None, "Amazonas", "Cauca"]
+SQL["credit_barrier"] = with_(GEO, HERDS, GS) + f""", hb AS (SELECT herd_id, producer_type,
+    coalesce({case_pick(_CAT_DEPTS, "herd_id % 8")}, 'Todos') AS departamento FROM herds),
+hg AS (SELECT *, {_gsx('muj', 'departamento')} AS muj, {_gsx('rel', 'departamento')} AS rel, {_gsx('ipg', 'departamento')} AS ipg
+  FROM hb WHERE departamento <> 'Todos' AND producer_type <> 'General')
+SELECT herd_id, departamento, producer_type,
+  CASE WHEN producer_type = {lit(SUBSIDISED_PROFILES[0])} THEN {sql_t(TPL.BARRIER_WOMEN, dept='departamento', pct='CAST(muj AS VARCHAR)')}
+       ELSE {sql_t(TPL.BARRIER_YOUTH, dept='departamento', pct='CAST(rel AS VARCHAR)')} END AS barrier,
+  CASE WHEN producer_type = {lit(SUBSIDISED_PROFILES[0])} THEN {lit(TPL.LINE_WOMEN)} ELSE {lit(TPL.LINE_YOUTH)} END AS suggested_line
+FROM hg WHERE ipg IS NOT NULL"""
