@@ -36,8 +36,10 @@ def register(name: str):
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every floating column (keeps names and order)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
-                       if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+    def c(name):
+        return F.col("`" + name.replace("`", "``") + "`")
+    return df.select(*[F.round(c(f.name), places).alias(f.name)
+                       if isinstance(f.dataType, (DoubleType, FloatType)) else c(f.name)
                        for f in df.schema.fields])
 
 
@@ -700,3 +702,90 @@ def q_credit_barrier(spark, sf_dir):
     h = si.herds(spark, sf_dir)
     h = h.withColumn("departamento", F.coalesce(si.pick(si.CATALOG_DEPTS, F.col("herd_id") % 8), F.lit("Todos")))
     return docs_plan.credit_barriers(h).select("herd_id", "departamento", "producer_type", "barrier", "suggested_line")
+
+
+# ------------------------------------------------------------------ sinks, persistence, pipeline, filters
+from .plans import pipeline as pipeline_plan  # noqa: E402
+from .session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark)}/outputs/{name}-{uuid.uuid4().hex[:10]}"
+
+
+@register("regional_extract")
+def q_regional_extract(spark, sf_dir):
+    """The clean catalog written as one CSV extract per department; rows per extract."""
+    cat = _catalog(spark, sf_dir).select("UID", "Titulo", F.col(f"`{ENT}Departamento`").alias("dept"))
+    return pipeline_plan.extract_by_department(cat, _scratch(spark, "extracts"), "dept")
+
+
+@register("pipeline_outputs")
+def q_pipeline_outputs(spark, sf_dir):
+    """S4 + S7: materialise master, yearly climate, yearly prices, livestock and the clean
+    catalog as parquet; rows per written table."""
+    outs = pipeline_plan.run_pipeline(
+        spark, _scratch(spark, "processed"), si.production(spark, sf_dir), si.soils(spark, sf_dir),
+        si.climate_daily(spark, sf_dir), si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir),
+        si.land_security(spark, sf_dir), si.livestock(spark, sf_dir), si.catalog_raw(spark, sf_dir),
+        climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+    frames = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(n)) for n, df in outs.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.select("table_name", "rows")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """A fitted yield pipeline saved and re-loaded gives the same predictions."""
+    master = _master_for_model(spark, sf_dir)
+    model, _ = model_plan.train_yield(master, **SMALL)
+    path = _scratch(spark, "yield_model")
+    pipeline_plan.save_model(model, path)
+    again = pipeline_plan.load_model(path)
+    data = model_plan.prepare_yield(master)
+    a = model_plan.predict_yield(model, data).select("row_key", F.col("prediction").alias("p1"))
+    b = model_plan.predict_yield(again, data).select("row_key", F.col("prediction").alias("p2"))
+    j = a.join(b, "row_key")
+    return j.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+
+
+@register("hybrid_rmse")
+def q_hybrid_rmse(spark, sf_dir):
+    """Dummy-coded random forest vs boosted trees, hold-out RMSE of both."""
+    _, metrics = model_plan.hybrid_models(_master_for_model(spark, sf_dir), rf_trees=10, gbt_iter=5)
+    return rounded(metrics)
+
+
+@register("region_filter")
+def q_region_filter(spark, sf_dir):
+    """P3 + P4(a): exact department filter and case-insensitive department filter."""
+    cat = _catalog(spark, sf_dir)
+    d = F.col(f"`{ENT}Departamento`")
+    exact = cat.where(d == "Valle del Cauca").select("UID", F.lit("exact").alias("filter_kind"))
+    ci = cat.where(F.lower(d) == "cauca").select("UID", F.lit("case_insensitive").alias("filter_kind"))
+    return exact.unionByName(ci)
+
+
+@register("hectares_display")
+def q_hectares_display(spark, sf_dir):
+    """P2 + T1: the A15 table with presentation names, department asc / hectares desc."""
+    t = S.hectares_table(si.production(spark, sf_dir))
+    t = t.withColumnsRenamed({"departamento": "Departamento", "municipio": "Municipio", "cultivo": "Sector (Cultivo)",
+                              "hectareas_sembradas": "Ha Sembradas", "produccion_total_ton": "Producción Total (Ton)",
+                              "rendimiento_promedio": "Rend. Prom. (Ton/Ha)"})
+    return rounded(t.orderBy(F.col("Departamento").asc(), F.col("`Ha Sembradas`").desc()))
+
+
+@register("explorer_vars")
+def q_explorer_vars(spark, sf_dir):
+    """The multivariate explorer's pick (x, y, colour, size = credit) from the master."""
+    m = master_plan.consolidate(
+        si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
+        si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+    return rounded(m.select("l_orderkey", "l_linenumber", F.col("temp_media_c").alias("x"),
+                            F.col("rendimiento_ton_ha").alias("y"), F.col("cultivo").alias("colour"),
+                            F.col("monto_creditos_cop").alias("size")))

@@ -1117,3 +1117,23 @@ SELECT herd_id, departamento, producer_type,
        ELSE {sql_t(TPL.BARRIER_YOUTH, dept='departamento', pct='CAST(rel AS VARCHAR)')} END AS barrier,
   CASE WHEN producer_type = {lit(SUBSIDISED_PROFILES[0])} THEN {lit(TPL.LINE_WOMEN)} ELSE {lit(TPL.LINE_YOUTH)} END AS suggested_line
 FROM hg WHERE ipg IS NOT NULL"""
+
+
+# ------------------------------------------------------------------ sinks and filters
+SQL["regional_extract"] = CLEAN + f"""SELECT coalesce({_DEPT}, 'Nacional') AS departamento, count(*) AS rows
+FROM geocoded GROUP BY 1"""
+SQL["pipeline_outputs"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + ",\n" + ", ".join([
+    CATALOG_RAW, DEDUP, TYPED, COORDS, GEOCODED]) + """
+SELECT 'consolidated_data' AS table_name, count(*) AS rows FROM master_final
+UNION ALL SELECT 'clima_ideam_anual', count(*) FROM clim_y
+UNION ALL SELECT 'precios_sipsa_anual', count(*) FROM price_y
+UNION ALL SELECT 'inventario_ganadero_anual', count(*) FROM livestock
+UNION ALL SELECT 'cleaned_datasets_catalog', count(*) FROM geocoded"""
+SQL["region_filter"] = CLEAN + f"""SELECT "UID", 'exact' AS filter_kind FROM geocoded WHERE {_DEPT} = 'Valle del Cauca'
+UNION ALL SELECT "UID", 'case_insensitive' FROM geocoded WHERE lower({_DEPT}) = 'cauca'"""
+SQL["hectares_display"] = with_(GEO, PRODUCTION, HECT) + """SELECT departamento AS "Departamento", municipio AS "Municipio",
+  cultivo AS "Sector (Cultivo)", hectareas_sembradas AS "Ha Sembradas", produccion_total_ton AS "Producción Total (Ton)",
+  rendimiento_promedio AS "Rend. Prom. (Ton/Ha)" FROM hect"""
+SQL["explorer_vars"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + """
+SELECT l_orderkey, l_linenumber, round(temp_media_c, 6) AS x, round(rendimiento_ton_ha, 6) AS y, cultivo AS colour,
+  round(monto_creditos_cop, 6) AS size FROM master_final"""
