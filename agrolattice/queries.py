@@ -789,3 +789,15 @@ def q_explorer_vars(spark, sf_dir):
     return rounded(m.select("l_orderkey", "l_linenumber", F.col("temp_media_c").alias("x"),
                             F.col("rendimiento_ton_ha").alias("y"), F.col("cultivo").alias("colour"),
                             F.col("monto_creditos_cop").alias("size")))
+
+
+@register("region_scan")
+def q_region_scan(spark, sf_dir):
+    """S3: climate laid out by department, then one department's three columns read with
+    partition pruning; daily rain totals per month."""
+    from .sources.tables import read_region, write_partitioned
+    path = _scratch(spark, "climate_by_dept")
+    write_partitioned(si.climate_daily(spark, sf_dir), path, "departamento")
+    df = read_region(spark, path, "departamento", "ASIA", ["fecha", "precipitacion_diaria_mm", "temperatura_promedio_c"])
+    return rounded(df.groupBy(F.year("fecha").alias("anio"), F.month("fecha").alias("mes")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("precipitacion_diaria_mm").alias("rain")))

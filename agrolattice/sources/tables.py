@@ -92,3 +92,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(jpath)
+
+
+def write_partitioned(df: DataFrame, path: str, partition_col: str) -> None:
+    """Lay a table out by ``partition_col`` (e.g. department) so region reads prune folders."""
+    df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+
+
+def read_region(spark: SparkSession, path: str, partition_col: str, value: str, columns: list[str]) -> DataFrame:
+    """S3: region-filtered, column-pruned scan.  The filter on the partition column prunes
+    folders (PartitionFilters) and only ``columns`` are read (ReadSchema)."""
+    return spark.read.parquet(path).where(F.col(partition_col) == value).select(*columns)
