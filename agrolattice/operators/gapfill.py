@@ -17,6 +17,10 @@ runs in two levels:
    row offset and the known values carried in from earlier / later chunks;
 3. summaries join back on (group, chunk).  The row side keeps the hash partitioning of
    step 1, so only the small summary side is shuffled again.
+
+Cost: the summary branch re-reads and re-shuffles the projected input once (Spark does not
+reuse the exchange across the two branches); every shuffle is keyed by (group, chunk), so
+no task ever holds more than one chunk of a group.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str],
         local[f"_next_{m}"] = F.last(known, ignorenulls=True).over(w_bwd)
     rows = rows.withColumns(local)
 
-    # level 2: one summary row per (group, chunk)
+    # level 2: one summary row per (group, chunk), from the same windowed rows
     aggs = [F.count(F.lit(1)).alias("_n")]
     for m in measures:
         known = F.when(F.col(m).isNotNull(), F.struct(F.col("_rn").alias("p"), F.col(m).alias("v")))
