@@ -801,3 +801,55 @@ def q_region_scan(spark, sf_dir):
     df = read_region(spark, path, "departamento", "ASIA", ["fecha", "precipitacion_diaria_mm", "temperatura_promedio_c"])
     return rounded(df.groupBy(F.year("fecha").alias("anio"), F.month("fecha").alias("mes")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("precipitacion_diaria_mm").alias("rain")))
+
+
+# ------------------------------------------------------------------ remaining inventory items
+@register("label_distribution")
+def q_label_distribution(spark, sf_dir):
+    """Class distribution of the viability label."""
+    return _catalog(spark, sf_dir).groupBy("es_viable").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("preview_rows")
+def q_preview_rows(spark, sf_dir):
+    """First 15 rows of a table by its key (a top-k report: the limit is the feature)."""
+    from .operators.topk import top_n
+    prod = si.production(spark, sf_dir)
+    return rounded(top_n(prod, [F.col("l_orderkey").asc(), F.col("l_linenumber").asc()], 15))
+
+
+@register("price_series")
+def q_price_series(spark, sf_dir):
+    """T4: the price series in date order (ties by line key)."""
+    p = si.prices_weekly(spark, sf_dir).where(F.col("fecha").isNotNull())
+    return rounded(p.orderBy("fecha", "l_orderkey", "l_linenumber").select(
+        F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), "cultivo", "precio_kg_promedio_cop", "l_orderkey",
+        "l_linenumber"))
+
+
+@register("land_table")
+def q_land_table(spark, sf_dir):
+    """T5: land-security table sorted by the security index, descending."""
+    return rounded(si.land_security(spark, sf_dir).orderBy(F.col("indice_seguridad_juridica").desc(), "departamento",
+                                                           "municipio"))
+
+
+@register("fitness_features")
+def q_fitness_features(spark, sf_dir):
+    """pH / altitude / temperature fitness factors (F1) and the rain deficit against the
+    crop's mean annual rain, per master row."""
+    m = master_plan.consolidate(
+        si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
+        si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+    m = planner_plan.with_crop_params(m)
+    p = {k: F.col("cp_" + k) for k in planner_plan.PARAM_COLS}
+    rain_mean = m.groupBy("cultivo").agg(F.avg("precipitacion_anual_mm").alias("_crop_rain"))
+    m = m.join(rain_mean, "cultivo", "left")
+    return rounded(m.select(
+        "l_orderkey", "l_linenumber", "cultivo",
+        stress_factor(F.col("ph_suelo"), p["ph_min"], p["ph_max"], p["ph_sigma"]).alias("ph_fitness"),
+        stress_factor(F.col("altitud_m"), p["alt_min"], p["alt_max"], p["alt_sigma"]).alias("alt_fitness"),
+        stress_factor(F.col("temp_media_c"), p["temp_min"], p["temp_max"], p["temp_sigma"]).alias("temp_fitness"),
+        (F.col("_crop_rain") - F.col("precipitacion_anual_mm")).alias("rain_deficit_mm"),
+        (F.col("precipitacion_anual_mm") < F.col("_crop_rain")).alias("water_stress_risk")))

@@ -1139,3 +1139,25 @@ SELECT l_orderkey, l_linenumber, round(temp_media_c, 6) AS x, round(rendimiento_
   round(monto_creditos_cop, 6) AS size FROM master_final"""
 SQL["region_scan"] = with_(GEO, CLIMATE) + """SELECT CAST(year(fecha) AS INTEGER) AS anio, CAST(month(fecha) AS INTEGER) AS mes,
   count(*) AS rows, round(sum(precipitacion_diaria_mm), 6) AS rain FROM climate WHERE departamento = 'ASIA' GROUP BY ALL"""
+
+
+# ------------------------------------------------------------------ remaining inventory items
+SQL["label_distribution"] = CLEAN + "SELECT es_viable, count(*) AS count FROM geocoded GROUP BY 1"
+SQL["preview_rows"] = with_(GEO, PRODUCTION) + """SELECT anio, departamento, municipio, cultivo,
+  round(hectareas_sembradas, 6) AS hectareas_sembradas, round(produccion_obtenida_ton, 6) AS produccion_obtenida_ton,
+  round(rendimiento_ton_ha, 6) AS rendimiento_ton_ha, round(hectareas_cosechadas, 6) AS hectareas_cosechadas,
+  l_orderkey, l_linenumber FROM production ORDER BY l_orderkey, l_linenumber LIMIT 15"""
+SQL["price_series"] = with_(PRICES) + """SELECT strftime(fecha, '%Y-%m-%d') AS fecha, cultivo,
+  round(precio_kg_promedio_cop, 6) AS precio_kg_promedio_cop, l_orderkey, l_linenumber FROM prices WHERE fecha IS NOT NULL"""
+SQL["land_table"] = with_(GEO, LAND) + """SELECT departamento, municipio, round(hectareas_catastradas, 6) AS hectareas_catastradas,
+  round(hectareas_formalizadas, 6) AS hectareas_formalizadas, predios_formalizados, solicitudes_restitucion_activas,
+  round(conflicto_uso_suelo_pct, 6) AS conflicto_uso_suelo_pct, round(indice_seguridad_juridica, 6) AS indice_seguridad_juridica
+FROM land"""
+SQL["fitness_features"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + ",\n" + CP + f""",
+mr AS (SELECT cultivo, avg(precipitacion_anual_mm) AS crop_rain FROM master_final GROUP BY 1)
+SELECT l_orderkey, l_linenumber, m.cultivo,
+  round({stress('ph_suelo', 'ph_min', 'ph_max', 'ph_sigma')}, 6) AS ph_fitness,
+  round({stress('altitud_m', 'alt_min', 'alt_max', 'alt_sigma')}, 6) AS alt_fitness,
+  round({stress('temp_media_c', 'temp_min', 'temp_max', 'temp_sigma')}, 6) AS temp_fitness,
+  round(mr.crop_rain - precipitacion_anual_mm, 6) AS rain_deficit_mm, precipitacion_anual_mm < mr.crop_rain AS water_stress_risk
+FROM master_final m LEFT JOIN cp ON cp.crop = m.cultivo LEFT JOIN mr ON mr.cultivo = m.cultivo"""
