@@ -84,11 +84,13 @@ def _p1(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(f"pp_{name}", vector_to_array(F.col(f"p_{name}"))[1])
 
 
-def train_viability(cat: DataFrame, n_trees: int = 100, gbt_iter: int = 300, folds: int = 5, seed: int = 42):
+def train_viability(cat: DataFrame, n_trees: int = 100, gbt_iter: int = 300, folds: int = 5, seed: int = 42,
+                    refit: bool = True):
     """M4-M8: featurise, hash-split 80/20 (per class in expectation), fit the stack with
-    out-of-fold base probabilities and a logistic meta-model, evaluate, refit on all rows.
+    out-of-fold base probabilities and a logistic meta-model, evaluate, refit on all rows
+    (``refit=False`` keeps the hold-out models, enough for the metrics).
     Returns (featurizer model, base models, meta model, metrics DataFrame)."""
-    data = prepare_catalog(cat)
+    data = prepare_catalog(cat).cache()  # the featurizer and the learners make several passes
     feat = viability_featurizer().fit(data)
     x = feat.transform(data).select("UID", "label", "features").cache()
     train, test = hash_split(x, "UID", 20, seed)
@@ -110,6 +112,8 @@ def train_viability(cat: DataFrame, n_trees: int = 100, gbt_iter: int = 300, fol
 
     bases, meta = fit_stack(train)
     metrics = binary_metrics(apply_stack(test, bases, meta))
+    if not refit:
+        return feat, bases, meta, metrics
     bases_all, meta_all = fit_stack(x)
     return feat, bases_all, meta_all, metrics
 

@@ -498,7 +498,7 @@ SMALL = {"n_trees": 10, "gbt_iter": 5}
 @register("viability_metrics")
 def q_viability_metrics(spark, sf_dir):
     """M1-M8: stacked viability classifier, hold-out metrics (small forests for the check)."""
-    _, _, _, metrics = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, **SMALL)
+    _, _, _, metrics = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, refit=False, **SMALL)
     return rounded(metrics)
 
 
@@ -520,7 +520,7 @@ def q_viability_scores(spark, sf_dir):
 @register("importances")
 def q_importances(spark, sf_dir):
     """Top-8 features by mean importance over the base models."""
-    feat, bases, _, _ = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, **SMALL)
+    feat, bases, _, _ = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, refit=False, **SMALL)
     return rounded(model_plan.feature_importances(spark, feat, bases))
 
 
