@@ -562,7 +562,8 @@ def q_stream_daily(spark, sf_dir):
     """Streaming 1-day station roll-up with a 2-day watermark (append: closed windows)."""
     daily = stream_rollups.daily_rollup(stream_rollups.station_stream(spark, sf_dir))
     out = stream_rollups.run_available_now(daily, "stream_daily")
-    return rounded(out.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "departamento",
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"), "departamento",
                               "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",
                               "brillo_solar_horas"))
 
@@ -571,7 +572,8 @@ def q_stream_daily(spark, sf_dir):
 def q_moving_average(spark, sf_dir):
     """28-day moving average of prices per crop, sliding every 7 days."""
     w = stream_rollups.price_windows(si.prices_weekly(spark, sf_dir))
-    return rounded(w.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "cultivo",
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return rounded(w.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"), "cultivo",
                             "moving_avg_price", "n_prices"))
 
 

@@ -22,6 +22,17 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+def wall_to_instant(c: Column, session_tz: str) -> Column:
+    """A wall-clock TIMESTAMP_NTZ as a TIMESTAMP instant read in UTC, whatever the session
+    time zone (watermarks need TIMESTAMP; windows then align to wall-clock midnight)."""
+    return F.from_utc_timestamp(c.cast("timestamp"), session_tz)
+
+
+def instant_to_wall(c: Column, session_tz: str, fmt: str = "yyyy-MM-dd") -> Column:
+    """Render an instant produced by ``wall_to_instant`` back as wall-clock text."""
+    return F.date_format(F.to_utc_timestamp(c, session_tz), fmt)
+
+
 MEASURES = ["temperatura_promedio_c", "precipitacion_diaria_mm", "humedad_relativa_pct", "brillo_solar_horas"]
 
 
@@ -38,7 +49,7 @@ def station_stream(spark: SparkSession, source_dir: str, file_glob: str = "event
     return raw.select(
         F.concat(F.lit("D"), (F.col("user_id") % 5).cast("string")).alias("departamento"),
         F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("municipio"),
-        F.col("ts").cast("timestamp").alias("ts"),  # watermarks need TIMESTAMP (parquet gives NTZ)
+        wall_to_instant(F.col("ts"), spark.conf.get("spark.sql.session.timeZone")).alias("ts"),
         gap(7, 10 + v / 20).alias(MEASURES[0]), gap(5, v / 10).alias(MEASURES[1]),
         gap(11, 60 + v / 25).alias(MEASURES[2]), gap(3, v / 50).alias(MEASURES[3]))
 
@@ -56,7 +67,8 @@ def daily_rollup(readings: DataFrame, watermark: str = "2 days") -> DataFrame:
 def price_windows(prices: DataFrame, date_col: str = "fecha", crop: str = "cultivo",
                   price: str = "precio_kg_promedio_cop", length: str = "28 days", slide: str = "7 days") -> DataFrame:
     """Mean price per crop over sliding windows (batch or streaming input)."""
-    return (prices.groupBy(F.window(F.col(date_col).cast("timestamp"), length, slide), crop)
+    tz = prices.sparkSession.conf.get("spark.sql.session.timeZone")
+    return (prices.groupBy(F.window(wall_to_instant(F.col(date_col), tz), length, slide), crop)
             .agg(F.avg(price).alias("moving_avg_price"), F.count(F.lit(1)).alias("n_prices")))
 
 

@@ -59,7 +59,9 @@ def main():
     names = sys.argv[2:]
     import __spark_entry__ as E
     from agrolattice.session import build_session
-    spark = build_session("local[8]", shuffle_partitions=8)
+    # ORACLE_SPARK_TZ runs Spark in another session time zone (results must not change)
+    spark = build_session("local[8]", shuffle_partitions=8,
+                          extra={"spark.sql.session.timeZone": os.environ.get("ORACLE_SPARK_TZ", "UTC")})
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     ok_all = True
