@@ -53,7 +53,7 @@ from .. import templates as TPL  # noqa: E402
 from ..functions.agronomy import suitability_score  # noqa: E402
 from ..functions.text import priority_territory, project_type  # noqa: E402
 from ..operators.geocode import gender_indicators  # noqa: E402
-from ..params import SUBSIDISED_PROFILES  # noqa: E402
+from ..params import PROJECT_TYPES, SUBSIDISED_PROFILES  # noqa: E402
 
 
 def _strip(c: Column) -> Column:
@@ -70,8 +70,7 @@ def proposal_markdown(cat: DataFrame, prob: Column) -> DataFrame:
     spark = cat.sparkSession
     details = F.broadcast(spark.createDataFrame(
         [(k, v[0], v[1]) for k, v in TPL.PROJECT_DETAILS.items()], "_pid int, _ods string, _arch string"))
-    titles = F.broadcast(spark.createDataFrame([(p[0], p[3]) for p in __import__(
-        "agrolattice.params", fromlist=["PROJECT_TYPES"]).PROJECT_TYPES], "_tid int, _ptitle string"))
+    titles = F.broadcast(spark.createDataFrame([(p[0], p[3]) for p in PROJECT_TYPES], "_tid int, _ptitle string"))
     dept_col = ENT + "Departamento"
     df = cat.withColumn("_prob", prob).withColumn("_pid", project_type(F.col(f"`{ENT}Sector`"), F.col("Titulo")))
     df = df.join(details, "_pid").join(titles, F.col("_pid") == F.col("_tid"))

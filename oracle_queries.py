@@ -613,8 +613,6 @@ eco AS (SELECT *, round_even(yy, 2) AS yield_ton_ha, round_even(prod, 2) AS tota
     coalesce(crop_ord, 5) AS crop_ord2 FROM e3)"""
 
 
-ECON_BASE = with_(GEO, PRICES, PRODUCTION, SUPPLIER_LINES, CREDIT, PARCELS, CP, CLIMATE_CAL.split(",\nzm AS", 1)[0].replace(
-    "cm AS", "cm_unused AS", 1) if False else GEO) if False else None
 _ZONE = CLIMATE_CAL[CLIMATE_CAL.index("zm AS"):]
 ECON_CTES = [GEO, PRICES, PRODUCTION, SUPPLIER_LINES, CREDIT, PARCELS, CP, _ZONE]
 _ECON_COLS = ["yield_ton_ha", "total_production_ton", "precio_kg_cop", "gross_revenue", "total_cost", "net_profit",
