@@ -170,10 +170,12 @@ def yield_pipeline(n_trees: int = 300, gbt_iter: int = 300, seed: int = 42) -> P
 
 def prepare_yield(master: DataFrame) -> DataFrame:
     from ..operators.impute import global_mean_impute
-    df = master.withColumn("label", F.col("rendimiento_ton_ha").cast("double"))
+    from ..schemas import ensure_columns
+    # Absent feature columns take "Franco" (texture) or 0.0
+    df = ensure_columns(master, {"textura": "Franco", "cultivo": "Otro", **{c: 0.0 for c in YIELD_NUMERIC}})
+    df = df.withColumn("label", F.col("rendimiento_ton_ha").cast("double"))
     df = global_mean_impute(df, "label")  # C10
-    defaults = {c: 0.0 for c in YIELD_NUMERIC}
-    df = df.fillna(defaults).fillna({"textura": "Franco", "cultivo": "Otro"})
+    df = df.fillna({c: 0.0 for c in YIELD_NUMERIC}).fillna({"textura": "Franco", "cultivo": "Otro"})
     return df
 
 

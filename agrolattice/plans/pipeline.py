@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rollup import yearly_prices
-from ..sources.tables import regional_extracts, write_table
+from ..sources.tables import path_exists, regional_extracts, write_table
 from . import catalog as catalog_plan
 from . import master as master_plan
 
@@ -22,8 +22,10 @@ from . import master as master_plan
 def run_pipeline(spark: SparkSession, out_dir: str, production: DataFrame, soils: DataFrame, climate: DataFrame,
                  credit: DataFrame, prices: DataFrame, land: DataFrame, livestock: DataFrame,
                  catalog_raw: DataFrame, climate_order: list[str] | None = None,
-                 key_cols: tuple = ("anio",)) -> dict[str, DataFrame]:
-    """Write every processed table under ``out_dir`` (overwrite) and return them re-read."""
+                 key_cols: tuple = ("anio",), reuse: bool = False) -> dict[str, DataFrame]:
+    """Write every processed table under ``out_dir`` and return them re-read.  With
+    ``reuse=True`` a table whose folder already holds a finished write (``_SUCCESS``) is read
+    as is instead of being rebuilt (build-if-absent)."""
     outputs = {
         "consolidated_data": master_plan.consolidate(production, soils, climate, credit, prices, land, livestock,
                                                      climate_order=climate_order, key_cols=key_cols),
@@ -35,7 +37,8 @@ def run_pipeline(spark: SparkSession, out_dir: str, production: DataFrame, soils
     result = {}
     for name, df in outputs.items():
         path = os.path.join(out_dir, name)
-        write_table(df, path)
+        if not (reuse and path_exists(spark, os.path.join(path, "_SUCCESS"))):
+            write_table(df, path)
         result[name] = spark.read.parquet(path)
     return result
 

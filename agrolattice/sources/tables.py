@@ -87,6 +87,11 @@ def regional_extracts(df: DataFrame, path: str, dept_col: str) -> None:
                 fmt="csv", partition_by=["_dept"])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on the cluster file system (local, HDFS or object store)."""
+    return _exists(spark, path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)

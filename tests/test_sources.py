@@ -44,3 +44,12 @@ def test_region_read_prunes_partitions(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dept" in plan and "junk" not in plan.split("ReadSchema:")[1].split("\n")[0]
     assert [tuple(r) for r in out.collect()] == [(1, 2.0)]
+
+
+def test_pipeline_reuses_finished_outputs(spark):
+    from agrolattice.sources.tables import path_exists, write_table
+    d = tempfile.mkdtemp(prefix="agrolattice-test-")
+    p = os.path.join(d, "t")
+    assert not path_exists(spark, os.path.join(p, "_SUCCESS"))
+    write_table(spark.range(3), p)
+    assert path_exists(spark, os.path.join(p, "_SUCCESS"))
