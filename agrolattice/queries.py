@@ -396,10 +396,14 @@ def q_livestock_cash_flow(spark, sf_dir):
 def q_hierarchical_defaults(spark, sf_dir):
     """A19 + P4: planner defaults for (dept, mun, crop) requests from the master table,
     falling back region+crop -> region -> constants; some requests widen to "Todos"."""
-    master = master_plan.consolidate(
+    # the master is written once (as E1 does) and read back: both fallback levels read files
+    from .session import materialize
+    master = materialize(master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
         si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        .select("departamento", "municipio", "cultivo", "textura", "altitud_m", "ph_suelo", "pendiente_pct",
+                "materia_organica_pct", "temp_media_c", "precipitacion_anual_mm"), "master_for_defaults")
     k = F.col("parcel_id")
     req = si.parcels(spark, sf_dir).select(
         "parcel_id",
@@ -481,7 +485,9 @@ from .params import TFIDF_SIZES  # noqa: E402
 @register("tfidf_terms")
 def q_tfidf_terms(spark, sf_dir):
     """M1: TF-IDF weights of title (50), description (50) and justification (25 terms)."""
-    cat = _catalog(spark, sf_dir)
+    from .session import materialize
+    # the clean catalog's text columns are written once; the three vocabularies read files
+    cat = materialize(_catalog(spark, sf_dir).select("UID", *TFIDF_SIZES.keys()), "catalog_text")
     parts = [tfidf_long(cat, "UID", col, k).withColumn("field", F.lit(col)) for col, k in TFIDF_SIZES.items()]
     out = parts[0]
     for p in parts[1:]:
