@@ -48,45 +48,44 @@ def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str],
     w_bwd = Window.partitionBy(*part).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
 
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*asc)))
+    # primitive columns only (no structs): the windows stay simple and the summary runs as a
+    # hash aggregate
     local = {}
     for m in measures:
-        known = F.when(F.col(m).isNotNull(), F.struct(F.col("_rn").alias("p"), F.col(m).alias("v")))
-        local[f"_prev_{m}"] = F.last(known, ignorenulls=True).over(w_fwd)
-        local[f"_next_{m}"] = F.last(known, ignorenulls=True).over(w_bwd)
+        known_pos = F.when(F.col(m).isNotNull(), F.col("_rn"))
+        local[f"_pp_{m}"] = F.last(known_pos, ignorenulls=True).over(w_fwd)
+        local[f"_pv_{m}"] = F.last(F.col(m), ignorenulls=True).over(w_fwd)
+        local[f"_np_{m}"] = F.last(known_pos, ignorenulls=True).over(w_bwd)
+        local[f"_nv_{m}"] = F.last(F.col(m), ignorenulls=True).over(w_bwd)
     rows = rows.withColumns(local)
 
     # level 2: one summary row per (group, chunk), from the same windowed rows
     aggs = [F.count(F.lit(1)).alias("_n")]
     for m in measures:
-        known = F.when(F.col(m).isNotNull(), F.struct(F.col("_rn").alias("p"), F.col(m).alias("v")))
-        aggs += [F.min(known).alias(f"_first_{m}"), F.max(known).alias(f"_last_{m}")]
+        known_pos = F.when(F.col(m).isNotNull(), F.col("_rn"))
+        aggs += [F.min(known_pos).alias(f"_fp_{m}"), F.min_by(F.col(m), known_pos).alias(f"_fv_{m}"),
+                 F.max(known_pos).alias(f"_lp_{m}"), F.max_by(F.col(m), known_pos).alias(f"_lv_{m}")]
     summ = rows.groupBy(*part).agg(*aggs)
     w_c = Window.partitionBy(*group_cols).orderBy(ck)
-    summ = summ.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w_c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = w_c.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*group_cols).orderBy(F.col(ck).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     carried = {}
     for m in measures:
-        g_last = F.when(F.col(f"_last_{m}").isNotNull(), F.struct(
-            (F.col("_off") + F.col(f"_last_{m}.p")).alias("p"), F.col(f"_last_{m}.v").alias("v")))
-        g_first = F.when(F.col(f"_first_{m}").isNotNull(), F.struct(
-            (F.col("_off") + F.col(f"_first_{m}.p")).alias("p"), F.col(f"_first_{m}.v").alias("v")))
-        carried[f"_in_prev_{m}"] = F.last(g_last, ignorenulls=True).over(
-            w_c.rowsBetween(Window.unboundedPreceding, -1))
-        carried[f"_in_next_{m}"] = F.last(g_first, ignorenulls=True).over(
-            Window.partitionBy(*group_cols).orderBy(F.col(ck).desc())
-            .rowsBetween(Window.unboundedPreceding, -1))
-    summ = summ.withColumns(carried).select(
-        *part, "_off", *[f"_in_prev_{m}" for m in measures], *[f"_in_next_{m}" for m in measures])
+        carried[f"_ipp_{m}"] = F.last(F.col("_off") + F.col(f"_lp_{m}"), ignorenulls=True).over(before)
+        carried[f"_ipv_{m}"] = F.last(F.col(f"_lv_{m}"), ignorenulls=True).over(before)
+        carried[f"_inp_{m}"] = F.last(F.col("_off") + F.col(f"_fp_{m}"), ignorenulls=True).over(after)
+        carried[f"_inv_{m}"] = F.last(F.col(f"_fv_{m}"), ignorenulls=True).over(after)
+    summ = summ.withColumns(carried).select(*part, "_off", *carried.keys())
 
     out = rows.join(summ, part, "left")
     pos = F.col("_off") + F.col("_rn")
     filled = {}
     for m in measures:
-        lp, ln = F.col(f"_prev_{m}"), F.col(f"_next_{m}")
-        prev_p = F.coalesce(F.col("_off") + lp.p, F.col(f"_in_prev_{m}.p"))
-        prev_v = F.coalesce(lp.v, F.col(f"_in_prev_{m}.v"))
-        next_p = F.coalesce(F.col("_off") + ln.p, F.col(f"_in_next_{m}.p"))
-        next_v = F.coalesce(ln.v, F.col(f"_in_next_{m}.v"))
+        prev_p = F.coalesce(F.col("_off") + F.col(f"_pp_{m}"), F.col(f"_ipp_{m}"))
+        prev_v = F.coalesce(F.col(f"_pv_{m}"), F.col(f"_ipv_{m}"))
+        next_p = F.coalesce(F.col("_off") + F.col(f"_np_{m}"), F.col(f"_inp_{m}"))
+        next_v = F.coalesce(F.col(f"_nv_{m}"), F.col(f"_inv_{m}"))
         filled[m] = (F.when(F.col(m).isNotNull(), F.col(m))
                      .when(prev_p.isNotNull() & next_p.isNotNull(),
                            prev_v + (next_v - prev_v) * (pos - prev_p) / (next_p - prev_p))

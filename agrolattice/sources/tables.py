@@ -20,9 +20,19 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table of the driver's data set."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_READ_CACHE: dict = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """One parquet table of the driver's data set.
+
+    The DataFrame (file listing + footer schema) is kept per session and path: a query that
+    reads a table in several branches plans it once.  ``refresh=True`` re-lists the files."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark._jsparkSession), path)
+    if refresh or key not in _READ_CACHE:
+        _READ_CACHE[key] = spark.read.parquet(path)
+    return _READ_CACHE[key]
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: "StructType | str") -> DataFrame:
