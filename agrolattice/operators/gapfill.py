@@ -7,13 +7,13 @@ last take the last one; a group without any value stays null.
 
 Scale design: a plain ``Window.partitionBy(group)`` puts a whole group in one task, and a
 hot group (a third of all rows) would serialise the job.  Rows are instead split into
-*chunks* - contiguous slices of the ordering, by default one day per group - and the scan
-runs in two levels:
+*chunks* - contiguous slices of the ordering, sized per group to a target row count - and
+the scan runs in two levels:
 
 1. inside each chunk (window partitioned by group + chunk): local position, previous and
    next known value (two growing frames, one per direction, both O(n log n));
 2. per chunk one summary row (count, first and last known value); a window over the chunk
-   summaries of a group (one row per day: small even for a hot group) gives the chunk's
+   summaries of a group (rows / target rows: small even for a hot group) gives the chunk's
    row offset and the known values carried in from earlier / later chunks;
 3. summaries join back on (group, chunk).  The row side keeps the hash partitioning of
    step 1, so only the small summary side is shuffled again.
@@ -29,18 +29,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _order_number(df: DataFrame, col: str) -> Column:
+    """A time-zone-free number that grows with ``col`` (seconds for dates and timestamps)."""
+    t = df.schema[col].dataType.typeName()
+    c = F.col(col)
+    if t in ("timestamp", "timestamp_ntz"):
+        return (F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("bigint") * 86400
+                + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c))
+    if t == "date":
+        return F.datediff(c, F.lit("1970-01-01")).cast("bigint") * 86400
+    return c.cast("double")
+
+
+def auto_chunks(df: DataFrame, group_cols: list[str], order_col: str, target_rows: int) -> DataFrame:
+    """Add ``_chunk``: per group, equal-width ranges of the first order column sized so a
+    chunk holds about ``target_rows`` rows.  One partial aggregate (count, min, max per
+    group) sizes them; a group smaller than the target is a single chunk.  Ranges are
+    contiguous in the order, as the scan requires."""
+    t = _order_number(df, order_col)
+    d = df.withColumn("_t", t)
+    stats = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"), F.min("_t").alias("_tmin"),
+                                       F.max("_t").alias("_tmax"))
+    n_chunks = F.greatest(F.ceil(F.col("_gn") / F.lit(target_rows)), F.lit(1))
+    width = (F.col("_tmax") - F.col("_tmin") + 1) / n_chunks
+    stats = stats.select(*group_cols, "_tmin", width.alias("_w"))
+    j = d.join(stats, group_cols, "left")
+    return j.withColumn("_chunk", F.coalesce(F.floor((F.col("_t") - F.col("_tmin")) / F.col("_w")), F.lit(0))) \
+        .drop("_t", "_tmin", "_w")
+
+
 def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str], measures: list[str],
-                    chunk: Column | None = None) -> DataFrame:
+                    chunk: Column | None = None, target_rows: int = 1_000_000) -> DataFrame:
     """Fill ``measures`` of ``df``; returns all input columns with measures replaced.
 
     ``order_cols`` must give a total order inside a group (add a unique tie-break).
-    ``chunk`` must be non-decreasing along that order (default: the calendar day of the
-    first order column).
+    Chunks: by default sized per group to about ``target_rows`` rows (``auto_chunks``);
+    an explicit ``chunk`` Column must be non-decreasing along the order.
     """
-    if chunk is None:
-        chunk = F.to_date(F.col(order_cols[0]))
     ck = "_chunk"
-    rows = df.withColumn(ck, chunk)
+    rows = df.withColumn(ck, chunk) if chunk is not None else auto_chunks(df, group_cols, order_cols[0], target_rows)
     part = group_cols + [ck]
     asc = [F.col(c).asc() for c in order_cols]
     desc = [F.col(c).desc() for c in order_cols]

@@ -26,18 +26,19 @@ LIVESTOCK_COLS = ["poblacion_bovina", "poblacion_porcina", "produccion_leche_lit
                   "vacunacion_fiebre_aftosa_pct"]
 
 
-def filled_yearly_climate(climate: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+def filled_yearly_climate(climate: DataFrame, order_cols: list[str] | None = None,
+                          target_rows: int = 1_000_000) -> DataFrame:
     order = order_cols or ["fecha"]
-    filled = gap_fill_linear(climate, PLACE, order, CLIMATE_MEASURES)
+    filled = gap_fill_linear(climate, PLACE, order, CLIMATE_MEASURES, target_rows=target_rows)
     return yearly_climate(filled)
 
 
 def consolidate(production: DataFrame, soils: DataFrame, climate: DataFrame, credit: DataFrame,
                 prices: DataFrame, land: DataFrame, livestock: DataFrame,
                 climate_order: list[str] | None = None, impute: bool = True,
-                key_cols: tuple = ("anio",)) -> DataFrame:
+                key_cols: tuple = ("anio",), target_rows: int = 1_000_000) -> DataFrame:
     """``key_cols``: numeric identifier columns that are never imputed."""
-    clim_y = filled_yearly_climate(climate, climate_order)
+    clim_y = filled_yearly_climate(climate, climate_order, target_rows)
     price_y = yearly_prices(prices)
     crop = ["cultivo"]
     m = production.join(soils.select(*PLACE, *crop, *SOIL_COLS), PLACE + crop, "left")

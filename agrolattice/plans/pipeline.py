@@ -22,14 +22,16 @@ from . import master as master_plan
 def run_pipeline(spark: SparkSession, out_dir: str, production: DataFrame, soils: DataFrame, climate: DataFrame,
                  credit: DataFrame, prices: DataFrame, land: DataFrame, livestock: DataFrame,
                  catalog_raw: DataFrame, climate_order: list[str] | None = None,
-                 key_cols: tuple = ("anio",), reuse: bool = False) -> dict[str, DataFrame]:
+                 key_cols: tuple = ("anio",), reuse: bool = False,
+                 target_rows: int = 1_000_000) -> dict[str, DataFrame]:
     """Write every processed table under ``out_dir`` and return them re-read.  With
     ``reuse=True`` a table whose folder already holds a finished write (``_SUCCESS``) is read
     as is instead of being rebuilt (build-if-absent)."""
     outputs = {
         "consolidated_data": master_plan.consolidate(production, soils, climate, credit, prices, land, livestock,
-                                                     climate_order=climate_order, key_cols=key_cols),
-        "clima_ideam_anual": master_plan.filled_yearly_climate(climate, climate_order),
+                                                     climate_order=climate_order, key_cols=key_cols,
+                                                     target_rows=target_rows),
+        "clima_ideam_anual": master_plan.filled_yearly_climate(climate, climate_order, target_rows),
         "precios_sipsa_anual": yearly_prices(prices),
         "inventario_ganadero_anual": livestock,
         "cleaned_datasets_catalog": catalog_plan.clean_catalog(catalog_raw),

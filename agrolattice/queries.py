@@ -26,6 +26,10 @@ from .sources import standins as si
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Gap-fill chunk size for the registered queries: small, so that the checks at test scale
+# exercise the cross-chunk carry of the scan (the library default is 1,000,000 rows).
+GAPFILL_TARGET_ROWS = 64
+
 
 def register(name: str):
     def deco(fn):
@@ -48,14 +52,16 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 def q_gap_fill(spark, sf_dir):
     """W1 on station readings (events): 4 measures filled per station."""
     df = si.station_readings(spark, sf_dir)
-    out = gap_fill_linear(df, ["departamento", "municipio"], ["fecha", "seq"], master_plan.CLIMATE_MEASURES)
+    out = gap_fill_linear(df, ["departamento", "municipio"], ["fecha", "seq"], master_plan.CLIMATE_MEASURES,
+                          target_rows=GAPFILL_TARGET_ROWS)
     return rounded(out.drop("fecha"), 6)
 
 
 @register("yearly_rollup")
 def q_yearly_rollup(spark, sf_dir):
     """W1 + A1 on the daily climate."""
-    return rounded(master_plan.filled_yearly_climate(si.climate_daily(spark, sf_dir), ["fecha", "seq"]), 6)
+    return rounded(master_plan.filled_yearly_climate(si.climate_daily(spark, sf_dir), ["fecha", "seq"],
+                                                     GAPFILL_TARGET_ROWS), 6)
 
 
 @register("yearly_prices")
@@ -81,7 +87,7 @@ def q_master_join(spark, sf_dir):
     m = master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
-        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"],
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS,
         key_cols=("anio", "l_orderkey", "l_linenumber"))
     return rounded(m, 6)
 
@@ -401,7 +407,7 @@ def q_hierarchical_defaults(spark, sf_dir):
     master = materialize(master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
-        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS, key_cols=("anio", "l_orderkey", "l_linenumber"))
         .select("departamento", "municipio", "cultivo", "textura", "altitud_m", "ph_suelo", "pendiente_pct",
                 "materia_organica_pct", "temp_media_c", "precipitacion_anual_mm"), "master_for_defaults")
     k = F.col("parcel_id")
@@ -534,7 +540,7 @@ def _master_for_model(spark, sf_dir):
     m = master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
-        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS, key_cols=("anio", "l_orderkey", "l_linenumber"))
     return m.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
 
 
@@ -737,7 +743,7 @@ def q_pipeline_outputs(spark, sf_dir):
         spark, _scratch(spark, "processed"), si.production(spark, sf_dir), si.soils(spark, sf_dir),
         si.climate_daily(spark, sf_dir), si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir),
         si.land_security(spark, sf_dir), si.livestock(spark, sf_dir), si.catalog_raw(spark, sf_dir),
-        climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS, key_cols=("anio", "l_orderkey", "l_linenumber"))
     frames = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(n)) for n, df in outs.items()]
     out = frames[0]
     for f in frames[1:]:
@@ -793,7 +799,7 @@ def q_explorer_vars(spark, sf_dir):
     m = master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
-        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS, key_cols=("anio", "l_orderkey", "l_linenumber"))
     return rounded(m.select("l_orderkey", "l_linenumber", F.col("temp_media_c").alias("x"),
                             F.col("rendimiento_ton_ha").alias("y"), F.col("cultivo").alias("colour"),
                             F.col("monto_creditos_cop").alias("size")))
@@ -849,7 +855,7 @@ def q_fitness_features(spark, sf_dir):
     m = master_plan.consolidate(
         si.production(spark, sf_dir), si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir),
         si.credit(spark, sf_dir), si.prices_weekly(spark, sf_dir), si.land_security(spark, sf_dir),
-        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], key_cols=("anio", "l_orderkey", "l_linenumber"))
+        si.livestock(spark, sf_dir), climate_order=["fecha", "seq"], target_rows=GAPFILL_TARGET_ROWS, key_cols=("anio", "l_orderkey", "l_linenumber"))
     m = planner_plan.with_crop_params(m)
     p = {k: F.col("cp_" + k) for k in planner_plan.PARAM_COLS}
     rain_mean = m.groupBy("cultivo").agg(F.avg("precipitacion_anual_mm").alias("_crop_rain"))

@@ -72,3 +72,20 @@ def test_top_n_per_group_hot_group(spark):
     got = sorted((r.g, r.rank, r.k) for r in out.collect())
     assert [x[2] for x in got if x[0] == "hot"] == [999, 998, 997, 996, 995]
     assert [x[2] for x in got if x[0] == "cold"] == [2, 1, 0]
+
+
+def test_auto_chunks_split_hot_group_and_keep_results(spark):
+    import random
+
+    from agrolattice.operators.gapfill import auto_chunks
+    random.seed(3)
+    rows = [("hot", i, None if random.random() < 0.5 else float(i % 17)) for i in range(400)]
+    rows += [("cold", i, None if i % 2 else float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, t int, v double")
+    chunks = {r.g: r.n for r in auto_chunks(df, ["g"], "t", 50).groupBy("g")
+              .agg(F.countDistinct("_chunk").alias("n")).collect()}
+    assert chunks["hot"] == 8 and chunks["cold"] == 1          # 400 rows / 50 per chunk
+    auto = {(r.g, r.t): r.v for r in gap_fill_linear(df, ["g"], ["t"], ["v"], target_rows=50).collect()}
+    one = {(r.g, r.t): r.v for r in gap_fill_linear(df, ["g"], ["t"], ["v"], chunk=F.lit(0)).collect()}
+    assert auto.keys() == one.keys()
+    assert all((one[k] is None and auto[k] is None) or abs(one[k] - auto[k]) < 1e-9 for k in one)
