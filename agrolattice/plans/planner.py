@@ -140,3 +140,35 @@ def explanation(df: DataFrame) -> DataFrame:
         summary.alias("resumen"), positives.alias("factores_positivos"), limits.alias("factores_limitantes"),
         F.lit("Rendimiento base x factores de estrés fisiológico").alias("modelo_base"),
         src.alias("fuente_datos")))
+
+
+def sowing_plan_with_model(parcels: DataFrame, climate: DataFrame, production: DataFrame, model,
+                           predict) -> DataFrame:
+    """E3 with the MLlib yield ensemble (M12): each sowing month is scored by ``model``
+    (``predict(model, df)`` adds ``prediction``), then the stress factors (F3) and the zone
+    factor apply.  The 12 months are exploded, scored in one ``transform`` and regrouped per
+    parcel (12 rows per group, bounded), then best month, rules and explanation follow."""
+    base = sowing_plan(parcels, climate, production)
+    months = base.select("parcel_id", F.explode("months").alias("m"))
+    cols = [c for c in parcels.columns if c not in ("temp_media_c", "precipitacion_anual_mm")]
+    scored_in = months.join(base.select(*cols, "zone_yield_factor"), "parcel_id").select(
+        *cols, "zone_yield_factor", F.col("m.mes").alias("mes"), F.col("m.month_name").alias("month_name"),
+        F.col("m.dry").alias("dry"), F.col("m.sim_rain").alias("precipitacion_anual_mm"),
+        F.col("m.sim_temp").alias("temp_media_c"), F.col("m.sim_rain").alias("sim_rain"),
+        F.col("m.sim_temp").alias("sim_temp"))
+    scored = predict(model, with_crop_params(scored_in.withColumn("label", F.lit(0.0))))
+    p = {k: F.col("cp_" + k) for k in PARAM_COLS}
+    y = stressed_yield(F.col("prediction"), F.col("cp_crop").isNotNull(), F.col("ph_suelo"), F.col("altitud_m"),
+                       F.col("temp_media_c"), F.col("pendiente_pct"), p)
+    scored = scored.withColumn("yield", py_round(y * F.col("zone_yield_factor"), 2))
+    regrouped = scored.groupBy("parcel_id").agg(F.sort_array(F.collect_list(F.struct(
+        "mes", "month_name", "sim_rain", "sim_temp", "yield", "dry"))).alias("months_ml"))
+    out = base.join(regrouped, "parcel_id").withColumn("months", F.col("months_ml")).drop("months_ml")
+    best = F.array_max(F.transform("months", lambda s: F.struct(s["yield"].alias("y"), (-s["mes"]).alias("neg"),
+                                                                  s["month_name"].alias("name"), s["dry"].alias("dry"))))
+    out = out.withColumn("_best", best).withColumn("best_month", F.col("_best.name")) \
+        .withColumn("best_yield", F.col("_best.y"))
+    status, rules = crop_rules(F.col("cultivo"), F.col("ph_suelo"), F.col("altitud_m"), F.col("pendiente_pct"),
+                               F.col("_best.dry"), F.col("zone_yield_factor"))
+    out = out.withColumn("madr_compliance", status).withColumn("madr_rules", rules).drop("xai_explanation")
+    return explanation(out).drop("_best")

@@ -867,3 +867,13 @@ def q_fitness_features(spark, sf_dir):
         stress_factor(F.col("temp_media_c"), p["temp_min"], p["temp_max"], p["temp_sigma"]).alias("temp_fitness"),
         (F.col("_crop_rain") - F.col("precipitacion_anual_mm")).alias("rain_deficit_mm"),
         (F.col("precipitacion_anual_mm") < F.col("_crop_rain")).alias("water_stress_risk")))
+
+
+@register("best_month_ml")
+def q_best_month_ml(spark, sf_dir):
+    """E3 + M12: sowing months scored by the MLlib yield ensemble (small forests for the check)."""
+    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    plan = planner_plan.sowing_plan_with_model(si.parcels(spark, sf_dir), si.climate_daily(spark, sf_dir),
+                                               si.production(spark, sf_dir), model, model_plan.predict_yield)
+    return rounded(plan.select("parcel_id", "cultivo", "best_month", "best_yield", "madr_compliance",
+                               F.array_join("madr_rules", " | ").alias("madr_rules")))
