@@ -877,3 +877,16 @@ def q_best_month_ml(spark, sf_dir):
                                                si.production(spark, sf_dir), model, model_plan.predict_yield)
     return rounded(plan.select("parcel_id", "cultivo", "best_month", "best_yield", "madr_compliance",
                                F.array_join("madr_rules", " | ").alias("madr_rules")))
+
+
+@register("stream_prices")
+def q_stream_prices(spark, sf_dir):
+    """X2 (streaming form): price files joined to the static part table, 28-day windows
+    sliding 7 days, 14-day watermark, append mode (closed windows only)."""
+    from .params import CROPS
+    part = si.read_table(spark, sf_dir, "part")
+    w = stream_rollups.price_window_stream(stream_rollups.price_stream(spark, sf_dir, part, CROPS))
+    out = stream_rollups.run_available_now(w, "stream_prices")
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
+                              "cultivo", "moving_avg_price", "n_prices"))

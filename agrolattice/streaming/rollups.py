@@ -82,3 +82,28 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def price_stream(spark: SparkSession, source_dir: str, part: DataFrame, crops: list[str],
+                 file_glob: str = "lineitem.parquet", max_files_per_trigger: int = 64) -> DataFrame:
+    """Streaming market prices: arriving line files joined to the static part table
+    (stream-static join; the static side is a dimension) -> (ts, crop, price)."""
+    schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    crop = None
+    for i, c in enumerate(crops):
+        crop = F.when(F.col("p_partkey") % len(crops) == i, c) if crop is None else crop.when(
+            F.col("p_partkey") % len(crops) == i, c)
+    j = raw.join(part.select("p_partkey"), raw.l_partkey == F.col("p_partkey"))
+    return j.where(F.col("l_shipdate").isNotNull() & (F.col("l_quantity") > 0)).select(
+        wall_to_instant(F.col("l_shipdate"), tz).alias("ts"), crop.alias("cultivo"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("precio_kg_promedio_cop"))
+
+
+def price_window_stream(prices: DataFrame, watermark: str = "14 days") -> DataFrame:
+    """X2 streaming: sliding 28-day windows every 7 days per crop, emitted once closed."""
+    return (prices.withWatermark("ts", watermark)
+            .groupBy(F.window("ts", "28 days", "7 days"), "cultivo")
+            .agg(F.avg("precio_kg_promedio_cop").alias("moving_avg_price"), F.count(F.lit(1)).alias("n_prices")))

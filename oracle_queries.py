@@ -922,7 +922,7 @@ SQL["moving_average"] = with_(PRICES) + """, w AS (
   SELECT cultivo, precio_kg_promedio_cop AS p,
     epoch(fecha)::BIGINT // 604800 * 604800 - k * 604800 AS ws
   FROM prices, range(4) t(k) WHERE fecha IS NOT NULL)
-SELECT strftime(to_timestamp(ws), '%Y-%m-%d') AS window_start, cultivo, round(avg(p), 6) AS moving_avg_price,
+SELECT strftime(make_timestamp(ws * 1000000), '%Y-%m-%d') AS window_start, cultivo, round(avg(p), 6) AS moving_avg_price,
   count(*) AS n_prices FROM w GROUP BY ws, cultivo"""
 
 SQL["outlier_fence"] = with_(GEO, PRODUCTION) + """, f AS (SELECT cultivo,
@@ -1159,3 +1159,11 @@ SELECT l_orderkey, l_linenumber, m.cultivo,
   round({stress('temp_media_c', 'temp_min', 'temp_max', 'temp_sigma')}, 6) AS temp_fitness,
   round(mr.crop_rain - precipitacion_anual_mm, 6) AS rain_deficit_mm, precipitacion_anual_mm < mr.crop_rain AS water_stress_risk
 FROM master_final m LEFT JOIN cp ON cp.crop = m.cultivo LEFT JOIN mr ON mr.cultivo = m.cultivo"""
+
+SQL["stream_prices"] = with_(PRICES) + """, p2 AS (SELECT * FROM prices WHERE fecha IS NOT NULL AND precio_kg_promedio_cop IS NOT NULL),
+mx AS (SELECT max(fecha) AS m FROM p2),
+w AS (SELECT cultivo, precio_kg_promedio_cop AS p, epoch(fecha)::BIGINT // 604800 * 604800 - k * 604800 AS ws
+      FROM p2, range(4) t(k))
+SELECT strftime(make_timestamp(ws * 1000000), '%Y-%m-%d') AS window_start, cultivo, round(avg(p), 6) AS moving_avg_price,
+  count(*) AS n_prices FROM w GROUP BY ws, cultivo
+HAVING make_timestamp((ws + 28 * 86400) * 1000000) <= (SELECT m FROM mx) - INTERVAL 14 DAY"""
