@@ -259,16 +259,7 @@ def _typed_expr(c: str) -> str:
 
 TYPED = "typed AS (SELECT " + ", ".join(f"{_typed_expr(c)} AS {q(c)}" for c in KEEP) + " FROM dedup)"
 
-PLACES = [("boyaca", 5.53, -73.36), ("boyacá", 5.53, -73.36), ("casanare", 5.35, -72.40), ("caldas", 5.07, -75.52),
-          ("cauca", 2.44, -76.61), ("guaviare", 2.56, -72.64), ("huila", 2.92, -75.28),
-          ("valle del cauca", 3.45, -76.53), ("valle", 3.45, -76.53), ("norte de santander", 7.89, -72.50),
-          ("risaralda", 4.81, -75.69), ("santander", 7.12, -73.12), ("sucre", 9.30, -75.39), ("meta", 4.14, -73.63),
-          ("cordoba", 8.75, -75.88), ("córdoba", 8.75, -75.88), ("cundinamarca", 4.71, -74.19),
-          ("tolima", 4.44, -75.24), ("antioquia", 6.25, -75.56), ("atlantico", 10.96, -74.79),
-          ("atlántico", 10.96, -74.79), ("quindio", 4.53, -75.67), ("quindío", 4.53, -75.67),
-          ("san andres", 12.58, -81.70), ("san andrés", 12.58, -81.70), ("bogota", 4.61, -74.08),
-          ("bogotá", 4.61, -74.08), ("bogota d.c.", 4.61, -74.08), ("bogotá d.c.", 4.61, -74.08),
-          ("nacional", 4.61, -74.08)]
+from agrolattice.params import PLACE_COORDINATES as PLACES  # noqa: E402  (fixed values, shared)
 COORDS = "coords(ord, k, lat, lon) AS (VALUES " + ", ".join(
     f"({i}, '{k}', {la}::DOUBLE, {lo}::DOUBLE)" for i, (k, la, lo) in enumerate(PLACES)) + ")"
 
@@ -939,10 +930,7 @@ SELECT l_orderkey, l_linenumber, cultivo, round(rendimiento_ton_ha, 6) AS rendim
 
 # ------------------------------------------------------------------ A19
 _HD_NUM = ["altitud_m", "ph_suelo", "pendiente_pct", "materia_organica_pct", "temp_media_c", "precipitacion_anual_mm"]
-_HD_DEF = {"altitud_m": 1200.0, "ph_suelo": 5.8, "pendiente_pct": 12.0, "materia_organica_pct": 3.5,
-           "temp_media_c": 21.0, "precipitacion_anual_mm": 1800.0}
-_HD_LIM = {"altitud_m": (0.0, 3000.0), "ph_suelo": (4.0, 8.0), "pendiente_pct": (0.0, 45.0),
-           "materia_organica_pct": (0.0, 10.0), "temp_media_c": (10.0, 35.0), "precipitacion_anual_mm": (500.0, 4000.0)}
+from agrolattice.params import PARCEL_LIMITS as _HD_LIM, PLANNER_DEFAULTS as _HD_DEF  # noqa: E402
 _REGION = ("(r.departamento = 'Todos' OR mf2.d = lower(r.departamento)) AND "
            "(r.municipio = 'Todos' OR mf2.m = lower(r.municipio))")
 
