@@ -117,19 +117,27 @@ def climate_by_dept(climate: DataFrame) -> DataFrame:
 
 
 def box_stats(prod: DataFrame, value: str = "rendimiento_ton_ha", keys: tuple = ("cultivo", "departamento"),
-              approx: bool = False, accuracy: int = 10000) -> DataFrame:
+              method: str = "sort", accuracy: int = 10000) -> DataFrame:
     """Quartiles (linear interpolation), min, max and 1.5 IQR whiskers per group.
 
-    ``approx=True`` switches to ``percentile_approx`` (bounded memory per group) for groups
-    with very many distinct values."""
+    ``method='sort'`` (default): exact, by distributed order statistics (no group is gathered
+    in one task); ``'count_map'``: Spark's exact ``percentile`` (one value->count map per
+    group in memory, fine for groups with few distinct values); ``'approx'``:
+    ``percentile_approx`` with bounded memory."""
+    from .quantiles import exact_quantiles
     v = F.col(value)
-    if approx:
-        qs = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+    mm = prod.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    if method == "sort":
+        q = exact_quantiles(prod, list(keys), value, [0.25, 0.5, 0.75]).select(
+            *keys, F.col("q0").alias("_q1"), F.col("q1").alias("_q2"), F.col("q2").alias("_q3"))
+        g = mm.join(q, list(keys), "left")
+        q1, q2, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
     else:
-        qs = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = prod.groupBy(*keys).agg(qs.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"),
-                                F.count(v).alias("n"))
-    q1, q2, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+        qs = (F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if method == "approx"
+              else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+        g = prod.groupBy(*keys).agg(qs.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"),
+                                    F.count(v).alias("n"))
+        q1, q2, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     return g.select(*keys, "n", "min", q1.alias("q1"), q2.alias("median"), q3.alias("q3"), "max",
                     F.greatest(F.col("min"), q1 - 1.5 * iqr).alias("lower_fence"),

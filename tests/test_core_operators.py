@@ -89,3 +89,20 @@ def test_auto_chunks_split_hot_group_and_keep_results(spark):
     one = {(r.g, r.t): r.v for r in gap_fill_linear(df, ["g"], ["t"], ["v"], chunk=F.lit(0)).collect()}
     assert auto.keys() == one.keys()
     assert all((one[k] is None and auto[k] is None) or abs(one[k] - auto[k]) < 1e-9 for k in one)
+
+
+def test_exact_quantiles_match_numpy_with_hot_group(spark):
+    import numpy as np
+
+    from agrolattice.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(5)
+    hot = [("hot", float(x)) for x in rng.normal(10, 3, 3000).round(3)]
+    small = [("one", 7.0), ("two", 1.0), ("two", 4.0), ("ties", 2.0), ("ties", 2.0), ("ties", 5.0), ("nul", None)]
+    df = spark.createDataFrame(hot + small, "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75], num_partitions=7).collect()}
+    for g in ("hot", "one", "two", "ties"):
+        vals = np.array([v for k, v in hot + small if k == g and v is not None])
+        want = np.quantile(vals, [0.25, 0.5, 0.75])
+        assert got[g].n == len(vals)
+        assert all(abs(a - b) < 1e-9 for a, b in zip((got[g].q0, got[g].q1, got[g].q2), want))
+    assert "nul" not in got                                     # only-null group has no quantiles
