@@ -204,17 +204,20 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 
 def hybrid_models(master: DataFrame, key: str = "row_key", rf_trees: int = 100, gbt_iter: int = 100, seed: int = 42):
-    """Dummy-coded (first level dropped) features; RF (depth 10) vs boosted trees (depth 6,
-    step 0.1); hold-out RMSE of both.  Returns (boosted pipeline model, metrics)."""
-    data = prepare_yield(master).cache()
-    train, test = hash_split(data, key, 20, seed)
-    enc = [StringIndexer(inputCols=["cultivo", "textura"], outputCols=["_ci", "_ti"], handleInvalid="keep",
-                         stringOrderType="alphabetAsc"),
-           OneHotEncoder(inputCols=["_ci", "_ti"], outputCols=["_cv", "_tv"], dropLast=True, handleInvalid="keep"),
-           VectorAssembler(inputCols=["_cv", "_tv"] + YIELD_NUMERIC, outputCol="features", handleInvalid="keep")]
-    rf = Pipeline(stages=enc + [RandomForestRegressor(numTrees=rf_trees, maxDepth=10, seed=seed, labelCol="label")])
-    gbt = Pipeline(stages=enc + [GBTRegressor(maxIter=gbt_iter, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label")])
-    m_rf, m_gbt = rf.fit(train), gbt.fit(train)
+    """Dummy coding with the alphabetically first level dropped, fitted on all rows before
+    the split (as ``get_dummies(drop_first=True)`` on the whole table); RF (depth 10) vs boosted
+    trees (depth 6, step 0.1); hold-out RMSE of both.  Returns (boosted model, metrics)."""
+    data = prepare_yield(master)
+    enc = Pipeline(stages=[
+        # descending order puts the alphabetically first level last, where dropLast removes it
+        StringIndexer(inputCols=["cultivo", "textura"], outputCols=["_ci", "_ti"], stringOrderType="alphabetDesc"),
+        OneHotEncoder(inputCols=["_ci", "_ti"], outputCols=["_cv", "_tv"], dropLast=True),
+        VectorAssembler(inputCols=["_cv", "_tv"] + YIELD_NUMERIC, outputCol="features", handleInvalid="keep"),
+    ]).fit(data)
+    encoded = enc.transform(data).cache()
+    train, test = hash_split(encoded, key, 20, seed)
+    m_rf = RandomForestRegressor(numTrees=rf_trees, maxDepth=10, seed=seed, labelCol="label").fit(train)
+    m_gbt = GBTRegressor(maxIter=gbt_iter, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label").fit(train)
     r1 = regression_metrics(m_rf.transform(test)).select(F.lit("random_forest").alias("model"), "n_test", "rmse", "r2")
     r2 = regression_metrics(m_gbt.transform(test)).select(F.lit("boosted_trees").alias("model"), "n_test", "rmse", "r2")
-    return m_gbt, r1.unionByName(r2)
+    return PipelineModel(stages=[enc, m_gbt]), r1.unionByName(r2)
