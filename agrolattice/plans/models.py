@@ -90,7 +90,8 @@ def train_viability(cat: DataFrame, n_trees: int = 100, gbt_iter: int = 300, fol
     out-of-fold base probabilities and a logistic meta-model, evaluate, refit on all rows
     (``refit=False`` keeps the hold-out models, enough for the metrics).
     Returns (featurizer model, base models, meta model, metrics DataFrame)."""
-    data = prepare_catalog(cat).cache()  # the featurizer and the learners make several passes
+    # the featurizer and the learners make several passes: cache only their inputs
+    data = prepare_catalog(cat).select("UID", "_txt_title", "_txt_desc", "_txt_just", *FEATURE_NAMES, "label").cache()
     feat = viability_featurizer().fit(data)
     x = feat.transform(data).select("UID", "label", "features").cache()
     train, test = hash_split(x, "UID", 20, seed)
@@ -181,7 +182,8 @@ def prepare_yield(master: DataFrame) -> DataFrame:
 
 def train_yield(master: DataFrame, key: str = "row_key", n_trees: int = 300, gbt_iter: int = 300, seed: int = 42):
     """Fit on 80 %, report RMSE / R2 of the averaged ensemble, refit on all rows."""
-    data = prepare_yield(master).cache()
+    # cache only what the learners read (features, label, split key), not the whole master
+    data = prepare_yield(master).select(key, "cultivo", "textura", *YIELD_NUMERIC, "label").cache()
     train, test = hash_split(data, key, 20, seed)
     model = yield_pipeline(n_trees, gbt_iter, seed).fit(train)
     pred = predict_yield(model, test)
@@ -207,14 +209,14 @@ def hybrid_models(master: DataFrame, key: str = "row_key", rf_trees: int = 100,
     """Dummy coding with the alphabetically first level dropped, fitted on all rows before
     the split (as ``get_dummies(drop_first=True)`` on the whole table); RF (depth 10) vs boosted
     trees (depth 6, step 0.1); hold-out RMSE of both.  Returns (boosted model, metrics)."""
-    data = prepare_yield(master)
+    data = prepare_yield(master).select(key, "cultivo", "textura", *YIELD_NUMERIC, "label")
     enc = Pipeline(stages=[
         # descending order puts the alphabetically first level last, where dropLast removes it
         StringIndexer(inputCols=["cultivo", "textura"], outputCols=["_ci", "_ti"], stringOrderType="alphabetDesc"),
         OneHotEncoder(inputCols=["_ci", "_ti"], outputCols=["_cv", "_tv"], dropLast=True),
         VectorAssembler(inputCols=["_cv", "_tv"] + YIELD_NUMERIC, outputCol="features", handleInvalid="keep"),
     ]).fit(data)
-    encoded = enc.transform(data).cache()
+    encoded = enc.transform(data).select(key, "features", "label").cache()
     train, test = hash_split(encoded, key, 20, seed)
     m_rf = RandomForestRegressor(numTrees=rf_trees, maxDepth=10, seed=seed, labelCol="label").fit(train)
     m_gbt = GBTRegressor(maxIter=gbt_iter, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label").fit(train)
