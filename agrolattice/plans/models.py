@@ -223,3 +223,30 @@ def hybrid_models(master: DataFrame, key: str = "row_key", rf_trees: int = 100,
     r1 = regression_metrics(m_rf.transform(test)).select(F.lit("random_forest").alias("model"), "n_test", "rmse", "r2")
     r2 = regression_metrics(m_gbt.transform(test)).select(F.lit("boosted_trees").alias("model"), "n_test", "rmse", "r2")
     return PipelineModel(stages=[enc, m_gbt]), r1.unionByName(r2)
+
+
+# ---------------------------------------------------------------- M8 / S6: publish the viability bundle
+_BASE_CLASSES = {"rf": "RandomForestClassificationModel", "et": "RandomForestClassificationModel",
+                 "gbt": "GBTClassificationModel"}
+
+
+def save_viability_bundle(path: str, feat: PipelineModel, bases, meta, metrics: DataFrame) -> None:
+    """Write featurizer, base models, meta-model and the metrics row under ``path`` (overwrite)."""
+    import os
+    feat.write().overwrite().save(os.path.join(path, "featurizer"))
+    for name, model in bases:
+        model.write().overwrite().save(os.path.join(path, "base", name))
+    meta.write().overwrite().save(os.path.join(path, "meta"))
+    metrics.write.mode("overwrite").parquet(os.path.join(path, "metrics"))
+
+
+def load_viability_bundle(spark, path: str):
+    """Inverse of ``save_viability_bundle``: (featurizer, base models, meta-model, metrics)."""
+    import os
+
+    from pyspark.ml import classification as C
+    from pyspark.ml.classification import LogisticRegressionModel
+    feat = PipelineModel.load(os.path.join(path, "featurizer"))
+    bases = [(name, getattr(C, cls).load(os.path.join(path, "base", name))) for name, cls in _BASE_CLASSES.items()]
+    meta = LogisticRegressionModel.load(os.path.join(path, "meta"))
+    return feat, bases, meta, spark.read.parquet(os.path.join(path, "metrics"))

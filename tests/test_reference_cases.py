@@ -85,3 +85,13 @@ def test_viability_request_label_and_probabilities(spark):
     for r in scored:
         assert r.prediction in (0, 1) and abs(r.prob_0 + r.prob_1 - 1.0) < 1e-9
     assert [r.from_catalog for r in scored].count(True) == 2                # known datasets use the lookup
+    # publish and reload the bundle (M8 / S6): same probabilities
+    import tempfile
+
+    from agrolattice.plans.models import load_viability_bundle, save_viability_bundle
+    path = tempfile.mkdtemp(prefix="agrolattice-bundle-")
+    save_viability_bundle(path, feat, bases, meta, metrics)
+    feat2, bases2, meta2, metrics2 = load_viability_bundle(spark, path)
+    again = score_viability(new, cat, feat2, bases2, meta2).collect()
+    first = score_viability(new, cat, feat, bases, meta).collect()
+    assert abs(again[0].prob_1 - first[0].prob_1) < 1e-12 and metrics2.count() == 1
