@@ -890,3 +890,19 @@ def q_stream_prices(spark, sf_dir):
     tz = spark.conf.get("spark.sql.session.timeZone")
     return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
                               "cultivo", "moving_avg_price", "n_prices"))
+
+
+@register("stream_daily_complete")
+def q_stream_daily_complete(spark, sf_dir):
+    """X1 in complete mode: every 1-day window per station (no watermark eviction)."""
+    readings = stream_rollups.station_stream(spark, sf_dir)
+    daily = (readings.groupBy(F.window("ts", "1 day"), "departamento", "municipio")
+             .agg(F.avg(stream_rollups.MEASURES[0]).alias("temp_media_c"),
+                  F.coalesce(F.sum(stream_rollups.MEASURES[1]), F.lit(0.0)).alias("precipitacion_mm"),
+                  F.avg(stream_rollups.MEASURES[2]).alias("humedad_media_pct"),
+                  F.coalesce(F.sum(stream_rollups.MEASURES[3]), F.lit(0.0)).alias("brillo_solar_horas")))
+    out = stream_rollups.run_complete(daily, "stream_daily_complete")
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
+                              "departamento", "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",
+                              "brillo_solar_horas"))

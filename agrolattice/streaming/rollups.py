@@ -107,3 +107,20 @@ def price_window_stream(prices: DataFrame, watermark: str = "14 days") -> DataFr
     return (prices.withWatermark("ts", watermark)
             .groupBy(F.window("ts", "28 days", "7 days"), "cultivo")
             .agg(F.avg("precio_kg_promedio_cop").alias("moving_avg_price"), F.count(F.lit(1)).alias("n_prices")))
+
+
+def run_complete(df: DataFrame, name: str) -> DataFrame:
+    """Run a streaming aggregate in ``complete`` mode over everything available.  Each
+    micro-batch overwrites the result table (``foreachBatch``), so the table always holds
+    the full current result.  Complete mode keeps every group in state: use it for bounded
+    key spaces; append mode with a watermark is the unbounded, scalable form."""
+    spark = df.sparkSession
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:10]}")
+    out, ckpt = os.path.join(base, "data"), os.path.join(base, "_checkpoint")
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+    q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -1155,3 +1155,8 @@ w AS (SELECT cultivo, precio_kg_promedio_cop AS p, epoch(fecha)::BIGINT // 60480
 SELECT strftime(make_timestamp(ws * 1000000), '%Y-%m-%d') AS window_start, cultivo, round(avg(p), 6) AS moving_avg_price,
   count(*) AS n_prices FROM w GROUP BY ws, cultivo
 HAVING make_timestamp((ws + 28 * 86400) * 1000000) <= (SELECT m FROM mx) - INTERVAL 14 DAY"""
+SQL["stream_daily_complete"] = with_(STATIONS) + """SELECT strftime(date_trunc('day', fecha), '%Y-%m-%d') AS window_start,
+  departamento, municipio, round(avg(temperatura_promedio_c), 6) AS temp_media_c,
+  round(coalesce(sum(precipitacion_diaria_mm), 0.0), 6) AS precipitacion_mm, round(avg(humedad_relativa_pct), 6) AS humedad_media_pct,
+  round(coalesce(sum(brillo_solar_horas), 0.0), 6) AS brillo_solar_horas
+FROM stations GROUP BY date_trunc('day', fecha), departamento, municipio"""
