@@ -906,3 +906,47 @@ def q_stream_daily_complete(spark, sf_dir):
     return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
                               "departamento", "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",
                               "brillo_solar_horas"))
+
+
+@register("geocode_exact")
+def q_geocode_exact(spark, sf_dir):
+    """Municipality coordinates by exact (lower, trimmed) key, where one exists."""
+    from .params import place_coordinates_df
+    cat = _catalog(spark, sf_dir)
+    mun = F.col(f"`{ENT}Municipio`")
+    coords = place_coordinates_df(spark).select(F.col("place_key").alias("_k"), "lat", "lon")
+    keyed = cat.select("UID", mun.alias("municipio"), F.when(mun != "No disponible", F.lower(F.trim(mun))).alias("_k"))
+    return keyed.join(coords, "_k").select("UID", "municipio", "lat", "lon")
+
+
+@register("geocode_contains")
+def q_geocode_contains(spark, sf_dir):
+    """Department coordinates by ordered either-way substring match on distinct names."""
+    from .operators.geocode import ordered_contains_lookup
+    from .params import place_coordinates_df
+    cat = _catalog(spark, sf_dir)
+    return ordered_contains_lookup(cat, f"`{ENT}Departamento`", place_coordinates_df(spark), "place_key", "ord",
+                                   ["lat", "lon"]).withColumnRenamed("_name", "departamento")
+
+
+@register("response_curves")
+def q_response_curves(spark, sf_dir):
+    """F33 on observed values: each crop's stress factor at every distinct pH, altitude and
+    slope of the soils and every distinct daily temperature of the climate table."""
+    from .params import CROPS, crop_params_df
+    soils, clim = si.soils(spark, sf_dir), si.climate_daily(spark, sf_dir)
+    values = (soils.select(F.lit("ph").alias("variable"), F.col("ph_suelo").alias("value"))
+              .unionByName(soils.select(F.lit("alt").alias("variable"), F.col("altitud_m").alias("value")))
+              .unionByName(soils.select(F.lit("slope").alias("variable"), F.col("pendiente_pct").alias("value")))
+              .unionByName(clim.select(F.lit("temp").alias("variable"),
+                                       F.col("temperatura_promedio_c").alias("value")))
+              .where(F.col("value").isNotNull()).distinct())
+    per_crop = values.withColumn("cultivo", F.explode(F.array(*[F.lit(c) for c in CROPS])))
+    p = crop_params_df(spark)
+    j = per_crop.join(p, "cultivo")
+    v, var = F.col("value"), F.col("variable")
+    factor = (F.when(var == "ph", stress_factor(v, F.col("ph_min"), F.col("ph_max"), F.col("ph_sigma")))
+              .when(var == "alt", stress_factor(v, F.col("alt_min"), F.col("alt_max"), F.col("alt_sigma")))
+              .when(var == "temp", stress_factor(v, F.col("temp_min"), F.col("temp_max"), F.col("temp_sigma")))
+              .otherwise(slope_factor(v)))
+    return rounded(j.select("cultivo", "variable", "value", factor.alias("factor")))

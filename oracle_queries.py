@@ -1160,3 +1160,24 @@ SQL["stream_daily_complete"] = with_(STATIONS) + """SELECT strftime(date_trunc('
   round(coalesce(sum(precipitacion_diaria_mm), 0.0), 6) AS precipitacion_mm, round(avg(humedad_relativa_pct), 6) AS humedad_media_pct,
   round(coalesce(sum(brillo_solar_horas), 0.0), 6) AS brillo_solar_horas
 FROM stations GROUP BY date_trunc('day', fecha), departamento, municipio"""
+
+
+SQL["geocode_exact"] = CLEAN + f"""SELECT "UID", {q(ENT + "Municipio")} AS municipio, lat, lon FROM geocoded
+JOIN coords ON {q(ENT + "Municipio")} <> 'No disponible' AND k = lower(trim({q(ENT + "Municipio")}))"""
+SQL["geocode_contains"] = CLEAN + f""", names AS (SELECT DISTINCT lower(trim({_DEPT})) AS departamento FROM geocoded
+  WHERE {_DEPT} IS NOT NULL)
+SELECT departamento, arg_min(lat, r) AS lat, arg_min(lon, r) AS lon FROM (
+  SELECT n.departamento, c.lat, c.lon, CASE WHEN c.k = n.departamento THEN 0 ELSE c.ord + 1 END AS r
+  FROM names n JOIN coords c ON contains(n.departamento, c.k) OR contains(c.k, n.departamento)) GROUP BY 1"""
+_SLOPE_V = slope_f("value")
+SQL["response_curves"] = with_(GEO, SUPPLIER_LINES, SOILS, CLIMATE, CP) + f""", vals AS (
+  SELECT DISTINCT variable, value FROM (
+    SELECT 'ph' AS variable, ph_suelo AS value FROM soils UNION ALL SELECT 'alt', altitud_m FROM soils
+    UNION ALL SELECT 'slope', pendiente_pct FROM soils UNION ALL SELECT 'temp', temperatura_promedio_c FROM climate)
+  WHERE value IS NOT NULL)
+SELECT cp.crop AS cultivo, variable, round(value, 6) AS value, round(CASE
+    WHEN variable = 'ph' THEN {stress('value', 'ph_min', 'ph_max', 'ph_sigma')}
+    WHEN variable = 'alt' THEN {stress('value', 'alt_min', 'alt_max', 'alt_sigma')}
+    WHEN variable = 'temp' THEN {stress('value', 'temp_min', 'temp_max', 'temp_sigma')}
+    ELSE {_SLOPE_V} END, 6) AS factor
+FROM vals CROSS JOIN cp"""
