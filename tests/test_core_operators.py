@@ -106,3 +106,19 @@ def test_exact_quantiles_match_numpy_with_hot_group(spark):
         assert got[g].n == len(vals)
         assert all(abs(a - b) < 1e-9 for a, b in zip((got[g].q0, got[g].q1, got[g].q2), want))
     assert "nul" not in got                                     # only-null group has no quantiles
+
+
+def test_box_stats_methods_agree(spark):
+    import random
+
+    from agrolattice.operators.summaries import box_stats
+    random.seed(11)
+    rows = [(("A" if i % 10 else "B"), "D", float(random.randint(0, 500)) / 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "cultivo string, departamento string, rendimiento_ton_ha double")
+    a = {r.cultivo: r for r in box_stats(df, method="sort").collect()}
+    b = {r.cultivo: r for r in box_stats(df, method="count_map").collect()}
+    c = {r.cultivo: r for r in box_stats(df, method="approx").collect()}
+    for k in a:
+        for f in ("q1", "median", "q3", "lower_fence", "upper_fence", "min", "max"):
+            assert abs(a[k][f] - b[k][f]) < 1e-9
+        assert abs(a[k].median - c[k].median) < 2.0               # approximate: close, from the data
