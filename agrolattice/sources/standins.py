@@ -8,6 +8,9 @@ reads whole tables, so its size grows with the scale factor.  The oracle SQL in
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,26 @@ INTEGRATION_RAW = ["Sí", "no", "TRUE", None, "1", "quizás"]
 PRODUCER_TYPES = ["General"] + SUBSIDISED_PROFILES
 
 
+# Each view is written once per session (and data folder) under the shared checkpoint folder
+# and read back, the way stored farm tables would be read: queries then pay for their own
+# operators, not for re-deriving the farm tables from the TPC-H joins every time.
+MATERIALIZE_VIEWS = os.environ.get("AGROLATTICE_MATERIALIZE_VIEWS", "1") != "0"
+_VIEWS: dict = {}
+
+
+def stored_view(fn):
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not MATERIALIZE_VIEWS:
+            return fn(spark, sf_dir)
+        from ..session import materialize
+        key = (id(spark._jsparkSession), os.path.abspath(sf_dir), fn.__name__)
+        if key not in _VIEWS:
+            _VIEWS[key] = materialize(fn(spark, sf_dir), f"view-{fn.__name__}")
+        return _VIEWS[key]
+    return wrapper
+
+
 def pick(values: list, idx: Column) -> Column:
     """values[idx] as a CASE chain (idx is a 0-based integer column)."""
     expr = None
@@ -44,6 +67,7 @@ def _null_every(key: Column, k: int, value: Column) -> Column:
     return F.when(key % k == 0, F.lit(None).cast("double")).otherwise(value)
 
 
+@stored_view
 def station_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station readings from ``events``: place = user, department = user % 5; gaps where
     event_id hits a modulus.  Used by the gap-fill query and the streaming roll-up."""
@@ -61,6 +85,7 @@ def station_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_view
 def climate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily climate per (region, nation) from ``orders``: keys line up with production."""
     orders = read_table(spark, sf_dir, "orders")
@@ -84,6 +109,7 @@ def _lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey)
 
 
+@stored_view
 def prices_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market prices: date = ship date, crop = brand, price = extended price per unit."""
     df = _lineitem_part(spark, sf_dir)
@@ -104,6 +130,7 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_nationkey", "n_regionkey", F.col("r_name").alias("departamento"), F.col("n_name").alias("municipio"))
 
 
+@stored_view
 def production(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Harvest records at line-item grain, placed at the customer's nation/region."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -137,6 +164,7 @@ def _supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(part, li.l_partkey == part.p_partkey))
 
 
+@stored_view
 def soils(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soil suitability per (department, municipality, crop) from supplier-side lines."""
     g = (_supplier_lines(spark, sf_dir)
@@ -157,6 +185,7 @@ def soils(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_view
 def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approved credit per (year, department, municipality, crop)."""
     return (_supplier_lines(spark, sf_dir)
@@ -167,6 +196,7 @@ def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (8 + F.avg("l_tax") * 100).alias("tasa_interes_promedio")))
 
 
+@stored_view
 def land_security(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cadastre and formalisation per (department, municipality)."""
     cust = read_table(spark, sf_dir, "customer")
@@ -183,6 +213,7 @@ def land_security(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.least(F.lit(100.0), 100 * F.col("hectareas_formalizadas") / F.col("hectareas_catastradas")))
 
 
+@stored_view
 def livestock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Herd inventory per (year, department, municipality) from orders."""
     orders = read_table(spark, sf_dir, "orders")
@@ -197,6 +228,7 @@ def livestock(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (90.0 + F.count(F.lit(1)) % 10).alias("vacunacion_fiebre_aftosa_pct")))
 
 
+@stored_view
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planning requests: one parcel per part, placed in nation (partkey % 25)."""
     part = read_table(spark, sf_dir, "part")
@@ -219,6 +251,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_view
 def herds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Livestock requests: one herd per customer."""
     cust = read_table(spark, sf_dir, "customer")
@@ -235,6 +268,7 @@ def herds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored_view
 def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two raw catalog "files" (all strings, different columns), unioned by name.
 
@@ -283,6 +317,7 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.unionByName(other, allowMissingColumns=True)
 
 
+@stored_view
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations as questions."""
     conv = read_table(spark, sf_dir, "conversations")
