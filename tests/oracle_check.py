@@ -68,7 +68,9 @@ def main():
     from agrolattice.session import build_session
     # ORACLE_SPARK_TZ runs Spark in another session time zone (results must not change)
     spark = build_session("local[8]", shuffle_partitions=8,
-                          extra={"spark.sql.session.timeZone": os.environ.get("ORACLE_SPARK_TZ", "UTC")})
+                          extra={"spark.sql.session.timeZone": os.environ.get("ORACLE_SPARK_TZ", "UTC"),
+                                 # results are collected to compare them: room for large outputs
+                                 "spark.driver.memory": "8g", "spark.driver.maxResultSize": "4g"})
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     ok_all = True
