@@ -48,8 +48,8 @@ def run_pipeline(spark: SparkSession, out_dir: str, production: DataFrame, soils
 def extract_by_department(df: DataFrame, out_dir: str, dept_col: str) -> DataFrame:
     """One CSV extract per department in one job; returns rows per written extract."""
     regional_extracts(df, out_dir, dept_col)
-    back = (df.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .csv(out_dir))
+    back = (df.sparkSession.read.option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').csv(out_dir))
     return back.groupBy(F.col("_dept").alias("departamento")).agg(F.count(F.lit(1)).alias("rows"))
 
 

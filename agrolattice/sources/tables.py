@@ -86,7 +86,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # RFC 4180 quoting ("" inside quotes), matching the reader below, so texts with quotes,
+        # backslashes or line breaks survive the round trip
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 
