@@ -72,3 +72,13 @@ def test_stored_views_equal_inline_views(spark):
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash(*df.columns)).alias("h")).first()
     assert digest(inline) == digest(stored)
     assert stored.schema == inline.schema
+
+
+def test_regional_extract_round_trip_keeps_tricky_texts(spark):
+    from agrolattice.plans.pipeline import extract_by_department
+    d = tempfile.mkdtemp(prefix="agrolattice-test-")
+    rows = [("u1", 'dice "hola"', "A"), ("u2", "barra \\ y \\\"comillas\\\"", "A"), ("u3", "línea 1\nlínea 2", "B"),
+            ("u4", 'coma, "y" salto\r\nfinal', "B"), ("u5", "normal", None)]
+    df = spark.createDataFrame(rows, "UID string, Titulo string, dept string")
+    got = {r.departamento: r.rows for r in extract_by_department(df, os.path.join(d, "x"), "dept").collect()}
+    assert got == {"A": 2, "B": 2, "Nacional": 1}
