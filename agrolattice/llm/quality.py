@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,8 +189,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_repeat: int = 30, m
     forest = IsolationForest(ratios[good], ratios.min(0), ratios.max(0), trees)
 
     @F.pandas_udf("double")
-    def anomaly(ratios: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def anomaly(ratios: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.array(ratios.tolist()).reshape(len(ratios), -1)))
 
     step = F.floor(F.col("anomaly") * _SCORES).cast("int")
