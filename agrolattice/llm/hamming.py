@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def byte_blocks() -> list[tuple[int, int]]:
     """(shift, width) of the eight bytes, the leading byte first."""
@@ -29,47 +31,65 @@ def _block(value: str, block: tuple[int, int]) -> str:
 
 
 def _key(value: str, table: int, chosen: list[tuple[int, int]]) -> str:
-    out = f"{table}L"
+    """The chosen blocks side by side, and the table's number in the top byte."""
+    out = "0L"
     for b in chosen:
         out = f"(shiftleft({out}, {b[1]}) | {_block(value, b)})"
-    return out
-
+    return f"({out} | {table << 56}L)"
 
-def linked_pairs(nodes: DataFrame, radius: int, blocks: list[tuple[int, int]], together: int,
-                 also: str = "true", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that connect all within ``radius`` bits.
 
-    ``nodes`` has distinct longs ``fp``, a long ``weight`` and the columns ``carry``; ``also``
-    is a further condition on ``a.`` and ``b.`` columns.  The first ``radius + together``
-    blocks index the nodes, ``together`` of them to a key.
+def buckets(nodes: DataFrame, radius: int, blocks: list[tuple[int, int]], together: int,
+            also: str = "true") -> DataFrame:
+    """The index: id, fp, key, the leader ``lead`` (a struct like the node) and ``tied`` of every
+    node in a bucket that it shares; written out, as several joins read it.
 
-    In a key's bucket the heaviest node is the leader; nodes within the radius of it are tied
-    to it, so pairs between two tied nodes say nothing new and are not emitted.  Any other
-    pair comes out once, in the first table where its nodes meet.  So a dense group yields
-    about one pair a node, and the pairs have the same components as all pairs within the
-    radius.  (With ``also`` the pair between a tied node and its leader must hold it too.)
+    ``nodes`` has a distinct long ``id``, a long ``fp``, a ``weight`` and any further columns;
+    ``also`` is a condition on ``a.`` and ``b.`` columns that linked nodes must hold too.  The
+    first ``radius + together`` blocks index a node, ``together`` of them to a key.  A bucket's
+    leader is its heaviest node; nodes within the radius of it are tied to it.
     """
-    used = blocks[:radius + together]
-    tables = list(combinations(range(len(used)), together))
-    keys = F.array(*[F.expr(f"named_struct('t', {t}, 'key', {_key('fp', t, [used[i] for i in c])})")
-                     for t, c in enumerate(tables)])
-    rows = nodes.select("fp", "weight", *carry, F.explode(keys).alias("k"))
-    rows = rows.select("fp", "weight", *carry, F.col("k.t").alias("t"), F.col("k.key").alias("key"))
-    whole = (Window.partitionBy("key").orderBy(F.desc("weight"), "fp")
+    tables = _tables(radius, blocks, together)
+    extra = [c for c in nodes.columns if c not in ("id", "fp", "weight")]
+    keys = F.array(*[F.expr(_key("fp", t, [blocks[i] for i in c])) for t, c in enumerate(tables)])
+    rows = nodes.select("id", "fp", "weight", *extra, F.explode(keys).alias("key"))
+    whole = (Window.partitionBy("key").orderBy(F.desc("weight"), "id")
              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     met = (rows.withColumn("n", F.count(F.lit(1)).over(whole))
-           .withColumn("lead", F.first(F.struct("fp", *carry)).over(whole)).where("n > 1"))
-    near = f"a.fp <> b.fp and bit_count(a.fp ^ b.fp) <= {radius} and ({also})"
-    tied = near.replace("b.", "lead.").replace("a.", "")
-    met = met.withColumn("tied", F.expr(f"fp = lead.fp or ({tied})")).drop("weight", "n")
-    # written out once: both sides of the join and the star edges read it
-    from .common import materialize
-    met = materialize(met, "buckets")
-    stars = met.where("tied and fp <> lead.fp").select(F.col("lead.fp").alias("a"), F.col("fp").alias("b"))
-    a, b = met.drop("lead").alias("a"), met.drop("lead").alias("b")
+           .withColumn("lead", F.first(F.struct("id", "fp", *extra)).over(whole)).where("n > 1"))
+    tied = _near(radius, also).replace("b.", "lead.").replace("a.", "")
+    return materialize(met.withColumn("tied", F.expr(f"id = lead.id or ({tied})")).drop("weight", "n"), "buckets")
+
+
+def linked_pairs(met: DataFrame, radius: int, blocks: list[tuple[int, int]], together: int,
+                 also: str = "true", loose: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ids whose components are those of all pairs within ``radius`` bits.
+
+    Nodes tied to one leader are connected through it, so a pair of two of them says nothing
+    new and is not emitted: a dense group yields about one pair a node.  Any other pair comes
+    out once, in the first table where its nodes meet.
+
+    With ``loose`` (ids whose tie to a leader did not stand a later check) the result is the
+    pairs of those ids with all others in their buckets instead.
+    """
+    tables = _tables(radius, blocks, together)
     first = " or ".join(
         "(a.t = {} and {})".format(t, " and ".join(
-            [f"{_block('(a.fp ^ b.fp)', used[i])} <> 0" for i in range(c[-1]) if i not in c] or ["true"]))
+            [f"{_block('(a.fp ^ b.fp)', blocks[i])} <> 0" for i in range(c[-1]) if i not in c] or ["true"]))
         for t, c in enumerate(tables))
-    pairs = a.join(b, F.expr(f"a.key = b.key and a.fp < b.fp and not (a.tied and b.tied) and {near} and ({first})"))
-    return stars.union(pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))).distinct()
+    slim = met.drop("lead").withColumn("t", F.expr("shiftrightunsigned(key, 56)"))
+    if loose is not None:
+        left = slim.join(loose.select("id").distinct(), "id", "left_semi").alias("a")
+        pairs = left.join(slim.alias("b"), F.expr(f"a.key = b.key and a.id <> b.id and {_near(radius, also)} and ({first})"))
+        return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    stars = met.where("tied and id <> lead.id").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    a, b = slim.alias("a"), slim.alias("b")
+    pairs = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and not (a.tied and b.tied) and {_near(radius, also)} and ({first})"))
+    return stars.union(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
+
+
+def _tables(radius: int, blocks: list[tuple[int, int]], together: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(min(len(blocks), radius + together)), together))
+
+
+def _near(radius: int, also: str) -> str:
+    return f"a.id <> b.id and bit_count(a.fp ^ b.fp) <= {radius} and ({also})"

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash
+from . import bpe, line_dedup, quality, simhash
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def register(name: str):
     return deco
 
 
+@register("op1_line_dedup")
+def q_line_dedup(spark, sf_dir):
+    """Per document: its lines, the lines taken out (number and positions), the text left."""
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").alias("n_dropped"),
+                      F.col("_dropped").alias("dropped"), F.length("text").alias("n_chars_kept"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @register("op6_bpe_codec")
 def q_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, with_ids=False)

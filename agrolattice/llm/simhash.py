@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .components import components
-from .hamming import byte_blocks, linked_pairs
+from .hamming import buckets, byte_blocks, linked_pairs
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
@@ -66,8 +66,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, togeth
     nodes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("low"))
     blocks = byte_blocks()
     tally = " + ".join(f"int((shiftrightunsigned(a.fp ^ b.fp, {s}) & 255L) = 0)" for s, _ in blocks)
-    pairs = linked_pairs(nodes.select("fp", "weight"), max_bits, blocks, together,
-                         also=f"{tally} >= {8 - max_bits}")
+    enough = f"{tally} >= {8 - max_bits}"
+    met = buckets(nodes.select(F.col("fp").alias("id"), "fp", "weight"), max_bits, blocks, together, enough)
+    pairs = linked_pairs(met, max_bits, blocks, together, enough)
     roots = components(pairs).withColumnRenamed("node", "fp")
     # component_id only where fingerprints link; a lone fingerprint keeps its own smallest id
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
