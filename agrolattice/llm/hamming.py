@@ -15,6 +15,27 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: One bit in each lane: adding (hash >> k) & mask counts the bits k, k + step, ... at once.
+_LANES = {8: "72340172838076673L", 32: "4294967297L"}  # 0x0101010101010101, 0x0000000100000001
+_NARROW_MOST = 127
+
+
+def _majority(hashes: str, count: str, step: int) -> str:
+    zero = ", ".join(f"0L as s{k}" for k in range(step))
+    add = ", ".join(f"a.s{k} + (shiftrightunsigned(x, {k}) & {_LANES[step]}) as s{k}" for k in range(step))
+    bits = " | ".join(
+        f"shiftleft(cast(2 * (shiftrightunsigned(a.s{k}, {lane * step}) & {(1 << step) - 1}L) > {count} as bigint), {lane * step + k})"
+        for k in range(step) for lane in range(64 // step))
+    return f"aggregate({hashes}, struct({zero}), (a, x) -> struct({add}), a -> {bits})"
+
+
+def simhash_sql(hashes: str, count: str) -> str:
+    """SQL of the 64-bit SimHash of an array of hashes, repeats included: the bits set in over
+    half of them.  Counts are kept in lanes of 8 bits for up to 127 hashes, of 32 beyond."""
+    return (f"case when {count} <= {_NARROW_MOST} then {_majority(hashes, count, 8)} "
+            f"else {_majority(hashes, count, 32)} end")
+
+
 def byte_blocks() -> list[tuple[int, int]]:
     """(shift, width) of the eight bytes, the leading byte first."""
     return [(56 - 8 * i, 8) for i in range(8)]

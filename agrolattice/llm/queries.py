@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality, simhash
+from . import bpe, decontaminate, line_dedup, quality, simhash
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def q_line_dedup(spark, sf_dir):
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op2_benchmark_decontamination")
+def q_decontamination(spark, sf_dir):
+    """A row for each document and benchmark item it contains: its best window."""
+    return decontaminate.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 @register("op6_bpe_codec")
 def q_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, with_ids=False)
