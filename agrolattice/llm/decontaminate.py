@@ -87,7 +87,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("doc_key"), text_of().alias("text"))
     worded = lambda d: (d.withColumn("words", words_of(F.col("text"))).withColumn("shingles", shingles_of("words", size))
                         .drop("words", "text"))
-    places = worded(texts).select("doc_key", F.posexplode("shingles").alias("i", "shingle"))
+    # the outer form: the plain one filters on the array first and so computes it twice
+    places = worded(texts).select("doc_key", F.posexplode_outer("shingles").alias("i", "shingle"))
     # the alignments first: the rest needs only the documents that have any
     hits = (places.join(shared, "shingle").select("doc_key", "item_id", "item_fp", "n_words",
                         F.greatest(F.col("i") - F.col("at"), F.lit(0)).alias("start")).distinct())
@@ -96,7 +97,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     seeded = worded(texts.join(found, "doc_key", "left_semi").dropDuplicates(["doc_key"]))
     windows = (hits.join(seeded, "doc_key")
                .withColumn("part", F.expr("slice(shingles, start + 1, greatest(1, n_words - %d))" % (size - 1)))
-               .where("size(part) > 0")
                .select("doc_key", "doc_id", "item_id", "item_fp", "n_words", "start", "part", simhash_of("part").alias("fp")))
     windows = materialize(windows, "windows")
     near = _within_radius(windows, items, radius, blocks)
