@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash
+from . import bpe, decontaminate, line_dedup, pii, quality, secrets, simhash
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def q_decontamination(spark, sf_dir):
     return decontaminate.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
+@register("op3_pii")
+def q_pii(spark, sf_dir):
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.base_digest(), 256).alias("base_sha256"), "spans")
+
+
 @register("op6_bpe_codec")
 def q_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, with_ids=False)
@@ -54,6 +61,14 @@ def q_quality(spark, sf_dir):
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
 
 
+@register("op9_secret_scan")
+def q_secrets(spark, sf_dir):
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *[secrets.count_of(k).alias(f"n_{k}") for k in secrets.KINDS],
+                        F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"),
+                        secrets.spans_text("concat(base, extra)").alias("spans"))
+
+
 @register("op10_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=3)
