@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, html_text, line_dedup, pii, quality, secrets, simhash, toxicity
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def q_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+@register("op5_html_extraction")
+def q_html(spark, sf_dir):
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @register("op6_bpe_codec")
 def q_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, with_ids=False)
