@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, pii, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, html_text, line_dedup, pii, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def q_quality(spark, sf_dir):
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
 
 
+@register("op8_suffix_dedup")
+def q_suffix(spark, sf_dir):
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), length=200).drop("kept")
+
+
 @register("op9_secret_scan")
 def q_secrets(spark, sf_dir):
     found = secrets.find_secrets(documents(spark, sf_dir))
