@@ -203,6 +203,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_repeat: int = 30, m
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep, with all their columns."""
-    good = quality_verdicts(docs, labels, **options).where("kept").select("doc_key").distinct()
-    keyed = docs.withColumn("_doc_key", row_key(text="text"))
-    return keyed.join(good, F.col("_doc_key") == F.col("doc_key"), "left_semi").drop("_doc_key")
+    good = quality_verdicts(docs, labels, **options).where("kept").select(F.col("doc_key").alias("_good")).distinct()
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(good, F.col("_key") == F.col("_good"), "left_semi").drop("_key")
