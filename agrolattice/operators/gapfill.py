@@ -41,6 +41,13 @@ def _order_number(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where null equals null; the keys come from the left."""
+    named = right.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [left[c].eqNullSafe(named[f"_key_{c}"]) for c in keys]
+    return left.join(named, on, "left").drop(*[f"_key_{c}" for c in keys])
+
+
 def auto_chunks(df: DataFrame, group_cols: list[str], order_col: str, target_rows: int) -> DataFrame:
     """Add ``_chunk``: per group, equal-width ranges of the first order column sized so a
     chunk holds about ``target_rows`` rows.  One partial aggregate (count, min, max per
@@ -53,7 +60,7 @@ def auto_chunks(df: DataFrame, group_cols: list[str], order_col: str, target_row
     n_chunks = F.greatest(F.ceil(F.col("_gn") / F.lit(target_rows)), F.lit(1))
     width = (F.col("_tmax") - F.col("_tmin") + 1) / n_chunks
     stats = stats.select(*group_cols, "_tmin", width.alias("_w"))
-    j = d.join(stats, group_cols, "left")
+    j = _null_safe(d, stats, group_cols)
     return j.withColumn("_chunk", F.coalesce(F.floor((F.col("_t") - F.col("_tmin")) / F.col("_w")), F.lit(0))) \
         .drop("_t", "_tmin", "_w")
 
@@ -105,9 +112,10 @@ def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str],
         carried[f"_inv_{m}"] = F.last(F.col(f"_fv_{m}"), ignorenulls=True).over(after)
     summ = summ.withColumns(carried).select(*part, "_off", *carried.keys())
 
-    out = rows.join(summ, part, "left")
+    out = _null_safe(rows, summ, part)
     pos = F.col("_off") + F.col("_rn")
     filled = {}
+    no_group = F.greatest(*[F.col(c).isNull() for c in group_cols], F.lit(False))
     for m in measures:
         prev_p = F.coalesce(F.col("_off") + F.col(f"_pp_{m}"), F.col(f"_ipp_{m}"))
         prev_v = F.coalesce(F.col(f"_pv_{m}"), F.col(f"_ipv_{m}"))
@@ -118,5 +126,7 @@ def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str],
                            prev_v + (next_v - prev_v) * (pos - prev_p) / (next_p - prev_p))
                      .when(prev_p.isNotNull(), prev_v)
                      .otherwise(next_v))
+        # rows without a group are no series: like the original, they come out null
+        filled[m] = F.when(no_group, F.lit(None)).otherwise(filled[m])
     keep = [c for c in df.columns]
     return out.withColumns(filled).select(*keep)

@@ -1,8 +1,9 @@
 """Mean imputation.
 
 A per-group mean is a ``groupBy`` (partial aggregation, hot groups are cheap) joined back
-on the group key.  No broadcast hint: the group table is data-derived, so AQE decides at
-run time from its measured size (broadcast when small, skew-split sort-merge otherwise).
+on the group key.  Few groups would send the whole wide side to a few tasks, so the group
+table is written out and its size measured: it is broadcast when small, and joined by a
+(skew-split) shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import small_side
+
 
 def numeric_columns(df: DataFrame, exclude: tuple = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -24,7 +27,7 @@ def group_mean_impute(df: DataFrame, group_col: str, columns: list[str] | None =
     cols = columns if columns is not None else numeric_columns(df, exclude=(group_col,))
     means = (df.filter(F.col(group_col).isNotNull()).groupBy(group_col)
              .agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols]))
-    joined = df.join(means, on=group_col, how="left")
+    joined = df.join(small_side(means, "group-means"), on=group_col, how="left")
     return joined.select(
         *[(F.coalesce(F.col(c), F.col(f"_mean_{c}")).alias(c) if c in cols else F.col(c)) for c in df.columns])
 

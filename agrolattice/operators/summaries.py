@@ -20,6 +20,11 @@ def _with_total(df: DataFrame, value: str, total_alias: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- catalog
+def _total(col: str):
+    """Sum; of nulls only it is 0."""
+    return F.coalesce(F.sum(col), F.lit(0))
+
+
 def region_summary(cat: DataFrame) -> DataFrame:
     """A5 + A6: datasets, viable datasets and mean rows (truncated) per department and per
     (department, municipality), in one grouping-sets aggregate."""
@@ -146,20 +151,20 @@ def box_stats(prod: DataFrame, value: str = "rendimiento_ton_ha", keys: tuple =
 
 def yield_kpis(prod: DataFrame) -> DataFrame:
     """A10: mean / max / min yield and harvested total (0 when the column is absent)."""
-    harvested = F.sum("hectareas_cosechadas") if "hectareas_cosechadas" in prod.columns else F.lit(0.0)
+    harvested = _total("hectareas_cosechadas") if "hectareas_cosechadas" in prod.columns else F.lit(0.0)
     return prod.agg(F.avg("rendimiento_ton_ha").alias("yield_mean"), F.max("rendimiento_ton_ha").alias("yield_max"),
                     F.min("rendimiento_ton_ha").alias("yield_min"), harvested.alias("harvested_total"))
 
 
 def sown_vs_harvested(prod: DataFrame) -> DataFrame:
     """Sown and harvested hectares per crop."""
-    return prod.groupBy("cultivo").agg(F.sum("hectareas_sembradas").alias("hectareas_sembradas"),
-                                       F.sum("hectareas_cosechadas").alias("hectareas_cosechadas"))
+    return prod.groupBy("cultivo").agg(_total("hectareas_sembradas").alias("hectareas_sembradas"),
+                                       _total("hectareas_cosechadas").alias("hectareas_cosechadas"))
 
 
 def credit_share(credit: DataFrame) -> DataFrame:
     """Credit amount per crop and its share of the total (%)."""
-    g = credit.groupBy("cultivo").agg(F.sum("monto_creditos_cop").alias("monto_creditos_cop"))
+    g = credit.groupBy("cultivo").agg(_total("monto_creditos_cop").alias("monto_creditos_cop"))
     g = _with_total(g, "monto_creditos_cop", "_total")
     return g.select("cultivo", "monto_creditos_cop",
                     F.when(F.col("_total") != 0, 100.0 * F.col("monto_creditos_cop") / F.col("_total"))
@@ -186,14 +191,14 @@ def hectares_table(prod: DataFrame) -> DataFrame:
     """Sown hectares, production and mean yield per (department, municipality, crop),
     rounded to 1 / 1 / 2 decimals."""
     return prod.groupBy("departamento", "municipio", "cultivo").agg(
-        F.round(F.sum("hectareas_sembradas"), 1).alias("hectareas_sembradas"),
-        F.round(F.sum("produccion_obtenida_ton"), 1).alias("produccion_total_ton"),
+        F.round(_total("hectareas_sembradas"), 1).alias("hectareas_sembradas"),
+        F.round(_total("produccion_obtenida_ton"), 1).alias("produccion_total_ton"),
         F.round(F.avg("rendimiento_ton_ha"), 2).alias("rendimiento_promedio"))
 
 
 def hectares_by_crop(table: DataFrame) -> DataFrame:
     """The A15 table re-aggregated to crop."""
-    return table.groupBy("cultivo").agg(F.sum("hectareas_sembradas").alias("hectareas_sembradas"))
+    return table.groupBy("cultivo").agg(_total("hectareas_sembradas").alias("hectareas_sembradas"))
 
 
 def index_ranking(land: DataFrame) -> DataFrame:
@@ -203,5 +208,5 @@ def index_ranking(land: DataFrame) -> DataFrame:
 
 def formalisation_funnel(land: DataFrame) -> DataFrame:
     """Cadastre vs formalised hectares per department."""
-    return land.groupBy("departamento").agg(F.sum("hectareas_catastradas").alias("catastradas"),
-                                            F.sum("hectareas_formalizadas").alias("formalizadas"))
+    return land.groupBy("departamento").agg(_total("hectareas_catastradas").alias("catastradas"),
+                                            _total("hectareas_formalizadas").alias("formalizadas"))

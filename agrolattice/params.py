@@ -284,6 +284,9 @@ EXPLANATION_FACTORS = {
 }
 DEFAULT_DATA_SOURCE = "UPRA Aptitud de Suelos + IDEAM Clima"
 
+# Name of the platform that issues records and reports: set to your own.
+PLATFORM_NAME = "Plataforma de datos abiertos"
+
 # GEL-XML asset record, {slot} placeholders filled per dataset
 GEL_XML_TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>
 <gel:RegistroActivosInformacion
@@ -293,7 +296,7 @@ GEL_XML_TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>
     <gel:Cabecera>
         <gel:EstandarVersion>2.0</gel:EstandarVersion>
         <gel:FechaRegistro>{fecha}</gel:FechaRegistro>
-        <gel:PlataformaOrigen>C.A.M.P.O. Colombia</gel:PlataformaOrigen>
+        <gel:PlataformaOrigen>""" + PLATFORM_NAME + """</gel:PlataformaOrigen>
     </gel:Cabecera>
     <gel:ActivoId>{uid}</gel:ActivoId>
     <gel:NombreActivo>{titulo}</gel:NombreActivo>
@@ -346,7 +349,7 @@ CONTEXT_TEXT = {
     "frontier": [
         "🌳 **Prioridad de Sostenibilidad y Frontera Agrícola (Piloto Piedemonte/Amazonía):**",
         "- Esta zona tiene un alto índice de riesgo de deforestación por expansión agropecuaria no planificada.",
-        "- C.A.M.P.O. en esta región prioriza la estabilización de la frontera agrícola, protegiendo los Resguardos Indígenas y fomentando la agroforestería (sistemas de cacao y café bajo sombra) y sistemas silvopastoriles para ganadería sostenible.",
+        "- El programa en esta región prioriza la estabilización de la frontera agrícola, protegiendo los Resguardos Indígenas y fomentando la agroforestería (sistemas de cacao y café bajo sombra) y sistemas silvopastoriles para ganadería sostenible.",
         "- Se aplican regulaciones ambientales CAR (Decreto 1076) e incentivos del Gobierno Nacional (PDET) para la sustitución de economías no sostenibles y prevención de la tala de bosques primarios.",
     ],
 }

@@ -32,13 +32,15 @@ def crop_economics(requests: DataFrame, production: DataFrame, prices: DataFrame
     y = F.col("_y0") * F.col("zone_factor")
     prod = y * F.col("area_ha")
     price_kg = F.coalesce(F.col("precio_kg"), F.lit(OTHER_CROP_ECONOMICS[0]))
-    cost_ha = F.coalesce(F.col("cp_cost_ha"), F.lit(OTHER_CROP_ECONOMICS[3]))
+    # stress factors go by the normalised crop name, cost and cycle by the exact one
+    exact = F.col("cultivo") == F.col("cp_crop")
+    cost_ha = F.coalesce(F.when(exact, F.col("cp_cost_ha")), F.lit(OTHER_CROP_ECONOMICS[3]))
     df = df.withColumns({
         "_yield": y, "_prod": prod, "_price": price_kg,
         "_cost": cost_ha * F.col("area_ha"),
         "_revenue": prod * 1000 * price_kg,
         "_rate": subsidised_rate(F.col("_rate0"), F.col("producer_type")),
-        "_cycle": F.coalesce(F.col("cp_cycle_months"), F.lit(OTHER_CROP_ECONOMICS[4])),
+        "_cycle": F.coalesce(F.when(exact, F.col("cp_cycle_months")), F.lit(OTHER_CROP_ECONOMICS[4])),
     })
     df = df.withColumns({"_net": F.col("_revenue") - F.col("_cost"), "_credit": F.col("_cost") * CREDIT_SHARE})
     df = df.withColumn("_interest", F.col("_credit") * (F.col("_rate") / 100))

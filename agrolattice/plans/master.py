@@ -2,7 +2,7 @@
 
 production -(J1)- soils, -(J2)- yearly climate (W1 gap fill, A1), -(J3)- credit,
 -(J4)- yearly prices (A2), -(J5)- land security, -(J6)- livestock; then W2 per-crop mean
-imputation and C6 category defaults.  One lazy plan: every dimension is pre-aggregated
+imputation and C6 category defaults.  Every dimension is pre-aggregated
 before its join, and no join carries a broadcast hint - AQE broadcasts a dimension when its
 measured size is small and falls back to a (skew-split) sort-merge join otherwise.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from ..operators.gapfill import gap_fill_linear
 from ..operators.impute import group_mean_impute, numeric_columns
 from ..operators.rollup import yearly_climate, yearly_prices
+from ..session import materialize
 
 CLIMATE_MEASURES = ["temperatura_promedio_c", "precipitacion_diaria_mm", "humedad_relativa_pct",
                     "brillo_solar_horas"]
@@ -48,5 +49,7 @@ def consolidate(production: DataFrame, soils: DataFrame, climate: DataFrame, cre
     m = m.join(land.select(*PLACE, *LAND_COLS), PLACE, "left")
     m = m.join(livestock.select("anio", *PLACE, *LIVESTOCK_COLS), ["anio"] + PLACE, "left")
     if impute:
+        # read twice below, for the means and for the rows: written once
+        m = materialize(m, "joined-master")
         m = group_mean_impute(m, "cultivo", numeric_columns(m, exclude=("cultivo",) + tuple(key_cols)))
     return m.fillna({"textura": "Franco", "aptitud": "Media"})

@@ -7,6 +7,9 @@ are rounded (4 places, money 2) so the engines' summation orders cannot flip a d
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +25,14 @@ from .operators import summaries as S
 from .plans import catalog as catalog_plan
 from .plans import master as master_plan
 from .schemas import ENT
+from .session import source_stamp
 from .sources import standins as si
+from .sources.tables import read_catalog_files, read_csv_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Gap-fill chunk size for the registered queries: small, so that the checks at test scale
-# exercise the cross-chunk carry of the scan (the library default is 1,000,000 rows).
-GAPFILL_TARGET_ROWS = 64
+# Gap-fill chunk size of the registered queries: the library's default.
+GAPFILL_TARGET_ROWS = 1_000_000
 
 
 def register(name: str):
@@ -38,6 +42,12 @@ def register(name: str):
     return deco
 
 
+def _run_id(spark: SparkSession, sf_dir: str) -> str:
+    """One stream run per application and state of the source: asked for again, it resumes."""
+    state = f"{spark.sparkContext.applicationId}|{sf_dir}|{source_stamp(spark, sf_dir)}"
+    return hashlib.md5(state.encode()).hexdigest()[:16]
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every floating column (keeps names and order)."""
     def c(name):
@@ -127,8 +137,31 @@ def q_column_profile(spark, sf_dir):
 
 @register("duplicate_rows")
 def q_duplicate_rows(spark, sf_dir):
-    """Whole-row duplicates over the catalog's identifying columns."""
-    return duplicate_report(si.catalog_raw(spark, sf_dir), ["UID", "Titulo", "Descripción", "Categoría"])
+    """Whole-row duplicates of the raw catalog, all columns compared."""
+    return duplicate_report(si.catalog_raw(spark, sf_dir))
+
+
+@register("csv_by_name")
+def q_csv_by_name(spark, sf_dir):
+    """Supplier rows written as CSV with the columns in another order, one missing and one
+    too many, read back by name through the declared schema."""
+    path = _scratch(spark, "csv")
+    rows = si.read_table(spark, sf_dir, "supplier")
+    write_table(rows.select("s_acctbal", "s_name", F.lit("x").alias("other"), "s_suppkey"), path, fmt="csv")
+    return rounded(read_csv_table(spark, path, "s_suppkey long, s_name string, s_region string, s_acctbal double"), 2)
+
+
+@register("catalog_files")
+def q_catalog_files(spark, sf_dir):
+    """The raw catalog written as two CSV files with different columns beside an empty
+    file, read back and unioned by name."""
+    raw = si.catalog_raw(spark, sf_dir)
+    short = ["UID", "Número de Filas", "alcance_geografico", "es_viable"]
+    paths = [_scratch(spark, "catalog") for _ in range(3)]
+    write_table(raw.where("Fuente is null").select(*short, "ds_calidad_datos"), paths[0], fmt="csv")
+    write_table(raw.where("Fuente is not null").select("Fuente", *reversed(short)), paths[1], fmt="csv")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(paths[2])
+    return read_catalog_files(spark, paths)
 
 
 # ------------------------------------------------------------------ summaries (A4-A24, T, W6, P6)
@@ -293,12 +326,13 @@ def q_stress_yield(spark, sf_dir):
 
 @register("month_calibration")
 def q_month_calibration(spark, sf_dir):
-    """Per place (municipality level) the 12 rain fractions and temperature offsets."""
-    cal = climate_calibration(si.climate_daily(spark, sf_dir)).where(F.col("_lvl") == 0)
-    return rounded(cal.select(F.col("_d").alias("departamento"), F.col("_m").alias("municipio"),
+    """The 12 rain fractions and temperature offsets per level (0 municipality, 1
+    department, 3 national) and place."""
+    cal = climate_calibration(si.climate_daily(spark, sf_dir))
+    return rounded(cal.select(F.col("_lvl").cast("int").alias("level"), F.col("_d").alias("departamento"), F.col("_m").alias("municipio"),
                               F.posexplode(F.arrays_zip("rain_fraction", "temp_diff")).alias("i", "v"),
                               "temp_base_calibrated")
-                   .select("departamento", "municipio", (F.col("i") + 1).alias("mes"),
+                   .select("level", "departamento", "municipio", (F.col("i") + 1).alias("mes"),
                            F.col("v.rain_fraction").alias("rain_fraction"), F.col("v.temp_diff").alias("temp_diff"),
                            "temp_base_calibrated"))
 
@@ -573,7 +607,7 @@ from .streaming import rollups as stream_rollups  # noqa: E402
 def q_stream_daily(spark, sf_dir):
     """Streaming 1-day station roll-up with a 2-day watermark (append: closed windows)."""
     daily = stream_rollups.daily_rollup(stream_rollups.station_stream(spark, sf_dir))
-    out = stream_rollups.run_available_now(daily, "stream_daily")
+    out = stream_rollups.run_available_now(daily, "stream_daily", run_id=_run_id(spark, sf_dir))
     tz = spark.conf.get("spark.sql.session.timeZone")
     return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"), "departamento",
                               "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",
@@ -680,9 +714,9 @@ def q_known_override(spark, sf_dir):
     k = F.col("doc_id")
     req = docs.select(
         k.alias("request_id"),
-        F.when(k % 3 == 0, F.substring(F.md5("text"), 1, 9)).when(k % 3 == 1, F.lit(""))
+        F.when(k % 3 == 0, F.md5("text")).when(k % 3 == 1, F.lit(""))
         .otherwise(F.lit(None).cast("string")).alias("UID"),
-        F.when(k % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("sin título")).alias("Titulo"))
+        F.when(k % 2 == 0, F.substring_index("text", "\n", 1)).otherwise(F.lit("sin título")).alias("Titulo"))
     out = docs_plan.known_probability(req, cat)
     return out.select("request_id", "known_prob")
 
@@ -886,7 +920,7 @@ def q_stream_prices(spark, sf_dir):
     from .params import CROPS
     part = si.read_table(spark, sf_dir, "part")
     w = stream_rollups.price_window_stream(stream_rollups.price_stream(spark, sf_dir, part, CROPS))
-    out = stream_rollups.run_available_now(w, "stream_prices")
+    out = stream_rollups.run_available_now(w, "stream_prices", run_id=_run_id(spark, sf_dir))
     tz = spark.conf.get("spark.sql.session.timeZone")
     return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
                               "cultivo", "moving_avg_price", "n_prices"))
@@ -901,7 +935,7 @@ def q_stream_daily_complete(spark, sf_dir):
                   F.coalesce(F.sum(stream_rollups.MEASURES[1]), F.lit(0.0)).alias("precipitacion_mm"),
                   F.avg(stream_rollups.MEASURES[2]).alias("humedad_media_pct"),
                   F.coalesce(F.sum(stream_rollups.MEASURES[3]), F.lit(0.0)).alias("brillo_solar_horas")))
-    out = stream_rollups.run_complete(daily, "stream_daily_complete")
+    out = stream_rollups.run_complete(daily, "stream_daily_complete", run_id=_run_id(spark, sf_dir))
     tz = spark.conf.get("spark.sql.session.timeZone")
     return rounded(out.select(stream_rollups.instant_to_wall(F.col("window.start"), tz).alias("window_start"),
                               "departamento", "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct",

@@ -7,10 +7,12 @@ partition coalescing and skew-join splitting), UTC session time, no UI.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "agrolattice",
@@ -47,11 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is configured and simply read back.  Only when it is unset
-    (unit tests, a laptop) a scratch folder is created and registered.
+    (unit tests, a laptop: a ``local`` master) a scratch folder is created and registered;
+    on a cluster each executor would write to its own disk, so there it is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="agrolattice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
@@ -69,3 +74,21 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     path = os.path.join(base, "tables", f"{name or 'stage'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = 200_000) -> DataFrame:
+    """A join side whose size is measured: ``df`` is written to shared storage once and read
+    back, with a broadcast hint if it has at most ``max_rows`` rows.  Above that it carries no
+    hint and the planner joins by a (skew-split) shuffle."""
+    stored = materialize(df, name)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def source_stamp(spark: SparkSession, path: str) -> str:
+    """What tells two states of the files at ``path`` apart: name, size and modification time of
+    its entries (any Hadoop file system)."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return "absent"
+    return ";".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in fs.listStatus(jpath)))

@@ -41,8 +41,8 @@ def stored_view(fn):
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not MATERIALIZE_VIEWS:
             return fn(spark, sf_dir)
-        from ..session import materialize
-        key = (id(spark._jsparkSession), os.path.abspath(sf_dir), fn.__name__)
+        from ..session import materialize, source_stamp
+        key = (spark.sparkContext.applicationId, sf_dir, source_stamp(spark, sf_dir), fn.__name__)
         if key not in _VIEWS:
             _VIEWS[key] = materialize(fn(spark, sf_dir), f"view-{fn.__name__}")
         return _VIEWS[key]
@@ -272,9 +272,10 @@ def herds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two raw catalog "files" (all strings, different columns), unioned by name.
 
-    UID = first 9 hex digits of md5(text), so exact copies of a document collide and
-    the de-duplication has real work.
+    UID = md5(text), so exact copies of a document collide and the de-duplication has real
+    work.  The title is the first line of the text, the justification the rest.
     """
+    first_line = F.substring_index("text", "\n", 1)
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
     d = docs.join(labels, "doc_id", "left")
@@ -284,8 +285,8 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(i % 3 == 1, n.cast("string"))
                 .otherwise(F.concat(n.cast("string"), F.lit(".0"))))
     common = [
-        F.substring(F.md5(F.col("text")), 1, 9).alias("UID"),
-        F.substring("text", 1, 80).alias("Titulo"),
+        F.md5(F.col("text")).alias("UID"),
+        first_line.alias("Titulo"),
         F.col("text").alias("Descripción"),
         rows_raw.alias("Número de Filas"),
         (F.length("source") + i % 20).cast("string").alias("Número de Columnas"),
@@ -309,7 +310,7 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     local = d.filter(F.col("lang").isin("es", "en")).select(
         *common,
-        F.substring("text", 81, 120).alias("ds_justificacion"),
+        F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("ds_justificacion"),
         F.when(i % 7 == 0, F.lit("n/a")).when(i % 7 == 1, F.lit(None).cast("string"))
         .otherwise(F.concat((n % 5).cast("string"), F.lit(".5"))).alias("ds_calidad_datos"))
     other = d.filter(~F.col("lang").isin("es", "en")).select(

@@ -7,7 +7,6 @@ columns differ; they are read as all-string and unioned by name.
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import CATALOG_COLUMNS
+from ..session import source_stamp
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -29,18 +29,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = Fals
     The DataFrame (file listing + footer schema) is kept per session and path: a query that
     reads a table in several branches plans it once.  ``refresh=True`` re-lists the files."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark._jsparkSession), path)
+    key = (spark.sparkContext.applicationId, path, source_stamp(spark, path))
     if refresh or key not in _READ_CACHE:
         _READ_CACHE[key] = spark.read.parquet(path)
     return _READ_CACHE[key]
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: "StructType | str") -> DataFrame:
-    """Header CSV with a declared schema; missing file -> empty table of that schema."""
+    """Header CSV with a declared schema, by column name: columns may come in any order, a
+    missing one is null, others are ignored, and a value that does not cast is null.  Missing
+    file -> empty table of that schema."""
+    empty = spark.createDataFrame([], schema)
     if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("multiLine", True).option("escape", '"').csv(path))
+        return empty
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+           .option("multiLine", True).option("escape", '"').csv(path))
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in raw.columns
+                        else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
 
 
 def read_catalog_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -67,16 +73,11 @@ def read_catalog_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def catalog_paths(workspace_dir: str, prefix: str = "reto_") -> list[str]:
-    return sorted(glob.glob(os.path.join(workspace_dir, f"{prefix}*.csv")))
-
-
-def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    """Row-concatenate frames whose columns differ."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def catalog_paths(spark: SparkSession, workspace_dir: str, prefix: str = "reto_") -> list[str]:
+    """The catalog files of a folder on any Hadoop file system, by name."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(workspace_dir, f"{prefix}*.csv"))
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.globStatus(jpath) or [])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,

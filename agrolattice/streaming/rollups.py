@@ -9,11 +9,12 @@ X2: market prices as sliding 28-day windows every 7 days per crop (a time-based
 average; grouping by window is a partial aggregate, so a hot crop is no problem).
 
 Both sinks write parquet under the shared checkpoint folder with their own checkpoint
-location, so a restarted query resumes from the last committed batch.
+location; a run started again with the same ``run_id`` resumes from the last committed batch.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -36,12 +37,35 @@ def instant_to_wall(c: Column, session_tz: str, fmt: str = "yyyy-MM-dd") -> Colu
 MEASURES = ["temperatura_promedio_c", "precipitacion_diaria_mm", "humedad_relativa_pct", "brillo_solar_horas"]
 
 
+def _landed(spark: SparkSession, schema, source_dir: str, file_glob: str, max_files: int | None) -> DataFrame:
+    """The landed files as a stream.  Without ``max_files`` a bounded replay takes them all in
+    one batch, so the watermark cannot overtake files that are not in time order; a cap is only
+    for files that land in time order."""
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return (raw.option("maxFilesPerTrigger", max_files) if max_files else raw).parquet(source_dir)
+
+
+def _base(spark: SparkSession, name: str, run_id: str | None) -> str:
+    """Folder of a stream's table and checkpoint.  The same ``run_id`` finds them again, so a
+    restarted query resumes; without one every run is new."""
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{run_id or uuid.uuid4().hex[:10]}")
+
+
+def _finish(q, name: str) -> None:
+    """Wait for the query, and fail if the watermark dropped rows: they would be missing from
+    the result without an error."""
+    q.awaitTermination()
+    dropped = sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress
+                  for s in json.loads(p.json if isinstance(getattr(p, "json", None), str) else json.dumps(p)).get("stateOperators", []))
+    if dropped:
+        raise RuntimeError(f"{name}: {dropped} rows came later than the watermark allows; replay files in time order or without a cap")
+
+
 def station_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                   max_files_per_trigger: int = 64) -> DataFrame:
+                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming station readings from parquet files (schema taken from the landed files)."""
     schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    raw = _landed(spark, schema, source_dir, file_glob, max_files_per_trigger)
     eid, v = F.col("event_id"), F.col("value")
 
     def gap(k: int, val: Column) -> Column:
@@ -72,25 +96,24 @@ def price_windows(prices: DataFrame, date_col: str = "fecha", crop: str = "culti
             .agg(F.avg(price).alias("moving_avg_price"), F.count(F.lit(1)).alias("n_prices")))
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", run_id: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available, into parquet under the shared
     checkpoint folder, and return the written table (batch DataFrame)."""
     spark = df.sparkSession
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:10]}")
+    base = _base(spark, name, run_id)
     out, ckpt = os.path.join(base, "data"), os.path.join(base, "_checkpoint")
     q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    _finish(q, name)
     return spark.read.parquet(out)
 
 
 def price_stream(spark: SparkSession, source_dir: str, part: DataFrame, crops: list[str],
-                 file_glob: str = "lineitem.parquet", max_files_per_trigger: int = 64) -> DataFrame:
+                 file_glob: str = "lineitem.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming market prices: arriving line files joined to the static part table
     (stream-static join; the static side is a dimension) -> (ts, crop, price)."""
     schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    raw = _landed(spark, schema, source_dir, file_glob, max_files_per_trigger)
     tz = spark.conf.get("spark.sql.session.timeZone")
     crop = None
     for i, c in enumerate(crops):
@@ -109,18 +132,18 @@ def price_window_stream(prices: DataFrame, watermark: str = "14 days") -> DataFr
             .agg(F.avg("precio_kg_promedio_cop").alias("moving_avg_price"), F.count(F.lit(1)).alias("n_prices")))
 
 
-def run_complete(df: DataFrame, name: str) -> DataFrame:
+def run_complete(df: DataFrame, name: str, run_id: str | None = None) -> DataFrame:
     """Run a streaming aggregate in ``complete`` mode over everything available.  Each
     micro-batch overwrites the result table (``foreachBatch``), so the table always holds
     the full current result.  Complete mode keeps every group in state: use it for bounded
     key spaces; append mode with a watermark is the unbounded, scalable form."""
     spark = df.sparkSession
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:10]}")
+    base = _base(spark, name, run_id)
     out, ckpt = os.path.join(base, "data"), os.path.join(base, "_checkpoint")
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
     q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q, name)
     return spark.read.parquet(out)

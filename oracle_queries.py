@@ -195,7 +195,7 @@ def q(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-_CAT_COMMON = f"""substring(md5(text), 1, 9) AS "UID", substring(text, 1, 80) AS "Titulo", text AS "Descripción",
+_CAT_COMMON = f"""md5(text) AS "UID", split_part(text, chr(10), 1) AS "Titulo", text AS "Descripción",
   CASE WHEN doc_id % 3 = 0 THEN replace(format('{{:,}}', n_chars), ',', '.')
        WHEN doc_id % 3 = 1 THEN CAST(n_chars AS VARCHAR) ELSE CAST(n_chars AS VARCHAR) || '.0' END AS "Número de Filas",
   CAST(length(source) + doc_id % 20 AS VARCHAR) AS "Número de Columnas",
@@ -214,7 +214,7 @@ _CAT_COMMON = f"""substring(md5(text), 1, 9) AS "UID", substring(text, 1, 80) AS
 
 CATALOG_RAW = f"""docs AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
 raw AS (
-  SELECT {_CAT_COMMON}, substring(text, 81, 120) AS ds_justificacion,
+  SELECT {_CAT_COMMON}, substring(text, length(split_part(text, chr(10), 1)) + 2) AS ds_justificacion,
     CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 7 = 1 THEN NULL
          ELSE CAST(n_chars % 5 AS VARCHAR) || '.5' END AS ds_calidad_datos, CAST(NULL AS VARCHAR) AS "Fuente"
   FROM docs WHERE lang IN ('es', 'en')
@@ -288,7 +288,7 @@ SQL["column_profile"] = with_(CATALOG_RAW) + " UNION ALL ".join(
     for i, c in enumerate(RAW_COLS))
 SQL["duplicate_rows"] = with_(CATALOG_RAW) + """SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct,
   CAST(sum(c - 1) AS BIGINT) AS n_duplicates
-  FROM (SELECT "UID", "Titulo", "Descripción", "Categoría", count(*) AS c FROM raw GROUP BY ALL) g"""
+  FROM (SELECT *, 0 AS one, count(*) AS c FROM raw GROUP BY ALL) g"""
 
 
 # ------------------------------------------------------------------ summaries
@@ -483,12 +483,25 @@ SQL["stress_yield"] = with_(GEO, PARCELS, CP) + f"""SELECT parcel_id, cultivo,
   round({slope_f('pendiente_pct')}, 6) AS s_slope, round({stressed('temp_media_c')}, 6) AS stressed_yield
 FROM parcels LEFT JOIN cp ON cp.crop = parcels.cultivo"""
 
-SQL["month_calibration"] = with_(GEO, CLIMATE, MONTHS, CLIMATE_CAL) + """SELECT ct.d AS departamento, ct.m AS municipio, mo.mes,
+SQL["month_calibration"] = with_(GEO, CLIMATE, MONTHS) + """,
+lc AS (SELECT l.level, CASE WHEN l.level < 3 THEN lower(departamento) END AS d,
+    CASE WHEN l.level = 0 THEN lower(municipio) END AS m, CAST(month(fecha) AS INTEGER) AS mes,
+    precipitacion_diaria_mm AS rain, temperatura_promedio_c AS temp
+  FROM climate CROSS JOIN (VALUES (0), (1), (3)) l(level) WHERE fecha IS NOT NULL),
+cm AS (SELECT level, d, m, mes, coalesce(sum(rain), 0.0) AS rain, avg(temp) AS tmean FROM lc GROUP BY ALL),
+ct AS (SELECT level, d, m, sum(rain) AS total_rain, avg(tmean) AS tglobal FROM cm GROUP BY ALL),
+cr AS (SELECT level, d, m, avg(temp) AS temp_real FROM lc GROUP BY ALL)
+SELECT ct.level, ct.d AS departamento, ct.m AS municipio, mo.mes,
   round(CASE WHEN ct.total_rain > 0 AND cm.mes IS NOT NULL THEN cm.rain / ct.total_rain ELSE mo.dfrac END, 6) AS rain_fraction,
   round(CASE WHEN ct.tglobal IS NOT NULL AND cm.mes IS NOT NULL THEN cm.tmean - ct.tglobal ELSE mo.ddiff END, 6) AS temp_diff,
   round(CASE WHEN cr.temp_real >= 10 AND cr.temp_real <= 35 THEN cr.temp_real END, 6) AS temp_base_calibrated
-FROM ct CROSS JOIN months mo LEFT JOIN cm ON cm.d = ct.d AND cm.m = ct.m AND cm.mes = mo.mes
-LEFT JOIN cr ON cr.d = ct.d AND cr.m = ct.m"""
+FROM ct CROSS JOIN months mo
+LEFT JOIN cm ON cm.level = ct.level AND cm.d IS NOT DISTINCT FROM ct.d AND cm.m IS NOT DISTINCT FROM ct.m AND cm.mes = mo.mes
+LEFT JOIN cr ON cr.level = ct.level AND cr.d IS NOT DISTINCT FROM ct.d AND cr.m IS NOT DISTINCT FROM ct.m"""
+
+SQL["csv_by_name"] = """SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS s_region, round(s_acctbal, 2) AS s_acctbal FROM supplier"""
+SQL["catalog_files"] = with_(CATALOG_RAW) + """SELECT "UID", "Número de Filas", alcance_geografico, es_viable, ds_calidad_datos,
+  "Fuente" FROM raw"""
 
 SQL["cycle_months"] = PLANNER_BASE + """SELECT parcel_id, mes, month_name, round(sim_rain, 6) AS sim_rain,
   round(sim_temp, 6) AS sim_temp, round(yield, 6) AS yield FROM sm"""
@@ -1019,8 +1032,8 @@ SELECT "UID", {q(ENT + 'Departamento')} AS dept, {_gs('ipg')} AS ipg_educacion,
 FROM geocoded g"""
 
 SQL["known_override"] = CLEAN + """, req AS (SELECT doc_id AS request_id,
-    CASE WHEN doc_id % 3 = 0 THEN substring(md5(text), 1, 9) WHEN doc_id % 3 = 1 THEN '' END AS uid,
-    CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 80) ELSE 'sin título' END AS titulo FROM documents),
+    CASE WHEN doc_id % 3 = 0 THEN md5(text) WHEN doc_id % 3 = 1 THEN '' END AS uid,
+    CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 1) ELSE 'sin título' END AS titulo FROM documents),
 r2 AS (SELECT *, CASE WHEN uid IS NOT NULL AND trim(uid) <> '' AND uid <> 'No disponible' THEN uid END AS ru,
     CASE WHEN NOT (uid IS NOT NULL AND trim(uid) <> '' AND uid <> 'No disponible')
           AND titulo IS NOT NULL AND trim(titulo) <> '' AND titulo <> 'No disponible' THEN titulo END AS rt FROM req),

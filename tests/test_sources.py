@@ -82,3 +82,40 @@ def test_regional_extract_round_trip_keeps_tricky_texts(spark):
     df = spark.createDataFrame(rows, "UID string, Titulo string, dept string")
     got = {r.departamento: r.rows for r in extract_by_department(df, os.path.join(d, "x"), "dept").collect()}
     assert got == {"A": 2, "B": 2, "Nacional": 1}
+
+
+def test_csv_columns_by_name(spark):
+    d = tempfile.mkdtemp(prefix="agrolattice-test-")
+    p = os.path.join(d, "prices.csv")
+    _write(p, '﻿cultivo,fecha,otro,precio_kg_promedio_cop\nCafe,2024-01-01,x,12.5\nCacao,bad,y,n/a\n')
+    df = read_csv_table(spark, p, "fecha date, cultivo string, central_abasto string, precio_kg_promedio_cop double")
+    assert [tuple(map(str, r)) for r in df.collect()] == [("2024-01-01", "Cafe", "None", "12.5"), ("None", "Cacao", "None", "None")]
+
+
+def test_checkpoint_dir_is_required_off_local_mode(monkeypatch, spark):
+    import pytest
+    from agrolattice import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_gap_fill_leaves_rows_without_a_group(spark):
+    from agrolattice.operators.gapfill import gap_fill_linear
+    rows = [(g, i, v) for g in ("a", None) for i, v in enumerate([1.0, None, 3.0, None])]
+    got = gap_fill_linear(spark.createDataFrame(rows, "g string, t int, v double"), ["g"], ["t"], ["v"]).orderBy("g", "t").collect()
+    assert [r["v"] for r in got if r["g"] == "a"] == [1.0, 2.0, 3.0, 3.0]
+    assert [r["v"] for r in got if r["g"] is None] == [None] * 4
