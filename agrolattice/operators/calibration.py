@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..params import (CROP_DEFAULT_RATE, DEFAULT_RAIN_FRACTION, DEFAULT_TEMP_DIFF, LATEST_PRICE_ROWS,
                       OTHER_CROP_ECONOMICS, PRICE_FLOOR_COP, TEMP_BASE_VALID, crop_params_df)
+from ..session import materialize, small_side
 from .topk import top_n_per_group
 
 ALL = "Todos"
@@ -40,7 +41,8 @@ def _levels(df: DataFrame, extra: list[str], aggs: list[Column], dept: str = "de
 
 def _join_level(req: DataFrame, table: DataFrame, level: Column, d: Column, m: Column, extra: list[str],
                 prefix: str) -> DataFrame:
-    t = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
+    # one row per level and place: few keys, so a shuffle would send all requests to a few tasks
+    t = small_side(table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns]), "level")
     cond = ((F.lit(True) if level is None else (level == F.col(f"{prefix}_lvl")))
             & d.eqNullSafe(F.col(f"{prefix}_d")) & m.eqNullSafe(F.col(f"{prefix}_m")))
     for e in extra:
@@ -103,7 +105,7 @@ def with_zone_factor(req: DataFrame, zones: DataFrame, mode: str, crop: str = "c
     params = crop_params_df(req.sparkSession).select(F.lower("cultivo").alias("_pc"), F.col("base_yield").alias("_nat"))
     lvl, d, m = request_level(F.col(dept), F.col(mun))
     r = req.withColumn("_c", F.lower(F.col(crop))).withColumn("_rl", lvl).withColumn("_rd", d).withColumn("_rm", m)
-    z = zones.where(F.col("n") > 0)
+    z = materialize(zones.where(F.col("n") > 0), "zones")
     r = _join_level(r, z.where(F.col("_lvl") == LVL_MUN), None, F.col("_rd"), F.col("_rm"), ["_c"], "zm")
     r = _join_level(r, z.where(F.col("_lvl") == LVL_DEPT), None, F.col("_rd"), F.lit(None).cast("string"),
                     ["_c"], "zd")
@@ -144,7 +146,7 @@ def with_rate(req: DataFrame, rates: DataFrame, default: float = CROP_DEFAULT_RA
     when no rows."""
     d = F.when(F.col(dept).isNotNull() & (F.col(dept) != ALL), F.lower(F.col(dept)))
     lvl = F.when(d.isNotNull(), 0).otherwise(1)
-    t = rates.select(F.col("_d").alias("_rt_d"), F.col("_lvl").alias("_rt_lvl"), F.col("rate").alias("_rt_rate"))
+    t = small_side(rates.select(F.col("_d").alias("_rt_d"), F.col("_lvl").alias("_rt_lvl"), F.col("rate").alias("_rt_rate")), "rates")
     j = req.join(t, (lvl == F.col("_rt_lvl")) & d.eqNullSafe(F.col("_rt_d")), "left")
     return j.withColumn(out, F.coalesce(F.col("_rt_rate"), F.lit(default))).drop("_rt_d", "_rt_lvl", "_rt_rate")
 
@@ -186,9 +188,19 @@ def hierarchical_defaults(master: DataFrame, requests: DataFrame) -> DataFrame:
           .withColumn("_c", F.lower("cultivo")))
     keys = ["_d", "_m", "_c"]
     sets = [["_d", "_m", "_c"], ["_d", "_c"], ["_m", "_c"], ["_c"], ["_d", "_m"], ["_d"], ["_m"], []]
-    aggs = [F.avg(c).alias(c) for c in NUMERIC_DEFAULTS] + [F.mode("textura", True).alias("textura"),
-                                                             F.count(F.lit(1)).alias("n")]
-    g = df.groupingSets(sets, *keys).agg(*aggs, F.grouping_id(*keys).alias("_gid"))
+    # the finest level first, from sums and counts: the eight levels then expand a small table,
+    # not the master rows
+    fine = df.groupBy(*keys, "textura").agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in NUMERIC_DEFAULTS], *[F.count(c).alias(f"_n_{c}") for c in NUMERIC_DEFAULTS],
+        F.count(F.lit(1)).alias("_rows"))
+    by_texture = fine.groupingSets([[*s, "textura"] for s in sets], *keys, "textura").agg(
+        F.sum("_rows").alias("_rows"), *[F.sum(f"_{x}_{c}").alias(f"_{x}_{c}") for x in "sn" for c in NUMERIC_DEFAULTS],
+        F.grouping_id(*keys, "textura").alias("_g2"))
+    top = F.min(F.when(F.col("textura").isNotNull(), F.struct((-F.col("_rows")).alias("r"), F.col("textura").alias("t"))))
+    g = by_texture.groupBy(F.shiftright("_g2", 1).alias("_gid"), *keys).agg(
+        *[(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in NUMERIC_DEFAULTS], top["t"].alias("textura"),
+        F.sum("_rows").alias("n"))
+    g = small_side(g, "defaults")
     r = (requests.withColumn("_rd", F.when(F.col("departamento") != ALL, F.lower("departamento")))
          .withColumn("_rm", F.when(F.col("municipio") != ALL, F.lower("municipio")))
          .withColumn("_rc", F.lower("cultivo")))

@@ -1,8 +1,7 @@
-"""Ordered dictionary lookups by exact key or by substring.
+"""Ordered dictionary lookups by exact key or by substring, inside the row.
 
-The substring match is a theta join, so it runs on the *distinct* normalised names only
-(a few thousand at most), against a fixed parameter table that is broadcast; the result
-(one row per distinct name) joins back on the name with an equi-join.
+The dictionaries are fixed parameter tables of some thirty entries, so each lookup is an
+expression over a literal array: no join, no distinct names, no second scan.
 """
 
 from __future__ import annotations
@@ -10,51 +9,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import DEFAULT_COORDINATES, NO_DATA, gender_stats_df, place_coordinates_df
+from ..params import DEFAULT_COORDINATES, GENDER_STATS, NO_DATA, PLACE_COORDINATES
 
 
 def norm(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def ordered_contains_lookup(names: DataFrame, name_col: str, table: DataFrame, key_col: str,
-                            ord_col: str, value_cols: list[str], exact_first: bool = True) -> DataFrame:
-    """For each distinct lower-cased name: the first table row (by ``ord_col``) whose key is a
-    substring of the name or contains it.  ``exact_first`` lets an exact key win over an
-    earlier substring key ("valle del cauca" before "cauca")."""
-    d = names.select(norm(F.col(name_col)).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    t = F.broadcast(table)
-    hit = d.join(t, F.col("_name").contains(F.col(key_col)) | F.col(key_col).contains(F.col("_name")))
-    rank = F.col(ord_col) + 1
+def lookup(name: Column, table: list[tuple], fields: list[str], exact_first: bool = True) -> Column:
+    """Struct ``fields`` of the first ``table`` row (key, then values) whose key is a substring of
+    the normalised name or contains it; null if none does or the name is null.  ``exact_first``
+    lets an exact key win over an earlier substring key ("valle del cauca" before "cauca")."""
+    rows = F.array(*[F.struct(F.lit(r[0].lower()).alias("key"), *[F.lit(v).alias(f) for f, v in zip(fields, r[1:])]) for r in table])
+    hits = F.filter(rows, lambda r: name.contains(r["key"]) | r["key"].contains(name))
+    found = F.get(hits, F.lit(0))
     if exact_first:
-        rank = F.when(F.col(key_col) == F.col("_name"), F.lit(0)).otherwise(rank)
-    best = hit.groupBy("_name").agg(F.min(F.struct(rank.alias("_rank"), *[F.col(v) for v in value_cols]))
-                                    .alias("_b"))
-    return best.select("_name", *[F.col(f"_b.{v}").alias(v) for v in value_cols])
+        found = F.coalesce(F.get(F.filter(rows, lambda r: r["key"] == name), F.lit(0)), found)
+    return F.when(name.isNotNull(), found)
+
+
+def exact_lookup(name: Column, table: list[tuple], fields: list[str]) -> Column:
+    """Struct of the row whose key equals the normalised name."""
+    rows = F.array(*[F.struct(F.lit(r[0].lower()).alias("key"), *[F.lit(v).alias(f) for f, v in zip(fields, r[1:])]) for r in table])
+    return F.get(F.filter(rows, lambda r: r["key"] == name), F.lit(0))
 
 
 def geocode(df: DataFrame, dept_col: str, mun_col: str, exact_first: bool = True) -> DataFrame:
     """J7 + J8: latitude/longitude from the municipality (exact key) else the department
     (ordered substring), else the national default."""
-    spark = df.sparkSession
-    coords = place_coordinates_df(spark)
-    dept_hits = ordered_contains_lookup(df, dept_col, coords, "place_key", "ord", ["lat", "lon"], exact_first)
-    mun = coords.select(F.col("place_key").alias("_mkey"), F.col("lat").alias("_mlat"), F.col("lon").alias("_mlon"))
-    out = (df.withColumn("_mkey", F.when(F.col(mun_col) != NO_DATA, norm(F.col(mun_col))))
-           .withColumn("_name", norm(F.col(dept_col)))
-           .join(F.broadcast(mun), "_mkey", "left")
-           .join(dept_hits, "_name", "left"))
-    lat = F.coalesce(F.col("_mlat"), F.col("lat"), F.lit(DEFAULT_COORDINATES[0]))
-    lon = F.coalesce(F.col("_mlon"), F.col("lon"), F.lit(DEFAULT_COORDINATES[1]))
-    return out.withColumn("latitud", lat).withColumn("longitud", lon).drop(
-        "_mkey", "_name", "_mlat", "_mlon", "lat", "lon")
+    mun = exact_lookup(F.when(F.col(mun_col) != NO_DATA, norm(F.col(mun_col))), PLACE_COORDINATES, ["lat", "lon"])
+    dept = lookup(norm(F.col(dept_col)), PLACE_COORDINATES, ["lat", "lon"], exact_first)
+    out = df.withColumns({"_mun": mun, "_dept": dept})
+    return out.withColumns({
+        "latitud": F.coalesce("_mun.lat", "_dept.lat", F.lit(DEFAULT_COORDINATES[0])),
+        "longitud": F.coalesce("_mun.lon", "_dept.lon", F.lit(DEFAULT_COORDINATES[1]))}).drop("_mun", "_dept")
 
 
 def gender_indicators(df: DataFrame, dept_col: str) -> DataFrame:
     """Department indicators by the same ordered substring rule (no exact-first; null
     when nothing matches)."""
-    spark = df.sparkSession
-    stats = gender_stats_df(spark).withColumn("dept_key", F.lower(F.col("dept_key")))
     cols = ["ipg_educacion", "mujeres_beneficiarias_pct", "relevo_joven_pct"]
-    hits = ordered_contains_lookup(df, dept_col, stats, "dept_key", "ord", cols, exact_first=False)
-    return df.withColumn("_name", norm(F.col(dept_col))).join(hits, "_name", "left").drop("_name")
+    hit = lookup(norm(F.col(dept_col)), GENDER_STATS, cols, exact_first=False)
+    return df.withColumn("_hit", hit).withColumns({c: F.col(f"_hit.{c}") for c in cols}).drop("_hit")

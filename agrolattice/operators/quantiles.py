@@ -4,14 +4,15 @@ Spark's ``percentile`` keeps a value -> count map per group in one task's memory
 hot group with many distinct values can exhaust.  Here the order statistics are found by
 position instead:
 
-1. the non-null values are range-partitioned and sorted by (group, value) - range
-   partitioning splits a hot group over many tasks - each row gets
-   ``monotonically_increasing_id`` (partition id in the upper bits, row index below), and
-   the result is checkpointed to the shared checkpoint folder so those ids are stable;
-2. a small aggregate per (partition, group) gives each block's row count and first row
-   index; a window over the blocks of a group (one row per partition) gives the offsets;
+1. the non-null values are counted by (group, value) - a partial aggregate, so repeated
+   values collapse before anything is shuffled - and the distinct ones range-partitioned and
+   sorted by (group, value); range partitioning splits a hot group over many tasks.  The
+   result is checkpointed with its partition's number, so the ranges are stable;
+2. running counts inside a (partition, group) and a small aggregate per block give each
+   value's range of ranks: a window over the blocks of a group (one row per partition)
+   gives the offsets;
 3. for each quantile ``p`` the two ranks around ``h = (n - 1) p`` are located in their
-   block, and an equi-join on (partition, row index) fetches exactly those values;
+   block, and a join on (partition, group) with the rank range fetches exactly those values;
 4. ``q = x_lo + (h - floor(h)) * (x_hi - x_lo)`` (linear interpolation, as numpy, DuckDB's
    ``quantile_cont`` and Spark's ``percentile``).
 """
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-ROW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index in partition
-
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
@@ -33,13 +32,12 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ordered = (base.repartitionByRange(parts, *group_cols, "_v").sortWithinPartitions(*group_cols, "_v")
-               .withColumn("_id", F.monotonically_increasing_id())
+    values = base.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ordered = (values.repartitionByRange(parts, *group_cols, "_v").withColumn("_pid", F.spark_partition_id())
                .checkpoint(eager=True))
-    pid = F.shiftright(F.col("_id"), ROW_BITS)
-    idx = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    rows = ordered.withColumn("_pid", pid).withColumn("_idx", idx)
-    blocks = rows.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("_idx").alias("_first"))
+    run = Window.partitionBy("_pid", *group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ordered.withColumn("_upto", F.sum("_c").over(run))
+    blocks = rows.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     totals = blocks.groupBy(*group_cols).agg(F.sum("_c").alias("n"))
@@ -55,10 +53,10 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
         cond = cond & F.col(g).eqNullSafe(F.col("_b" + g))
     located = need.join(b, cond).select(
         *group_cols, "n", F.col("_q.qi").alias("qi"), "_h", "_lo", "_side", F.col("_b_pid").alias("_pid"),
-        (F.col("_b_first") + F.col("_rank") - F.col("_b_off")).alias("_idx"))
+        (F.col("_rank") - F.col("_b_off")).alias("_idx"))
     r = rows.select(*[F.col(g).alias("_r" + g) for g in group_cols], F.col("_pid").alias("_rpid"),
-                    F.col("_idx").alias("_ridx"), "_v")
-    cond2 = (F.col("_pid") == F.col("_rpid")) & (F.col("_idx") == F.col("_ridx"))
+                    F.col("_upto"), (F.col("_upto") - F.col("_c")).alias("_from"), "_v")
+    cond2 = (F.col("_pid") == F.col("_rpid")) & (F.col("_idx") >= F.col("_from")) & (F.col("_idx") < F.col("_upto"))
     for g in group_cols:
         cond2 = cond2 & F.col(g).eqNullSafe(F.col("_r" + g))
     vals = located.join(r, cond2)

@@ -2,9 +2,10 @@
 
 Tokens are maximal runs of 2+ letters/digits/underscore in the lower-cased text (whole
 texts).  The vocabulary is the ``k`` most frequent terms of the corpus (ties by term), so it
-has a proven size bound and is broadcast; term counts are partial-aggregated before any
-shuffle.  idf is the smooth form ``ln((1+n)/(1+df)) + 1``; each document's weights are
-L2-normalised over the vocabulary.  Output is long: (doc, term, tf, weight).
+has a proven size bound: it reaches every row as one broadcast array, and term counts,
+weights and the L2 norm are computed inside the row.  Only term totals are shuffled, after a
+partial aggregate; no document is.  idf is the smooth form ``ln((1+n)/(1+df)) + 1``.  Output
+is long: (doc, term, tf, weight).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .topk import top_n
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -21,16 +23,28 @@ def tokenize(text_col: str):
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN), 0)
 
 
+def vocabulary(df: DataFrame, text_col: str, k: int) -> DataFrame:
+    """One row: ``vocab``, the ``k`` most frequent terms with their smooth idf."""
+    docs = df.select(tokenize(text_col).alias("_tokens"))
+    counts = docs.select(F.explode_outer("_tokens").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
+    terms = top_n(counts, [F.col("_cf").desc(), F.col("term").asc()], k).agg(F.collect_set("term").alias("_terms"))
+    found = docs.join(F.broadcast(terms)).select(F.array_intersect("_terms", "_tokens").alias("_found"))
+    seen = found.select(F.explode_outer("_found").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    n = docs.agg(F.count(F.lit(1)).alias("_n"))
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1
+    return seen.join(F.broadcast(n)).agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("vocab"))
+
+
 def tfidf_long(df: DataFrame, doc_col: str, text_col: str, k: int) -> DataFrame:
-    docs = df.select(F.col(doc_col).alias("_doc"), tokenize(text_col).alias("_tokens"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    tf = (docs.select("_doc", F.explode("_tokens").alias("term"))
-          .groupBy("_doc", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
-    vocab = top_n(stats, [F.col("_cf").desc(), F.col("term").asc()], k)
-    vocab = vocab.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs), "_one").withColumn(
-        "idf", F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).select("term", "idf")
-    w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("_doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return (w.join(norms, "_doc").select(F.col("_doc").alias(doc_col), "term", "tf",
-                                         (F.col("_w") / F.col("_norm")).alias("weight")))
+    """``doc_col`` identifies rows; a document without a vocabulary term gives no rows."""
+    vocab = materialize(vocabulary(df, text_col, k), "vocabulary")
+    # the outer explodes and the two uses of _known below keep the optimiser from computing the
+    # tokens once more for a filter, or once a term
+    docs = df.select(F.col(doc_col).alias("_doc"), tokenize(text_col).alias("_tokens")).join(F.broadcast(vocab))
+    docs = docs.withColumn("_known", F.expr("filter(_tokens, t -> exists(vocab, v -> v.term = t))"))
+    counted = docs.withColumn("_w", F.expr(
+        "filter(transform(vocab, v -> struct(v.term as term, size(_known) - size(array_remove(_known, v.term)) as tf, v.idf as idf)), x -> x.tf > 0)"))
+    norm = F.expr("sqrt(aggregate(_w, 0D, (a, x) -> a + x.tf * x.idf * x.tf * x.idf))")
+    return (counted.select("_doc", "_w", norm.alias("_norm")).select("_doc", "_norm", F.explode_outer("_w").alias("x")).where("x is not null")
+            .select(F.col("_doc").alias(doc_col), "x.term", F.col("x.tf").cast("bigint").alias("tf"),
+                    (F.col("x.tf") * F.col("x.idf") / F.col("_norm")).alias("weight")))

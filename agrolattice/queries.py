@@ -474,11 +474,12 @@ def q_keyword_hits(spark, sf_dir):
     cat = _catalog(spark, sf_dir)
     full = F.concat(F.lower(F.coalesce("Titulo", F.lit(""))), F.lit(" "),
                     F.lower(F.coalesce("ds_justificacion", F.lit(""))))
-    kw = F.broadcast(spark.createDataFrame([(k, "agro") for k in AGRO_KEYWORDS] +
-                                           [(k, "low_quality") for k in LOW_QUALITY_KEYWORDS], "keyword string, kind string"))
-    texts = cat.select(full.alias("_t"))
-    hits = texts.join(kw, F.col("_t").contains(F.col("keyword")))
-    return hits.groupBy("kind", "keyword").agg(F.count(F.lit(1)).alias("datasets"))
+    words = [(k, "agro") for k in AGRO_KEYWORDS] + [(k, "low_quality") for k in LOW_QUALITY_KEYWORDS]
+    # one conditional count a keyword in one aggregate, then one row a keyword
+    counts = cat.select(full.alias("_t")).agg(*[F.count_if(F.col("_t").contains(k)).alias(f"c{i}") for i, (k, _) in enumerate(words)])
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("keyword"), F.col(f"c{i}").alias("datasets"))
+                     for i, (k, kind) in enumerate(words)])
+    return counts.select(F.explode(rows).alias("x")).select("x.*").where("datasets > 0")
 
 
 @register("project_type")
@@ -956,11 +957,11 @@ def q_geocode_exact(spark, sf_dir):
 @register("geocode_contains")
 def q_geocode_contains(spark, sf_dir):
     """Department coordinates by ordered either-way substring match on distinct names."""
-    from .operators.geocode import ordered_contains_lookup
-    from .params import place_coordinates_df
-    cat = _catalog(spark, sf_dir)
-    return ordered_contains_lookup(cat, f"`{ENT}Departamento`", place_coordinates_df(spark), "place_key", "ord",
-                                   ["lat", "lon"]).withColumnRenamed("_name", "departamento")
+    from .operators.geocode import lookup, norm
+    from .params import PLACE_COORDINATES
+    names = _catalog(spark, sf_dir).select(norm(F.col(f"`{ENT}Departamento`")).alias("departamento")).distinct()
+    hit = names.withColumn("_hit", lookup(F.col("departamento"), PLACE_COORDINATES, ["lat", "lon"]))
+    return hit.where("_hit is not null").select("departamento", "_hit.lat", "_hit.lon")
 
 
 @register("response_curves")
