@@ -27,6 +27,10 @@ def known_probability(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         F.min_by("es_viable", "UID").alias("_v_title"))
     r = (requests.withColumn("_ru", F.when(~blank(F.col("UID")), F.col("UID")))
          .withColumn("_rt", F.when(blank(F.col("UID")) & ~blank(F.col("Titulo")), F.col("Titulo"))))
+    # most rows have no title key, others no UID key: a null key would send them all to one
+    # task, so it becomes a key of the row's own that no catalog row has
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in requests.columns]).cast("string"))
+    r = r.withColumn("_ru", F.coalesce("_ru", own)).withColumn("_rt", F.coalesce("_rt", own))
     r = r.join(by_uid, F.col("_ru") == F.col("_k_uid"), "left").join(by_title, F.col("_rt") == F.col("_k_title"), "left")
     v = F.coalesce(F.col("_v_uid"), F.col("_v_title"))
     return r.withColumn("known_prob", F.when(v.isNotNull(), F.when(v, 1.0).otherwise(0.0))).drop(

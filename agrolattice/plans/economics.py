@@ -58,6 +58,7 @@ def crop_economics(requests: DataFrame, production: DataFrame, prices: DataFrame
         "recommended_credit": trunc_int(F.col("_credit")),
         "annual_interest": trunc_int(F.col("_interest")),
         "interest_rate": py_round(F.col("_rate"), 2),
+        "tasa_credito_pct": py_round(F.col("_rate"), 2),
         "canasta_pct": F.coalesce(F.col("canasta_pct"), F.lit(OTHER_CROP_ECONOMICS[1])),
         "demanda_trend": F.coalesce(F.col("demanda_tendencia"), F.lit(OTHER_CROP_ECONOMICS[2])),
         "zone_factor": py_round(F.col("zone_factor"), 2),

@@ -95,6 +95,7 @@ def livestock_economics(herds: DataFrame, soils: DataFrame, inventory: DataFrame
         "alerts": alerts, "compliance": status,
         "monthly_cash_flow": livestock_cash_flow(cattle, milk_p, dual),
         "interest_rate": py_round(F.col("_rate"), 2),
+        "tasa_credito_pct": py_round(F.col("_rate"), 2),
         "lec_finagro_activo": is_subsidised(F.col("producer_type")),
     }
     return df.withColumns(out).select(*herds.columns, *out.keys())

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FEATURE_NAMES, catalog_features
 from ..operators.tfidf import TOKEN
 from ..params import TFIDF_SIZES
+from ..session import materialize
 
 
 def hash_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42):
@@ -107,16 +108,20 @@ def train_viability(cat: DataFrame, n_trees: int = 100, gbt_iter: int = 300, fol
                 scored = _p1(est.fit(fit_part).transform(scored), name).drop(f"p_{name}", f"r_{name}", f"y_{name}")
             oof = scored if oof is None else oof.unionByName(scored)
         meta_in = VectorAssembler(inputCols=["pp_rf", "pp_et", "pp_gbt"], outputCol="meta_features").transform(oof)
-        meta = LogisticRegression(featuresCol="meta_features", regParam=0.0).fit(meta_in)
+        # the original's L2 penalty with C = 1 is 1/n here, on unscaled inputs
+        meta = LogisticRegression(featuresCol="meta_features", regParam=1.0 / max(1, tr.count()),
+                                  standardization=False).fit(meta_in)
         bases = [(name, est.fit(tr)) for name, est in _base_models(n_trees, gbt_iter, seed)]
         return bases, meta
 
     bases, meta = fit_stack(train)
     metrics = binary_metrics(apply_stack(test, bases, meta))
-    if not refit:
-        return feat, bases, meta, metrics
-    bases_all, meta_all = fit_stack(x)
-    return feat, bases_all, meta_all, metrics
+    metrics = materialize(metrics, "viability-metrics")
+    if refit:
+        bases, meta = fit_stack(x)
+    x.unpersist()
+    data.unpersist()
+    return feat, bases, meta, metrics
 
 
 def apply_stack(x: DataFrame, bases, meta) -> DataFrame:
@@ -131,21 +136,27 @@ def score_viability(requests: DataFrame, catalog: DataFrame, feat: PipelineModel
     """M9 + J10: known datasets take their catalog label; the rest are scored by the stack."""
     from .documents import known_probability
     withk = known_probability(requests, catalog)
-    x = feat.transform(prepare_catalog(withk).withColumn("label", F.lit(0.0)))
-    scored = apply_stack(x, bases, meta).withColumn("_pm", vector_to_array("probability")[1])
-    p1 = F.coalesce(F.col("known_prob"), F.col("_pm"))
-    return scored.select("UID", "Titulo", (p1 >= 0.5).cast("int").alias("prediction"), (1 - p1).alias("prob_0"),
-                         p1.alias("prob_1"), F.col("known_prob").isNotNull().alias("from_catalog"))
+    # only the unknown ones go through the featurizer and the forests
+    known = withk.where("known_prob is not null").select("UID", "Titulo", F.col("known_prob").alias("_p"), F.lit(True).alias("from_catalog"))
+    x = feat.transform(prepare_catalog(withk.where("known_prob is null")).withColumn("label", F.lit(0.0)))
+    scored = apply_stack(x, bases, meta).select("UID", "Titulo", vector_to_array("probability")[1].alias("_p"),
+                                                F.lit(False).alias("from_catalog"))
+    p1 = F.col("_p")
+    return known.unionByName(scored).select("UID", "Titulo", (p1 >= 0.5).cast("int").alias("prediction"), (1 - p1).alias("prob_0"),
+                                            p1.alias("prob_1"), "from_catalog")
 
 
 def feature_importances(spark, feat: PipelineModel, bases, top: int = 8) -> DataFrame:
-    """Mean importance over the base models, top ``top`` named features."""
+    """Mean importance over the two forests (the boosted base exposes none in the original
+    stack), top ``top`` named features."""
     names = list(FEATURE_NAMES)
     for stage in feat.stages:
         if isinstance(stage, type(feat.stages[1])) and hasattr(stage, "vocabulary"):
             names += [f"tfidf:{t}" for t in stage.vocabulary]
     rows = []
     for name, m in bases:
+        if name == "gbt":
+            continue
         imp = m.featureImportances.toArray()
         rows += [(name, names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
     df = spark.createDataFrame(rows, "model string, feature string, importance double")
@@ -187,8 +198,10 @@ def train_yield(master: DataFrame, key: str = "row_key", n_trees: int = 300, gbt
     train, test = hash_split(data, key, 20, seed)
     model = yield_pipeline(n_trees, gbt_iter, seed).fit(train)
     pred = predict_yield(model, test)
-    metrics = regression_metrics(pred)
-    return yield_pipeline(n_trees, gbt_iter, seed).fit(data), metrics
+    metrics = materialize(regression_metrics(pred), "yield-metrics")
+    model = yield_pipeline(n_trees, gbt_iter, seed).fit(data)
+    data.unpersist()
+    return model, metrics
 
 
 def predict_yield(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -222,7 +235,9 @@ def hybrid_models(master: DataFrame, key: str = "row_key", rf_trees: int = 100,
     m_gbt = GBTRegressor(maxIter=gbt_iter, maxDepth=6, stepSize=0.1, seed=seed, labelCol="label").fit(train)
     r1 = regression_metrics(m_rf.transform(test)).select(F.lit("random_forest").alias("model"), "n_test", "rmse", "r2")
     r2 = regression_metrics(m_gbt.transform(test)).select(F.lit("boosted_trees").alias("model"), "n_test", "rmse", "r2")
-    return PipelineModel(stages=[enc, m_gbt]), r1.unionByName(r2)
+    metrics = materialize(r1.unionByName(r2), "hybrid-metrics")
+    encoded.unpersist()
+    return PipelineModel(stages=[enc, m_gbt]), metrics
 
 
 # ---------------------------------------------------------------- M8 / S6: publish the viability bundle

@@ -97,7 +97,8 @@ def _t(template: str, **slots: Column) -> Column:
     return F.concat(*parts)
 
 
-def explanation(df: DataFrame) -> DataFrame:
+def explanation(df: DataFrame, model_name: str = "Rendimiento base x factores de estrés fisiológico",
+                precision: str = "Modelo determinista, sin ajuste") -> DataFrame:
     """plain-language summary, positive / limiting factors, sources (a struct)."""
     E, X = EXPLANATION, EXPLANATION_FACTORS
     lc = F.lower(F.col("cultivo"))
@@ -138,16 +139,17 @@ def explanation(df: DataFrame) -> DataFrame:
     src = F.when(F.col("data_source") != "", F.col("data_source")).otherwise(F.lit(DEFAULT_DATA_SOURCE))
     return df.withColumn("xai_explanation", F.struct(
         summary.alias("resumen"), positives.alias("factores_positivos"), limits.alias("factores_limitantes"),
-        F.lit("Rendimiento base x factores de estrés fisiológico").alias("modelo_base"),
+        F.lit(model_name).alias("modelo_base"), F.lit(precision).alias("precision_modelo"),
         src.alias("fuente_datos")))
 
 
 def sowing_plan_with_model(parcels: DataFrame, climate: DataFrame, production: DataFrame, model,
-                           predict) -> DataFrame:
+                           predict, precision: str = "") -> DataFrame:
     """E3 with the MLlib yield ensemble (M12): each sowing month is scored by ``model``
     (``predict(model, df)`` adds ``prediction``), then the stress factors (F3) and the zone
     factor apply.  The 12 months are exploded, scored in one ``transform`` and regrouped per
-    parcel (12 rows per group, bounded), then best month, rules and explanation follow."""
+    parcel (12 rows per group, bounded), then best month, rules and explanation follow.
+    ``precision`` is what the explanation says of the model's hold-out accuracy."""
     base = sowing_plan(parcels, climate, production)
     months = base.select("parcel_id", F.explode("months").alias("m"))
     cols = [c for c in parcels.columns if c not in ("temp_media_c", "precipitacion_anual_mm")]
@@ -171,4 +173,4 @@ def sowing_plan_with_model(parcels: DataFrame, climate: DataFrame, production: D
     status, rules = crop_rules(F.col("cultivo"), F.col("ph_suelo"), F.col("altitud_m"), F.col("pendiente_pct"),
                                F.col("_best.dry"), F.col("zone_yield_factor"))
     out = out.withColumn("madr_compliance", status).withColumn("madr_rules", rules).drop("xai_explanation")
-    return explanation(out).drop("_best")
+    return explanation(out, "Ensamble (Random Forest + Gradient Boosting)", precision).drop("_best")
