@@ -46,6 +46,11 @@ def entities_topics(questions: DataFrame, text_col: str = "question") -> DataFra
     })
 
 
+def _total(col: str) -> Column:
+    """Sum, 0 of nulls only (D4); rounded, so that the order of summation can't turn a printed tie."""
+    return F.round(F.coalesce(F.sum(col), F.lit(0.0)), 4)
+
+
 def _dept_tokens(table: DataFrame, dept_col: str = "departamento") -> DataFrame:
     """(department name, token) pairs: tokens contained in the lower-cased name."""
     spark = table.sparkSession
@@ -97,15 +102,15 @@ def question_context(questions: DataFrame, prices: DataFrame, production: DataFr
     qs = qs.join(price_txt.select(F.col("_crop").alias("pr_crop"), F.col("_txt").alias("pr_txt")),
                  F.col("crop_name").eqNullSafe(F.col("pr_crop")), "left")
     # B. production and soils for the detected crop (optionally the detected department)
-    prod = _by_token(production, [F.avg("rendimiento_ton_ha").alias("y"), F.sum("hectareas_sembradas").alias("ha")], True)
+    prod = _by_token(production, [F.avg("rendimiento_ton_ha").alias("y"), _total("hectareas_sembradas").alias("ha")], True)
     soil = _by_token(soils, [F.mode("aptitud", True).alias("apt"), F.avg("ph_suelo").alias("ph"),
                              F.avg("altitud_m").alias("alt")], True)
-    cred = _by_token(credit, [F.sum("monto_creditos_cop").alias("amount"), F.avg("tasa_interes_promedio").alias("rate")],
+    cred = _by_token(credit, [_total("monto_creditos_cop").alias("amount"), F.avg("tasa_interes_promedio").alias("rate")],
                      True)
     weather = _by_token(climate, [F.avg("temperatura_promedio_c").alias("t"),
                                   F.sum("precipitacion_diaria_mm").alias("rsum"), F.count(F.lit(1)).alias("n")], False)
-    legal = _by_token(land, [F.avg("indice_seguridad_juridica").alias("isj"), F.sum("hectareas_catastradas").alias("cat"),
-                             F.sum("hectareas_formalizadas").alias("form")], False)
+    legal = _by_token(land, [F.avg("indice_seguridad_juridica").alias("isj"), _total("hectareas_catastradas").alias("cat"),
+                             _total("hectareas_formalizadas").alias("form")], False)
     live = _by_token(livestock, [F.avg("poblacion_bovina").alias("b"), F.avg("poblacion_porcina").alias("p"),
                                  F.avg("vacunacion_fiebre_aftosa_pct").alias("v")], False)
     qs = _attach(qs, prod, "pd", True)

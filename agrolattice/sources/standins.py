@@ -25,6 +25,12 @@ SECTORS = ["Agricultura y Desarrollo Rural", "Ambiente y Desarrollo Sostenible",
 CATALOG_DEPTS = ["Valle del Cauca", "Norte de Santander", "Bogotá D.C.", "Caquetá", "Antioquia", None,
                  "Amazonas", "Cauca"]
 CATALOG_MUNS = ["Bogotá", None, "Cali", "No disponible", "Medellín"]
+#: Departments of the farm tables by region key, and what is added to the questions by
+#: conversation: with them place, crop and topic words occur.
+FARM_DEPTS = ["Antioquia", "Huila", "Meta", "Valle del Cauca", "Tolima"]
+QUESTION_TAILS = ["", " ¿Qué precio y qué crédito tiene el café en Antioquia?", " ¿Cómo son el clima y la lluvia para el cacao en Huila?",
+                  " ¿Cuánto ganado bovino hay en el Meta?", " ¿Cómo va el título de la tierra en el Valle?", " ¿Qué rendimiento da el maíz?",
+                  " ¿Qué suelo y qué crédito hay en Tolima para el arroz?"]
 INTEGRATION_RAW = ["Sí", "no", "TRUE", None, "1", "quizás"]
 PRODUCER_TYPES = ["General"] + SUBSIDISED_PROFILES
 
@@ -127,7 +133,8 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey", "n_regionkey", F.col("r_name").alias("departamento"), F.col("n_name").alias("municipio"))
+        "n_nationkey", "n_regionkey", pick(FARM_DEPTS, F.col("n_regionkey") % 5).alias("departamento"),
+        F.col("n_name").alias("municipio"))
 
 
 @stored_view
@@ -322,4 +329,5 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of the conversations as questions."""
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    return conv.filter(F.col("role") == "user").select("conv_id", "turn", 
+        F.concat(F.col("text"), pick(QUESTION_TAILS, F.col("conv_id") % len(QUESTION_TAILS))).alias("question"))

@@ -8,6 +8,8 @@ Doubles are rounded like the Spark side; truncating casts use ``trunc`` (DuckDB'
 
 from __future__ import annotations
 
+from agrolattice.sources.standins import FARM_DEPTS, QUESTION_TAILS
+
 MEASURES = ["temperatura_promedio_c", "precipitacion_diaria_mm", "humedad_relativa_pct", "brillo_solar_horas"]
 
 
@@ -22,7 +24,7 @@ def case_pick(values, idx):
 CROPS = ["Cafe", "Cacao", "Arroz", "Maiz", "Platano"]
 CROP_OF_PART = case_pick(CROPS, "p_partkey % 5")
 
-GEO = """geo AS (SELECT n_nationkey, n_regionkey, r_name AS departamento, n_name AS municipio
+GEO = f"""geo AS (SELECT n_nationkey, n_regionkey, {case_pick(FARM_DEPTS, "n_regionkey % 5")} AS departamento, n_name AS municipio
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 STATIONS = """stations AS (SELECT 'D' || CAST(user_id % 5 AS VARCHAR) AS departamento,
@@ -802,7 +804,8 @@ SQL["xml_record"] = CLEAN + 'SELECT "UID", ' + sql_t(
 # ------------------------------------------------------------------ E9
 from agrolattice.params import CONTEXT_TEXT, QUESTION_CROPS, QUESTION_DEPTS, QUESTION_MUNS, TOPIC_WORDS  # noqa: E402
 
-QUESTIONS = "questions AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user')"
+QUESTIONS = f"""questions AS (SELECT conv_id, turn, text || {case_pick(QUESTION_TAILS, f"conv_id % {len(QUESTION_TAILS)}")} AS question
+  FROM conversations WHERE role = 'user')"""
 
 
 def _first(qv: str, toks) -> str:
@@ -860,7 +863,7 @@ CTX = [f"""lat AS (SELECT cultivo AS crop, fecha, l_orderkey, l_linenumber, {_PL
       UNION ALL SELECT NULL, NULL, aptitud, count(*) FROM soils WHERE aptitud IS NOT NULL GROUP BY ALL)) WHERE rn = 1)""",
        _tok_agg("cr", "credit", "sum(monto_creditos_cop) AS amount, avg(tasa_interes_promedio) AS rate", True),
        _tok_agg("we", "climate", "avg(temperatura_promedio_c) AS t, sum(precipitacion_diaria_mm) AS rsum, count(*) AS n", False),
-       _tok_agg("le", "land", "avg(indice_seguridad_juridica) AS isj, sum(hectareas_catastradas) AS cat, sum(hectareas_formalizadas) AS form", False),
+       _tok_agg("le", "land", "avg(indice_seguridad_juridica) AS isj, round(sum(hectareas_catastradas), 4) AS cat, round(sum(hectareas_formalizadas), 4) AS form", False),
        _tok_agg("lv", "livestock", "avg(poblacion_bovina) AS b, avg(poblacion_porcina) AS p, avg(vacunacion_fiebre_aftosa_pct) AS v", False)]
 
 _F = lambda e, n: f"printf('%.{n}f', {e})"
