@@ -38,14 +38,3 @@ def fill_text(df: DataFrame, value: str = NO_DATA) -> DataFrame:
     """Every string column's nulls -> ``value``."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     return df.fillna(value, subset=cols) if cols else df
-
-
-def clamp(c: Column, lo: float, hi: float) -> Column:
-    """Keep a value inside [lo, hi]."""
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-
-
-def word_count(c: Column) -> Column:
-    """Whitespace word count; empty or blank text has 0 words."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import (CROP_DEFAULT_RATE, DEFAULT_RAIN_FRACTION, DEFAULT_TEMP_DIFF, LATEST_PRICE_ROWS,
-                      OTHER_CROP_ECONOMICS, PRICE_FLOOR_COP, TEMP_BASE_VALID, crop_params_df)
+                      ECON_ZONE_CLAMP, OTHER_CROP_ECONOMICS, PLANNER_ZONE_CLAMP, PRICE_FLOOR_COP, TEMP_BASE_VALID, crop_params_df)
 from ..session import materialize, small_side
 from .topk import top_n_per_group
 
@@ -112,13 +112,13 @@ def with_zone_factor(req: DataFrame, zones: DataFrame, mode: str, crop: str = "c
     r = _join_level(r, z.where(F.col("_lvl") == LVL_NAT), None, F.lit(None).cast("string"),
                     F.lit(None).cast("string"), ["_c"], "zn")
     if mode == "planner":
-        lo, hi = 0.5, 2.5
+        lo, hi = PLANNER_ZONE_CLAMP
         real = (F.when(F.col("_rl") == LVL_MUN, F.coalesce(F.col("zmreal_avg"), F.col("zdreal_avg")))
                 .when(F.col("_rl") == LVL_DEPT, F.col("zdreal_avg")).otherwise(F.col("znreal_avg")))
         found = (F.when(F.col("_rl") == LVL_MUN, F.col("zmn").isNotNull() | F.col("zdn").isNotNull())
                  .when(F.col("_rl") == LVL_DEPT, F.col("zdn").isNotNull()).otherwise(F.col("znn").isNotNull()))
     else:
-        lo, hi = 0.6, 2.0
+        lo, hi = ECON_ZONE_CLAMP
         real = F.when(F.col("_rl") != LVL_NAT, F.coalesce(F.col("zdreal_avg"), F.col("znreal_avg"))) \
             .otherwise(F.col("znreal_avg"))
         found = F.when(F.col("_rl") != LVL_NAT, F.col("zdn").isNotNull() | F.col("znn").isNotNull()) \

@@ -36,7 +36,7 @@ def region_summary(cat: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("_gid") == 0, "municipio").otherwise("departamento").alias("level"),
                     F.col(f"`{DEPT}`").alias("departamento"),
                     F.when(F.col("_gid") == 0, F.col(f"`{MUN}`")).alias("municipio"),
-                    "datasets", "viables", "mean_rows")
+                    "datasets", "viables", "mean_rows").orderBy(F.desc("datasets"), "level", "departamento", "municipio")
 
 
 def tier_counts(cat: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def top_scored(cat: DataFrame, n: int = 15) -> DataFrame:
 def selector_values(cat: DataFrame, col: str = DEPT) -> DataFrame:
     """Distinct selectable values without null / "No disponible" / "Nacional"."""
     c = F.col(f"`{col}`")
-    return (cat.where(c.isNotNull() & ~c.isin(NO_DATA, "Nacional")).select(c.alias("value")).distinct())
+    return (cat.where(c.isNotNull() & ~c.isin(NO_DATA, "Nacional")).select(c.alias("value")).distinct().orderBy("value"))
 
 
 # ---------------------------------------------------------------- farm tables
@@ -209,4 +209,4 @@ def index_ranking(land: DataFrame) -> DataFrame:
 def formalisation_funnel(land: DataFrame) -> DataFrame:
     """Cadastre vs formalised hectares per department."""
     return land.groupBy("departamento").agg(_total("hectareas_catastradas").alias("catastradas"),
-                                            _total("hectareas_formalizadas").alias("formalizadas"))
+                                            _total("hectareas_formalizadas").alias("formalizadas")).orderBy(F.desc("catastradas"))

@@ -55,7 +55,6 @@ MONTHS_LONG = ["Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio",
 MONTHS_SHORT = ["Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "Oct", "Nov", "Dic"]
 DEFAULT_RAIN_FRACTION = [0.03, 0.04, 0.08, 0.12, 0.15, 0.07, 0.05, 0.04, 0.09, 0.13, 0.14, 0.06]
 DEFAULT_TEMP_DIFF = [-1.0, -0.5, 0.0, 0.5, 1.0, 0.8, 0.5, 0.6, 0.4, 0.0, -0.5, -0.9]
-CYCLE_WINDOW_MONTHS = 4
 DRY_SOWING_MONTHS = ["Enero", "Febrero", "Agosto", "Diciembre"]
 TEMP_BASE_VALID = (10.0, 35.0)
 
@@ -124,11 +123,9 @@ TITLE_DEPT_PATTERN = r"antioquia|cundinamarca|boyac|tolima|huila|meta|nari|cauca
 AGRO_SECTOR_PATTERN = r"agricultura|agropecuario|rural|desarrollo rural"
 TRUE_TOKENS = ["true", "1", "yes", "si", "sí"]
 HEADER_TRUE_TOKENS = ["true", "1", "yes"]
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 TFIDF_SIZES = {"Titulo": 50, "Descripción": 50, "ds_justificacion": 25}
 
-# viability-limit reasons (thresholds) and the probability cut
-MIN_ROWS, MIN_COLS, MIN_RELEVANCE = 2000, 10, 3.5
+# the probability cut
 APT_PROBABILITY = 0.5
 
 # project types in rule order: (id, sector keywords, also match title?, title)
@@ -166,9 +163,6 @@ TOPIC_WORDS = {
                  "putumayo", "sustainability", "sostenible", "deforestacion", "deforestación"],
 }
 
-# quality bands and map tiers
-QUALITY_BANDS = [(4.0, "Alta"), (2.0, "Media")]  # else "Baja"
-MAP_TIERS = [(20, "alto"), (5, "medio")]  # else "bajo"
 NO_DATA = "No disponible"
 
 
@@ -186,25 +180,11 @@ def crop_params_df(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, cols))
 
 
-def months_df(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, MONTHS_LONG[i], MONTHS_SHORT[i], DEFAULT_RAIN_FRACTION[i], DEFAULT_TEMP_DIFF[i],
-             MONTHS_LONG[i] in DRY_SOWING_MONTHS) for i in range(12)]
-    return F.broadcast(spark.createDataFrame(
-        rows, "mes int, month_name string, month_short string, rain_fraction double, temp_diff double, dry boolean"))
-
-
 def place_coordinates_df(spark: SparkSession) -> DataFrame:
     rows = [(i, k, la, lo) for i, (k, la, lo) in enumerate(PLACE_COORDINATES)]
     return F.broadcast(spark.createDataFrame(rows, "ord int, place_key string, lat double, lon double"))
 
 
-def gender_stats_df(spark: SparkSession) -> DataFrame:
-    rows = [(i, k, a, b, c) for i, (k, a, b, c) in enumerate(GENDER_STATS)]
-    return F.broadcast(spark.createDataFrame(
-        rows, "ord int, dept_key string, ipg_educacion double, mujeres_beneficiarias_pct double, "
-              "relevo_joven_pct double"))
-
-
 # ---------------------------------------------------------------- FIXED VALUES: rule and report texts
 CROP_RULES = {
     "cafe_ph_low": "⚠️ Suelo muy ácido para Café (pH < 5.0). Requiere encalado.",

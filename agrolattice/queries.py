@@ -223,6 +223,12 @@ def q_selector_values(spark, sf_dir):
     return S.selector_values(_catalog(spark, sf_dir))
 
 
+@register("selector_municipalities")
+def q_selector_municipalities(spark, sf_dir):
+    """Selectable municipalities."""
+    return S.selector_values(_catalog(spark, sf_dir), f"{ENT}Municipio")
+
+
 @register("suitability_hist")
 def q_suitability_hist(spark, sf_dir):
     """Soils per (crop, suitability)."""

@@ -29,12 +29,6 @@ LIVESTOCK = (
     "anio int, departamento string, municipio string, poblacion_bovina int, poblacion_porcina int, "
     "produccion_leche_litros_dia double, vacunacion_fiebre_aftosa_pct double")
 
-FARM_TABLES = {
-    "upra_aptitud_suelos": SOILS, "ideam_clima_historico": CLIMATE, "finagro_creditos": CREDIT,
-    "sipsa_precios_mercado": PRICES, "seguridad_juridica_tierras": LAND,
-    "produccion_historica": PRODUCTION, "inventario_ganadero_nacional": LIVESTOCK,
-}
-
 ENT = "Información de la Entidad: "
 # the 26 catalog columns kept by the cleaner, in output order
 CATALOG_COLUMNS = [

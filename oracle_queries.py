@@ -336,6 +336,9 @@ ORDER BY ds_score_relevancia + ds_calidad_datos DESC, "UID" LIMIT 15"""
 SQL["selector_values"] = CLEAN + f"""SELECT DISTINCT {D} AS value FROM geocoded
 WHERE {D} IS NOT NULL AND {D} NOT IN ('No disponible', 'Nacional')"""
 
+SQL["selector_municipalities"] = CLEAN + f"""SELECT DISTINCT {q(ENT + "Municipio")} AS value FROM geocoded
+WHERE {q(ENT + "Municipio")} IS NOT NULL AND {q(ENT + "Municipio")} NOT IN ('No disponible', 'Nacional')"""
+
 SQL["suitability_hist"] = with_(GEO, SUPPLIER_LINES, SOILS) + "SELECT cultivo, aptitud, count(*) AS count FROM soils GROUP BY ALL"
 SQL["climate_by_dept"] = with_(GEO, CLIMATE) + """SELECT departamento, round(avg(temperatura_promedio_c), 6) AS temperatura_promedio_c,
   round(avg(precipitacion_diaria_mm), 6) AS precipitacion_diaria_mm FROM climate GROUP BY 1"""
