@@ -29,6 +29,12 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
+def distinct_terms(text: str | None) -> set[str]:
+    """The keys of ``terms_of``, without the counts."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words | {w[:4] + "~" for w in words if len(w) > 4} | {w[:5] + "~" for w in words if len(w) > 5}
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of examples, with each term's largest weight in
     each block.
@@ -38,7 +44,7 @@ class BlockMaxIndex:
     falls to the k-th best cosine found, so the k nearest are exact.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 32):
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 128):
         self.block, self.n = block, len(vectors)
         n_blocks = -(-self.n // block)
         self.bounds = np.zeros((n_terms, n_blocks), np.float32)
@@ -123,7 +129,7 @@ def associated_terms(examples: list[tuple[str, int]], min_examples: int, min_ass
     terms says nothing about the label."""
     with_term, n = (Counter(), Counter()), [0, 0]
     for text, label in examples:
-        with_term[label].update(terms_of(text).keys())
+        with_term[label].update(distinct_terms(text))
         n[label] += 1
 
     def apart(t):
@@ -166,7 +172,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[s
         for b in batches:
             for t in b.column(0):
                 n += 1
-                df.update(vocabulary.intersection(terms_of(t.as_py())))
+                df.update(vocabulary.intersection(distinct_terms(t.as_py())))
         df[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
