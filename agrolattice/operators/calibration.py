@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..params import (CROP_DEFAULT_RATE, DEFAULT_RAIN_FRACTION, DEFAULT_TEMP_DIFF, LATEST_PRICE_ROWS,
                       ECON_ZONE_CLAMP, OTHER_CROP_ECONOMICS, PLANNER_ZONE_CLAMP, PRICE_FLOOR_COP, TEMP_BASE_VALID, crop_params_df)
-from ..session import materialize, small_side
+from ..session import small_side
 from .topk import top_n_per_group
 
 ALL = "Todos"
@@ -41,8 +41,7 @@ def _levels(df: DataFrame, extra: list[str], aggs: list[Column], dept: str = "de
 
 def _join_level(req: DataFrame, table: DataFrame, level: Column, d: Column, m: Column, extra: list[str],
                 prefix: str) -> DataFrame:
-    # one row per level and place: few keys, so a shuffle would send all requests to a few tasks
-    t = small_side(table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns]), "level")
+    t = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
     cond = ((F.lit(True) if level is None else (level == F.col(f"{prefix}_lvl")))
             & d.eqNullSafe(F.col(f"{prefix}_d")) & m.eqNullSafe(F.col(f"{prefix}_m")))
     for e in extra:
@@ -82,7 +81,7 @@ def with_climate_calibration(req: DataFrame, calib: DataFrame, dept: str = "depa
                              mun: str = "municipio") -> DataFrame:
     """Attach the request's level calibration (defaults when the level has no rows)."""
     lvl, d, m = request_level(F.col(dept), F.col(mun))
-    j = _join_level(req, calib, lvl, d, m, [], "cc")
+    j = _join_level(req, small_side(calib, "climate-levels"), lvl, d, m, [], "cc")
     return (j.withColumn("rain_fraction", F.coalesce(F.col("ccrain_fraction"),
                                                      F.array(*[F.lit(x) for x in DEFAULT_RAIN_FRACTION])))
             .withColumn("temp_diff", F.coalesce(F.col("cctemp_diff"), F.array(*[F.lit(x) for x in DEFAULT_TEMP_DIFF])))
@@ -105,7 +104,8 @@ def with_zone_factor(req: DataFrame, zones: DataFrame, mode: str, crop: str = "c
     params = crop_params_df(req.sparkSession).select(F.lower("cultivo").alias("_pc"), F.col("base_yield").alias("_nat"))
     lvl, d, m = request_level(F.col(dept), F.col(mun))
     r = req.withColumn("_c", F.lower(F.col(crop))).withColumn("_rl", lvl).withColumn("_rd", d).withColumn("_rm", m)
-    z = materialize(zones.where(F.col("n") > 0), "zones")
+    # one row per level and place: few keys, so a shuffle would send all requests to a few tasks
+    z = small_side(zones.where(F.col("n") > 0), "zones")
     r = _join_level(r, z.where(F.col("_lvl") == LVL_MUN), None, F.col("_rd"), F.col("_rm"), ["_c"], "zm")
     r = _join_level(r, z.where(F.col("_lvl") == LVL_DEPT), None, F.col("_rd"), F.lit(None).cast("string"),
                     ["_c"], "zd")

@@ -41,7 +41,7 @@ def tfidf_long(df: DataFrame, doc_col: str, text_col: str, k: int) -> DataFrame:
     # the outer explodes and the two uses of _known below keep the optimiser from computing the
     # tokens once more for a filter, or once a term
     docs = df.select(F.col(doc_col).alias("_doc"), tokenize(text_col).alias("_tokens")).join(F.broadcast(vocab))
-    docs = docs.withColumn("_known", F.expr("filter(_tokens, t -> exists(vocab, v -> v.term = t))"))
+    docs = docs.withColumn("_known", F.expr("filter(_tokens, t -> array_contains(vocab.term, t))"))
     counted = docs.withColumn("_w", F.expr(
         "filter(transform(vocab, v -> struct(v.term as term, size(_known) - size(array_remove(_known, v.term)) as tf, v.idf as idf)), x -> x.tf > 0)"))
     norm = F.expr("sqrt(aggregate(_w, 0D, (a, x) -> a + x.tf * x.idf * x.tf * x.idf))")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.agronomy import carrying_capacity, is_subsidised, py_round, subsidised_rate, trunc_int
 from ..operators.calibration import _join_level, _levels, request_level
+from ..session import small_side
 from ..params import CREDIT_SHARE, LIVESTOCK, LIVESTOCK_ALERTS, LIVESTOCK_DEFAULT_RATE, MONTHS_SHORT
 from .planner import _t
 
@@ -40,9 +41,9 @@ def livestock_economics(herds: DataFrame, soils: DataFrame, inventory: DataFrame
                         milk_mode: str = "per_head") -> DataFrame:
     s, i, c = livestock_calibration(soils, inventory, credit, milk_mode)
     lvl, d, m = request_level(F.col("departamento"), F.col("municipio"))
-    df = _join_level(herds, s, lvl, d, m, [], "ls")
-    df = _join_level(df, i, lvl, d, m, [], "li")
-    df = _join_level(df, c, lvl, d, m, [], "lc")
+    df = _join_level(herds, small_side(s, "soil-levels"), lvl, d, m, [], "ls")
+    df = _join_level(df, small_side(i, "inventory-levels"), lvl, d, m, [], "li")
+    df = _join_level(df, small_side(c, "credit-levels"), lvl, d, m, [], "lc")
     cattle = F.col("species") == "Bovino"
     purpose = F.col("purpose")
     milk_p = purpose.isin("Leche", "Doble Propósito")
