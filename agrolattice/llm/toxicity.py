@@ -90,9 +90,9 @@ class Neighbours:
     """The index of labelled examples, with the vocabulary and its inverse document frequencies."""
 
     def __init__(self, ids: list[int], texts: list[str], labels: list[int], df: dict[str, int], n_docs: int,
-                 max_share: float = 0.05, k: int = 20, power: float = 1.0):
+                 k: int = 20, power: float = 1.0):
         self.k, self.power = k, power
-        self.vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n <= max_share * n_docs))}
+        self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
         self.idf = np.array([np.log((1 + n_docs) / (1 + df[t])) for t in self.vocabulary])
         self.ids, self.labels = ids, np.array(labels, float)
         self.number = {d: i for i, d in enumerate(ids)}
