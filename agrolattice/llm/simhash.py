@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, row_key, text_of
 from .components import components
 from .hamming import buckets, byte_blocks, linked_pairs
 
@@ -37,13 +37,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``, in Arrow batches, without a shuffle."""
+    """(doc_id, doc_key, fp) of every row of ``docs``, in Arrow batches, without a shuffle."""
     def each(batches):
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "doc_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return (docs.select(F.col("doc_id").cast("long"), row_key().alias("doc_key"), text_of().alias("text"))
+            .mapInArrow(each, "doc_id long, doc_key long, fp long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, together: int = 3) -> DataFrame:
@@ -63,6 +64,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, togeth
     further columns are ignored.
     """
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    named = _groups(rows, max_bits, together)
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = named.join(lows, "root").select("fp", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def _groups(rows: DataFrame, max_bits: int, together: int) -> DataFrame:
+    """fp, low (the smallest doc_id with it) and root (the same for all linked ones) of each
+    distinct fingerprint."""
     nodes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("low"))
     blocks = byte_blocks()
     tally = " + ".join(f"int((shiftrightunsigned(a.fp ^ b.fp, {s}) & 255L) = 0)" for s, _ in blocks)
@@ -70,20 +80,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, togeth
     met = buckets(nodes.select(F.col("fp").alias("id"), "fp", "weight"), max_bits, blocks, together, enough)
     pairs = linked_pairs(met, max_bits, blocks, together, enough)
     roots = components(pairs).withColumnRenamed("node", "fp")
-    # component_id only where fingerprints link; a lone fingerprint keeps its own smallest id
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # a lone fingerprint is its own root
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The documents that are their group's smallest id, with all columns of ``docs``.
-
-    Rows with a null doc_id, and repeats of a kept id, stay only if no other row of the group
-    could (ties are broken by row content, so exactly one row of each group stays).
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3, together: int = 3) -> DataFrame:
+    """One row of each group of ``near_duplicates``, with all columns of ``docs``: the one with
+    the smallest doc_id, null ids last, ties broken by row content.  Rows, not ids, are kept, so
+    an id that stands in several groups may stay several times; rows that agree in doc_id and
+    text are one document.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key")).alias("first")
+    kept = (rows.join(_groups(rows, max_bits, together), "fp").groupBy("root").agg(first)
+            .select(F.col("first.doc_key").alias("_kept")))
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]).drop("_key")
