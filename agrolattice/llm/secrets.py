@@ -20,7 +20,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal, so the length ca
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: The generator: long runs of key characters with a digit, or very long ones without.
 _WIDE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|[A-Za-z+/_=-]{28})[A-Za-z0-9+/_=-]{12,}")
-_BEFORE, _INSIDE = 32, 64
+_BEFORE, _INSIDE, _AFTER = 32, 64, 32
+#: From window to window of a candidate; no run of a filter's width falls between two.
+_STRIDE = 60
 _STEPS = 1000
 
 
@@ -35,10 +37,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def window(text: str, start: int) -> str:
-    """What the network sees: the characters before a candidate and its own first ones."""
+    """The characters before a candidate and its own first ones."""
     return text[max(0, start - _BEFORE):start].rjust(_BEFORE, "\0") + text[start:start + _INSIDE].ljust(_INSIDE, "\0")
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """What the network sees: a whole candidate with the characters before and after it, as long
+    as a number of overlapping windows."""
+    more = -(-max(0, end + _AFTER - start - _INSIDE) // _STRIDE) * _STRIDE
+    return window(text, start) + text[start + _INSIDE:start + _INSIDE + more].ljust(more, "\0")
+
+
+def windows_of(seen: list[str]) -> tuple[list[str], np.ndarray]:
+    """The windows of all candidates in order, and where each candidate's begin (and the end)."""
+    size = _BEFORE + _INSIDE
+    out = [x[i:i + size] for x in seen for i in range(0, len(x) - size + 1, _STRIDE)]
+    return out, np.cumsum([0, *[(len(x) - size) // _STRIDE + 1 for x in seen]])
+
+
+def largest(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Of each candidate the number of its window with the largest value (the first on a tie)."""
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    order = np.lexsort((np.arange(len(values)), -values, owner))
+    return order[begins[:-1]]
+
+
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label): label 1 where the candidate meets a base span."""
     out, i = [], 0
@@ -61,7 +84,8 @@ def _classes(windows: list[str]) -> np.ndarray:
 class CharacterNetwork:
     """Convolution over one-hot characters, ReLU, maximum over the places, logistic output.
 
-    A convolution of one-hot rows is a sum of gathered weight rows, which is how it is done.
+    A convolution of one-hot rows is a sum of gathered weight rows, which is how it is done.  A
+    candidate of several windows (``begins``, see ``windows_of``) has the output of its largest.
     """
 
     def __init__(self, filters: int = 16, width: int = 5, seed: int = 3):
@@ -89,11 +113,20 @@ class CharacterNetwork:
         out = [self._forward(x[i:i + 256])[0] @ self.v + self.c for i in range(0, len(x), 256)]
         return np.concatenate(out).astype(float) if out else np.zeros(0)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def best(self, x: np.ndarray, begins: np.ndarray | None) -> np.ndarray:
+        """The windows that decide: each candidate's largest."""
+        if begins is None or len(begins) == len(x) + 1:
+            return np.arange(len(x))
+        return largest(self.raw(x), begins)
+
+    def score(self, x: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
         """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
+        raw = self.raw(x)
+        if begins is not None:
+            raw = raw[largest(raw, begins)]
+        return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 3):
+    def fit(self, x: np.ndarray, y: np.ndarray, begins: np.ndarray | None = None, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 3):
         """Adam on the log loss; both classes weigh the same."""
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
@@ -101,11 +134,14 @@ class CharacterNetwork:
         m = {p: np.zeros_like(getattr(self, p)) for p in params}
         s = {p: np.zeros_like(getattr(self, p)) for p in params}
         t = 0
+        begins = np.arange(len(x) + 1) if begins is None else begins
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
+            order = rng.permutation(len(y))
+            for lo in range(0, len(y), batch):
                 i = order[lo:lo + batch]
-                pooled, at = self._forward(x[i])
+                held = np.concatenate([np.arange(begins[j], begins[j + 1]) for j in i])
+                xi = x[held][self.best(x[held], np.cumsum([0, *(begins[i + 1] - begins[i])]))]
+                pooled, at = self._forward(xi)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ self.v + self.c, -30, 30)))
                 d = ((p - y[i]) * weight[i] / len(i)).astype(np.float32)
                 back = d[:, None] * self.v * (pooled > 0)
@@ -113,7 +149,7 @@ class CharacterNetwork:
                         "w": np.zeros_like(self.w)}
                 col = np.tile(np.arange(filters), 2)[None].repeat(len(i), 0)
                 for k in range(width):
-                    np.add.at(grad["w"][k], (np.take_along_axis(x[i], at + k, 1), col), back)
+                    np.add.at(grad["w"][k], (np.take_along_axis(xi, at + k, 1), col), back)
                 t += 1
                 for q in params:
                     m[q] = 0.9 * m[q] + 0.1 * grad[q]
@@ -122,9 +158,9 @@ class CharacterNetwork:
                     setattr(self, q, (getattr(self, q) - step).astype(np.float32))
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 200):
+    def calibrate(self, x: np.ndarray, y: np.ndarray, begins: np.ndarray | None = None, steps: int = 200):
         """Platt scaling on rows kept out of the fit."""
-        raw = self.raw(x)
+        raw = self.raw(x[self.best(x, begins)])
         for _ in range(steps):
             g = 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30))) - y
             self.scale -= 0.1 * float((g * raw).mean())
@@ -143,7 +179,7 @@ def _spans_of(docs: DataFrame) -> DataFrame:
                 text = t.as_py()
                 own = base_spans(text)
                 base.append([{"s": s, "k": k, "e": e} for s, k, e in own])
-                cands.append([{"s": s, "e": e, "label": y, "seen": window(text, s)} for s, e, y in candidate_spans(text, own)])
+                cands.append([{"s": s, "e": e, "label": y, "seen": surroundings(text, s, e)} for s, e, y in candidate_spans(text, own)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)),
                                               pa.array(cands, pa.list_(cand))], ["doc_id", "doc_key", "base", "cands"])
 
@@ -168,7 +204,7 @@ def find_secrets(docs: DataFrame, fit_rows: int = 6000, recall: float = 0.98) ->
     spans have k = 3) of every row of ``docs``.
 
     A candidate that meets a base span is a labelled finding, any other a non-finding.  The
-    network learns them, with their surroundings, on at most ``fit_rows`` candidates (the first
+    network learns them whole, with their surroundings, in overlapping windows, on at most ``fit_rows`` candidates (the first
     in a hash order, a quarter kept out for calibration) and scores every candidate; the
     threshold is the highest that keeps ``recall`` of all labelled findings of the corpus.
     Non-findings at or above it are extra spans.  With findings of one class only there are
@@ -185,14 +221,17 @@ def find_secrets(docs: DataFrame, fit_rows: int = 6000, recall: float = 0.98) ->
     keep_out = np.arange(len(y)) % 4 == 3
     if len(set(y[~keep_out])) < 2:
         return found.select("doc_id", "doc_key", "base", none.alias("extra"))
-    x = _classes([r["seen"] for r in sample])
-    net = CharacterNetwork().fit(x[~keep_out], y[~keep_out]).calibrate(x[keep_out], y[keep_out])
+    net = CharacterNetwork()
+    for learn, part in ((net.fit, ~keep_out), (net.calibrate, keep_out)):
+        windows, begins = windows_of([r["seen"] for r, own in zip(sample, part) if own])
+        learn(_classes(windows), y[part], begins)
 
     def score(batches):
         for b in batches:
             lists = b.column(b.schema.get_field_index("cands"))
             flat = lists.flatten()
-            p = net.score(_classes(flat.field("seen").to_pylist()))
+            windows, begins = windows_of(flat.field("seen").to_pylist())
+            p = net.score(_classes(windows), begins)
             steps = np.floor(p * _STEPS).astype(np.int32)
             scored = pa.StructArray.from_arrays([flat.field("s"), flat.field("e"), flat.field("label"), pa.array(steps)],
                                                 ["s", "e", "label", "step"])
