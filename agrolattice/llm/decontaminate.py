@@ -1,16 +1,12 @@
-"""Benchmark decontamination in DataFrame operations: SimHash of item-sized windows, multi-index
-Hamming blocks within a radius, then exact weighted-shingle similarity."""
+"""Benchmark decontamination in DataFrame operations: item-sized windows over shared
+shingles, bounded, then checked by exact weighted-shingle similarity."""
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_most_broadcast, materialize, row_key, text_of
-from .hamming import simhash_sql
 
 
 def words_of(text: Column) -> Column:
@@ -25,57 +21,49 @@ def shingles_of(words: str, size: int) -> Column:
                   f"when size({words}) > 0 then array(xxhash64(array_join({words}, ' '))) else cast(array() as array<bigint>) end")
 
 
-def simhash_of(shingles: str) -> Column:
-    """64-bit SimHash of an array of hashes, repeats included."""
-    return F.expr(simhash_sql(shingles, f"size({shingles})"))
-
-
-def _variants(bits: int, radius: int) -> list[int]:
-    """Masks of at most ``radius`` of ``bits`` bits."""
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+def runs_of(words: str, length: int) -> Column:
+    """The hash that ``shingles_of`` gives a whole text of ``length`` words, of each run of so many."""
+    return F.expr(f"case when size({words}) >= {length} then transform(sequence(0, size({words}) - {length}), "
+                  f"i -> xxhash64(array_join(slice({words}, i + 1, {length}), ' '))) else cast(array() as array<bigint>) end")
 
 
 def benchmark_items(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, n (shingles), shingles, fp and the weight total of every item with a word.
+    """item_id, n_words, shingles and fp (a hash of them) of every item with a word.
 
     A shingle's weight is its count in the item times ln(1 + items / items with it), so what
     many items share says little.
     """
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_of()).alias("words"))
              .where("size(words) > 0").withColumn("shingles", shingles_of("words", size))
-             .select("item_id", F.size("words").alias("n_words"), "shingles", simhash_of("shingles").alias("fp")))
+             .select("item_id", F.size("words").alias("n_words"), "shingles", F.xxhash64("shingles").alias("fp")))
     return materialize(items.dropDuplicates(["item_id", "shingles"]), "items")
 
 
 def shingle_weights(items: DataFrame) -> DataFrame:
-    """item_id, n_words, shingle, at (its first place in the item), times, weight, total."""
+    """item_id, fp, n_words, shingle, times, weight, total."""
     n_items = items.agg(F.count(F.lit(1)).alias("n_items"))
-    rows = items.select("item_id", "n_words", "fp", F.posexplode("shingles").alias("at", "shingle"))
+    rows = items.select("item_id", "n_words", "fp", F.explode("shingles").alias("shingle"))
     by_item = Window.partitionBy("item_id", "fp")
     by_shingle = rows.groupBy("shingle").agg(F.countDistinct("item_id").alias("df"))
-    out = (rows.groupBy("item_id", "fp", "n_words", "shingle").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("at"))
+    out = (rows.groupBy("item_id", "fp", "n_words", "shingle").agg(F.count(F.lit(1)).alias("times"))
            .join(by_shingle, "shingle").join(F.broadcast(n_items), F.lit(True))
            .withColumn("weight", F.log(1 + F.col("n_items") / F.col("df"))))
     return materialize(out.withColumn("total", F.sum(F.col("times") * F.col("weight")).over(by_item))
-                       .select("item_id", "fp", "n_words", "shingle", "at", "times", "weight", "total"), "weights")
+                       .select("item_id", "fp", "n_words", "shingle", "times", "weight", "total"), "weights")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8,
-                  radius: int = 18, blocks: int = 8) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, doc_key, item_id, similarity, first_word, n_words: the best window of each
     document for each benchmark item it contains.
 
-    Windows have the length of the item in words and slide over whole documents.  A window
-    without any shingle in common with an item has similarity zero, so windows are taken at the
-    alignments where a shingle of the document meets one of the item (found by a join on the
-    benchmark's shingles, whose number does not grow with the corpus and is checked before it
-    is broadcast).  Each window's SimHash goes through the multi-index: the 64 bits are cut into
-    ``blocks`` blocks, of two fingerprints within ``radius`` bits one block differs in at most
-    radius // blocks bits, and the items are posted under all block values within that
-    distance; candidates within ``radius`` bits are verified exactly: the weight of the shingle
+    Windows have the length of the item in words and slide over whole documents.  The shingles
+    that a document shares with an item are found by a join on the benchmark's shingles, whose
+    number does not grow with the corpus and is checked before it is broadcast; the weight of
+    those in a window bounds what the two share, and windows whose bound is too low go.  Every
+    other window is checked exactly: the weight of the shingle
     occurrences that window and item share, over the larger of the two total weights (a shingle
     of the window that no item has weighs as much as one that one item has), at least
-    ``similarity``.
+    ``similarity``.  An item of fewer than ``size`` words is one shingle of its own length.
 
     Null and empty texts match nothing; items without a word are ignored; repeated document
     rows are one document; a null doc_id stays null; an empty table on either side gives no
@@ -83,53 +71,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     """
     items = benchmark_items(benchmark, size)
     weights = shingle_weights(items)
-    shared = at_most_broadcast(weights.select("shingle", "item_id", F.col("fp").alias("item_fp"), "n_words", "at"), 2_000_000)
+    shared = at_most_broadcast(weights.select("shingle", "item_id", F.col("fp").alias("item_fp"), "n_words", "weight", "total"), 2_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("doc_key"), text_of().alias("text"))
     worded = lambda d: (d.withColumn("words", words_of(F.col("text"))).withColumn("shingles", shingles_of("words", size))
                         .drop("words", "text"))
     # the outer form: the plain one filters on the array first and so computes it twice
     places = worded(texts).select("doc_key", F.posexplode_outer("shingles").alias("i", "shingle"))
-    # the alignments first: the rest needs only the documents that have any
-    hits = (places.join(shared, "shingle").select("doc_key", "item_id", "item_fp", "n_words",
-                        F.greatest(F.col("i") - F.col("at"), F.lit(0)).alias("start")).distinct())
-    hits = materialize(hits, "alignments")
+    # the windows first: the rest needs only the documents that have any
+    length = f"greatest(1, n_words - {size - 1})"
+    least = f"({similarity} - 1e-6) * total"
+    # a set, so that repeated rows count once
+    hits = (places.join(shared.where(f"n_words >= {size}"), "shingle").groupBy("doc_key", "item_id", "item_fp", "n_words", "total")
+            .agg(F.collect_set(F.struct("i", "weight")).alias("met")))
+    inside = f"aggregate(met, 0D, (s, h) -> s + if(h.i >= start and h.i < start + {length}, h.weight, 0D))"
+    hits = materialize(hits.where(f"aggregate(met, 0D, (s, h) -> s + h.weight) >= {least}"), "hits")
+    hits = (hits.withColumn("start", F.explode(F.expr(f"sequence(greatest(0, array_min(met.i) - {length} + 1), array_max(met.i))")))
+            .where(f"{inside} >= {least}").select("doc_key", "item_id", "item_fp", "n_words", "start"))
+    hits = materialize(hits, "places")
     found = at_most_broadcast(materialize(hits.select("doc_key").distinct(), "seeded"), 1_000_000)
     seeded = worded(texts.join(found, "doc_key", "left_semi").dropDuplicates(["doc_key"]))
     windows = (hits.join(seeded, "doc_key")
                .withColumn("part", F.expr("slice(shingles, start + 1, greatest(1, n_words - %d))" % (size - 1)))
-               .select("doc_key", "doc_id", "item_id", "item_fp", "n_words", "start", "part", simhash_of("part").alias("fp")))
-    windows = materialize(windows, "windows")
-    near = _within_radius(windows, items, radius, blocks)
-    return _verified(near, weights, similarity)
-
-
-def _within_radius(windows: DataFrame, items: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """The windows whose fingerprint is within the radius of that of their item, found through
-    the blocks."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    off = radius // blocks
-    assert sum(comb(b - a, k) for a, b in zip(cuts, cuts[1:]) for k in range(off + 1)) < 2000, "blocks too wide for the radius"
-    block = lambda fp, i: f"(shiftrightunsigned({fp}, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L)"
-    posts = F.array(*[F.expr("named_struct('block', {}, 'value', {})".format(i, block("fp", i))) for i in range(blocks)])
-    spread = F.expr("concat(" + ", ".join(
-        "transform(array({}), m -> named_struct('block', {}, 'value', {} ^ m))".format(
-            ", ".join(f"{m}L" for m in _variants(cuts[i + 1] - cuts[i], off)), i, block("item_fp", i))
-        for i in range(blocks)) + ")")
-    index = (items.select("item_id", F.col("fp").alias("item_fp")).withColumn("p", F.explode(spread))
-             .select("item_id", "item_fp", "p.block", "p.value"))
-    index = at_most_broadcast(materialize(index, "index"), 2_000_000)
-    probes = (windows.select("doc_key", "item_id", "item_fp", "start", "fp", F.explode(posts).alias("p"))
-              .select("doc_key", "item_id", "item_fp", "start", "fp", "p.block", "p.value"))
-    met = (probes.join(index, ["item_id", "item_fp", "block", "value"])
-           .where(f"bit_count(fp ^ item_fp) <= {radius}")
-           .select("doc_key", "item_id", "item_fp", "start").distinct())
-    return windows.join(met, ["doc_key", "item_id", "item_fp", "start"])
-
-
-def _verified(near: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
-    """The best window of each document and item at ``similarity`` or more."""
+               .select("doc_key", "doc_id", "item_id", "item_fp", "n_words", "start", "part"))
+    scored = _scored(materialize(windows, "windows"), weights, similarity)
+    # at most size - 1 lengths
+    for row in items.where(f"n_words < {size}").select("n_words").distinct().orderBy("n_words").collect():
+        runs = texts.withColumn("words", words_of(F.col("text"))).select(
+            "doc_key", "doc_id", F.posexplode_outer(runs_of("words", row["n_words"])).alias("start", "shingle"))
+        scored = scored.unionByName(runs.join(shared.where(f"n_words = {row['n_words']}"), "shingle").select(
+            "doc_key", "doc_id", "item_id", "n_words", "start", F.lit(1.0).alias("similarity")))
+    best = Window.partitionBy("doc_key", "item_id").orderBy(F.desc("similarity"), "start")
+    return (scored.withColumn("r", F.row_number().over(best)).where("r = 1")
+            .select("doc_id", "doc_key", "item_id", "similarity", F.col("start").alias("first_word"), "n_words"))
+
+
+def _scored(windows: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
+    """The windows at ``similarity`` or more, with their similarity."""
     by_window = ["doc_key", "doc_id", "item_id", "item_fp", "n_words", "start"]
-    counted = (near.select(*by_window, F.explode("part").alias("shingle"))
+    counted = (windows.select(*by_window, F.explode("part").alias("shingle"))
                .groupBy(*by_window, "shingle").agg(F.count(F.lit(1)).alias("seen")))
     known = weights.groupBy("shingle").agg(F.max("weight").alias("any_weight"))
     rarest = weights.agg(F.max("weight").alias("rarest"))
@@ -140,12 +119,10 @@ def _verified(near: DataFrame, weights: DataFrame, similarity: float) -> DataFra
         F.sum(F.coalesce(F.least("seen", "times") * F.col("weight"), F.lit(0.0))).alias("both"),
         F.sum(F.col("seen") * F.coalesce("any_weight", "rarest")).alias("window_total"))
     totals = own.groupBy("item_id", "item_fp").agg(F.first("total").alias("total"))
-    scored = (sums.join(totals, ["item_id", "item_fp"])
-              .withColumn("similarity", F.round(F.col("both") / F.greatest("total", "window_total"), 6))
-              .where(f"similarity >= {similarity}"))
-    best = Window.partitionBy("doc_key", "item_id").orderBy(F.desc("similarity"), "start")
-    return (scored.withColumn("r", F.row_number().over(best)).where("r = 1")
-            .select("doc_id", "doc_key", "item_id", "similarity", F.col("start").alias("first_word"), "n_words"))
+    return (sums.join(totals, ["item_id", "item_fp"])
+            .withColumn("similarity", F.round(F.col("both") / F.greatest("total", "window_total"), 6))
+            .where(f"similarity >= {similarity}")
+            .select("doc_key", "doc_id", "item_id", "n_words", "start", "similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
