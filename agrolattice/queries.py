@@ -545,13 +545,11 @@ def q_tfidf_terms(spark, sf_dir):
 # ------------------------------------------------------------------ models (rows-only checks)
 from .plans import models as model_plan  # noqa: E402
 
-SMALL = {"n_trees": 10, "gbt_iter": 5}
-
 
 @register("viability_metrics")
 def q_viability_metrics(spark, sf_dir):
-    """M1-M8: stacked viability classifier, hold-out metrics (small forests for the check)."""
-    _, _, _, metrics = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, refit=False, **SMALL)
+    """M1-M8: stacked viability classifier, hold-out metrics."""
+    _, _, _, metrics = model_plan.train_viability(_catalog(spark, sf_dir))
     return rounded(metrics)
 
 
@@ -559,10 +557,10 @@ def q_viability_metrics(spark, sf_dir):
 def q_viability_scores(spark, sf_dir):
     """M9 + J10: score new dataset requests (benchmark items) and catalog datasets."""
     cat = _catalog(spark, sf_dir)
-    feat, bases, meta, _ = model_plan.train_viability(cat, folds=2, **SMALL)
+    feat, bases, meta, _ = model_plan.train_viability(cat)
     bench = si.read_table(spark, sf_dir, "benchmark")
     new = bench.select(F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("UID"),
-                       F.substring("text", 1, 80).alias("Titulo"), F.col("text").alias("Descripción"))
+                       F.substring_index("text", "\n", 1).alias("Titulo"), F.col("text").alias("Descripción"))
     for c in cat.columns:
         if c not in new.columns:
             new = new.withColumn(c, F.lit(None).cast(cat.schema[c].dataType))
@@ -573,7 +571,7 @@ def q_viability_scores(spark, sf_dir):
 @register("importances")
 def q_importances(spark, sf_dir):
     """Top-8 features by mean importance over the base models."""
-    feat, bases, _, _ = model_plan.train_viability(_catalog(spark, sf_dir), folds=2, refit=False, **SMALL)
+    feat, bases, _, _ = model_plan.train_viability(_catalog(spark, sf_dir))
     return rounded(model_plan.feature_importances(spark, feat, bases))
 
 
@@ -588,14 +586,14 @@ def _master_for_model(spark, sf_dir):
 @register("yield_metrics")
 def q_yield_metrics(spark, sf_dir):
     """RF + GBT yield ensemble on the master table, hold-out RMSE and R2."""
-    _, metrics = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    _, metrics = model_plan.train_yield(_master_for_model(spark, sf_dir))
     return rounded(metrics)
 
 
 @register("yield_scores")
 def q_yield_scores(spark, sf_dir):
     """Parcels scored by the ensemble, then the physiological stress."""
-    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir))
     parcels = planner_plan.with_crop_params(si.parcels(spark, sf_dir))
     pred = model_plan.predict_yield(model, parcels.withColumn("label", F.lit(0.0)))
     p = {k: F.col("cp_" + k) for k in planner_plan.PARAM_COLS}
@@ -796,7 +794,7 @@ def q_pipeline_outputs(spark, sf_dir):
 def q_model_roundtrip(spark, sf_dir):
     """A fitted yield pipeline saved and re-loaded gives the same predictions."""
     master = _master_for_model(spark, sf_dir)
-    model, _ = model_plan.train_yield(master, **SMALL)
+    model, _ = model_plan.train_yield(master)
     path = _scratch(spark, "yield_model")
     pipeline_plan.save_model(model, path)
     again = pipeline_plan.load_model(path)
@@ -810,7 +808,7 @@ def q_model_roundtrip(spark, sf_dir):
 @register("hybrid_rmse")
 def q_hybrid_rmse(spark, sf_dir):
     """Dummy-coded random forest vs boosted trees, hold-out RMSE of both."""
-    _, metrics = model_plan.hybrid_models(_master_for_model(spark, sf_dir), rf_trees=10, gbt_iter=5)
+    _, metrics = model_plan.hybrid_models(_master_for_model(spark, sf_dir))
     return rounded(metrics)
 
 
@@ -912,8 +910,8 @@ def q_fitness_features(spark, sf_dir):
 
 @register("best_month_ml")
 def q_best_month_ml(spark, sf_dir):
-    """E3 + M12: sowing months scored by the MLlib yield ensemble (small forests for the check)."""
-    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir), **SMALL)
+    """E3 + M12: sowing months scored by the MLlib yield ensemble."""
+    model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir))
     plan = planner_plan.sowing_plan_with_model(si.parcels(spark, sf_dir), si.climate_daily(spark, sf_dir),
                                                si.production(spark, sf_dir), model, model_plan.predict_yield)
     return rounded(plan.select("parcel_id", "cultivo", "best_month", "best_yield", "madr_compliance",
