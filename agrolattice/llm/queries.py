@@ -11,11 +11,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, pii, quality, secrets, simhash, suffix_dedup, toxicity
+from . import (bpe, decontaminate, embeddings, filter_audit, html_text, lexical, line_dedup, pii, quality, secrets, simhash,
+               suffix_dedup, toxicity)
 from .common import documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_lexical_search": lexical.RANK_SQL, "op12_embedding_near_dedup": embeddings.LINKS_SQL,
+                       "op13_filter_audit": filter_audit.AUDIT_SQL}
 
 #: The vocabulary file; every worker has it.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +90,18 @@ def q_secrets(spark, sf_dir):
 def q_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op11_lexical_search")
+def q_lexical(spark, sf_dir):
+    return lexical.rank_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_embedding_near_dedup")
+def q_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_filter_audit")
+def q_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
