@@ -230,8 +230,10 @@ def near_vectors(rows: DataFrame, least: float = 0.93, cell_rows: int = 512, max
     known = (nodes.select("node", "weight", "low").join(counted, "node", "left").join(roots, "node", "left")
              .select("node", "low", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
     known = materialize(known, "linked")
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = known.join(lows, "root").select("node", "n_links", "component_id")
+    # only groups of several nodes; written out, so that the join can split a large one's rows
+    lows = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    lows = at_most_broadcast(materialize(lows, "lows"), 1_000_000)
+    named = known.join(lows, "root", "left").select("node", "n_links", F.coalesce("component_id", "low").alias("component_id"))
     out = stored.select("vec_id", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"),
