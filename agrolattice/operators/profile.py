@@ -24,3 +24,18 @@ def column_profile(df: DataFrame, name: str = "dataset") -> DataFrame:
         F.coalesce(F.col("n_nulls"), F.lit(0)).cast("bigint").alias("n_nulls"),
         F.when(F.col("_rows") > 0, F.round(100.0 * F.col("n_nulls") / F.col("_rows"), 2))
         .otherwise(F.lit(0.0)).alias("null_pct"))
+
+
+def table_profile(df: DataFrame) -> DataFrame:
+    """One row: rows, cells, nulls, null_share (of all cells) and duplicates (rows that repeat
+    an earlier one).  Rows are told apart by a 256-bit digest of all columns, counted with a partial
+    aggregate, so that a row that a third of the table repeats is no hot key; an empty table
+    has a null share of 0."""
+    nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    whole = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])), 256)
+    found = df.select(nulls.alias("_nulls"), whole.alias("_digest")).groupBy("_digest").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_nulls").alias("_nulls"))
+    cells = F.col("rows") * len(df.columns)
+    total = found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_nulls"), F.lit(0)).alias("nulls"),
+                      F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    return total.select("rows", cells.alias("cells"), "nulls", F.when(cells > 0, F.col("nulls") / cells).otherwise(0.0).alias("null_share"), "duplicates")

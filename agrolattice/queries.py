@@ -546,6 +546,13 @@ def q_tfidf_terms(spark, sf_dir):
 from .plans import models as model_plan  # noqa: E402
 
 
+@register("table_profile")
+def q_table_profile(spark, sf_dir):
+    """Null share and repeated rows of the documents' contents (copies occur)."""
+    from .operators.profile import table_profile
+    return rounded(table_profile(si.read_table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
 @register("stratified_split")
 def q_stratified_split(spark, sf_dir):
     """M4, M6: datasets of each class by part, fold of the training part and fold of all rows."""

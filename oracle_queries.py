@@ -1170,6 +1170,11 @@ SQL["land_table"] = with_(GEO, LAND) + """SELECT departamento, municipio, round(
   round(conflicto_uso_suelo_pct, 6) AS conflicto_uso_suelo_pct, round(indice_seguridad_juridica, 6) AS indice_seguridad_juridica
 FROM land"""
 SQL["model_roundtrip"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + "\nSELECT count(*) AS rows, CAST(0 AS DOUBLE) AS max_abs_diff FROM master_final"
+SQL["table_profile"] = """WITH c AS (SELECT text, lang, source, count(*) AS n FROM documents GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(3 * sum(n) AS BIGINT) AS cells,
+  CAST(sum(n * ((text IS NULL)::INT + (lang IS NULL)::INT + (source IS NULL)::INT)) AS BIGINT) AS nulls,
+  round(sum(n * ((text IS NULL)::INT + (lang IS NULL)::INT + (source IS NULL)::INT)) / (3.0 * sum(n)), 6) AS null_share,
+  CAST(sum(n - 1) AS BIGINT) AS duplicates FROM c"""
 SQL["fitness_features"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + ",\n" + CP + f""",
 mr AS (SELECT cultivo, avg(precipitacion_anual_mm) AS crop_rain FROM master_final GROUP BY 1)
 SELECT l_orderkey, l_linenumber, m.cultivo,

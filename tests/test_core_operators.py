@@ -122,3 +122,11 @@ def test_box_stats_methods_agree(spark):
         for f in ("q1", "median", "q3", "lower_fence", "upper_fence", "min", "max"):
             assert abs(a[k][f] - b[k][f]) < 1e-9
         assert abs(a[k].median - c[k].median) < 2.0               # approximate: close, from the data
+
+
+def test_table_profile(spark):
+    from agrolattice.operators.profile import table_profile
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, "a"), (None, None), (1, None), (2, "a")]
+    got = table_profile(spark.createDataFrame(rows, "x int, `y.z` string")).first()
+    assert (got["rows"], got["cells"], got["nulls"], got["duplicates"]) == (7, 14, 5, 2) and abs(got["null_share"] - 5 / 14) < 1e-12
+    assert tuple(table_profile(spark.createDataFrame([], "x int")).first()) == (0, 0, 0, 0.0, 0)
