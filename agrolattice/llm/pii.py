@@ -47,20 +47,51 @@ def _sql_text(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(pattern: str, hint: str) -> str:
-    """SQL array of (s, e, m): places of all matches in code points.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``, which is evaluated once: an expression
+    that stands in a lambda would be evaluated for each element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _walk(items: str, state: dict[str, tuple[str, str, str]], row: str, row_type: str, keep: str = "true") -> str:
+    """SQL array of the rows made in one walk over ``items`` (``x``) with a state (``a``; for each
+    name its type, start and next value).  Where ``keep`` fails neither a row nor a new state is made.
+
+    An accumulator is copied at every step, so one that holds all rows would make the work
+    quadratic.  A first pass takes only the state from block to block of 64 items; the rows are made
+    inside each block.
+    """
+    after = ", ".join(f"{v[2]} as {n}" for n, v in state.items())
+    begin = f"struct({', '.join(f'{v[1]} as {n}' for n, v in state.items())})"
+    kind = f"struct<{','.join(f'{n}:{v[0]}' for n, v in state.items())}>"
+    blocks = _let("z", items, "transform(sequence(0, (size(z) - 1) div 64), j -> slice(z, 64 * j + 1, 64))")
+    begins = (f"aggregate(u, struct({begin} as st, cast(array() as array<{kind}>) as out), (o, y) -> struct("
+              f"aggregate(y, o.st, (a, x) -> if({keep}, struct({after}), a)) as st, concat(o.out, array(o.st)) as out), o -> o.out)")
+    rows = (f"aggregate(y, struct({', '.join(f'st.{n} as {n}' for n in state)}, cast(array() as array<{row_type}>) as cur), "
+            f"(a, x) -> if({keep}, struct({after}, concat(a.cur, array({row})) as cur), a), a -> a.cur)")
+    return _let("u", blocks, f"flatten(zip_with(u, {begins}, (y, st) -> {rows}))")
+
+
+def _matches(pattern: str, hint: str, context: bool = False) -> str:
+    """SQL array of (s, e, m): places of all matches in code points; with ``context`` also before
+    and after, the 24 characters before a match and the two after it.
 
     The pieces between the matches and the matches themselves, in turn, make up the text; the
-    running sum of their lengths gives the places.  Texts without the hint skip both passes.
+    running sum of their lengths gives the places, and the context is taken from the pieces
+    beside a match.  Texts without the hint skip both passes.
     """
     p = _sql_text(pattern)
-    pieces, found = f"split(text, {p}, -1)", f"regexp_extract_all(text, {p}, 0)"
-    walked = (f"aggregate(zip_with(slice({pieces}, 1, size({found})), {found}, (g, m) -> struct(g as g, m as m)), "
-              "struct(0 as at, cast(array() as array<struct<s:int,e:int,m:string>>) as out), "
-              "(a, x) -> struct(a.at + length(x.g) + length(x.m) as at, "
-              "concat(a.out, array(struct(a.at + length(x.g) as s, a.at + length(x.g) + length(x.m) as e, x.m as m))) as out), "
-              "a -> a.out)")
-    return f"if({hint}, {walked}, cast(array() as array<struct<s:int,e:int,m:string>>))"
+    kind, row = "struct<s:int,e:int,m:string>", "a.at + x.g as s, a.at + x.g + length(x.m) as e, x.m as m"
+    pairs = f"zip_with(slice(v.g, 1, size(v.m)), v.m, (g, m) -> struct(length(g) as g, m as m))"
+    state = {"at": ("int", "0", "a.at + x.g + length(x.m)")}
+    if context:
+        kind, row = "struct<s:int,e:int,m:string,before:string,after:string>", f"{row}, right(concat(a.tail, x.b), {_CONTEXT}) as before, x.z as after"
+        pairs = (f"zip_with(zip_with(slice(v.g, 1, size(v.m)), v.m, (g, m) -> struct(length(g) as g, right(g, {_CONTEXT}) as b, m as m)), "
+                 "zip_with(slice(v.g, 2, size(v.m)), slice(v.m, 2, size(v.m)), (g, m) -> left(concat(left(g, 2), coalesce(left(m, 2), '')), 2)), "
+                 "(x, z) -> struct(x.g as g, x.b as b, x.m as m, z as z))")
+        state["tail"] = ("string", "''", f"right(concat(a.tail, x.b, right(x.m, {_CONTEXT})), {_CONTEXT})")
+    walked = _let("v", f"struct(split(text, {p}, -1) as g, regexp_extract_all(text, {p}, 0) as m)", _walk(pairs, state, f"struct({row})", kind))
+    return f"if({hint}, {walked}, cast(array() as array<{kind}>))"
 
 
 def _digits(x: str) -> str:
@@ -94,8 +125,7 @@ def candidates() -> Column:
     """Array of (s, k, e, f): the generators' spans of ``text`` with their features."""
     out = []
     for i, k in enumerate(KINDS):
-        before = f"substring(text, greatest(1, x.s + 1 - {_CONTEXT}), least(x.s, {_CONTEXT}))"
-        after = "substring(text, x.e + 1, 2)"
+        before, after = "x.before", "x.after"
         n = f"length({_digits('x.m')})"
         groups = "filter(split(x.m, '[^0-9A-Za-z]+'), g -> g <> '')"
         made = {
@@ -111,10 +141,25 @@ def candidates() -> Column:
             "cue": f"if({before} rlike {_sql_text(_CUE)}, 1, 0)",
         }
         row = ", ".join(f"cast({made[f]} as double)" for f in FEATURES)
-        out.append(f"transform({_matches(_WIDE[k], _WIDE_HINT[k])}, x -> struct(x.s as s, {i} as k, x.e as e, array({row}) as f))")
+        out.append(f"transform({_matches(_WIDE[k], _WIDE_HINT[k], context=True)}, x -> struct(x.s as s, {i} as k, x.e as e, array({row}) as f))")
     return F.expr(f"concat({', '.join(out)})")
 
 
+def _bounded_blocks(spans: str) -> str:
+    """SQL of the sorted ``spans`` in blocks of 64, and these in blocks of 64, each with the least
+    start and the greatest end inside, so that a look-up passes over what cannot overlap."""
+    block = lambda d, inside: f"struct(get({d}, 0).s as s, array_max(transform({d}, y -> y.e)) as e, {inside} as i)"
+    small = f"transform(sequence(0, (size(c) - 1) div 64), j -> {_let('d', 'slice(c, 64 * j + 1, 64)', block('d', 'd'))})"
+    large = f"transform(sequence(0, (size({spans}) - 1) div 4096), i -> {_let('c', f'slice({spans}, 4096 * i + 1, 4096)', block('c', small))})"
+    return f"filter({large}, p -> p.s is not null)"
+
+
+def _overlaps(blocks: str, also: str) -> str:
+    """SQL: does ``x`` overlap a span ``b`` of the blocks for which ``also`` holds?"""
+    near = lambda v: f"{v}.s < x.e and x.s < {v}.e"
+    return f"exists({blocks}, p -> {near('p')} and exists(p.i, q -> {near('q')} and exists(q.i, b -> {near('b')} and {also})))"
+
+
 def _spans_text(spans: str) -> Column:
     kind = "element_at(array({}), x.k + 1)".format(", ".join(f"'{k}'" for k in KINDS))
     return F.expr(f"array_join(transform(array_sort({spans}), x -> concat({kind}, ':', x.s, ':', x.e)), ',')")
@@ -137,12 +182,12 @@ def find_personal_data(docs: DataFrame, fit_rows: int = 8000, precision: float =
     candidates for the sample and counts.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("doc_key"), text_of().alias("text"))
-    found = materialize(texts.select("doc_id", "doc_key", base_spans().alias("base"), candidates().alias("cands")), "spans")
-    meets = "exists(base, b -> b.s < x.e and x.s < b.e)"
-    covers = "exists(base, b -> b.k = x.k and (b.s <= x.s and x.e <= b.e or x.s <= b.s and b.e <= x.e))"
-    each = (found.where("size(cands) > 0")
-            .select("doc_key", F.explode(F.expr(f"transform(cands, x -> struct(x.s, x.k, x.e, x.f, {covers} as label))")).alias("x"))
-            .select("doc_key", "x.*"))
+    covers = "b.k = x.k and (b.s <= x.s and x.e <= b.e or x.s <= b.s and b.e <= x.e)"
+    marked = f"transform(cands, x -> struct(x.s as s, x.k as k, x.e as e, x.f as f, {_overlaps('blocks', covers)} as label, {_overlaps('blocks', 'true')} as meets))"
+    found = texts.select("doc_id", "doc_key", base_spans().alias("base"), candidates().alias("cands"))
+    found = found.select("doc_id", "doc_key", "base", F.expr(_let("blocks", _bounded_blocks("base"), marked)).alias("cands"))
+    found = materialize(found, "spans")
+    each = found.where("size(cands) > 0").select("doc_key", F.explode("cands").alias("x")).select("doc_key", "x.*")
     sample = bounded_sample(each, fit_rows, "doc_key", "s", "k", "e")
     labels = np.array([r["label"] for r in sample], float)
     extra = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
@@ -152,12 +197,10 @@ def find_personal_data(docs: DataFrame, fit_rows: int = 8000, precision: float =
         step = F.expr(f"cast(floor({score.replace('x.f', 'f')} * {_STEPS}) as int)")
         tally = each.groupBy(step.alias("step"), F.col("label").cast("int").alias("label")).count().collect()
         cut = calibrated_threshold([(r["step"], r["label"], r["count"]) for r in tally], _STEPS, precision)
-        chosen = f"filter(cands, x -> not {meets} and cast(floor({score} * {_STEPS}) as int) >= {cut})"
+        chosen = f"filter(cands, x -> not x.meets and cast(floor({score} * {_STEPS}) as int) >= {cut})"
         # by start, the longer first; one that overlaps the last one kept goes
         ordered = f"array_sort({chosen}, (l, r) -> if(l.s <> r.s, l.s - r.s, if(l.e <> r.e, r.e - l.e, l.k - r.k)))"
-        extra = F.expr(f"aggregate({ordered}, struct(0 as at, cast(array() as array<struct<s:int,k:int,e:int>>) as out), "
-                       "(a, x) -> if(x.s >= a.at, struct(x.e as at, concat(a.out, array(struct(x.s as s, x.k as k, x.e as e))) as out), a), "
-                       "a -> a.out)")
+        extra = F.expr(_walk(ordered, {"at": ("int", "0", "x.e")}, "struct(x.s as s, x.k as k, x.e as e)", "struct<s:int,k:int,e:int>", "x.s >= a.at"))
     out = found.withColumn("extra", extra)
     return out.select("doc_id", "doc_key", "base", "extra", _spans_text("concat(base, extra)").alias("spans"))
 
@@ -177,8 +220,14 @@ def redact(docs: DataFrame, **options) -> DataFrame:
              .select(F.col("doc_key").alias("_spans_of"), F.array_sort(F.concat("base", "extra")).alias("_spans")))
     kind = "element_at(array({}), x.k + 1)".format(", ".join(f"'[{k}]'" for k in KINDS))
     keyed = docs.withColumn("_key", row_key()).join(spans, F.col("_key") == F.col("_spans_of"), "left")
-    text = F.expr(f"aggregate(_spans, struct(0 as at, '' as out), (a, x) -> if(x.s < a.at, a, struct(x.e as at, "
-                  f"concat(a.out, substring(text, a.at + 1, x.s - a.at), {kind}) as out)), "
-                  "a -> concat(a.out, substring(text, a.at + 1)))")
+    # p, the end of the span before; large blocks of the text first, then small ones, then the spans
+    kept = _walk("_spans", {"at": ("int", "0", "x.e")}, "struct(a.at as p, x.s as s, x.k as k, x.e as e)", "struct<p:int,s:int,k:int,e:int>", "x.s >= a.at")
+    cut = lambda text, at, x: f"substring({text}, get({x}, 0).p - {at} + 1, get({x}, size({x}) - 1).e - get({x}, 0).p)"
+    spans = f"array_join(transform(w.c, x -> concat(substring(w.t, x.p - get(w.c, 0).p + 1, x.s - x.p), {kind})), '')"
+    small = _let("w", f"struct(slice(v.c, 64 * j + 1, 64) as c, {cut('v.t', 'get(v.c, 0).p', 'slice(v.c, 64 * j + 1, 64)')} as t)", spans)
+    small = f"array_join(transform(sequence(0, (size(v.c) - 1) div 64), j -> {small}), '')"
+    large = _let("v", f"struct(slice(r, 4096 * i + 1, 4096) as c, {cut('text', '0', 'slice(r, 4096 * i + 1, 4096)')} as t)", small)
+    large = f"array_join(transform(sequence(0, (size(r) - 1) div 4096), i -> {large}), '')"
+    text = F.expr(_let("r", kept, f"concat({large}, substring(text, get(r, size(r) - 1).e + 1))"))
     return (keyed.withColumn("text", F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(text))
             .drop("_key", "_spans_of", "_spans"))

@@ -1,6 +1,7 @@
 """op3 and op9: base spans against the patterns applied directly; odd rows; learned spans."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,31 @@ def test_spans_text(spark):
     row = spark.sql("select array(struct(5 as s, 2 as k, 9 as e), struct(5 as s, 0 as k, 30 as e), struct(1 as s, 1 as k, 4 as e)) as base").select(secrets.spans_text("base")).first()
     assert row[0] == "access:1:4,assign:5:30,hex:5:9"
     assert spark.sql("select array(struct(5 as s, 2 as k, 9 as e)) as base").select(secrets.count_of("hex"), F.lit(0)).first()[0] == 1
+
+
+def test_text_of_many_matches(make_docs):
+    """The work is linear in a text's matches: 100,000 of them, near ones and contexts included."""
+    unit = "ip 10.0.0.1, é 4111111111111112 x@y.zz\n"
+    n = 34_000
+    docs = make_docs([(1, unit * n), (2, "call +1 (262) 555-7240 now"), *[(i, f"on {i} of 12.5") for i in range(3, 60)]])
+    begin = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).where("doc_id < 3").collect()}
+    text = pii.redact(docs).where("doc_id = 1").first()["text"]
+    assert time.perf_counter() - begin < 120  # two runs
+    ip, mail = unit.index("10."), unit.index("x@")
+    assert [(b["s"], b["k"], b["e"]) for b in got[1]["base"]] == [
+        (i * len(unit) + s, k, i * len(unit) + e) for i in range(n) for s, k, e in ((ip, 1, ip + 8), (mail, 0, mail + 6))]
+    card = [(i * len(unit) + unit.index("4"), i * len(unit) + unit.index("4") + 16) for i in range(n)]
+    extra = [(x["s"], x["e"]) for x in got[1]["extra"]]
+    assert extra in ([], card)
+    assert text == unit.replace("10.0.0.1", "[ip]").replace("x@y.zz", "[email]").replace("4111111111111112", "[card]" if extra else "4111111111111112") * n
+
+
+def test_contexts_of_matches(spark):
+    texts = ["x@y.zz" * 3, "a b@c.d e@f.g h@i.j k@l.m n@o.p q@r.s, tel é@t.uu", "é 1.2.3.4,1.2.3.4;1.2.3.4 1.2.3.4 x", "😀 tel +1 262 555 7240 and 262 555 7240", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for k in pii.KINDS:
+        rows = df.select("text", F.expr(pii._matches(pii._WIDE[k], pii._WIDE_HINT[k], context=True)).alias("m")).collect()
+        for t, ms in rows:
+            assert [(m["before"], m["after"], m["m"]) for m in ms] == [(t[max(0, m["s"] - 24):m["s"]], t[m["e"]:m["e"] + 2], t[m["s"]:m["e"]]) for m in ms]
+    assert sum(len(ms) for _, ms in rows) > 0
