@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees
 from .common import bounded_sample
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote opens a value only after "="; anywhere else it is a plain character
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>=]|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 # Elements by how HTML treats them.
@@ -256,17 +257,21 @@ def rewritten(page: str, spare: str, rng: np.random.Generator) -> str:
 
 
 class Extractor:
-    """The trained trees with their columns."""
+    """The trained trees with their columns.
 
-    def __init__(self, pages: list[str], trees: int = 60, depth: int = 4, seed: int = 5):
+    The attribute tokens that are columns are the ``tokens`` commonest ones of the training pages;
+    it bounds the model, not what is read of a page.
+    """
+
+    def __init__(self, pages: list[str], trees: int = 60, depth: int = 4, seed: int = 5, tokens: int = 80):
         rng = np.random.default_rng(seed)
         plain = [re.sub(r"<[^>]*>", " ", p)[-900:] for p in pages]
         parsed = [nodes_of(parse(p)) for p in pages]
         parsed += [nodes_of(parse(rewritten(p, plain[(i + 1) % len(pages)], rng))) for i, p in enumerate(pages) for _ in range(2)]
-        tokens = Counter(t for nodes in parsed for x in nodes for t in set(x.tokens))
+        found = Counter(t for nodes in parsed for x in nodes for t in set(x.tokens))
         tags = Counter(x.tag for nodes in parsed for x in nodes)
         self.features = Features({t: i for i, t in enumerate(sorted(tags))},
-                                 {t: i for i, (t, _) in enumerate(sorted(tokens.most_common(80)))})
+                                 {t: i for i, (t, _) in enumerate(sorted(found.most_common(tokens)))})
         rows = [self.features.matrix(nodes) for nodes in parsed]
         # the page and its body hold both kinds
         keep = [np.array([x.tag not in ("html", "body") for x in nodes], bool) for nodes in parsed]

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from agrolattice.llm.html_text import Extractor, decode, extract_pages, nodes_of, parse
 
@@ -54,3 +55,24 @@ def test_odd_rows(spark):
     got = extract_pages(spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' as text", "1 as n_chars"))
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got.collect())[0] == ("1", 0) and got.count() == 4
     assert extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def _texts(page):
+    return [t for t in (" ".join("".join(x.text).split()) for x in nodes_of(parse(page)) if not x.children) if t]
+
+
+def test_quotes_in_tags():
+    assert _texts("<p title=it's>one</p><p>we don't know</p><p>three</p>") == ["one", "we don't know", "three"]
+    assert _texts("""<p "a=b' c>one</p><p title = "x > y">two</p><p title='a "> b'>three</p>""") == ["one", "two", "three"]
+    assert _texts("<p title=a\"b>one</p><p title=>two</p><p =>three</p></p 'x'>four") == ["one", "two", "three", "four"]
+    # a value whose quote never ends is not the end of the page
+    assert _texts("<p title=\"x>one</p><p>two</p>") == ["one", "two"]
+
+
+def test_very_long_pages():
+    n = 20_000
+    page = "".join(f"<p title=it's id='{i}' x=\"y>z\">don't {i} =\" '</p>" for i in range(n))
+    begin = time.perf_counter()
+    assert _texts(page) == [f"don't {i} =\" '" for i in range(n)]
+    assert len(_texts("<p title='x>one</p>" * n)) > 0 and _texts("<p " + "a='" * n) == []
+    assert time.perf_counter() - begin < 30
