@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,21 @@ def windows_of(seen: list[str]) -> tuple[list[str], np.ndarray]:
     return out, np.cumsum([0, *[(len(x) - size) // _STRIDE + 1 for x in seen]])
 
 
+def window_chunks(seen: list[str], most: int = 4096) -> Iterator[tuple[list[str], list[int]]]:
+    """The windows of all candidates in order, at most ``most`` at a time, each with the number of
+    its candidate: a run of any length needs the memory of one chunk."""
+    windows, owners = [], []
+    for i, x in enumerate(seen):
+        for at in range(0, len(x) - _BEFORE - _INSIDE + 1, _STRIDE):
+            windows.append(x[at:at + _BEFORE + _INSIDE])
+            owners.append(i)
+            if len(windows) == most:
+                yield windows, owners
+                windows, owners = [], []
+    if windows:
+        yield windows, owners
+
+
 def largest(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Of each candidate the number of its window with the largest value (the first on a tie)."""
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
@@ -126,6 +142,13 @@ class CharacterNetwork:
             raw = raw[largest(raw, begins)]
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
+    def score_candidates(self, seen: list[str], most: int = 4096) -> np.ndarray:
+        """Calibrated probabilities of candidates, a chunk of windows in memory at a time."""
+        raw = np.full(len(seen), -np.inf)
+        for windows, owners in window_chunks(seen, most):
+            np.maximum.at(raw, owners, self.raw(_classes(windows)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
+
     def fit(self, x: np.ndarray, y: np.ndarray, begins: np.ndarray | None = None, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 3):
         """Adam on the log loss; both classes weigh the same."""
         rng = np.random.default_rng(seed)
@@ -230,8 +253,7 @@ def find_secrets(docs: DataFrame, fit_rows: int = 6000, recall: float = 0.98) ->
         for b in batches:
             lists = b.column(b.schema.get_field_index("cands"))
             flat = lists.flatten()
-            windows, begins = windows_of(flat.field("seen").to_pylist())
-            p = net.score(_classes(windows), begins)
+            p = net.score_candidates(flat.field("seen").to_pylist())
             steps = np.floor(p * _STEPS).astype(np.int32)
             scored = pa.StructArray.from_arrays([flat.field("s"), flat.field("e"), flat.field("label"), pa.array(steps)],
                                                 ["s", "e", "label", "step"])

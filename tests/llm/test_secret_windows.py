@@ -35,3 +35,17 @@ def test_key_late_in_a_run(make_docs, after):
     seen, unseen = ((secrets._classes(w), b) for w, b in x)
     score = secrets.CharacterNetwork().fit(seen[0], y, seen[1]).calibrate(seen[0], y, seen[1]).score(*unseen)
     assert ((score > 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_scores_in_chunks():
+    """A run of any length is scored a chunk of windows at a time, with the result of all at once."""
+    rng = np.random.default_rng(8)
+    text = " ".join("".join(rng.choice(list("abc0123_-"), int(n))) for n in (12, 700, 64, 5000, 30))
+    seen = [secrets.surroundings(text, s, e) for s, e, _ in secrets.candidate_spans(text, [])]
+    chunks = list(secrets.window_chunks(seen, 7))
+    windows, begins = secrets.windows_of(seen)
+    assert [w for c, _ in chunks for w in c] == windows and max(len(c) for c, _ in chunks) == 7
+    assert [o for _, c in chunks for o in c] == np.repeat(np.arange(len(seen)), np.diff(begins)).tolist()
+    net = secrets.CharacterNetwork()
+    assert np.allclose(net.score_candidates(seen, 7), net.score(secrets._classes(windows), begins))
+    assert len(net.score_candidates([])) == 0
