@@ -195,7 +195,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_toxic: int = 700, fi
 
     Null and empty texts, and texts without a known term, have no neighbours and vote 0; a
     null doc_id is not held out and unlabelled; repeated rows each get a row; repeated labels
-    count once (the highest), null ones never; without examples of both classes every score is
+    count once (the highest), null ones never; of the texts of an id the smallest is the example; without examples of both classes every score is
     the share of toxic training rows; an empty table gives no rows; further columns are
     ignored.
     """
@@ -208,7 +208,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_toxic: int = 700, fi
         # ids first: only the chosen texts travel
         ids = [r["doc_id"] for r in bounded_sample(known.where(F.col("toxic") == label), limit, "doc_id")]
         chosen = rows.where(F.col("doc_id").isin(ids)) if ids else rows.limit(0)
-        texts = {r["doc_id"]: r["text"] for r in chosen.collect()}
+        # one row an id, however often it is repeated
+        texts = {r["doc_id"]: r["text"] for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
         examples += [(i, texts[i], label) for i in ids if i in texts]
     schema = ("doc_id long, held_out boolean, vote double, neighbours array<long>, cosines array<double>")
     if len({e[2] for e in examples}) < 2:
