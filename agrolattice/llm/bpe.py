@@ -41,16 +41,19 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class _Bounded(dict):
-    """A memo that is emptied when full: memory stays bounded, results do not change."""
+    """A memo that is emptied when full and keeps no text of over 64 characters: memory stays
+    bounded, results do not change."""
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if not isinstance(key, str) or len(key) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = out
         return out
 
 

@@ -39,3 +39,9 @@ def test_nulls_repeats_and_empty_tables(make_docs):
     got = encode_documents(make_docs([(1, None), (1, None), (None, "a b"), (2, "")], extra=True), PATH).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 0, 2]
     assert encode_documents(make_docs([]), PATH).count() == 0
+
+
+def test_memo_keeps_no_long_runs():
+    from agrolattice.llm.bpe import _Bounded
+    memo = _Bounded(len, 3)
+    assert [memo["x" * n] for n in (1, 64, 65, 100_000, 64)] == [1, 64, 65, 100_000, 64] and sorted(map(len, memo)) == [1, 64]
