@@ -80,13 +80,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, similari
     # the windows first: the rest needs only the documents that have any
     length = f"greatest(1, n_words - {size - 1})"
     least = f"({similarity} - 1e-6) * total"
-    # a set, so that repeated rows count once
-    hits = (places.join(shared.where(f"n_words >= {size}"), "shingle").groupBy("doc_key", "item_id", "item_fp", "n_words", "total")
-            .agg(F.collect_set(F.struct("i", "weight")).alias("met")))
-    inside = f"aggregate(met, 0D, (s, h) -> s + if(h.i >= start and h.i < start + {length}, h.weight, 0D))"
-    hits = materialize(hits.where(f"aggregate(met, 0D, (s, h) -> s + h.weight) >= {least}"), "hits")
-    hits = (hits.withColumn("start", F.explode(F.expr(f"sequence(greatest(0, array_min(met.i) - {length} + 1), array_max(met.i))")))
-            .where(f"{inside} >= {least}").select("doc_key", "item_id", "item_fp", "n_words", "start"))
+    pair = ["doc_key", "item_id", "item_fp", "n_words", "total"]
+    # grouped by place, so that repeated rows count once
+    hits = materialize(places.join(shared.where(f"n_words >= {size}"), "shingle")
+                       .groupBy(*pair, "i").agg(F.max("weight").alias("weight")), "hits")
+    enough = hits.groupBy(*pair).agg(F.sum("weight").alias("sum")).where(f"sum >= {least}")
+    # a hit is in the windows that start up to their length before it; their sums are one aggregate
+    starts = hits.join(enough, pair, "left_semi").withColumn("start", F.explode(F.expr(f"sequence(greatest(0, i - {length} + 1), i)")))
+    hits = (starts.groupBy(*pair, "start").agg(F.sum("weight").alias("inside")).where(f"inside >= {least}")
+            .select("doc_key", "item_id", "item_fp", "n_words", "start"))
     hits = materialize(hits, "places")
     found = at_most_broadcast(materialize(hits.select("doc_key").distinct(), "seeded"), 1_000_000)
     seeded = worded(texts.join(found, "doc_key", "left_semi").dropDuplicates(["doc_key"]))
