@@ -7,12 +7,12 @@ last take the last one; a group without any value stays null.
 
 Scale design: a plain ``Window.partitionBy(group)`` puts a whole group in one task, and a
 hot group (a third of all rows) would serialise the job.  Rows are instead split into
-*chunks* - contiguous slices of the ordering, sized per group to a target row count - and
-the scan runs in two levels:
+*chunks* - contiguous slices of the whole order (group, order columns, tie-break), cut by a range
+partitioning to a target row count - and the scan runs in two levels:
 
 1. inside each chunk (window partitioned by group + chunk): local position, previous and
    next known value (two growing frames, one per direction, both O(n log n));
-2. per chunk one summary row (count, first and last known value); a window over the chunk
+2. per group and chunk one summary row (count, first and last known value); a window over the
    summaries of a group (rows / target rows: small even for a hot group) gives the chunk's
    row offset and the known values carried in from earlier / later chunks;
 3. summaries join back on (group, chunk).  The row side keeps the hash partitioning of
@@ -20,7 +20,8 @@ the scan runs in two levels:
 
 Cost: the summary branch re-reads and re-shuffles the projected input once (Spark does not
 reuse the exchange across the two branches); every shuffle is keyed by (group, chunk), so
-no task ever holds more than one chunk of a group.
+a window holds one chunk of a group: about the target rows, as the cuts come from a sample.  Ranges
+are written out once before the windows; a table within the target is not cut at all.
 """
 
 from __future__ import annotations
@@ -28,17 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _order_number(df: DataFrame, col: str) -> Column:
-    """A time-zone-free number that grows with ``col`` (seconds for dates and timestamps)."""
-    t = df.schema[col].dataType.typeName()
-    c = F.col(col)
-    if t in ("timestamp", "timestamp_ntz"):
-        return (F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("bigint") * 86400
-                + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c))
-    if t == "date":
-        return F.datediff(c, F.lit("1970-01-01")).cast("bigint") * 86400
-    return c.cast("double")
+from ..session import materialize
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,21 +39,20 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, on, "left").drop(*[f"_key_{c}" for c in keys])
 
 
-def auto_chunks(df: DataFrame, group_cols: list[str], order_col: str, target_rows: int) -> DataFrame:
-    """Add ``_chunk``: per group, equal-width ranges of the first order column sized so a
-    chunk holds about ``target_rows`` rows.  One partial aggregate (count, min, max per
-    group) sizes them; a group smaller than the target is a single chunk.  Ranges are
-    contiguous in the order, as the scan requires."""
-    t = _order_number(df, order_col)
-    d = df.withColumn("_t", t)
-    stats = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"), F.min("_t").alias("_tmin"),
-                                       F.max("_t").alias("_tmax"))
-    n_chunks = F.greatest(F.ceil(F.col("_gn") / F.lit(target_rows)), F.lit(1))
-    width = (F.col("_tmax") - F.col("_tmin") + 1) / n_chunks
-    stats = stats.select(*group_cols, "_tmin", width.alias("_w"))
-    j = _null_safe(d, stats, group_cols)
-    return j.withColumn("_chunk", F.coalesce(F.floor((F.col("_t") - F.col("_tmin")) / F.col("_w")), F.lit(0))) \
-        .drop("_t", "_tmin", "_w")
+def auto_chunks(df: DataFrame, group_cols: list[str], order_cols: list[str], target_rows: int) -> DataFrame:
+    """Add ``_chunk``: the ranges of (groups, order) into which a range partitioning of about
+    ``target_rows`` rows a part cuts the rows.
+
+    The ranges are cut along the whole order, its unique tie-break included, so a burst of rows
+    at one instant is cut like any others.  The parts come from a sample, so the rows are written
+    out with their range: a lost task must not meet other cuts.  A table of at most
+    ``target_rows`` rows is one range, without a shuffle or a write.
+    """
+    n_chunks = -(-df.count() // target_rows)
+    if n_chunks <= 1:
+        return df.withColumn("_chunk", F.lit(0))
+    ranged = df.repartitionByRange(n_chunks, *group_cols, *order_cols).withColumn("_chunk", F.spark_partition_id())
+    return materialize(ranged, "gap_ranges")
 
 
 def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str], measures: list[str],
@@ -70,11 +60,11 @@ def gap_fill_linear(df: DataFrame, group_cols: list[str], order_cols: list[str],
     """Fill ``measures`` of ``df``; returns all input columns with measures replaced.
 
     ``order_cols`` must give a total order inside a group (add a unique tie-break).
-    Chunks: by default sized per group to about ``target_rows`` rows (``auto_chunks``);
+    Chunks: by default balanced ranges of about ``target_rows`` rows (``auto_chunks``);
     an explicit ``chunk`` Column must be non-decreasing along the order.
     """
     ck = "_chunk"
-    rows = df.withColumn(ck, chunk) if chunk is not None else auto_chunks(df, group_cols, order_cols[0], target_rows)
+    rows = df.withColumn(ck, chunk) if chunk is not None else auto_chunks(df, group_cols, order_cols, target_rows)
     part = group_cols + [ck]
     asc = [F.col(c).asc() for c in order_cols]
     desc = [F.col(c).desc() for c in order_cols]

@@ -82,15 +82,33 @@ def test_auto_chunks_split_hot_group_and_keep_results(spark):
     rows = [("hot", i, None if random.random() < 0.5 else float(i % 17)) for i in range(400)]
     rows += [("cold", i, None if i % 2 else float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, t int, v double")
-    chunks = {r.g: r.n for r in auto_chunks(df, ["g"], "t", 50).groupBy("g")
-              .agg(F.countDistinct("_chunk").alias("n")).collect()}
-    assert chunks["hot"] == 8 and chunks["cold"] == 1          # 400 rows / 50 per chunk
+    sizes = {(r.g, r["_chunk"]): r["count"] for r in auto_chunks(df, ["g"], ["t"], 50).groupBy("g", "_chunk").count().collect()}
+    assert sum(sizes.values()) == 405 and max(sizes.values()) <= 100
+    assert sum(g == "hot" for g, _ in sizes) >= 8 and sum(g == "cold" for g, _ in sizes) <= 2
     auto = {(r.g, r.t): r.v for r in gap_fill_linear(df, ["g"], ["t"], ["v"], target_rows=50).collect()}
     one = {(r.g, r.t): r.v for r in gap_fill_linear(df, ["g"], ["t"], ["v"], chunk=F.lit(0)).collect()}
     assert auto.keys() == one.keys()
     assert all((one[k] is None and auto[k] is None) or abs(one[k] - auto[k]) < 1e-9 for k in one)
 
 
+def test_gap_fill_spreads_a_burst_at_one_instant(spark):
+    """Rows that agree in the order column are cut by the tie-break; results are those of one chunk."""
+    import random
+
+    from agrolattice.operators.gapfill import auto_chunks
+    random.seed(4)
+    rows = [("burst", 7, i, None if random.random() < 0.6 else float(i % 23)) for i in range(1000)]
+    rows += [(g, t, 0, float(t) if t % 5 == 0 else None) for g in ("a", None) for t in range(40)] + [("void", t, 0, None) for t in range(30)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, t int, seq int, v double")
+    sizes = auto_chunks(df, ["g"], ["t", "seq"], 50).groupBy("g", "_chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 100 and sum(r.g == "burst" for r in sizes) >= 15
+    key = lambda r: (str(r.g), r.t, r.seq)
+    many, one = (sorted(gap_fill_linear(df, ["g"], ["t", "seq"], ["v"], target_rows=n).collect(), key=key) for n in (50, 10_000))
+    assert [key(r) for r in many] == [key(r) for r in one] and len(one) == len(rows)
+    assert all((x.v is None) == (y.v is None) and (x.v is None or abs(x.v - y.v) < 1e-9) for x, y in zip(many, one))
+
+
 def test_exact_quantiles_match_numpy_with_hot_group(spark):
     import numpy as np
 
