@@ -59,8 +59,22 @@ def climate_calibration(climate: DataFrame, date_col: str = "fecha", rain: str =
     monthly = _levels(df, ["_mes"], [
         F.coalesce(F.sum(rain), F.lit(0.0)).alias("_rain"), F.avg(temp).alias("_tmean"),
         F.sum(temp).alias("_tsum"), F.count(temp).alias("_tn"), F.count(F.lit(1)).alias("_rows")])
+    return _monthly_profile(monthly)
+
+
+def calibration_of_sums(sums: DataFrame, month: str = "mes", rain: str = "rain_sum", temp: str = "temp_sum",
+                        temp_n: str = "temp_n") -> DataFrame:
+    """``climate_calibration`` from sums and counts kept by place and month (a feed's state),
+    several rows for one key included: they add up."""
+    df = sums.withColumn("_mes", F.col(month)).where(F.col("_mes").isNotNull())
+    monthly = _levels(df, ["_mes"], [
+        F.coalesce(F.sum(rain), F.lit(0.0)).alias("_rain"), F.sum(temp).alias("_tsum"), F.sum(temp_n).alias("_tn")])
+    return _monthly_profile(monthly.withColumn("_tmean", F.when(F.col("_tn") > 0, F.col("_tsum") / F.col("_tn"))))
+
+
+def _monthly_profile(monthly: DataFrame) -> DataFrame:
     per = monthly.groupBy("_lvl", "_d", "_m").agg(
-        F.sum("_rain").alias("_total_rain"), (F.sum("_tsum") / F.sum("_tn")).alias("_temp_real"),
+        F.sum("_rain").alias("_total_rain"), F.try_divide(F.sum("_tsum"), F.sum("_tn")).alias("_temp_real"),
         F.avg("_tmean").alias("_tglobal"),
         *[F.max(F.when(F.col("_mes") == i, F.col("_rain"))).alias(f"_r{i}") for i in range(1, 13)],
         *[F.max(F.when(F.col("_mes") == i, F.col("_tmean"))).alias(f"_t{i}") for i in range(1, 13)],

@@ -41,11 +41,13 @@ def base_stress_predictor(prefix: str = "cp_"):
     return predict
 
 
-def sowing_plan(parcels: DataFrame, climate: DataFrame, production: DataFrame, predictor=None) -> DataFrame:
+def sowing_plan(parcels: DataFrame, climate: DataFrame | None, production: DataFrame, predictor=None,
+                calibration: DataFrame | None = None) -> DataFrame:
     """One row per parcel with ``months`` (12 structs: mes, name, sim_rain, sim_temp, yield),
-    best month / yield, zone factor, compliance status and rules, and the explanation."""
+    best month / yield, zone factor, compliance status and rules, and the explanation.
+    ``calibration`` takes the place of the one made from ``climate``."""
     predictor = predictor or base_stress_predictor()
-    df = with_climate_calibration(parcels, climate_calibration(climate))
+    df = with_climate_calibration(parcels, climate_calibration(climate) if calibration is None else calibration)
     df = with_zone_factor(df, zone_yields(production), "planner", out="zone_yield_factor")
     df = with_crop_params(df)
     temp_base = F.coalesce(F.col("temp_base_calibrated"), F.col("temp_media_c"))

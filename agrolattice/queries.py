@@ -1002,3 +1002,37 @@ def q_response_curves(spark, sf_dir):
               .when(var == "temp", stress_factor(v, F.col("temp_min"), F.col("temp_max"), F.col("temp_sigma")))
               .otherwise(slope_factor(v)))
     return rounded(j.select("cultivo", "variable", "value", factor.alias("factor")))
+
+
+# ------------------------------------------------------------------ X1: feeds
+@register("stream_repaired")
+def q_stream_repaired(spark, sf_dir):
+    """X1 over event files that arrive out of order, two at a time: late rows are kept in their
+    own table and merged into the closed days."""
+    from .streaming.feeds import ClimateFeed
+    landed = _scratch(spark, "events-landed")
+    si.read_table(spark, sf_dir, "events").repartition(6, "event_id").write.parquet(landed)
+    readings = stream_rollups.station_stream(spark, landed, "*.parquet", max_files_per_trigger=2)
+    out = ClimateFeed(spark, "stream_repaired").run(readings).closed_days()
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return rounded(out.select(stream_rollups.instant_to_wall(F.col("day"), tz).alias("window_start"), "departamento",
+                              "municipio", "temp_media_c", "precipitacion_mm", "humedad_media_pct", "brillo_solar_horas"))
+
+
+@register("feed_plan")
+def q_feed_plan(spark, sf_dir):
+    """X1 + E3: sowing plans that follow a climate feed; after each micro-batch the parcels with
+    new readings at their level are planned again."""
+    from .streaming.feeds import ClimateFeed, MEASURES, Predictions
+    landed = _scratch(spark, "climate-landed")
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    climate = si.climate_daily(spark, sf_dir)
+    (climate.select("departamento", "municipio", stream_rollups.wall_to_instant(F.col("fecha"), tz).alias("ts"), *MEASURES)
+     .repartition(4).write.parquet(landed))
+    schema = spark.read.parquet(landed).schema
+    feed = ClimateFeed(spark, "feed_plan")
+    production = si.production(spark, sf_dir)
+    table = Predictions(feed, si.parcels(spark, sf_dir), lambda r, c: planner_plan.sowing_plan(r, None, production, calibration=c),
+                        "parcel_id", ["cultivo", "best_month", "best_yield", "data_source"]).start()
+    feed.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landed), table.update)
+    return rounded(table.latest().drop("batch_id"))

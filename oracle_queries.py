@@ -1217,3 +1217,8 @@ SELECT cp.crop AS cultivo, variable, round(value, 6) AS value, round(CASE
     WHEN variable = 'temp' THEN {stress('value', 'temp_min', 'temp_max', 'temp_sigma')}
     ELSE {_SLOPE_V} END, 6) AS factor
 FROM vals CROSS JOIN cp"""
+
+# late rows merged: the days are those of the batch roll-up
+SQL["stream_repaired"] = SQL["stream_daily"]
+
+SQL["feed_plan"] = f"SELECT parcel_id, cultivo, best_month, best_yield, data_source FROM ({SQL['best_month']}) AS plan"
