@@ -37,9 +37,11 @@ def filled_yearly_climate(climate: DataFrame, order_cols: list[str] | None = Non
 def consolidate(production: DataFrame, soils: DataFrame, climate: DataFrame, credit: DataFrame,
                 prices: DataFrame, land: DataFrame, livestock: DataFrame,
                 climate_order: list[str] | None = None, impute: bool = True,
-                key_cols: tuple = ("anio",), target_rows: int = 1_000_000) -> DataFrame:
-    """``key_cols``: numeric identifier columns that are never imputed."""
-    clim_y = filled_yearly_climate(climate, climate_order, target_rows)
+                key_cols: tuple = ("anio",), target_rows: int = 1_000_000,
+                yearly_climate: DataFrame | None = None) -> DataFrame:
+    """``key_cols``: numeric identifier columns that are never imputed.  ``yearly_climate`` is
+    ``filled_yearly_climate`` if it has been made already."""
+    clim_y = filled_yearly_climate(climate, climate_order, target_rows) if yearly_climate is None else yearly_climate
     price_y = yearly_prices(prices)
     crop = ["cultivo"]
     m = production.join(soils.select(*PLACE, *crop, *SOIL_COLS), PLACE + crop, "left")

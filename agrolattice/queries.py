@@ -27,7 +27,7 @@ from .plans import master as master_plan
 from .schemas import ENT
 from .session import source_stamp
 from .sources import standins as si
-from .sources.tables import read_catalog_files, read_csv_table, write_table
+from .sources.tables import catalog_quarantine, read_catalog_files, read_csv_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -164,6 +164,18 @@ def q_catalog_files(spark, sf_dir):
     return read_catalog_files(spark, paths)
 
 
+@register("catalog_quarantine")
+def q_catalog_quarantine(spark, sf_dir):
+    """Catalog files with an empty one beside them, in which rows without a source lack a
+    value; the rows that do not fit their header and the files without one."""
+    raw = si.catalog_raw(spark, sf_dir)
+    paths = [_scratch(spark, "catalog") for _ in range(2)]
+    lines = raw.select(F.concat_ws(",", "UID", "Fuente").alias("UID,Fuente"))
+    lines.write.option("header", True).option("sep", "\x01").csv(paths[0])
+    spark.createDataFrame([], "value string").coalesce(1).write.text(paths[1])
+    return catalog_quarantine(spark, paths).select("problem", "record")
+
+
 # ------------------------------------------------------------------ summaries (A4-A24, T, W6, P6)
 def _catalog(spark, sf_dir):
     return catalog_plan.clean_catalog(si.catalog_raw(spark, sf_dir))

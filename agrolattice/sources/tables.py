@@ -7,7 +7,10 @@ columns differ; they are read as all-string and unioned by name.
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,22 +52,64 @@ def read_csv_table(spark: SparkSession, path: str, schema: "StructType | str") -
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
 
 
-def read_catalog_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+#: Column of a text row that does not fit its header.
+BAD_RECORD = "_bad_record"
+
+
+def read_catalog_files(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """S2 + U1: every catalog file as strings, unioned by column name (missing -> null).
 
-    Each file is read with its own header so files with different column sets line up by
-    name; an empty or unreadable file is skipped.  The UTF-8 BOM is dropped by the reader.
+    ``paths`` are files or folders of files.  Files with one header are one scan (see
+    ``scan_catalog``); an empty or unreadable file is skipped.  The UTF-8 BOM is dropped.
+    A row with too few or too many values keeps those that fit; ``catalog_quarantine`` lists it.
     """
-    frames = []
+    scans, _ = scan_catalog(spark, paths, multi_line)
+    return _union(spark, [df.drop(BAD_RECORD, "_file") for df in scans])
+
+
+def catalog_quarantine(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """file, problem, record: the files that could not be read or hold no header, and the rows
+    that do not fit their file's header."""
+    scans, skipped = scan_catalog(spark, paths, multi_line)
+    out = spark.createDataFrame([(f, why, None) for f, why in skipped], "file string, problem string, record string")
+    for df in scans:
+        # the reader wants another of the file's columns beside the bad record: ask for one
+        first = F.col(f"`{df.columns[0]}`")
+        bad = df.where(F.col(BAD_RECORD).isNotNull() & (F.length(F.coalesce(first, F.lit(""))) >= 0))
+        out = out.unionAll(bad.select("_file", F.lit("row does not fit the header"), BAD_RECORD))
+    return out
+
+
+def scan_catalog(spark: SparkSession, paths: list[str], multi_line: bool = True) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """One DataFrame for each distinct header among the files of ``paths``, and the files left out
+    with the reason.  Only the headers are read here, a line a file, several files at a time.
+
+    With ``multi_line`` a quoted value may hold line breaks, and a file is one task; without it
+    files are split.  The columns ``_file`` and ``BAD_RECORD`` are added.
+    """
+    files, skipped = [], []
     for p in paths:
         try:
-            df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-                  .option("inferSchema", False).option("encoding", "UTF-8").csv(p))
-        except Exception:  # unreadable file: skipped like the original loader
-            continue
-        if not df.columns:
-            continue
-        frames.append(df.toDF(*[c.lstrip("﻿") for c in df.columns]))
+            files += _files_under(spark, p)
+        except Exception as e:  # absent or unreadable: skipped like the original loader
+            skipped.append((p, f"unreadable: {type(e).__name__}"))
+    groups: dict[tuple, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for f, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
+            if isinstance(header, str):
+                skipped.append((f, header))
+            else:
+                groups.setdefault(tuple(header), []).append(f)
+    scans = []
+    for header, members in groups.items():
+        schema = StructType([StructField(c, StringType()) for c in (*header, BAD_RECORD)])
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
+              .option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD).csv(members))
+        scans.append(df.withColumn("_file", F.col("_metadata.file_path")))
+    return scans, skipped
+
+
+def _union(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
     if not frames:
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in CATALOG_COLUMNS]))
     out = frames[0]
@@ -73,6 +118,41 @@ def read_catalog_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def _files_under(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the data files of a folder, by name."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(jpath) if x.isFile()]
+    return sorted(x.toString() for x in found if not x.getName().startswith(("_", ".")))
+
+
+def _header(spark: SparkSession, path: str) -> list[str] | str:
+    """Column names of a CSV file (a quoted one may hold line breaks), or why there are none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        stream = jpath.getFileSystem(conf).open(jpath)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(jpath)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            text = reader.readLine()
+            while text is not None and text.count('"') % 2:
+                more = reader.readLine()
+                if more is None:
+                    break
+                text += "\n" + more
+        finally:
+            reader.close()
+    except Exception as e:  # a broken file must not end the job
+        return f"unreadable: {type(e).__name__}"
+    names = next(csv.reader(io.StringIO((text or "").lstrip("\ufeff"), newline="")), [])
+    if not any(names):
+        return "no header"
+    # a nameless or repeated column is told by its place, as the CSV reader does
+    lower = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
 def catalog_paths(spark: SparkSession, workspace_dir: str, prefix: str = "reto_") -> list[str]:
     """The catalog files of a folder on any Hadoop file system, by name."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(workspace_dir, f"{prefix}*.csv"))

@@ -1222,3 +1222,6 @@ FROM vals CROSS JOIN cp"""
 SQL["stream_repaired"] = SQL["stream_daily"]
 
 SQL["feed_plan"] = f"SELECT parcel_id, cultivo, best_month, best_yield, data_source FROM ({SQL['best_month']}) AS plan"
+
+SQL["catalog_quarantine"] = with_(CATALOG_RAW) + """SELECT 'row does not fit the header' AS problem, "UID" AS record FROM raw WHERE "Fuente" IS NULL
+UNION ALL SELECT 'no header', NULL"""
