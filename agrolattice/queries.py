@@ -871,12 +871,14 @@ def q_explorer_vars(spark, sf_dir):
 
 @register("region_scan")
 def q_region_scan(spark, sf_dir):
-    """S3: climate laid out by department, then one department's three columns read with
-    partition pruning; daily rain totals per month."""
+    """S3: climate laid out by department, then three columns of the first department by name read
+    with partition pruning; daily rain totals per month."""
     from .sources.tables import read_region, write_partitioned
     path = _scratch(spark, "climate_by_dept")
-    write_partitioned(si.climate_daily(spark, sf_dir), path, "departamento")
-    df = read_region(spark, path, "departamento", "ASIA", ["fecha", "precipitacion_diaria_mm", "temperatura_promedio_c"])
+    climate = si.climate_daily(spark, sf_dir)
+    write_partitioned(climate, path, "departamento")
+    first = climate.agg(F.min("departamento")).first()[0]
+    df = read_region(spark, path, "departamento", first, ["fecha", "precipitacion_diaria_mm", "temperatura_promedio_c"])
     return rounded(df.groupBy(F.year("fecha").alias("anio"), F.month("fecha").alias("mes")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("precipitacion_diaria_mm").alias("rain")))
 

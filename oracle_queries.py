@@ -1143,7 +1143,8 @@ SQL["explorer_vars"] = with_(*MASTER_CTES) + ",\n" + MASTER_FINAL + """
 SELECT l_orderkey, l_linenumber, round(temp_media_c, 6) AS x, round(rendimiento_ton_ha, 6) AS y, cultivo AS colour,
   round(monto_creditos_cop, 6) AS size FROM master_final"""
 SQL["region_scan"] = with_(GEO, CLIMATE) + """SELECT CAST(year(fecha) AS INTEGER) AS anio, CAST(month(fecha) AS INTEGER) AS mes,
-  count(*) AS rows, round(sum(precipitacion_diaria_mm), 6) AS rain FROM climate WHERE departamento = 'ASIA' GROUP BY ALL"""
+  count(*) AS rows, round(sum(precipitacion_diaria_mm), 6) AS rain FROM climate
+WHERE departamento = (SELECT min(departamento) FROM climate) GROUP BY ALL"""
 
 
 # ------------------------------------------------------------------ remaining inventory items
