@@ -10,6 +10,7 @@ trees; scoring is a vectorised function over Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -286,14 +287,63 @@ def models_of(table: DataFrame) -> dict[str, Model]:
     return out
 
 
-def scored(df: DataFrame, features: Column, models: dict[str, Model], out: str = "_scores") -> DataFrame:
-    """``df`` with ``out``, a struct of each model's prediction for the array ``features``."""
+class CellScores:
+    """Predictions of ``models`` for rows of features, each cell scored once.
+
+    A cell is the set of rows that lie between the same cuts of all trees: no tree tells them apart,
+    so one walk through the trees serves them all.  The scores of the first ``most`` cells are kept
+    for later rows; a row's own cell is always looked up, so no row takes another's score.
+    """
+
+    def __init__(self, models: dict[str, Model], most: int):
+        self.models, self.most, self.known = models, most, {}
+        found: dict[int, set] = {}
+        for m in models.values():
+            for t in m.trees:
+                for f, c in zip(t.feature, t.cut):
+                    if f >= 0:
+                        found.setdefault(f, set()).add(c)
+        self.cuts = {f: np.array(sorted(c)) for f, c in sorted(found.items())}
+        self.scores = np.empty((0, len(models)))
+
+    def _bins(self, rows: np.ndarray) -> np.ndarray:
+        """The number of cuts below each value (no cut is below NaN, as in ``_ByValue``)."""
+        out = [np.where(np.isnan(rows[:, f]), 0, np.searchsorted(c, rows[:, f], "left")) for f, c in self.cuts.items()]
+        return np.ascontiguousarray(np.stack(out, 1).astype(np.int32)) if out else np.zeros((len(rows), 1), np.int32)
+
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """rows x models"""
+        bins = self._bins(rows)
+        cells, first, place = np.unique(bins.view(f"V{bins.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+        keys = [c.tobytes() for c in cells]
+        at = np.array([self.known.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(at < 0)
+        scores = np.empty((len(cells), len(self.models)))
+        scores[at >= 0] = self.scores[at[at >= 0]]
+        if len(new):
+            scores[new] = np.stack([m.predict(rows[first[new]]) for m in self.models.values()], 1)
+            held = len(self.known)
+            kept = new[:max(0, self.most - held)]
+            if len(kept):
+                self.known.update((keys[i], held + n) for n, i in enumerate(kept))
+                self.scores = np.concatenate([self.scores, scores[kept]])
+        return scores[place.ravel()]
+
+
+def scored(df: DataFrame, features: Column, models: dict[str, Model], out: str = "_scores", cells: int = 0) -> DataFrame:
+    """``df`` with ``out``, a struct of each model's prediction for the array ``features``.  With
+    ``cells`` a task keeps the scores of so many cells (``CellScores``), for models of few cells."""
     shared = df.sparkSession.sparkContext.broadcast(models)
     names = list(models)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def score(rows: pd.Series) -> pd.DataFrame:
-        x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
-        return pd.DataFrame({n: shared.value[n].predict(x) for n in names})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept = CellScores(shared.value, cells) if cells else None
+        for rows in batches:
+            x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
+            if kept and len(rows):
+                yield pd.DataFrame(kept.predict(x), columns=names)
+            else:
+                yield pd.DataFrame({n: shared.value[n].predict(x) for n in names})
 
     return df.withColumn(out, score(features))

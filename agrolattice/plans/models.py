@@ -330,8 +330,12 @@ def train_yield(master: DataFrame, key: str = "row_key", n_trees: int = 300, gbt
     return models["all"], metrics
 
 
+#: The yield models know at most this many cells of rows (``yield_cells``), so a task keeps the scores of all.
+MOST_CELLS = 200_000
+
+
 def predict_yield(model: YieldModel, df: DataFrame) -> DataFrame:
-    out = scored(df, model.features(), model.models)
+    out = scored(df, model.features(), model.models, cells=MOST_CELLS)
     return out.withColumn("prediction", (F.col("_scores.rf") + F.col("_scores.gbt")) / 2).drop("_scores")
 
 
@@ -351,7 +355,7 @@ def hybrid_models(master: DataFrame, key: str = "row_key", rf_trees: int = 100,
     trees (depth 6, step 0.1); hold-out RMSE of both.  Returns (the models, metrics)."""
     data = materialize(prepare_yield(master).select(key, "cultivo", "textura", *YIELD_NUMERIC, "label"), "hybrid-input")
     models, test = _fit_yield(data, key, rf_trees, gbt_iter, seed, 10, {"depth": 6, "leaves": 64, "least_rows": 1, "ridge": 1.0}, False, drop_first=True)
-    tested = scored(test, models["train"].features(), models["train"].models)
+    tested = scored(test, models["train"].features(), models["train"].models, cells=MOST_CELLS)
     r1 = regression_metrics(tested.withColumn("prediction", F.col("_scores.rf"))).select(F.lit("random_forest").alias("model"), "n_test", "rmse", "r2")
     r2 = regression_metrics(tested.withColumn("prediction", F.col("_scores.gbt"))).select(F.lit("boosted_trees").alias("model"), "n_test", "rmse", "r2")
     return models["train"], materialize(r1.unionByName(r2), "hybrid-metrics")
