@@ -27,6 +27,11 @@ def group_mean_impute(df: DataFrame, group_col: str, columns: list[str] | None =
     cols = columns if columns is not None else numeric_columns(df, exclude=(group_col,))
     means = (df.filter(F.col(group_col).isNotNull()).groupBy(group_col)
              .agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols]))
+    return with_means(df, means, group_col, cols)
+
+
+def with_means(df: DataFrame, means: DataFrame, group_col: str, cols: list[str]) -> DataFrame:
+    """``df`` with the nulls of ``cols`` filled by ``_mean_<column>`` of ``means``, one row a group."""
     joined = df.join(small_side(means, "group-means"), on=group_col, how="left")
     return joined.select(
         *[(F.coalesce(F.col(c), F.col(f"_mean_{c}")).alias(c) if c in cols else F.col(c)) for c in df.columns])
