@@ -18,6 +18,7 @@ from ..operators.calibration import (climate_calibration, request_level, with_cl
                                      with_zone_factor, zone_yields)
 from ..params import (DEFAULT_DATA_SOURCE, DRY_SOWING_MONTHS, EXPLANATION, EXPLANATION_FACTORS,
                       MONTHS_LONG, OTHER_CROP_ECONOMICS, crop_params_df)
+from ..session import spread
 
 PARAM_COLS = ["ph_min", "ph_max", "ph_sigma", "temp_min", "temp_max", "temp_sigma", "alt_min", "alt_max",
               "alt_sigma", "base_yield", "price_kg", "basket_pct", "demand_trend", "cost_ha", "cycle_months",
@@ -47,7 +48,7 @@ def sowing_plan(parcels: DataFrame, climate: DataFrame | None, production: DataF
     best month / yield, zone factor, compliance status and rules, and the explanation.
     ``calibration`` takes the place of the one made from ``climate``."""
     predictor = predictor or base_stress_predictor()
-    df = with_climate_calibration(parcels, climate_calibration(climate) if calibration is None else calibration)
+    df = with_climate_calibration(spread(parcels), climate_calibration(climate) if calibration is None else calibration)
     df = with_zone_factor(df, zone_yields(production), "planner", out="zone_yield_factor")
     df = with_crop_params(df)
     temp_base = F.coalesce(F.col("temp_base_calibrated"), F.col("temp_media_c"))
