@@ -940,7 +940,7 @@ def q_fitness_features(spark, sf_dir):
 def q_best_month_ml(spark, sf_dir):
     """E3 + M12: sowing months scored by the MLlib yield ensemble."""
     model, _ = model_plan.train_yield(_master_for_model(spark, sf_dir))
-    plan = planner_plan.sowing_plan_with_model(si.parcels(spark, sf_dir), si.climate_daily(spark, sf_dir),
+    plan = planner_plan.sowing_plan_with_model(spread(si.parcels(spark, sf_dir)), si.climate_daily(spark, sf_dir),
                                                si.production(spark, sf_dir), model, model_plan.predict_yield)
     return rounded(plan.select("parcel_id", "cultivo", "best_month", "best_yield", "madr_compliance",
                                F.array_join("madr_rules", " | ").alias("madr_rules")))
@@ -1047,7 +1047,7 @@ def q_feed_plan(spark, sf_dir):
     schema = spark.read.parquet(landed).schema
     feed = ClimateFeed(spark, "feed_plan")
     production = si.production(spark, sf_dir)
-    table = Predictions(feed, si.parcels(spark, sf_dir), lambda r, c: planner_plan.sowing_plan(r, None, production, calibration=c),
+    table = Predictions(feed, si.parcels(spark, sf_dir), lambda r, c: planner_plan.sowing_plan(spread(r), None, production, calibration=c),
                         "parcel_id", ["cultivo", "best_month", "best_yield", "data_source"]).start()
     feed.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landed), table.update)
     return rounded(table.latest().drop("batch_id"))
