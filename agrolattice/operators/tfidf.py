@@ -2,8 +2,8 @@
 
 Tokens are maximal runs of 2+ letters/digits/underscore in the lower-cased text (whole
 texts).  The vocabulary is the ``k`` most frequent terms of the corpus (ties by term), so it
-has a proven size bound: it reaches every row as one broadcast array, and term counts,
-weights and the L2 norm are computed inside the row.  Only term totals are shuffled, after a
+has a proven size bound: it reaches every row as a set of literals, and term counts,
+weights and the L2 norm are computed inside the row, in one pass over its sorted vocabulary tokens.  Only term totals are shuffled, after a
 partial aggregate; no document is.  idf is the smooth form ``ln((1+n)/(1+df)) + 1``.  Output
 is long: (doc, term, tf, weight).
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .topk import top_n
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -37,13 +36,18 @@ def vocabulary(df: DataFrame, text_col: str, k: int) -> DataFrame:
 
 def tfidf_long(df: DataFrame, doc_col: str, text_col: str, k: int) -> DataFrame:
     """``doc_col`` identifies rows; a document without a vocabulary term gives no rows."""
-    vocab = materialize(vocabulary(df, text_col, k), "vocabulary")
-    # the outer explodes and the two uses of _known below keep the optimiser from computing the
-    # tokens once more for a filter, or once a term
-    docs = df.select(F.col(doc_col).alias("_doc"), tokenize(text_col).alias("_tokens")).join(F.broadcast(vocab))
-    docs = docs.withColumn("_known", F.expr("filter(_tokens, t -> array_contains(vocab.term, t))"))
-    counted = docs.withColumn("_w", F.expr(
-        "filter(transform(vocab, v -> struct(v.term as term, size(_known) - size(array_remove(_known, v.term)) as tf, v.idf as idf)), x -> x.tf > 0)"))
+    idf = {v["term"]: v["idf"] for v in vocabulary(df, text_col, k).first()["vocab"] or []}  # k terms at most
+    if not idf:
+        return df.limit(0).select(doc_col, F.lit("").alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(0.0).alias("weight"))
+    # a token is looked up in a set of literals; equal ones then lie side by side, and a term's count
+    # is the distance to the next term's first place.  The outer explode and the several uses of
+    # _known and _at keep the optimiser from computing them again for a filter or for each term
+    docs = df.select(F.col(doc_col).alias("_doc"), F.sort_array(F.filter(tokenize(text_col), lambda t: t.isin(list(idf)))).alias("_known"))
+    docs = docs.withColumn("_terms", F.array_distinct("_known"))
+    docs = docs.withColumn("_at", F.expr("transform(_terms, t -> array_position(_known, t))"))
+    weights = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+    counted = docs.withColumn("_w", F.transform("_terms", lambda t, i: F.struct(
+        t.alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_known") + 1) - F.get("_at", i)).alias("tf"), weights[t].alias("idf"))))
     norm = F.expr("sqrt(aggregate(_w, 0D, (a, x) -> a + x.tf * x.idf * x.tf * x.idf))")
     return (counted.select("_doc", "_w", norm.alias("_norm")).select("_doc", "_norm", F.explode_outer("_w").alias("x")).where("x is not null")
             .select(F.col("_doc").alias(doc_col), "x.term", F.col("x.tf").cast("bigint").alias("tf"),

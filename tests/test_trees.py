@@ -1,6 +1,7 @@
 """Learners, exact parts and the feature stage against plain versions."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -136,6 +137,24 @@ def test_feature_stage_equals_tfidf(spark, tmp_path):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_tfidf_counts_in_one_pass(spark):
+    rows = [(1, "b a b cc cc"), (1, "cc dd"), (None, "dd dd ee"), (2, None), (3, "? x"), (4, " ".join(f"w{i % 12} w0" for i in range(60)))]
+    df = spark.createDataFrame(rows, "id int, t string")
+    out = tfidf_long(df, "id", "t", 40)
+    got = sorted((str(r["id"]), r["term"], r["tf"], round(r["weight"], 9)) for r in out.collect())
+    counts = [(i, Counter(w for w in (t or "").split() if len(w) > 1)) for i, t in rows]
+    seen = Counter(w for _, c in counts for w in c)
+    want = []
+    for i, c in counts:
+        w = {t: n * (np.log(7 / (1 + seen[t])) + 1) for t, n in c.items()}
+        want += [(str(i), t, c[t], round(w[t] / np.sqrt(sum(x * x for x in w.values())), 9)) for t in w]
+    assert got == sorted(want)
+    plan = out._jdf.queryExecution().toString()
+    assert "array_remove" not in plan and "INSET" in plan.upper()
+    assert tfidf_long(df.where("id = 3"), "id", "t", 40).count() == 0
+    assert tfidf_long(df.where("id = 3"), "id", "t", 40).dtypes == out.dtypes
+
+
 def test_cells_hold_every_row(spark):
     df = spark.range(500).selectExpr("'c' || id % 3 as cultivo", "'t' as textura", *[f"cast(id * {k + 1} % 97 as double) as {c}" for k, c in enumerate(
         ["ph_suelo", "altitud_m", "pendiente_pct", "materia_organica_pct", "temp_media_c", "precipitacion_anual_mm"])], "id * 1.0D as label", "id % 2 as flag")
