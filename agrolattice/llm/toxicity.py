@@ -35,30 +35,53 @@ def distinct_terms(text: str | None) -> set[str]:
     return words | {w[:4] + "~" for w in words if len(w) > 4} | {w[:5] + "~" for w in words if len(w) > 5}
 
 
+class KnownTerms(dict):
+    """What a word's terms (see ``terms_of``) are numbered in the vocabulary ``numbers``, looked up
+    once a word; holds a bounded number of words.  Only words whose first four characters are in
+    ``begins`` have any."""
+
+    def __init__(self, numbers: dict[str, object], most: int = 100_000, longest: int = 40):
+        super().__init__()
+        self.numbers, self.most, self.longest = numbers, most, longest
+        self.begins = {t.rstrip("~")[:4] for t in numbers}
+
+    def __missing__(self, w: str) -> tuple:
+        terms = [w] + [w[:4] + "~"] * (len(w) > 4) + [w[:5] + "~"] * (len(w) > 5)
+        out = tuple(self.numbers[t] for t in terms if t in self.numbers)
+        if len(w) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[w] = out
+        return out
+
+    def __reduce__(self):
+        return KnownTerms, (self.numbers, self.most, self.longest)
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of examples, with each term's largest weight in
     each block.
 
     A query's bound for a block is the sum of its weights times the block maxima: no example
-    of the block can score more.  Blocks are scored in order of their bounds until the bound
-    falls to the k-th best cosine found, so the k nearest are exact.
+    of the block can score more.  Blocks are scored in order of their bounds, ``at_once`` and then
+    twice as many in one step, until the bound falls to the k-th best cosine found, so the k
+    nearest are exact.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 128):
-        self.block, self.n = block, len(vectors)
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 128, at_once: int = 16):
+        self.block, self.n, self.n_terms, self.at_once = block, len(vectors), n_terms, at_once
         n_blocks = -(-self.n // block)
         self.bounds = np.zeros((n_terms, n_blocks), np.float32)
-        postings: list[list[tuple[int, int, float]]] = [[] for _ in range(n_blocks)]
+        postings: list[tuple[int, int, float]] = []
         for i, v in enumerate(vectors):
             for t, w in v.items():
-                postings[i // block].append((t, i % block, w))
+                postings.append((i // block * n_terms + t, i, w))
                 self.bounds[t, i // block] = max(self.bounds[t, i // block], w)
-        # a block's postings, by term: where each term's begin, which example, which weight
-        self.blocks = []
-        for p in postings:
-            p.sort()
-            t, i, w = (np.array(x) for x in zip(*p)) if p else (np.zeros(0, int),) * 3
-            self.blocks.append((np.searchsorted(t, np.arange(n_terms + 1)).astype(np.int32), i.astype(np.int16), w.astype(np.float32)))
+        # the postings by block and term: where each term's begin, which example, which weight
+        postings.sort()
+        t, i, w = (np.array(x) for x in zip(*postings)) if postings else (np.zeros(0, int),) * 3
+        self.begin = np.searchsorted(t, np.arange(n_blocks * n_terms + 1))
+        self.example, self.weight = i.astype(np.int32), w.astype(np.float32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, larger first (smaller number on a tie);
@@ -68,19 +91,31 @@ class BlockMaxIndex:
         bound = weights @ self.bounds[terms]
         order = np.argsort(-bound, kind="stable")
         who, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if len(cos) >= k and bound[b] * (1 + 1e-6) < cos[k - 1]:
-                break
-            begin, example, weight = self.blocks[b]
-            lo, n = begin[terms], begin[terms + 1] - begin[terms]
-            ends = np.cumsum(n)
+        done, step = 0, self.at_once
+        while done < len(order):
+            some = order[done:done + step]
+            if len(cos) >= k:
+                some = some[bound[some] * (1 + 1e-6) >= cos[k - 1]]
+                if not len(some):
+                    break
+            done, step = done + step, 2 * step
+            lists = np.add.outer(some * self.n_terms, terms)  # a row a block
+            lo = self.begin[lists]
+            n = self.begin[lists + 1] - lo
+            lo, n = lo.ravel(), n.ravel()
+            ends = n.cumsum()
             if not ends[-1]:
                 continue
-            at = np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)
-            score = np.bincount(example[at], weight[at] * np.repeat(weights, n), self.block)
+            at = np.arange(ends[-1]) + (lo - ends + n).repeat(n)
+            score = np.bincount(self.example[at], self.weight[at] * np.tile(weights, len(some)).repeat(n), self.n)
             found = np.flatnonzero(score > 0)
-            found = found[found + b * self.block != skip]
-            who, cos = np.concatenate((who, found + b * self.block)), np.concatenate((cos, score[found]))
+            near = score[found]
+            if len(found) > k + 1:  # those below the k-th best go before the sort; one may be ``skip``
+                least = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
+                found, near = found[near >= least], near[near >= least]
+            if skip >= 0:
+                found, near = found[found != skip], near[found != skip]
+            who, cos = np.concatenate((who, found)), np.concatenate((cos, near))
             best = np.lexsort((who, -cos))[:k]
             who, cos = who[best], cos[best]
         return who, cos
@@ -93,6 +128,7 @@ class Neighbours:
                  k: int = 20, power: float = 1.0):
         self.k, self.power = k, power
         self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
+        self.known = KnownTerms(self.vocabulary)
         self.idf = np.array([np.log((1 + n_docs) / (1 + df[t])) for t in self.vocabulary])
         self.ids, self.labels = ids, np.array(labels, float)
         self.number = {d: i for i, d in enumerate(ids)}
@@ -105,11 +141,15 @@ class Neighbours:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of a text, in the vocabulary."""
-        found = [(i, n) for i, n in ((self.vocabulary.get(t), n) for t, n in terms_of(text).items()) if i is not None]
+        found: dict[int, int] = {}
+        begins, known = self.known.begins, self.known
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            if w[:4] in begins:
+                for i in known[w]:
+                    found[i] = found.get(i, 0) + n
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        found.sort()
-        terms, counts = np.array(found).T
+        terms, counts = np.array(sorted(found.items())).T
         weights = (1 + np.log(counts)) * self.idf[terms]
         size = np.sqrt((weights ** 2).sum())
         return (terms, weights / size) if size > 0 else (np.zeros(0, np.int64), np.zeros(0))
@@ -168,11 +208,11 @@ def _document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[s
     """How many documents have each term of the vocabulary, and how many there are: counted
     over all documents, one row a term and task, then summed."""
     def each(batches):
-        df, n = Counter(), 0
+        df, n, known = Counter(), 0, KnownTerms({t: t for t in vocabulary})
         for b in batches:
             for t in b.column(0):
                 n += 1
-                df.update(vocabulary.intersection(distinct_terms(t.as_py())))
+                df.update({x for w in set(_WORD.findall(t.as_py().lower())) if w[:4] in known.begins for x in known[w]})
         df[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from agrolattice.llm.toxicity import BlockMaxIndex, calibration, held_out, toxicity_scores
+from agrolattice.llm.toxicity import BlockMaxIndex, KnownTerms, calibration, held_out, terms_of, toxicity_scores
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -26,6 +26,28 @@ def test_block_max_index_is_exact():
         assert np.allclose(cos, full[want], atol=1e-5) and len(set(who)) == len(who) and 3 not in who
 
 
+def test_known_terms_are_those_of_the_words():
+    texts = ["abc abcd abcde abcdef ABCDEFG", "\u00e9t\u00e9 \u00e9t\u00e9s abcdxyz x1y", "", None, "q" * 90 + " abcdef"]
+    every = sorted({t for x in texts for t in terms_of(x)})
+    for vocabulary in (every, every[::2], every[1::3], []):
+        known = KnownTerms({t: t for t in vocabulary}, most=2)
+        for x in texts:
+            words = {w for w in terms_of(x) if not w.endswith("~")}
+            got = {t for w in words if w[:4] in known.begins for t in known[w]}
+            assert got == set(terms_of(x)) & set(vocabulary) and len(known) <= 2
+
+
+def test_blocks_are_scored_in_few_steps():
+    rng = np.random.default_rng(1)
+    rows = np.where(rng.random((400, 60)) < 0.2, rng.random((400, 60)), 0)
+    vectors = [{t: w for t, w in enumerate(r) if w} for r in rows]
+    q = np.where(rng.random(60) < 0.3, rng.random(60), 0)
+    terms = np.flatnonzero(q)
+    found = [BlockMaxIndex(vectors, 60, block=8, at_once=n).nearest(terms, q[terms], 20) for n in (1, 3, 50)]
+    for who, cos in found[1:]:
+        assert (who == found[0][0]).all() and (cos == found[0][1]).all()
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
