@@ -283,7 +283,7 @@ class YieldModel:
         return cls(levels, models_of(spark.read.parquet(os.path.join(path, "trees"))))
 
 
-def yield_cells(data: DataFrame, flags: list[str], drop_first: bool = False, most_cells: int = 200_000, bins: int = 255):
+def yield_cells(data: DataFrame, flags: list[str], drop_first: bool = False, most_cells: int | None = None, bins: int = 255):
     """(levels, the cuts of each feature, a frame of cells): the rows summed by ``flags`` and the bins of
     their features, with ``n`` and ``s`` (sum of labels).  One aggregate finds the quantiles, one sums.
 
@@ -302,7 +302,7 @@ def yield_cells(data: DataFrame, flags: list[str], drop_first: bool = False, mos
                 out = out.withColumn(f"_b_{c}", F.lit(0.0))
             kept.append(f"_b_{c}")
         cells = materialize(out.groupBy(*flags, "cultivo", "textura", *kept).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")), "yield-cells")
-        if cells.count() <= most_cells or bins <= 2:
+        if most_cells is None or cells.count() <= most_cells or bins <= 2:
             break
         bins //= 2
     frame = cells.toPandas()

@@ -59,3 +59,11 @@ def test_trees_do_not_depend_on_the_blocks(monkeypatch, random_cut):
     assert grown() == plain and len(plain.feature) > 100
     again = T.boost(cells, 5, 5, logistic=True)[1]
     assert [t.feature for t in again] == [t.feature for t in boosted]
+
+
+def test_yield_cells_have_the_same_bins_for_any_number(spark):
+    cols = M.YIELD_NUMERIC
+    df = spark.range(230_000).select(F.lit("c").alias("cultivo"), F.lit("t").alias("textura"), F.lit(1.0).alias("label"), F.lit(0).alias("flag"),
+                                     *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(300)).cast("double")).alias(c) for i, c in enumerate(cols)])
+    _, cuts, frame, table = M.yield_cells(df, ["flag"])
+    assert len(frame) > 200_000 and frame["n"].sum() == 230_000 and min(len(c) for c in cuts[2:]) > 200
